@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, quality_rules
+from . import langid, licenses, mixing, packing, quality_rules
 from .common import written
 
 
@@ -18,6 +18,10 @@ def op4_language_id(spark, sf_dir):
     return langid.language_id(_documents(spark, sf_dir))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.packed(_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.rule_verdicts(_documents(spark, sf_dir))
 
