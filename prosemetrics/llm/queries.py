@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, packing, quality_rules
+from . import ann, langid, licenses, mixing, packing, quality_rules
 from .common import written
 
 
@@ -10,6 +10,10 @@ def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.license_scan(_documents(spark, sf_dir))
 
