@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, mixing, packing, quality_rules
+from . import ann, langid, licenses, mixing, packing, quality_rules, secrets
 from .common import written
 
 
@@ -35,5 +35,9 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(sizes, sizes.count()).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_secret_scan(spark, sf_dir):
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
