@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, mixing, packing, quality_rules, secrets
+from . import ann, langid, licenses, line_crf, mixing, packing, quality_rules, secrets
 from .common import written
 
 
@@ -35,6 +35,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(sizes, sizes.count()).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return line_crf.document_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.scan(_documents(spark, sf_dir))
 
