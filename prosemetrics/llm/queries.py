@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, line_crf, mixing, packing, quality_rules, secrets
+from . import ann, langid, licenses, line_crf, mixing, near_dup, packing, quality_rules, secrets
 from .common import written
 
 
@@ -43,5 +43,9 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op10_near_duplicates(spark, sf_dir):
+    return near_dup.linked(_documents(spark, sf_dir))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
