@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, line_crf, mixing, near_dup, packing, quality_rules, secrets
+from . import ann, langid, licenses, line_crf, lpf, mixing, near_dup, packing, quality_rules, secrets
 from .common import written
 
 
@@ -18,6 +18,10 @@ def op2_license_scan(spark, sf_dir):
     return licenses.license_scan(_documents(spark, sf_dir))
 
 
+def op3_repeated_passages(spark, sf_dir):
+    return lpf.without_repeats(_documents(spark, sf_dir), kept_bytes=False)
+
+
 def op4_language_id(spark, sf_dir):
     return langid.language_id(_documents(spark, sf_dir))
 
