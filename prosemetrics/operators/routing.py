@@ -1,0 +1,90 @@
+"""Which rule, ruleset, disabled checks and thresholds a path gets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.patterns import glob_regex
+from ..plans.registry import ruleset
+
+RULE = "ord int, glob string, ruleset string, packs map<string,array<string>>, disable array<string>, embedded_prose string"
+DEFAULT_RULES = ({"glob": "*.md", "ruleset": "prose"}, {"glob": "*.py", "ruleset": "code"})
+
+
+def relative(path, root: str):
+    """The path below ``root``, with forward slashes; null outside it."""
+    root = root.rstrip("/") + "/"
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(F.startswith(p, F.lit(root)), F.substring(p, len(root) + 1, 1 << 20)).when(~F.startswith(p, F.lit("/")), p)
+
+
+def route(paths: DataFrame, rules: list[dict], *, path: str = "path", root: str = "/") -> DataFrame:
+    """``paths`` with rule_ord and ruleset of the first rule whose glob matches; both null if none does.
+
+    Rules are few and known when the plan is made, so they become one CASE chain: no join.
+    A rule without a ruleset puts what it matches out of scope: rule_ord is set, ruleset null.
+    """
+    for r in rules:
+        if r.get("ruleset"):
+            ruleset(r["ruleset"])  # a typo raises here
+    rel = relative(F.col(path), root)
+    ord_ = F.coalesce(*[F.when(rel.rlike(glob_regex(r["glob"])), F.lit(i)) for i, r in enumerate(rules)], F.lit(None).cast("int"))
+    names = F.array(*[F.lit(r.get("ruleset")).cast("string") for r in rules]) if rules else F.array().cast("array<string>")
+    return paths.withColumn("rule_ord", ord_).withColumn("ruleset", F.get(names, F.col("rule_ord")))
+
+
+def route_table(paths: DataFrame, rules: DataFrame, *, path: str = "path") -> DataFrame:
+    """As ``route``, for rules in a table (ord, pattern, ruleset): every rule is tried on every path, the first match stays.
+
+    The rules are broadcast; there are as many as a person writes.
+    """
+    hits = paths.join(F.broadcast(rules.select("ord", "pattern", F.col("ruleset").alias("to"))), F.col(path).rlike(F.col("pattern")), "left")
+    return hits.groupBy(*paths.columns).agg(F.min("ord").alias("rule_ord"), F.min_by("to", "ord").alias("ruleset"))
+
+
+def drop_disabled(found: DataFrame, rules: list[dict], project: tuple = (), *, rule: str = "rule_ord") -> DataFrame:
+    """Flags (with their rule's ordinal) without the checks that the project or the rule disables."""
+    lists = F.array(*[F.array(*[F.lit(c) for c in (*project, *r.get("disable", ()))]).cast("array<string>") for r in rules]) if rules else F.array().cast("array<array<string>>")
+    off = F.coalesce(F.get(lists, F.col(rule)), F.array(*[F.lit(c) for c in project]).cast("array<string>"))
+    return found.filter(~F.array_contains(off, F.col("kind")))
+
+
+def effective_config(checks: DataFrame, overrides: DataFrame, glob: str | None = None) -> DataFrame:
+    """check_id, threshold, action, params: defaults, then the project's overrides, then those of the rule's glob, field by field.
+
+    overrides: check_id, glob (null: project), field, value. An invalid value leaves the
+    field as it was: numbers are whole and at least 1, an action is ``warn`` or ``block``.
+    """
+    valid = F.when(F.col("field") == "action", F.col("value").isin("warn", "block")).otherwise(F.col("value").rlike("^[1-9][0-9]{0,8}$"))
+    here = overrides.filter(valid & (F.col("glob").isNull() | (F.col("glob") == F.lit(glob))))
+    last = here.groupBy("check_id", "field").agg(F.max_by("value", F.col("glob").isNotNull().cast("int")).alias("value"))
+    fields = last.groupBy("check_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("set"))
+    out = checks.join(fields, "check_id", "left").withColumn("set", F.coalesce("set", F.create_map().cast("map<string,string>")))
+    params = F.transform_values("params", lambda k, v: F.coalesce(F.try_element_at("set", k).cast("int"), v))
+    return out.select("ruleset", "check_id", "ord", "unit", "kind", "bucket", F.coalesce(F.try_element_at("set", F.lit("threshold")).cast("int"), "threshold").alias("threshold"), F.coalesce(F.try_element_at("set", F.lit("action")), "action").alias("action"), params.alias("params"), "terms_list")
+
+
+def split_checks(checks: DataFrame, enforced: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The enforced checks and the held-out rest; it is an error if none is enforced."""
+    on = checks.filter(F.col("check_id").isin(*enforced)) if enforced else checks.limit(0)
+    if not on.limit(1).count():
+        raise ValueError("no check of this ruleset is enforced")
+    return on, checks.join(F.broadcast(on.select("check_id")), "check_id", "left_anti")
+
+
+def complement(checks: DataFrame) -> DataFrame:
+    """The checks that do not block."""
+    return checks.filter("action <> 'block'")
+
+
+def explain(spark, path: str, rules: list[dict], checks: DataFrame) -> DataFrame:
+    """The rule of one path and the checks that run on it."""
+    one = route(spark.createDataFrame([(path,)], "path string"), rules)
+    out = one.join(F.broadcast(checks), "ruleset", "left")
+    return drop_disabled(out.withColumnRenamed("kind", "check_kind").withColumn("kind", F.coalesce("check_id", F.lit(""))), rules).drop("kind")
+
+
+def unused(rules: DataFrame) -> DataFrame:
+    """Rules that no path can reach because an earlier rule has the same glob."""
+    return rules.withColumn("nth", F.row_number().over(Window.partitionBy("glob").orderBy("ord"))).filter("nth > 1").drop("nth")
