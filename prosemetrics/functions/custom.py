@@ -7,10 +7,12 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checks.base import UNITS, Check, Ruleset
-from ..functions.patterns import HIT, all_matches, each
+from ..operators.structure import with_units
+from .patterns import all_matches, each
 
 _ID = re.compile(r"^[a-z][a-z0-9_]*$")
 
@@ -35,25 +37,27 @@ def pattern_check(rules: Ruleset, check_id: str, pattern: str, note: str = "", u
     return Check(check_id, unit, lambda s, _: each(all_matches(s, whole, ignore_case), rule=f"custom.{check_id}", note=note), **more)
 
 
-def python_check(rules: Ruleset, check_id: str, find: Callable[[str], list[tuple[str, str]]], unit: str = "SENTENCE", **more) -> Check:
-    """A check of a Python function from an item to (phrase, note) pairs, run over Arrow batches. Its flags are semantic."""
+def python_flags(docs: DataFrame, rules: Ruleset, check_id: str, find: Callable[[str], list[tuple[str, str]]], unit: str = "SENTENCE", *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Flags (key, item_ord, hit_ord, kind, label, text, bucket, note) of a Python function from an item to (phrase, note) pairs.
+
+    It runs over Arrow batches of sentences, list lines or whole documents. The flags are semantic.
+    """
     _valid(check_id, unit, rules)
-    if unit not in ("DOCUMENT",):
-        raise InvalidCheck("Python checks see whole documents; use a pattern for smaller units")
+    if unit not in ("SENTENCE", "LINE", "DOCUMENT"):
+        raise InvalidCheck(f"Python checks do not see {unit}")
     if not callable(find) or len(inspect.signature(find).parameters) != 1:
         raise InvalidCheck("a check takes the item and nothing else")
+    units = with_units(docs.select(key, text), text)
+    items = {"SENTENCE": F.transform("sentences", lambda s: s["sentence"]), "LINE": F.col("list_lines"), "DOCUMENT": F.array(F.coalesce(F.col(text), F.lit("")))}[unit]
+    rows = units.select(key, F.posexplode(items).alias("item_ord", "text"))
 
-    @F.pandas_udf("array<struct<label:string,note:string>>")
-    def of(items: pd.Series) -> pd.Series:
-        return items.map(lambda x: [{"label": p, "note": n} for p, n in (find(x) if x is not None else [])])
-
-    return Check(check_id, unit, lambda s, _: F.transform(of(s), lambda h: _as_hit(h, check_id)), **more)
-
-
-def _as_hit(h, check_id: str):
-    from ..functions.patterns import hit
+    def run(batches):
+        for b in batches:
+            out = [(k, i, j, check_id, phrase, t, "semantic", note) for k, i, t in zip(b[key], b["item_ord"], b["text"]) for j, (phrase, note) in enumerate(find(t))]
+            yield pd.DataFrame(out, columns=[key, "item_ord", "hit_ord", "kind", "label", "text", "bucket", "note"])
 
-    return hit(h["label"], f"custom.{check_id}", note=h["note"]).cast(HIT)
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInPandas(run, f"{key} {kind}, item_ord int, hit_ord int, kind string, label string, text string, bucket string, note string")
 
 
 def fields_of(check: Check) -> dict:
