@@ -66,7 +66,8 @@ MODAL = r"\b(should|would|may|might|could)\b"
 COLLOCATION = r"(?=\s+(?:need|want|have|wish|like)\s+to\b)"
 PROGRESSIVE = r"\b(is|are|was|were)\s+(\w+ing)\b"
 PASSIVE = r"\b(is|are|was|were|be|been|being)\s+(\w+ed)\b"
-TRAILING = r"\w[^.!?\n]{3,}\s\b(if|when)\b\s"
+#: From the first word character of a stretch without a full stop: any later one would match no more, and this is linear.
+TRAILING = r"(?:^|[.!?\n])[^\w.!?\n]*\w[^.!?\n]{3,}?\s(if|when)\b\s"
 
 
 def _join(a: Column, b: Column) -> Column:
