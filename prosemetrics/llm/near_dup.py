@@ -8,17 +8,17 @@ collisions, estimates its Jaccard similarity and drops hopeless pairs; the other
 compared on their whole sets.
 
 Equal sets are one node. In each band, members are first compared with its smallest
-member only; then, as long as a band holds several components, with further members of
-other components, a spanning forest a round, until no candidate pair of different
-components is left. So no group is expanded into all its pairs, and no link that could
-join two components is lost.
+member only, and components are formed. Where a band still holds several components, the
+members outside its largest one are compared with the rest of the band, signatures first,
+whole sets after; a task counts the shared shingles of a row with all others through a
+sorted index and returns at most a spanning forest of links. So no group is expanded into
+all its pairs, and no link that could join two components is lost.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -33,10 +33,12 @@ WORDS, PERCENT = 3, 85
 BUCKETS, ROWS, MANTISSA = 64, 4, 10
 BANDS = BUCKETS // ROWS
 _BITS = 64 - BUCKETS.bit_length() + 1  # of a hash behind its bucket
-#: Pairs of sets of this size or more need an estimate within ``SLACK`` of the threshold (5 standard deviations).
-SURE, SLACK = 256, 0.25
-#: Members of a band that one task compares at once.
-BLOCK = 512
+#: Pairs of sets of this size or more need an estimate within ``SLACK`` of the threshold (more than 4 standard deviations).
+SURE, SLACK = 64, 0.25
+#: Members of a band that one task holds; rows of them that are compared at once.
+HELD, BLOCK = 4_096, 512
+#: Characters of text that are hashed at once.
+SLICE = 500_000
 
 _ORDER = np.stack([np.random.default_rng(1000 + j).permutation(BUCKETS) for j in range(BUCKETS)])
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(_BITS)
@@ -91,7 +93,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id")
-            for i, j in slices([len(t or "") for t in texts], 2_000_000):
+            for i, j in slices([len(t or "") for t in texts], SLICE):
                 sets = shingle_sets(texts[i:j], words)
                 some = [k for k, s in enumerate(sets) if len(s)]
                 sig = np.stack([signature(sets[k]) for k in some]) if some else np.zeros((0, BUCKETS), np.uint16)
@@ -110,7 +112,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             every, ids = b.column("text").to_pylist(), b.column("rid")
-            for i, j in slices([len(t or "") for t in every], 2_000_000):
+            for i, j in slices([len(t or "") for t in every], SLICE):
                 sets = [s.view(np.int64) for s in shingle_sets(every[i:j], words)]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))], ["rid", "members"])
 
@@ -156,51 +158,80 @@ def _likely(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.ndarr
     return np.where(possible, guess, -1.0)
 
 
-def propose(members: pd.DataFrame, tested: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The next pairs of a band to compare: a spanning forest of its components, best estimates first.
-
-    members: rid, component, n, sig. tested: pairs (a, b) that this band proposed before;
-    the pairs with its smallest member count as tested.
-    """
-    members = members.drop_duplicates("rid").sort_values("rid")
-    ids, comp, n = members["rid"].to_numpy(), members["component"].to_numpy(), members["n"].to_numpy()
-    sig = np.stack([np.frombuffer(s, np.uint16) for s in members["sig"]])
-    done = {(a, b) for a, b in zip(tested["a"], tested["b"])}
-    _, codes, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-    few = np.flatnonzero(codes != sizes.argmax())  # every pair of two components has one of these
-    best: list[tuple[float, int, int]] = []
-    for i in range(0, len(few), BLOCK):
-        rows = few[i : i + BLOCK]
-        for j in range(0, len(ids), BLOCK):
-            guess = _likely(sig[rows], n[rows], sig[j : j + BLOCK], n[j : j + BLOCK], percent)
-            guess[codes[rows][:, None] == codes[None, j : j + BLOCK]] = -1
-            if j == 0:
-                guess[:, 0] = -1
-            guess[rows == 0] = -1
-            # For each row the best members of this block, more than were tested with it.
-            for r in np.flatnonzero((guess >= 0).any(1)):
-                for c in np.argsort(-guess[r], kind="stable"):
-                    if guess[r, c] < 0:
-                        break
-                    a, b = sorted((int(ids[rows[r]]), int(ids[j + c])))
-                    if (a, b) not in done:
-                        best.append((-guess[r, c], a, b))
-                        break
-    parent: dict[int, int] = {}
+def live_rows(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Those of a band's rows (rid, component, query, n, sig) with a likely partner of another component; queries look at all rows."""
+    comp, n = np.unique(rows["component"], return_inverse=True)[1], rows["n"].to_numpy()
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, BUCKETS)
+    live = np.zeros(len(rows), bool)
+    asking = np.flatnonzero(rows["query"])
+    for i in range(0, len(asking), BLOCK):
+        q = asking[i : i + BLOCK]
+        for j in range(0, len(rows), BLOCK):
+            some = (_likely(sig[q], n[q], sig[j : j + BLOCK], n[j : j + BLOCK], percent) >= 0) & (comp[q][:, None] != comp[None, j : j + BLOCK])
+            live[q] |= some.any(1)
+            live[j : j + BLOCK] |= some.any(0)
+    return rows[live]
+
+
+def links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between components among rows (rid, component, query, members); queries look at all rows."""
+    rows = rows.sort_values(["rid", "query"]).drop_duplicates("rid", keep="last")
+    ids, comp = rows["rid"].to_numpy(), np.unique(rows["component"], return_inverse=True)[1]
+    sizes = rows["members"].map(len).to_numpy()
+    every = np.concatenate([np.asarray(m) for m in rows["members"]])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    parent = list(range(int(comp.max()) + 1))
 
     def root(x: int) -> int:
-        while parent.get(x, x) != x:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    of = dict(zip(ids.tolist(), comp.tolist()))
     out = []
-    for _, a, b in sorted(best):
-        x, y = root(of[a]), root(of[b])
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
-    return pd.DataFrame(out, columns=["a", "b"])
+    for i in np.flatnonzero(rows["query"]):
+        mine = np.asarray(rows["members"].iloc[i])
+        first, end = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+        n = end - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(rows))
+        for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)):
+            x, y = root(comp[i]), root(comp[j])
+            if x != y:
+                parent[x] = y
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def bridges(members: DataFrame, labels: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between different components within a band. members: key, rid, size; about: rid, n, sig.
+
+    A band's rows are dealt to blocks, its rows outside the largest component also to
+    chunks; a task holds one block and one chunk, so it is bounded whatever the band's size.
+    """
+    rows = members.filter("size > 2").join(labels, members["rid"] == labels["node"], "left").select("key", "rid", F.coalesce("component", "rid").alias("component"))
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    per = per.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1")
+    dealt = rows.join(per, "key")
+    blocks, chunks = (F.ceil(F.col(c) / HELD).cast("int") for c in ("total", "rest"))
+    dealt = dealt.withColumn("rest", F.col("total") - F.col("most")).withColumns({"blocks": blocks, "query": F.col("component") != F.col("main")}).withColumn("chunks", chunks)
+    some = lambda n: F.pmod(F.xxhash64("rid"), n.cast("long")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    base = dealt.select("key", "rid", "component", F.lit(False).alias("query"), some(F.col("blocks")).alias("block"), F.explode(upto(F.col("chunks"))).alias("chunk"))
+    asking = dealt.filter("query").select("key", "rid", "component", "query", F.explode(upto(F.col("blocks"))).alias("block"), some(F.col("chunks")).alias("chunk"))
+    task = ["key", "block", "chunk"]
+    every = base.unionByName(asking).groupBy(*task, "rid", "component").agg(F.max("query").alias("query")).join(about, "rid")
+
+    def alive(key, p: pd.DataFrame) -> pd.DataFrame:
+        return live_rows(p, percent)[[*task, "rid", "component", "query"]]
+
+    def find(key, p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(links(p, percent), columns=["a", "b"], dtype="int64")
+
+    alive_rows = every.groupBy(*task).applyInPandas(alive, "key long, block int, chunk int, rid long, component long, query boolean")
+    return alive_rows.join(sets, "rid").groupBy(*task).applyInPandas(find, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -225,26 +256,9 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     star = star.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & _vector_likely(percent)("n_a", "sig_a", "n_b", "sig_b")).select("a", "b")
     edges = written(verified(star, sets, percent).unionByName(same_id))
     labels = components(edges)
-    tested = None
-    for turn in itertools.count(1):
-        labelled = members.filter("size > 2").join(labels, members["rid"] == labels["node"], "left").select("key", "rid", F.coalesce("component", "rid").alias("component"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        if tested is not None:
-            open_keys = open_keys.join(tested.filter(F.col("turn") == turn - 1).select("key").distinct(), "key", "left_semi")
-        rows = labelled.join(open_keys, "key", "left_semi").join(about, "rid")
-        before = tested.select("key", "a", "b") if tested is not None else docs.sparkSession.createDataFrame([], "key long, a long, b long")
-
-        def look(key, m, t):
-            out = propose(m, t, percent) if len(m) > 2 else pd.DataFrame({"a": [], "b": []})
-            return out.assign(key=key[0], turn=turn)[["key", "a", "b", "turn"]].astype("int64")
-
-        new = written(rows.groupBy("key").cogroup(before.groupBy("key")).applyInPandas(look, "key long, a long, b long, turn long"))
-        if not new.limit(1).count():
-            break
-        tested = new if tested is None else tested.unionByName(new)
-        fresh = new.select("a", "b").distinct()
-        edges = written(edges.unionByName(verified(fresh, sets, percent)))
-        labels = components(edges)
+    more = written(bridges(members, labels, about, sets, percent))
+    if more.limit(1).count():
+        labels = components(edges.unionByName(more))
     root = reps.join(labels, reps["rid"] == labels["node"], "left").select("digest", F.coalesce("component", "rid").alias("component_id"))
     out = signed.alias("s").join(root.alias("r"), "digest", "left").select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("r.component_id", "s.doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
