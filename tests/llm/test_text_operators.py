@@ -1,0 +1,399 @@
+"""Operators on documents, held against brute force on small fixtures with nulls, empties, ties, repeats and odd columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from prosemetrics.llm import langid, licenses, line_crf, lpf, mixing, near_dup, packing, quality_rules, secrets
+from prosemetrics.llm.hashing import shingle_sets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, row string"
+
+
+def sentence(rng, n=12):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def corpus(seed=0, n=60):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = "\n".join(sentence(rng, rng.randint(3, 20)) for _ in range(rng.randint(1, 6)))
+        rows.append([i, text, rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", None]), len(text)])
+    base = rows[3][1] + " " + sentence(rng, 120)
+    rows[3][1] = base
+    for i in (10, 11, 12):
+        words = base.split(" ")
+        words[rng.randrange(len(words))] = f"changed{i}"
+        rows[i][1] = " ".join(words)
+    rows[20][1] = rows[21][1] = rows[3][1]
+    rows[30][1] = None
+    rows[31][1] = ""
+    rows[32][1] = " \n\t "
+    rows[33][1] = "one two"
+    rows[34][1] = "One TWO"
+    rows[35][1] = sentence(rng, 4000)
+    rows[36][1] = rows[35][1][500:9000] + " tail"
+    rows[37][1] = "Ünïcödé ß 你好 😀 " * 20
+    rows[38][1] = ("repeat me now please ok " * 30).strip()
+    rows[39][1] = "### *** $$$ " * 20
+    return [tuple(r) + ("k", "s", "r") for r in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, k):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
+
+
+def brute_components(rows, k, percent):
+    sets = {r[0]: shingles(r[1], k) for r in rows}
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}, sets
+
+
+def test_near_duplicates_against_brute_force(docs, rows):
+    want, sets = brute_components(rows, 3, 85)
+    got = {r["doc_id"]: r for r in near_dup.linked(docs).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert all(r["kept"] == (i == want[i]) for i, r in got.items())
+    assert len(set(want.values())) < len(want)
+
+
+def test_near_duplicate_chain_joins_through_its_middle(spark):
+    """a ~ b ~ c, but not a ~ c: the band's smallest member sees only one of the links."""
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(6):
+        rows.append((i, " ".join(words[4 * i : 4 * i + 150])))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, _ = brute_components(rows, 3, 85)
+    assert got == want
+
+
+def test_links_and_live_rows_find_what_brute_force_finds():
+    import pandas as pd
+
+    rng = random.Random(4)
+    base = [rng.randrange(1 << 40) for _ in range(120)]
+    sets = [sorted({*base[: 120 - rng.randrange(30)], *(rng.randrange(1 << 40) for _ in range(rng.randrange(25)))}) for _ in range(40)]
+    rows = pd.DataFrame({"rid": range(40), "component": range(40), "query": [i != 0 for i in range(40)], "members": [np.array(s) for s in sets]})
+    got = near_dup.links(rows, 85)
+    like = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))
+    assert got and all(like(a, b) for a, b in got)
+
+    def groups(pairs):
+        p = list(range(40))
+        root = lambda x: x if p[x] == x else root(p[x])
+        for a, b in pairs:
+            x, y = root(a), root(b)
+            p[max(x, y)] = min(x, y)
+        return [root(i) for i in range(40)]
+
+    assert groups(got) == groups([(a, b) for a in range(40) for b in range(a) if like(a, b)])
+
+
+def test_near_duplicates_of_nothing_and_of_repeated_rows(spark, empty):
+    assert near_dup.linked(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d")], "doc_id long, text string")
+    got = sorted(near_dup.linked(twice).collect(), key=str)
+    assert sum(r["kept"] for r in got if r["doc_id"] is not None) == 2 and {r["component_id"] for r in got if r["doc_id"] == 2} == {1}
+    assert [r["doc_id"] for r in near_dup.deduplicated(twice).orderBy("doc_id").collect()] == [None, 1, 1]
+
+
+def test_signatures_estimate_similarity():
+    a = shingle_sets([" ".join(f"w{i}" for i in range(3000))], 3)[0]
+    b = shingle_sets([" ".join(f"w{i}" for i in range(300, 3300))], 3)[0]
+    equal = (near_dup.signature(a) == near_dup.signature(b)).sum()
+    assert abs(near_dup.estimate(equal, len(a), len(b)) - 2700 / 3300) < 0.2
+    assert near_dup.estimate(0, 10, 10) == 0
+
+
+def test_repeated_passages_against_brute_force(docs, rows):
+    seen, want = set(), {}
+    for i, text, *_ in sorted(rows):
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw) + 1, int)
+        for s in range(len(raw) - 99):
+            x = raw[s : s + 100]
+            if x in seen:
+                gone[s] += 1
+                gone[s + 100] -= 1
+            seen.add(x)
+        cut = np.cumsum(gone)[: len(raw)] > 0
+        kept = np.frombuffer(raw, np.uint8)[~cut].tobytes()
+        runs = int((cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())) if len(raw) else 0
+        want[i] = (len(raw), int(cut.sum()), runs, hashlib.sha256(kept).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in lpf.without_repeats(docs).collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
+def test_repeated_passages_with_hot_anchors_and_small_segments(spark, monkeypatch):
+    monkeypatch.setattr(lpf, "SEGMENT", 300)
+    monkeypatch.setattr(lpf, "BUCKET", 500)
+    rng = random.Random(1)
+    line = sentence(rng, 30)
+    rows = [(i, sentence(rng, 20) + line[i % 7 :] + sentence(rng, 20)) for i in range(40)]
+    got = {r["doc_id"]: r["kept"] for r in lpf.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for i, text in rows:
+        raw, keep = text.encode(), [True] * len(text.encode())
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                keep[s : s + 100] = [False] * 100
+            seen.add(raw[s : s + 100])
+        assert bytes(got[i]) == bytes(c for c, k in zip(raw, keep) if k)
+
+
+def test_repeated_passages_edges(spark, empty):
+    assert lpf.without_repeats(empty).count() == 0
+    long = "x" * 500
+    got = lpf.without_repeats(spark.createDataFrame([(None, None), (1, long), (1, long), (2, "short")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in got) == [(False, 0), (False, 499), (False, 499), (True, 0)]
+
+
+def test_suffix_classes_are_the_suffix_order():
+    raw = np.random.default_rng(0).integers(97, 100, 300, dtype=np.uint8)
+    rank = lpf.suffix_classes(raw, 12)
+    prefix = [raw[i : i + 12].tobytes().ljust(12, b"\0") for i in range(len(raw))]
+    assert all((rank[i] < rank[j]) == (prefix[i] < prefix[j]) for i in range(0, 300, 7) for j in range(0, 300, 5))
+
+
+def test_quality_rules_against_python(docs, rows):
+    got = {r["doc_id"]: r for r in quality_rules.rule_verdicts(docs).collect()}
+    for i, text, *_ in rows:
+        text = text or ""
+        words = WORD.findall(text)
+        windows = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
+        times = Counter(windows)
+        covered = {j + d for j, w in enumerate(windows) if times[w] > 1 for d in range(5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(covered))
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
+        assert not (r["kept"] and r["base_failed"])
+    assert not got[38]["kept"] and not got[39]["kept"] and got[0]["kept"]
+
+
+def test_quality_rules_keep_columns_and_take_empty_tables(docs, empty):
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert quality_rules.rule_verdicts(empty).count() == 0
+
+
+def brute_mix(rows):
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    left, free, target = 1.5 * sum(sizes.values()), set(names), {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if unit * weight[s] > 2 * sizes[s]}
+        if not over:
+            target.update({s: unit * weight[s] for s in free})
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    return sizes, target
+
+
+def test_mixing_meets_its_targets(docs, rows):
+    sizes = mixing.sized(docs)
+    first, again = (sorted(mixing.mix(sizes, sizes.count()).select("doc_id", "source", "size", "source_size", "target", "taken").collect(), key=str) for _ in range(2))
+    assert first == again
+    want_sizes, want = brute_mix(rows)
+    taken = defaultdict(int)
+    for r in first:
+        assert r["source_size"] == want_sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[r["source"]] += r["taken"]
+    largest = max(r["size"] for r in first)
+    assert all(abs(taken[s] - want[s]) <= largest / 2 + 1 for s in want)
+
+
+def test_mixed_documents_are_the_rows_that_the_mix_takes(docs):
+    sizes = mixing.sized(docs)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(sizes, sizes.count()).collect()}
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    got = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+    assert {i: got.get(i, 0) for i, n in copies.items()} == copies
+
+
+def test_mixing_of_nothing(empty):
+    assert mixing.mix(mixing.sized(empty), 0).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_packing_round_trip(docs, rows):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(packing.tokenizer_path())
+    got = packing.packed(docs, capacity=256).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    for i, text, *_ in rows:
+        ids = np.array([*full.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        parts = sorted(by[i], key=lambda r: r["piece"])
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in parts] == [(k, s, len(ids[s : s + 256]), zlib.crc32(ids[s : s + 256].tobytes())) for k, s in enumerate(range(0, len(ids), 256))]
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(places) <= -(-sum(r["length"] for r in got) // 256) + 2
+
+
+def test_sweep_is_best_fit_decreasing():
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 50) for _ in range(400)]
+    runs = packing.sweep(Counter(lengths), 50)
+    assert sum(n for _, _, n, _, _ in runs) == 400
+    used = max(first + n for _, _, n, first, _ in runs)
+    bins = []
+    for x in sorted(lengths, reverse=True):
+        fit = min((b for b in range(len(bins)) if bins[b] >= x), key=lambda b: bins[b], default=None)
+        if fit is None:
+            bins.append(50)
+            fit = len(bins) - 1
+        bins[fit] -= x
+    assert used <= len(bins) + 1
+
+
+def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    full, mine = Tokenizer.from_file(packing.tokenizer_path()), packing.WordEncoder(packing.tokenizer_path(), room=50)
+    texts = ["", None, "It's DON'T 'S a_b 12 ½ ² naïve", "a\x1cb \x85 c", "<|endoftext|> x<|startoftext|>y", "İ ΣΑΣ ß ŉ", "你好 😀!! ☃", "\x7f \xad a\xadb", "é ño"]
+    texts += [sentence(random.Random(i), 40) for i in range(20)]
+    assert [list(x) for x in mine(texts)] == [full.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_of_nothing(empty):
+    assert packing.packed(empty).count() == 0
+
+
+def test_license_scan(spark, empty):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT")
+    rows = [(1, "Copyright (c) 2021 A. Person\n" + mit.upper().replace(",", " ;")), (2, "text\nreleased under the MIT licence\nmore"), (3, None), (4, ""), (5, "Released under the MIT License. And more."), (2, "text\nreleased under the MIT licence\nmore")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))).collect()}
+    assert got[1]["text_license"] == "MIT" and got[2]["line_licenses"] == ["MIT"] and got[2]["n_notice_lines"] == 1
+    assert all(got[i]["text_license"] is None and not got[i]["line_licenses"] for i in (3, 4, 5))
+    assert licenses.license_scan(empty).count() == 0
+
+
+def test_language_identification_is_right_on_held_out_rows(spark, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None, None), (5, "123 !!", "en"), (7, "wort der die", "de"), (8, "", "fr")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.language_id(odd).collect()} == {1: "und", 5: "und", 7: "de", 8: "und"}
+    assert langid.language_id(empty).count() == 0
+
+
+def test_unseen_words_fall_back_to_grams():
+    model = {"langs": ["a", "b"], "words": {"known": np.array([-1, -9], "float32")}, "grams": {"zz": np.array([-9, -1], "float32"), "q": np.array([-1, -2], "float32")}}
+    s = langid.Scorer(model)
+    assert s.word("known").argmax() == 0 and s.word("xzzx").argmax() == 1 and s.word("qqq").argmax() == 0 and not s.word("☃").any()
+
+
+def test_quality_classifier_is_right_on_held_out_rows(spark, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.join(labels.select("doc_id", "quality"), "doc_id")
+    got = line_crf.document_quality(few.drop("quality"), labels).join(few.select("doc_id", "quality"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert line_crf.document_quality(empty, labels).count() == 0
+
+
+def test_crf_marginals_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    score, move = rng.normal(size=5), rng.normal(size=(2, 2))
+    total, good = 0.0, np.zeros(5)
+    for y in itertools.product((0, 1), repeat=5):
+        w = np.exp(sum(score[i] for i in range(5) if y[i]) + sum(move[y[i], y[i + 1]] for i in range(4)))
+        total += w
+        good += w * np.array(y)
+    p, _, z = line_crf.marginals(score, move, np.array([5]))
+    assert np.allclose(p, good / total) and np.isclose(z, np.log(total))
+
+
+def test_classifier_without_labels_and_with_odd_texts(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    rows = [(1, None), (2, ""), (3, "\n\n"), (None, "a b"), (4, "x " * 50_000)]
+    got = line_crf.document_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 5 and all(r["score"] == 0.5 and r["predicted"] == 1 for r in got)
+    f, w = line_crf.line_features("A b\n\nA b!!")
+    assert f.shape == (3, line_crf.OWN) and list(w) == [4, 1, 6]
+
+
+def test_secret_forest_on_findings_it_has_not_seen():
+    forest = secrets.default_forest()
+    unseen = secrets.generated_findings(800, 12345)
+    x = np.array([secrets.features(c, b, a) for c, b, a, _ in unseen])
+    assert ((forest.score(x) >= 0.5) == np.array([y for *_, y in unseen])).mean() > 0.97
+
+
+def test_secrets_are_found_and_redacted_and_clean_texts_left_alone(spark, empty):
+    key = "0c497b5014f705c0be648d68b816f88c209136eb"
+    rows = [(1, f'here token = "{key}" there'), (2, "plain words only"), (3, None), (4, ""), (5, f"commit {key} fixed it"), (1, f'here token = "{key}" there')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("secrets", F.lit("x"))
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert got[1]["n_secrets"] == 1 and got[5]["n_secrets"] == 0 and got[2]["n_candidates"] == 0 and got[3]["n_secrets"] == 0
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert texts[1] == f'here token = "{secrets.MARK}" there' and texts[2] == "plain words only" and texts[3] is None
+    assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty).count() == 0
+
+
+def test_secrets_can_be_trained_on_given_findings(spark):
+    findings = [(f"goodthing{i:08d}", "x ", "", 0) for i in range(40)] + [(f"{i:016x}a1b2", "token = ", "", 1) for i in range(40)]
+    got = secrets.scan(spark.createDataFrame([(1, "token = 00000000000000aaa1b2 x goodthing00000003")], "doc_id long, text string"), findings).collect()
+    assert got[0]["n_candidates"] == 2
