@@ -22,15 +22,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import random_key, written
+from .hashing import slices
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-RANGES = 64
+#: Pieces that share a range of keys.
+RANGE = 200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -77,11 +80,12 @@ class Pool:
 class WordEncoder:
     """Token ids of whole texts, word by word: this vocabulary never joins across white space.
 
-    Keeps the ids of words it has met, up to ``room`` of them. Texts or words with
-    unusual characters go through the library unchanged, so ids always equal its own.
+    Keeps the ids of words it has met, up to ``room`` of them; when they become more, those
+    stay that were met again. Texts or words with unusual characters go through the
+    library unchanged, so ids always equal its own.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 250_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -90,11 +94,19 @@ class WordEncoder:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spare = iter(range(0x100, 0x200))
         self.bytes = {b: chr(b if b in keep else next(spare)) for b in range(256)}
-        self._forget()
+        self.words, self.word_ids, self.again = {}, Pool(), np.zeros(room + 1, bool)
+        self.pieces, self.piece_ids = {}, Pool()
 
     def _forget(self) -> None:
-        self.words, self.pieces = {}, {}
-        self.word_ids, self.piece_ids = Pool(), Pool()
+        """Forgets the words that were met in one batch only, or all if too many would stay."""
+        keep = np.flatnonzero(self.again[: len(self.words)])
+        keep = keep if len(keep) <= self.room // 2 else keep[:0]
+        names = list(self.words)
+        flat, sizes = self.word_ids.take(keep)
+        self.words, self.word_ids = {names[i]: k for k, i in enumerate(keep.tolist())}, Pool()
+        self.word_ids.add(flat, sizes)
+        self.again[:] = False
+        self.pieces, self.piece_ids = {}, Pool()
 
     def _whole(self, text: str) -> list[int]:
         return self.full.encode(text, add_special_tokens=False).ids
@@ -139,8 +151,13 @@ class WordEncoder:
         if len(missing):
             new = list(dict.fromkeys([every[i] for i in missing]))
             if len(self.words) + len(new) > self.room and self.words:
+                self.again[numbers[numbers >= 0]] = True
                 self._forget()
-                return self(texts)
+                numbers = np.fromiter(map(self.words.get, every, itertools.repeat(-1)), np.int64, len(every))
+                missing = np.flatnonzero(numbers < 0)
+                new = list(dict.fromkeys([every[i] for i in missing]))
+            self.again = Pool._grown(self.again, len(self.words) + len(new))
+            self.again[numbers[numbers >= 0]] = True
             self._learn(new)
             numbers[missing] = [self.words[every[i]] for i in missing]
         flat, sizes = self.word_ids.take(numbers)
@@ -148,16 +165,8 @@ class WordEncoder:
         return [np.array(self._whole(texts[i]), "<u4") if i in odd else flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
 
 
-def _slices(texts: list, most: int = 4_000_000):
-    """Ranges of rows of about ``most`` characters."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+#: Bytes of text that are encoded at once.
+SLICE = 1_500_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,10 +183,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encode = _encoder(path)
         end = np.array([END], "<u4")
         for whole in batches:
-            every, docs_of = whole.column("text").to_pylist(), whole.column("doc_id").to_pylist()
-            for a, b in _slices(every):
+            texts, docs_of = whole.column("text"), whole.column("doc_id").to_pylist()
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(docs_of[a:b], encode(every[a:b])):
+                for doc, ids in zip(docs_of[a:b], encode(texts.slice(a, b - a).to_pylist())):
                     ids = np.concatenate([ids, end])
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
@@ -237,24 +246,19 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     then its place in its own range. Rows that are equal in every column are ranked
     among themselves in any order. Empty table: no rows.
     """
-    where = F.shiftright(random_key("doc_id"), 54).cast("int")  # RANGES ranges of the key
-    keyed = table.withColumn("range", where)
-    per = keyed.groupBy("length", "range").agg(F.count("*").alias("n")).collect()  # at most capacity * RANGES rows
-    counts: dict[int, int] = {}
-    before: list[tuple[int, int, int]] = []
-    for row in sorted(per):
-        before.append((row["length"], row["range"], counts.get(row["length"], 0)))
-        counts[row["length"]] = counts.get(row["length"], 0) + row["n"]
-    spark = table.sparkSession
-    runs = sweep(counts, capacity)
-    earlier = spark.createDataFrame(before, "length long, range int, before long")
+    counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    ranges = max(1, -(-sum(counts.values()) // RANGE))
+    keyed = table.withColumn("range", F.shiftright(F.shiftright(random_key("doc_id"), 29) * F.lit(ranges), 31))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = keyed.groupBy("length", "range").agg(F.count("*").alias("n")).select("length", "range", F.coalesce(before, F.lit(0)).alias("before"))
     by_length: dict[int, list] = {}
-    for length, rank, n, first, offset in runs:
+    for length, rank, n, first, offset in sweep(counts, capacity):
         by_length.setdefault(length, []).append((rank, first, offset))
-    placed = spark.createDataFrame([(k, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in by_length.items()], "length long, ranks array<long>, firsts array<long>, offsets array<long>")
+    runs = [(k, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in by_length.items()]
+    placed = table.sparkSession.createDataFrame(runs, "length long, ranks array<long>, firsts array<long>, offsets array<long>")
     inside = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long")).join(F.broadcast(earlier), ["length", "range"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    joined = ranked.join(F.broadcast(placed), "length")  # both tables are bounded by the capacity, whatever the input
+    ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long")).join(earlier, ["length", "range"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    joined = ranked.join(F.broadcast(placed), "length")  # one row a length
     at = _last_not_above(F.col("ranks"), F.col("rank"))
     joined = joined.withColumn("run", at)
     pick = lambda c: F.get(F.col(c), F.col("run"))
