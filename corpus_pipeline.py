@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; texts without one, and all other columns, stay as they are."""
     return secrets.redact(docs)
 
 
