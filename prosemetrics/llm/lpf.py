@@ -32,7 +32,7 @@ from .hashing import between, prefix, slices
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text whose chunks share a bucket; bytes that a map step combines at once, and hashes at once.
-BUCKET, SLICE, SEGMENT = 12_000_000, 8_000_000, 1 << 22
+BUCKET, SLICE, SEGMENT = 4_000_000, 2_000_000, 1_000_000
 #: The sample that finds hot anchors: documents, least share of them, most anchors.
 SAMPLE, HOT_SHARE, HOT_MOST = 2_000, 0.004, 20_000
 _LOW = np.uint64(0xFFFFFF)
