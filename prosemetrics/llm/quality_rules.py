@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from .common import WORD, let, written
 
 ACCURACY = 10_000
 REACH = 3.0
@@ -97,7 +97,7 @@ def judged(docs: DataFrame) -> DataFrame:
     Null languages and sources are groups of their own. A document without words fails
     the base rules. Empty table: no rows. Repeated rows are judged alike.
     """
-    d, f = measured(docs).alias("d"), fences(docs).alias("f")
+    d, f = measured(docs).alias("d"), written(fences(docs)).alias("f")  # written, so the plan knows its size: texts are not shuffled for it
     out = d.join(f, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     inside = ~F.col("_base_failed")
     for m in SPREADS:
