@@ -21,12 +21,22 @@ from pyspark.sql import functions as F
 FINDINGS, TREES, DEPTH, SEED = 6_000, 31, 10, 11
 NEAR = 48
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/_\-])|(?<=[:=]\s)['\"]?[^\s'\"]{8,}(?=['\"])|(?<=[:=]['\"])[^\s'\"]{8,}(?=['\"])", re.ASCII)
+# What stands after a mark of assignment, in quotes of any blanks before; a scheme of authorization is not the value.
+ASSIGNED = re.compile(r"[:=]+>?[ \t]*(?:(?:bearer|basic|digest|token)[ \t]+(?=[^\s'\"]))?(?=\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|['\"]?(?P<bare>[^\s'\"]+))", re.ASCII | re.IGNORECASE)
+QUOTED = re.compile(r"[:=]\s*(['\"])(?=(?P<value>[^\s'\"]{8,})['\"])", re.ASCII)
+LOGIN = re.compile(r"://[^\s/:@'\"]*:(?=(?P<value>[^\s'\"@]+)@)", re.ASCII)
+BEARER = re.compile(r"\bbearer[ \t]+(?P<value>[A-Za-z0-9+/_\-.~]{8,}={0,2})", re.ASCII | re.IGNORECASE)
+# Prefixes of keys that need no digit.
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|sk-|[sr]k_live_|xox[abprs]-|glpat-|AIza|npm_|hf_)[A-Za-z0-9_\-]{16,})", re.ASCII)
 # Words that go with secrets, and words that go with harmless strings of the same looks.
 SECRET_WORDS = ("access", "api", "apikey", "auth", "authorization", "aws", "bearer", "client", "credential", "key", "login", "passphrase", "passwd", "password", "private", "pwd", "secret", "session", "token")
 HARMLESS_WORDS = ("build", "changelog", "checksum", "commit", "digest", "dummy", "etag", "example", "file", "fixture", "guid", "hash", "href", "http", "https", "id", "image", "integrity", "issue", "md5", "order", "path", "phone", "placeholder", "ref", "revision", "sample", "sha1", "sha256", "sku", "test", "tracking", "url", "uuid", "version")
 # Dictionary words for the coverage of a candidate.
 DICTIONARY = ("account", "admin", "after", "api", "app", "array", "base", "before", "build", "button", "cache", "change", "class", "client", "code", "color", "config", "content", "core", "count", "create", "data", "date", "default", "delete", "dev", "document", "element", "error", "event", "example", "factory", "field", "file", "filter", "find", "for", "form", "format", "from", "function", "get", "group", "handler", "header", "helper", "here", "home", "http", "image", "index", "info", "input", "insert", "into", "item", "key", "label", "layout", "lib", "line", "link", "list", "load", "local", "log", "login", "main", "manager", "map", "menu", "message", "method", "model", "module", "name", "node", "number", "object", "option", "order", "output", "package", "page", "panel", "parse", "password", "path", "place", "plugin", "post", "print", "process", "product", "profile", "project", "query", "read", "record", "release", "remove", "report", "request", "resource", "response", "result", "root", "row", "sample", "script", "search", "secret", "select", "server", "service", "session", "set", "setting", "size", "sort", "source", "src", "start", "state", "static", "status", "stream", "string", "style", "system", "table", "tag", "task", "template", "test", "text", "the", "thread", "time", "title", "token", "tool", "tree", "type", "update", "upload", "user", "util", "value", "version", "view", "web", "widget", "with", "word", "write", "your")
 
+# Parts of a name that make the value assigned to it a candidate, however short.
+_NAMING = (*SECRET_WORDS, "pass", "cred")
+_NAME = frozenset(string.ascii_letters + string.digits + "_-.")
 _SECRET, _HARMLESS = frozenset(SECRET_WORDS), frozenset(HARMLESS_WORDS)
 _COVER = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -38,6 +48,39 @@ _CLASSES[[ord(c) for c in "/._-"]] = 3
 _VOWELS = set("aeiouAEIOU")
 
 
+def _named(text: str, end: int) -> bool:
+    """Whether the name that ends at ``end``, with blanks and a closing mark behind it, is one of a secret."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "'\"])":
+        end -= 1
+    start = end
+    while start and text[start - 1] in _NAME:
+        start -= 1
+    name = text[start:end].lower()
+    return any(w in name for w in _NAMING)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate, in order; they may overlap."""
+    out = set()
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        a += text[a] in "'\""
+        if b - a >= 8:
+            out.add((a, b))
+    for pattern in (QUOTED, LOGIN, BEARER, PREFIXED):
+        out.update(m.span("value") for m in pattern.finditer(text))
+    for m in ASSIGNED.finditer(text):
+        if _named(text, m.start()):
+            a, b = m.span(m.lastgroup)
+            if m.lastgroup == "bare":
+                b = a + len(text[a:b].rstrip(",;."))
+            if a < b:
+                out.add((a, b))
+    return sorted(out)
+
+
 def features(candidate: str, before: str, after: str) -> list[float]:
     """What the forest sees of a finding."""
     raw = np.frombuffer(candidate.encode("ascii", "replace"), np.uint8)
@@ -56,6 +99,7 @@ def features(candidate: str, before: str, after: str) -> list[float]:
         float(bool(re.fullmatch(r"[0-9a-f]+", lower))), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", lower))), float(candidate.isdigit()),
         sum(w in _SECRET for w in left), sum(w in _HARMLESS for w in left), float(bool(left) and left[-1] in _SECRET), float(bool(left) and left[-1] in _HARMLESS), sum(w in _HARMLESS for w in right),
         float(bool(re.search(r"[=:]\s*['\"]?$", before))), float(before.endswith(('"', "'"))), float(after.startswith(('"', "'"))),
+        float(bool(PREFIXED.match(candidate))), float(bool(re.search(r"://[^\s/:@]*:$", before)) and after.startswith("@")), float(candidate.isalpha()), float(bool(re.search(r"[(){}<>\[\]$/\s]|\*\*|\.\w+\.", candidate))),
     ]
 
 
@@ -80,6 +124,43 @@ def generated_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, s
             return draw(full + "+/", pick((32, 40, 43, 64))) + pick(("", "=", "=="))
         return draw(full, int(rng.integers(16, 48)))
 
+    def password() -> str:
+        kind = int(rng.integers(4))
+        if kind == 0:
+            return draw(full + "!@#%^&*-_+?", int(rng.integers(8, 24)))
+        if kind == 1:
+            return pick((str.title, str.lower))(draw("abcdefghijklmnoprstuvwxyz", int(rng.integers(4, 11)))) + draw(string.digits, int(rng.integers(1, 5))) + pick(("", "!", "&", "$", "#", "?", "&3x", "!Pass"))
+        if kind == 2:
+            w = word() + draw(string.digits, int(rng.integers(1, 4)))
+            return pick((w + w, w.title() + pick("!@#%&*") + word(), w + pick("!@#%&*")))
+        w = draw("abcdefghijklmnoprstuvwxyz", int(rng.integers(5, 10)))
+        return w.replace("a", "4").replace("o", "0").replace("e", "3") + draw(string.digits, 1) + pick(("", "&3x", "!", "x"))
+
+    def shown() -> tuple[str, str]:
+        """A secret where its context, not its looks, tells."""
+        kind = int(rng.integers(4))
+        if kind == 0:
+            return password(), pick(("password", "passwd", "pwd", "passphrase", "db_password", "secret", "login")) + pick(("=", ": ", " = ", " =  ", ":"))
+        if kind == 1:
+            return pick((password(), draw(full, int(rng.integers(8, 24))))), f"{pick(('postgres', 'mysql', 'https', 'amqp', 'redis'))}://{pick((word(), draw('aeinorst', 5)))}:"
+        if kind == 2:
+            return draw(string.ascii_letters, int(rng.integers(14, 40))), pick(("authorization: bearer ", "bearer ", "auth token: ", "authorization: basic "))
+        return pick((pick(("AKIA", "ASIA")) + draw(string.ascii_uppercase, 16), pick(("ghp_", "sk-", "glpat-")) + draw(string.ascii_letters, 30))), pick((f"{pick(SECRET_WORDS)}_id=", f"{pick(SECRET_WORDS)}: ", ""))
+
+    def spoken() -> tuple[str, str]:
+        """What follows the name of a secret, or stands in a URL, and is none."""
+        kind = int(rng.integers(5))
+        before = pick(SECRET_WORDS) + pick((": ", "=", " = ", ":"))
+        if kind == 0:
+            return pick((word(), draw("aeinorsthl", int(rng.integers(2, 9))), word().title(), "None", "null", "true", "required", "string", "str", "Bearer")), before
+        if kind == 1:
+            return pick((f"os.environ[{word()}]", f"get_{word()}()", f"self.{word()}.{word()}", f"{word()}.{word()}", f"${{{word().upper()}}}", f"<{word()}>", f"{{{word()}}}", f"{word()}({word()})", f"{word()}_{word()}")), before
+        if kind == 2:
+            return pick(("*", "x", ".", "0", "-")) * int(rng.integers(2, 13)), before
+        if kind == 3:
+            return draw(string.digits, int(rng.integers(1, 5))), before
+        return pick((f"{draw(string.digits, 4)}/{word()}", f"{draw(string.digits, 4)}/{word()}/{word()}")), f"http://{word()}:"
+
     def harmless() -> tuple[str, str]:
         kind = int(rng.integers(9))
         if kind == 0:
@@ -108,11 +189,17 @@ def generated_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, s
             quote = pick(('"', '"', "'", ""))
             before = f"{filler()} {name}{pick((' = ', '=', ': ', ' '))}{quote}" if rng.random() < 0.9 else filler() + " "
             found, label = secret(), 1
+            if rng.random() < 0.4:
+                found, before = shown()
+                before, quote = f"{filler()} {before}", "@" if "://" in before else ""
+                if not quote and before.endswith(("=", "= ", ": ")) and rng.random() < 0.4:
+                    quote = pick("'\"")
+                    before += quote
             if rng.random() < 0.25:
                 found, before = found.upper(), before.upper()
         else:
-            found, before = harmless()
-            before, quote, label = f"{filler()} {before}", '"' if before.endswith('"') else "", 0
+            found, before = harmless() if rng.random() < 0.6 else spoken()
+            before, quote, label = f"{filler()} {before}", '"' if before.endswith('"') else "@" if "http://" in before else "", 0
             if rng.random() < 0.25:
                 found, before = found.upper(), before.upper()
         out.append((found, before[-NEAR:], (quote + pick((" ", "\n", "; ", "### ", "!! ")) + filler())[:NEAR], label))
@@ -190,12 +277,7 @@ def find(texts: list[str | None], forest: Forest, least: float = 0.5) -> list[tu
     """For each text: how many candidates, and (start, end, score) of those that score ``least`` or more."""
     spans, rows, owner = [], [], []
     for i, t in enumerate(texts):
-        for m in CANDIDATE.finditer(t or ""):
-            a, b = m.span()
-            if t[a] in "'\"":
-                a += 1
-            if b - a < 8:
-                continue
+        for a, b in candidates(t or ""):
             spans.append((a, b))
             owner.append(i)
             rows.append(features(t[a:b], t[max(0, a - NEAR) : a], t[b : b + NEAR]))
@@ -204,7 +286,10 @@ def find(texts: list[str | None], forest: Forest, least: float = 0.5) -> list[tu
     for i, (a, b), s in zip(owner, spans, scores):
         counts[i] += 1
         if s >= least:
-            out[i].append((a, b, float(s)))
+            found = out[i]
+            if found and a < found[-1][1]:  # overlapping ones are one secret
+                a, b, s = found[-1][0], max(b, found[-1][1]), max(s, found.pop()[2])
+            found.append((a, b, float(s)))
     return list(zip(counts, out))
 
 
