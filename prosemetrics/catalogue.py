@@ -198,6 +198,44 @@ def kind_counts(spark, sf_dir):
     return corpus.kind_counts(found)
 
 
+# The same over all documents, of any language or none, and all checks of the ruleset; RE2 can't express those, so without SQL.
+#: ``vocabulary`` needs a dictionary that the caller gives.
+_WHOLE = tuple(c.id for c in ruleset("controlled").checks if c.id != "vocabulary")
+
+
+def activity_whole(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return corpus.activity(docs, *_flagged(spark, docs, _WHOLE), ("lang", "source")).select("lang", "source", "check_id", "hits", "files", "words", "documents")
+
+
+def flag_share_whole(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return corpus.activity(docs, *_flagged(spark, docs, _WHOLE)).select("check_id", "hits", "share")
+
+
+def _compared_whole(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    docs = docs.withColumn("control", F.when(F.col("quality") == 1, F.concat(F.lit("c"), F.pmod("doc_id", F.lit(3)).cast("string"))).otherwise("measured"))
+    act = corpus.activity(docs, *_flagged(spark, docs, _WHOLE), ("control",))
+    return corpus.compare(act.filter("control = 'measured'").drop("control"), act.filter("control <> 'measured'"), ("control",))
+
+
+def compare_quality_whole(spark, sf_dir):
+    return _compared_whole(spark, sf_dir).select("check_id", "control", "per_1k", "control_per_1k", "verdict")
+
+
+def consensus_quality_whole(spark, sf_dir):
+    return corpus.consensus(_compared_whole(spark, sf_dir))
+
+
+def calibration_whole(spark, sf_dir):
+    return corpus.calibrate(_compared_whole(spark, sf_dir), 1.5).select("check_id", "control_per_1k", "measured_per_1k", "target_per_1k", "skipped")
+
+
+def kind_counts_whole(spark, sf_dir):
+    return corpus.kind_counts(_flagged(spark, _table(spark, sf_dir, "documents"), _WHOLE)[0])
+
+
 def manifest(spark, sf_dir):
     return corpus.manifest(_table(spark, sf_dir, "documents"))
 
@@ -478,7 +516,7 @@ def import_rules(spark, sf_dir):
 
 _IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, unnest(regexp_extract_all(s, '(?i)\\b(?:robust|late)\\b')) AS label FROM sents) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
 
-_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, manifest, sentence_split, word_counts, text_shape, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
+_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
 
 
 def queries():

@@ -23,7 +23,10 @@ def activity(docs: DataFrame, merged: DataFrame, checks: DataFrame, by: tuple[st
     hits = hits.join(docs.select(key, *by), key) if by else hits
     per = hits.groupBy(*by, "check_id").agg(F.count("*").alias("hits"), F.count_distinct(key).alias("files"))
     grid = totals.crossJoin(F.broadcast(checks.select("check_id", "kind")))  # corpora by declared checks
-    out = grid.join(per, [*by, "check_id"], "left").fillna(0, ["hits", "files"])
+    same = F.col("g.check_id") == F.col("p.check_id")
+    for c in by:  # a null is a corpus of its own
+        same &= F.col(f"g.`{c}`").eqNullSafe(F.col(f"p.`{c}`"))
+    out = grid.alias("g").join(per.alias("p"), same, "left").select("g.*", "p.hits", "p.files").fillna(0, ["hits", "files"])
     rate = F.coalesce(F.round(F.try_divide(F.col("hits") * 1000.0, F.col("words")), 2), F.lit(0.0))
     share = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.sum("hits").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))), F.lit(0.0))
     return out.select(*by, "check_id", "kind", "hits", "files", "words", "documents", rate.alias("per_1k"), share.alias("share"))
