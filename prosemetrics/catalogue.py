@@ -447,6 +447,21 @@ def leaderboard(spark, sf_dir):
 _BOARD_SQL = f"{_ARMS}, g AS (SELECT arm, count(*) AS prompts, sum(score)::DOUBLE AS total, avg(score) AS mean FROM arms GROUP BY arm) SELECT *, row_number() OVER (ORDER BY total, arm)::INT AS rank FROM g"
 
 
+def _arms_whole(spark, sf_dir):
+    """Conversations as arms: the role is the arm, words of all its turns the score; one row a conversation and role."""
+    words = structure.blank_words(F.coalesce("text", F.lit(""))).cast("long")
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.sum(words).alias("score"))
+    return c.select(F.lit("r").alias("run"), F.col("conv_id").alias("prompt_id"), F.col("role").alias("arm"), "score")
+
+
+def sign_test_whole(spark, sf_dir):
+    return experiment.sign_test(experiment.paired(_arms_whole(spark, sf_dir), "user", "assistant", "score")).select("run", "wins", "losses", "ties", F.round("p", 9).alias("p"))
+
+
+def leaderboard_whole(spark, sf_dir):
+    return experiment.leaderboard(_arms_whole(spark, sf_dir), "score")
+
+
 def drift_by_turn(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").select(F.col("role").alias("arm"), "turn", structure.blank_words(F.col("text")).alias("total"))
     return experiment.drift(c)
@@ -456,7 +471,7 @@ _DRIFT_SQL = "WITH g AS (SELECT role AS arm, turn, sum(len(regexp_extract_all(te
 
 
 def bootstrap_ci(spark, sf_dir):
-    return experiment.bootstrap(experiment.paired(_arms(spark, sf_dir), "user", "assistant", "score"), draws=1000)
+    return experiment.bootstrap(experiment.paired(_arms_whole(spark, sf_dir), "user", "assistant", "score"))
 
 
 def replay_join(spark, sf_dir):
@@ -516,7 +531,7 @@ def import_rules(spark, sf_dir):
 
 _IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, unnest(regexp_extract_all(s, '(?i)\\b(?:robust|late)\\b')) AS label FROM sents) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
 
-_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
+_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
 
 
 def queries():

@@ -1,11 +1,13 @@
 """Queries over whole tables: all languages, all checks, all turns; held against brute force on small fixtures."""
 
+import random
 import re
 
 import pytest
 
 from prosemetrics import catalogue
 from prosemetrics.checks import controlled
+from prosemetrics.operators import experiment
 
 TEXTS = [
     (0, "He was running. They were going home.", "en", "a"),
@@ -14,6 +16,7 @@ TEXTS = [
     (3, None, "de", "b"),
     (4, "It has been done. He has been jumping.", "de", None),
 ]
+TURNS = [(i, t, ("system", "user", "assistant")[(t + i % 2) % 3], " ".join(["w"] * ((i * 7 + t * 5) % 11)) if (i + t) % 6 else None) for i in range(12) for t in range(7)]
 CHECKS = {c.id for c in controlled.RULESET.checks} - {"vocabulary"}
 
 
@@ -22,6 +25,7 @@ def sf(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(TEXTS, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, int(i in (1, 2))) for i, *_ in TEXTS], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return at
 
 
@@ -53,3 +57,24 @@ def test_comparison_is_of_all_labelled_documents(spark, sf):
         assert (got["ing_form", control]["per_1k"], got["ing_form", control]["control_per_1k"]) == (rate((0, 3, 4)), rate((i,)))
     assert {r["check_id"] for r in catalogue.queries()["consensus_quality_whole"](spark, sf).collect()} == CHECKS
     assert catalogue.queries()["calibration_whole"](spark, sf).columns == ["check_id", "control_per_1k", "measured_per_1k", "target_per_1k", "skipped"]
+
+
+def test_arms_are_scored_over_all_turns(spark, sf):
+    score = {}
+    for i, _, role, text in TURNS:
+        score[i, role] = score.get((i, role), 0) + len((text or "").split())
+    pairs = [(score[i, "user"], score[i, "assistant"]) for i in range(12)]
+    sign = catalogue.queries()["sign_test_whole"](spark, sf).collect()[0]
+    assert (sign["wins"], sign["losses"], sign["ties"]) == (sum(a < b for a, b in pairs), sum(a > b for a, b in pairs), sum(a == b for a, b in pairs))
+    board = {r["arm"]: (r["prompts"], r["total"]) for r in catalogue.queries()["leaderboard_whole"](spark, sf).collect()}
+    assert board == {role: (12, float(sum(v for (_, x), v in score.items() if x == role))) for role in ("system", "user", "assistant")}
+    diffs, rng = [float(b - a) for a, b in pairs], random.Random(0)
+    means = sorted(sum(diffs[rng.randrange(12)] for _ in range(12)) / 12 for _ in range(10_000))
+    r = catalogue.queries()["bootstrap_ci"](spark, sf).collect()[0]
+    assert (r["mean"], r["low"], r["high"], r["favour"]) == (sum(diffs) / 12, means[250], means[9749], sum(m > 0 for m in means) / 10_000)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 50, 700])
+def test_bulk_draws_are_those_of_the_generator(n):
+    diffs, rng = [x / 7 for x in range(n)], random.Random(5)
+    assert list(experiment._resampled(diffs, 40, 5)) == [sum(diffs[rng.randrange(n)] for _ in range(n)) / n for _ in range(40)]
