@@ -59,9 +59,15 @@ KNOWN = (
 )
 
 
+# A line that begins with "copyright" is a notice (of a year, a mark, a name) unless one of these words follows, perhaps
+# on the next line: then it is the text of a licence, wrapped there.
+GOES_ON = "notices?|holders?|owners?|licen[cs]es?|licensors?|laws?|statements?|interests?|rights?|act|infringement|disclaimers?|protect\\w*|treat\\w*|and|or|in|of|is|to|that|this|on"
+NOTICE = rf"(?m)^[^a-z0-9\n]*(copyright\b(?![^a-z0-9\n]*\n?[^a-z0-9\n]*(?:{GOES_ON})\b)|\(c\)|©|all rights reserved)[^\n]*$"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, copyright lines dropped, punctuation and white space to single blanks, spellings made equal."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    """Lower case, copyright notices dropped, punctuation and white space to single blanks, spellings made equal."""
+    out = F.regexp_replace(F.lower(text), NOTICE, " ")
     out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}]+", " ")
     return spelled(F.concat(F.lit(" "), F.trim(out), F.lit(" ")))
 

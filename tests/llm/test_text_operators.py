@@ -416,3 +416,15 @@ def test_secrets_of_every_shape_are_candidates_and_found(text, secret):
 def test_values_behind_names_that_are_no_secrets_are_rejected():
     texts = ["password: required", "token = os.environ", "the key: start", "Authorization : Bearer", "http://host:8080/a@b"]
     assert [(n > 0, found) for n, found in secrets.find(texts, secrets.default_forest())] == [(True, [])] * len(texts)
+
+
+def test_wrapped_licences_are_known_and_notices_dropped(spark):
+    import textwrap
+
+    whole = {n: t for n, t in reversed(licenses.KNOWN) if "\n" in t}
+    heads = ["Copyright (c) 2021 A. Person", "Copyright 2020-2021 A. Person", "Copyright © A. Person", "Copyright by a person", "Copyright A. Person", "copyright a. person", "Copyright The Persons", "Copyright", "(c) 2020 someone", "COPYRIGHT <YEAR> <HOLDER>", "Copyright [yyyy] [name]", "All rights reserved."]
+    rows = [(n, "\n".join(x for p in t.split("\n") for x in textwrap.wrap(p, w, break_long_words=False))) for n, t in whole.items() for w in range(12, 90)]
+    assert any(re.search("(?m)^copyright (notice|holder)", t, re.I) for _, t in rows)
+    rows += [(n, f"{h}\n\n{t}") for n, t in whole.items() for h in heads]
+    got = licenses.license_scan(spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "doc_id long, name string, text string").coalesce(1)).collect()
+    assert [r["text_license"] for r in sorted(got, key=lambda r: r["doc_id"])] == [n for n, _ in rows]
