@@ -38,6 +38,16 @@ def check_query(spark, sf_dir, rules: str, check: str):
     return found.groupBy("doc_id", F.coalesce("label", F.lit("")).alias("label")).agg(F.sum(F.coalesce("occurrences", F.lit(1))).cast("long").alias("hits"))
 
 
+#: Checks that are not silent on documents.
+_HEARD = (("controlled", "ing_form"), ("controlled", "inclusive_language"), ("controlled", "passive"), ("controlled", "progressive"), ("controlled", "trailing_condition"), ("prose", "bold_density"))
+
+
+def check_documents(spark, sf_dir, rules: str, check: str):
+    """As ``check_query``, on all documents."""
+    found = lint.flags(_table(spark, sf_dir, "documents"), rules, disabled=_only(rules, [check]))
+    return found.groupBy("doc_id", F.coalesce("label", F.lit("")).alias("label")).agg(F.sum(F.coalesce("occurrences", F.lit(1))).cast("long").alias("hits"))
+
+
 def _dictionary(spark):
     rows = [("it", "approved", None), ("is", "approved", None), ("late", "approved", None), ("use", "approved", None), ("be", "approved", None), ("the", "approved", None), ("stop", "approved", None), ("utilize", "unapproved", "use"), ("sell", "unapproved", "give"), ("fail", "unapproved", None), ("banned", "unapproved", "stopped")]
     return spark.createDataFrame(rows, "word string, status string, replacement string")
@@ -95,6 +105,11 @@ _SHAPE_SQL = f"""{O.SENTS}, worded AS (SELECT doc_id, i, regexp_extract_all(lowe
     SELECT t.doc_id, len(t.w)::BIGINT AS words, coalesce(s.sentences, 0)::INT AS sentences, coalesce(mean_sentence_words, 0) AS mean_sentence_words, coalesce(sentence_length_stdev, 0) AS sentence_length_stdev, CASE WHEN len(t.w) > 0 THEN len(list_distinct(t.w))::DOUBLE / len(t.w) ELSE 0 END AS type_token_ratio FROM totals t LEFT JOIN shape s USING (doc_id)"""
 
 
+def text_shape_documents(spark, sf_dir):
+    """Shape of all documents; those without text have zeros."""
+    return experiment.text_shape(_table(spark, sf_dir, "documents"), rounded=False)
+
+
 def blocks(spark, sf_dir):
     """Blocks of each type of the derived documents, with their characters."""
     b = structure.blocks(derived(spark, sf_dir, "parts"))
@@ -281,6 +296,11 @@ _STATUS_SQL = f"""{_MERGED_SQL}, counts AS (SELECT doc_id, count(*) FILTER (buck
     SELECT d.doc_id, CASE WHEN coalesce(semantic, 0) > 0 THEN 'semantic_flags' WHEN coalesce(mechanical, 0) > 0 THEN 'mechanical_violations' ELSE 'clean' END AS status, coalesce(semantic, 0)::BIGINT AS semantic, coalesce(mechanical, 0)::BIGINT AS mechanical, coalesce(would_block, false) AS would_block FROM docs d LEFT JOIN counts USING (doc_id) LEFT JOIN blk USING (doc_id)"""
 
 
+def lint_status_documents(spark, sf_dir):
+    """Verdicts of all prose checks on all documents."""
+    return lint.lint(_table(spark, sf_dir, "documents"), "prose")
+
+
 def ratchet(spark, sf_dir):
     """The derived text of a part against that of the part before it."""
     docs = derived(spark, sf_dir, "sentences")
@@ -531,14 +551,14 @@ def import_rules(spark, sf_dir):
 
 _IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, unnest(regexp_extract_all(s, '(?i)\\b(?:robust|late)\\b')) AS label FROM sents) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
 
-_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
+_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, lint_status_documents, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
 
 
 def queries():
     out = dict(_QUERIES)
     for r in rulesets():
         out.update({f"check_{c.id}": partial(check_query, rules=r, check=c.id) for c in ruleset(r).checks if c.id != "vocabulary"})
-    return out
+    return out | {f"check_{c}_documents": partial(check_documents, rules=r, check=c) for r, c in _HEARD}
 
 
 def oracle_sql():

@@ -14,8 +14,11 @@ TEXTS = [
     (1, "Le garçon was running vite. Running encore.", "fr", "a"),
     (2, "Das was swimming heute.", None, "b"),
     (3, None, "de", "b"),
+    (5, "**a** un **b** deux **c** trois **d** quatre **e** cinq " * 3, "fr", "a"),
+    (6, "Ein Satz mit ünf Wörtern. " * 4000 + "robust Needless to say, a robust part.", None, None),
     (4, "It has been done. He has been jumping.", "de", None),
 ]
+BY = {t[0]: t[1] for t in TEXTS}
 TURNS = [(i, t, ("system", "user", "assistant")[(t + i % 2) % 3], " ".join(["w"] * ((i * 7 + t * 5) % 11)) if (i + t) % 6 else None) for i in range(12) for t in range(7)]
 CHECKS = {c.id for c in controlled.RULESET.checks} - {"vocabulary"}
 
@@ -36,9 +39,9 @@ def ing(text):
 def test_activity_over_all_documents_and_checks(spark, sf):
     got = {(r["lang"], r["source"], r["check_id"]): r for r in catalogue.queries()["activity_whole"](spark, sf).collect()}
     assert {k[:2] for k in got} == {t[2:] for t in TEXTS} and {k[2] for k in got} == CHECKS
-    for _, text, *corpus in TEXTS:
-        r = got[(*corpus, "ing_form")]
-        assert (r["hits"], r["words"], r["documents"]) == (ing(text), len((text or "").split()), 1)
+    for _, _, *corpus in TEXTS:
+        r, same = got[(*corpus, "ing_form")], [t[1] for t in TEXTS if t[2:] == (*corpus,)]
+        assert (r["hits"], r["words"], r["documents"]) == (sum(map(ing, same)), sum(len((t or "").split()) for t in same), len(same))
 
 
 def test_shares_and_kinds_are_of_all_checks(spark, sf):
@@ -52,9 +55,9 @@ def test_shares_and_kinds_are_of_all_checks(spark, sf):
 def test_comparison_is_of_all_labelled_documents(spark, sf):
     got = {(r["check_id"], r["control"]): r for r in catalogue.queries()["compare_quality_whole"](spark, sf).collect()}
     assert {k[0] for k in got} == CHECKS and {k[1] for k in got} == {"c1", "c2"}
-    rate = lambda ids: round(1000 * sum(ing(TEXTS[i][1]) for i in ids) / sum(len((TEXTS[i][1] or "").split()) for i in ids), 2)
+    rate = lambda ids: round(1000 * sum(ing(BY[i]) for i in ids) / sum(len((BY[i] or "").split()) for i in ids), 2)
     for control, i in (("c1", 1), ("c2", 2)):
-        assert (got["ing_form", control]["per_1k"], got["ing_form", control]["control_per_1k"]) == (rate((0, 3, 4)), rate((i,)))
+        assert (got["ing_form", control]["per_1k"], got["ing_form", control]["control_per_1k"]) == (rate([t[0] for t in TEXTS if t[0] not in (1, 2)]), rate((i,)))
     assert {r["check_id"] for r in catalogue.queries()["consensus_quality_whole"](spark, sf).collect()} == CHECKS
     assert catalogue.queries()["calibration_whole"](spark, sf).columns == ["check_id", "control_per_1k", "measured_per_1k", "target_per_1k", "skipped"]
 
@@ -78,3 +81,17 @@ def test_arms_are_scored_over_all_turns(spark, sf):
 def test_bulk_draws_are_those_of_the_generator(n):
     diffs, rng = [x / 7 for x in range(n)], random.Random(5)
     assert list(experiment._resampled(diffs, 40, 5)) == [sum(diffs[rng.randrange(n)] for _ in range(n)) / n for _ in range(40)]
+
+
+def test_shape_verdicts_and_checks_reach_all_documents(spark, sf):
+    shape = {r["doc_id"]: r for r in catalogue.queries()["text_shape_documents"](spark, sf).collect()}
+    assert set(shape) == set(BY) and (shape[3]["words"], shape[3]["sentences"]) == (0, 0)
+    assert shape[6]["sentences"] == 4000 and all(r["words"] == len(re.findall(r"[a-z][a-z'-]*", (BY[i] or "").lower())) for i, r in shape.items())
+    status = {r["doc_id"]: r["status"] for r in catalogue.queries()["lint_status_documents"](spark, sf).collect()}
+    assert set(status) == set(BY) and status[3] == "clean" and status[6] == "semantic_flags"
+    hits = {}
+    for r in catalogue.queries()["check_ing_form_documents"](spark, sf).collect():
+        hits[r["doc_id"]] = hits.get(r["doc_id"], 0) + r["hits"]
+    assert hits == {i: len(re.findall(r"\w+ing\b", t)) for i, t in BY.items() if t and re.search(r"\w+ing\b", t)}
+    assert {r["doc_id"] for r in catalogue.queries()["check_bold_density_documents"](spark, sf).collect()} == {5}
+    assert {f"check_{c}_documents" for c in catalogue.FLAGSHIP} <= set(catalogue.queries())
