@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, written
 
 #: Bounds of the fit: labelled documents that are read for it, known words and n-grams that are kept.
 SAMPLE, WORDS, GRAMS = 4_000, 60_000, 60_000
+#: Into how many values ids are hashed for the sample.
+SPAN = 1 << 40
 LONGEST = 5
 BACKOFF = float(np.log(0.4))
 LETTERS = r"[^\p{L}]+"
@@ -32,15 +34,20 @@ def _words(text) -> "F.Column":
 def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> dict:
     """Counts over a bounded sample (by hash of the id) of the rows of ``docs`` with a language and a text.
 
+    A language has its share of ``sample``, or an equal part of it if that is more, and
+    one document at least: no more than twice ``sample`` documents (or one a language).
     Returns ``langs`` and, for words and n-grams, their rows of log frequencies. Its size
     is bounded by ``words`` and ``grams`` times the number of languages.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    n = rows.select("lang").count()
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(SPAN)))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("first")))  # written, so the plan knows its size: texts are not shuffled for it
+    n, langs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not n:
         return {"langs": [], "words": {}, "grams": {}, "unseen": np.zeros(0)}
-    share = min(1.0, sample / n)
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(sample / n), F.lit(sample / langs) / F.col("n")))
+    most = sizes.select("lang", F.greatest((share * SPAN).cast("long") - 1, F.col("first")).alias("most"))
+    rows = rows.join(most, "lang").filter("at <= most").select("lang", "text")
     counts = rows.select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     counts = counts.repartition(F.col("word")).persist()
     try:

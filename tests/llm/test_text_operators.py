@@ -428,3 +428,11 @@ def test_wrapped_licences_are_known_and_notices_dropped(spark):
     rows += [(n, f"{h}\n\n{t}") for n, t in whole.items() for h in heads]
     got = licenses.license_scan(spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "doc_id long, name string, text string").coalesce(1)).collect()
     assert [r["text_license"] for r in sorted(got, key=lambda r: r["doc_id"])] == [n for n, _ in rows]
+
+
+def test_rare_languages_are_learned_from_a_sample(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(3000, "talo ja puutarha", "fi"), (3001, "ház és kert", "hu"), (3002, "ház és kert", "hu")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30)
+    assert model["langs"] == ["en", "fi", "hu"]
+    got = langid.predict(spark.createDataFrame([(1, "puutarha ja talo"), (2, "kert és ház")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "fi", 2: "hu"}
