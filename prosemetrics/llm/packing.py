@@ -1,18 +1,22 @@
-"""Best-fit packing of tokenised documents into sequences.
-
-Documents become pieces of at most ``capacity`` tokens. Lengths are whole numbers up
-to the capacity, so pieces range-sorted by length are runs: one run a length, however
-many rows there are. Gaps are runs likewise. A sweep takes the runs from the longest
-down; each finds its successor (the smallest run of gaps that is large enough), and
-the pieces of a run and the gaps of a run are matched by their rank. What stays of a
-gap becomes a gap of the next size down, and the sweep goes on. Only the runs (at most
-``capacity`` of each kind) are on the driver; ranks of pieces within their length are
-counted where the rows are.
+"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
+
+Documents become pieces of at most ``capacity`` tokens. Pieces of more than half of it
+open a sequence each, since no two of them share one. Then come rounds. Pieces without a
+place and the gaps of sequences are range-sorted by size, ties by id, so that a common
+size spreads over many ranges. Read in that order, a gap takes the nearest piece before it
+that is still free: the largest that fits; a piece goes to its successor among the gaps,
+and where several want the same one their rank decides, as brackets match. Every task
+sweeps its own range; what stays open there carries a level, the sum of pieces minus gaps
+of the ranges before, and matches by level across ranges. Gaps are updated and the next
+round begins. If no piece fits any gap, as many sequences are opened as the rest of the
+pieces must have.
+
+A gap that could hold several of the largest free pieces offers as many slots, so rounds
+do not grow with the number of pieces a sequence holds. The driver sees counts only.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import itertools
 import os
@@ -23,16 +27,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import random_key, written
+from .common import remove, written
 from .hashing import slices
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-#: Pieces that share a range of keys.
+#: Pieces and gaps that a task sweeps.
 RANGE = 200_000
 
 
@@ -85,7 +90,7 @@ class WordEncoder:
     library unchanged, so ids always equal its own.
     """
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 500_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -144,29 +149,28 @@ class WordEncoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text (null: empty)."""
         odd = {i for i, t in enumerate(texts) if t and any(c in t for c in _ODD)}
-        split = [t.split() if t and i not in odd else [] for i, t in enumerate(texts)]
-        every = list(itertools.chain.from_iterable(split))
+        split = pc.utf8_split_whitespace(pa.array([t if t and i not in odd else "" for i, t in enumerate(texts)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()  # each word of the batch is looked up once
+        every, places = coded.dictionary.to_pylist(), np.asarray(coded.indices)
         numbers = np.fromiter(map(self.words.get, every, itertools.repeat(-1)), np.int64, len(every))
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            new = list(dict.fromkeys([every[i] for i in missing]))
-            if len(self.words) + len(new) > self.room and self.words:
+            if len(self.words) + len(missing) > self.room and self.words:
                 self.again[numbers[numbers >= 0]] = True
                 self._forget()
                 numbers = np.fromiter(map(self.words.get, every, itertools.repeat(-1)), np.int64, len(every))
                 missing = np.flatnonzero(numbers < 0)
-                new = list(dict.fromkeys([every[i] for i in missing]))
-            self.again = Pool._grown(self.again, len(self.words) + len(new))
+            self.again = Pool._grown(self.again, len(self.words) + len(missing))
             self.again[numbers[numbers >= 0]] = True
-            self._learn(new)
+            self._learn([every[i] for i in missing])
             numbers[missing] = [self.words[every[i]] for i in missing]
-        flat, sizes = self.word_ids.take(numbers)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
+        flat, sizes = self.word_ids.take(numbers[places])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(split.offsets) - split.offsets[0].as_py()]
         return [np.array(self._whole(texts[i]), "<u4") if i in odd else flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
 
 
 #: Bytes of text that are encoded at once.
-SLICE = 1_500_000
+SLICE = 3_000_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -198,81 +202,111 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best fit over runs: (length, first rank, ranks, first sequence, offset), for every piece.
+def sweep(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pieces and of the gaps that take them, among rows in order of size; gap: whether a row is one.
 
-    ``counts``: pieces by length. Pieces of ranks first..first+ranks-1 go, one each, at
-    ``offset`` of as many sequences in a row. A run of gaps is (gap, first sequence,
-    sequences); the longest pieces choose first, each run of pieces takes the smallest
-    gap that is large enough, and new sequences are opened only if there is none.
+    A gap takes the nearest free piece before it. The rows left over are gaps first, then pieces.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # of the gaps, sorted
-    opened, out = 0, []
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                bisect.insort(sizes, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k == len(sizes):
-                fit = min(left, -(-left // (capacity // length)))
-                first, n, gap = opened, fit, capacity
-                opened += fit
-            else:
-                gap = sizes[k]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                    sizes.pop(k)
-            take = min(left, n)
-            out.append((length, rank, take, first, capacity - gap))
-            give(gap, first + take, n - take)
-            give(gap - length, first, take)
-            rank, left = rank + take, left - take
-    return out
+    depth = np.cumsum(np.where(gap, -1, 1))
+    level = depth + gap
+    order = np.argsort(level, kind="stable")
+    here = level[order]
+    met = np.flatnonzero((here[1:] == here[:-1]) & ~gap[order[:-1]] & gap[order[1:]])
+    return order[met], order[met + 1]
+
+
+_SWEPT = "piece long, length long, seq long, slot int, gap long, part int, nth long"
+
+
+def _range_sweep(batches):
+    """The rows of one range, sorted: what matches inside it, then what stays open (piece or seq is null) with its rank."""
+    tables = list(batches)
+    if not tables:
+        return
+    t = pa.Table.from_batches(tables).combine_chunks()
+    gap = np.asarray(t["is_gap"])
+    pieces, gaps = sweep(gap)
+    rest = np.ones(len(gap), bool)
+    rest[pieces] = rest[gaps] = False
+    left_gaps, left = np.flatnonzero(rest & gap), np.flatnonzero(rest & ~gap)
+    ids, size, slot, room = t["id"], t["size"], t["slot"], t["gap"]
+    part = TaskContext.get().partitionId()
+    none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+    yield from pa.table({"piece": ids.take(pieces), "length": size.take(pieces), "seq": ids.take(gaps), "slot": slot.take(gaps), "gap": room.take(gaps), "part": none(len(pieces), pa.int32()), "nth": none(len(pieces))}).to_batches(50_000)
+    for at, is_gap in ((left_gaps, True), (left, False)):
+        n, mine = len(at), ids.take(at)
+        yield from pa.table(
+            {"piece": none(n) if is_gap else mine, "length": none(n) if is_gap else size.take(at), "seq": mine if is_gap else none(n), "slot": slot.take(at) if is_gap else none(n, pa.int32()),
+             "gap": room.take(at) if is_gap else none(n), "part": pa.array(np.full(n, part, np.int32)), "nth": pa.array(np.arange(n))}
+        ).to_batches(50_000)
+
+
+def _across(swept: DataFrame) -> DataFrame:
+    """What stays open in the ranges, matched across them: piece, length, seq, slot, gap; seq is null if the piece stays free."""
+    open_ = swept.filter("part is not null")
+    per = open_.groupBy("part").agg(F.count("piece").alias("pieces"), F.count("seq").alias("gaps"))
+    before = F.coalesce(F.sum(F.col("pieces") - F.col("gaps")).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = written(per.select("part", "gaps", before.alias("before")))  # one row a range
+    level = F.when(F.col("piece").isNull(), F.col("before") - F.col("nth")).otherwise(F.col("before") - F.col("gaps") + F.col("nth") + 1)
+    leveled = open_.join(F.broadcast(per), "part").withColumn("level", level)
+    ahead = Window.partitionBy("level").orderBy("part", F.col("piece").isNotNull())  # two rows a range at most
+    met = lambda c: F.lead(c).over(ahead).alias(c)
+    # A gap is ahead of a piece, or nothing is: two pieces of a level have a gap between them.
+    return leveled.select("piece", "length", met("seq"), met("slot"), met("gap")).filter("piece is not null")
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``table`` (pieces, written) with sequence_id and offset.
+    """``table`` (pieces, written, with a number of their own in ``row``) with sequence_id and offset, without ``row``.
 
-    Rank of a piece within its length: the pieces of that length in earlier key ranges,
-    then its place in its own range. Rows that are equal in every column are ranked
-    among themselves in any order. Empty table: no rows.
+    Empty table: no rows.
     """
-    counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    ranges = max(1, -(-sum(counts.values()) // RANGE))
-    keyed = table.withColumn("range", F.shiftright(F.shiftright(random_key("doc_id"), 29) * F.lit(ranges), 31))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    earlier = keyed.groupBy("length", "range").agg(F.count("*").alias("n")).select("length", "range", F.coalesce(before, F.lit(0)).alias("before"))
-    by_length: dict[int, list] = {}
-    for length, rank, n, first, offset in sweep(counts, capacity):
-        by_length.setdefault(length, []).append((rank, first, offset))
-    runs = [(k, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in by_length.items()]
-    placed = table.sparkSession.createDataFrame(runs, "length long, ranks array<long>, firsts array<long>, offsets array<long>")
-    inside = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("rank", F.row_number().over(inside).cast("long")).join(earlier, ["length", "range"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    joined = ranked.join(F.broadcast(placed), "length")  # one row a length
-    at = _last_not_above(F.col("ranks"), F.col("rank"))
-    joined = joined.withColumn("run", at)
-    pick = lambda c: F.get(F.col(c), F.col("run"))
-    return joined.select(*table.columns, (pick("firsts") + F.col("rank") - pick("ranks")).alias("sequence_id"), pick("offsets").alias("offset"))
-
-
-def _last_not_above(ranks, rank):
-    return (F.size(F.filter(ranks, lambda x: x <= rank)) - 1).cast("int")
+    spark = table.sparkSession
+    large = F.col("length") * 2 > capacity
+    items = table.select(F.col("row").alias("piece"), "length")
+    done = [items.filter(large).select("piece", F.col("piece").alias("seq"), F.lit(0).cast("long").alias("offset"))]
+    gaps = items.filter(large & (F.col("length") < capacity)).select(F.col("piece").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap"))
+    free, opened, old = items.filter(~large), 0, []
+    while True:
+        n, total, least, most = free.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length")).first()
+        if not n:
+            break
+        gaps = gaps.filter(F.col("gap") >= least)
+        n_gaps, widest = gaps.agg(F.count("*"), F.max("gap")).first()
+        if not n_gaps:
+            n_gaps = -(-total // capacity)
+            gaps = spark.range(opened, opened + n_gaps).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            opened += n_gaps
+        each = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / most), F.lit(-(-2 * n // n_gaps)))).cast("int")
+        slots = gaps.withColumn("each", each).select("seq", "gap", F.floor(F.col("gap") / F.col("each")).alias("size"), F.explode(F.sequence(F.lit(0), F.col("each") - 1)).alias("slot"))
+        rows = free.select(F.col("length").alias("size"), F.lit(False).alias("is_gap"), F.col("piece").alias("id"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("gap"))
+        rows = rows.unionByName(slots.select("size", F.lit(True).alias("is_gap"), F.col("seq").alias("id"), "slot", "gap"))
+        ranges = -(-(n + min(2 * n + n_gaps, n_gaps * capacity)) // RANGE)
+        order = ("size", "is_gap", "id", "slot")
+        ranged = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+        swept = written(ranged.sortWithinPartitions(*order).mapInArrow(_range_sweep, _SWEPT))
+        rest = written(_across(swept)) if ranges > 1 else swept.filter("part is not null and piece is not null").drop("part", "nth")
+        fitted = swept.filter("part is null").drop("part", "nth").unionByName(rest.filter("seq is not null"))
+        sums = Window.partitionBy("seq")
+        upto = sums.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        # The sequence's own row comes first and keeps what is left of its gap.
+        both = fitted.unionByName(gaps.select(F.lit(None).cast("long").alias("piece"), F.lit(0).cast("long").alias("length"), "seq", F.lit(-1).alias("slot"), "gap"))
+        updated = written(both.select("piece", "seq", (F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(upto), F.lit(0))).alias("offset"), (F.col("gap") - F.sum("length").over(sums)).alias("gap")))
+        done.append(updated.filter("piece is not null").select("piece", "seq", "offset"))
+        gaps = updated.filter("piece is null").select("seq", "gap")
+        free = rest.filter("seq is null").select("piece", "length")
+        old.append(swept)
+    places = functools.reduce(DataFrame.unionByName, done).select(F.col("piece").alias("row"), F.col("seq").alias("sequence_id"), "offset")
+    placed = written(table.join(places, "row").drop("row"))
+    for t in old:
+        remove(t)
+    return placed
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text counts as empty (one piece, the end id alone). Repeated rows are packed
-    each for itself. Empty table: no rows.
+    each for itself; null ids stay null. Empty table: no rows. Columns of ``docs`` other
+    than doc_id and text do not matter.
     """
-    return pack(written(pieces(docs, path, capacity)), capacity)
+    return pack(written(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id())), capacity)

@@ -287,20 +287,55 @@ def test_packing_round_trip(docs, rows):
     assert len(places) <= -(-sum(r["length"] for r in got) // 256) + 2
 
 
-def test_sweep_is_best_fit_decreasing():
+def test_sweep_gives_a_gap_the_largest_free_piece_that_fits():
     rng = random.Random(3)
-    lengths = [rng.randint(1, 50) for _ in range(400)]
-    runs = packing.sweep(Counter(lengths), 50)
-    assert sum(n for _, _, n, _, _ in runs) == 400
-    used = max(first + n for _, _, n, first, _ in runs)
+    for _ in range(200):
+        rows = sorted((rng.randint(1, 12), rng.random() < 0.5) for _ in range(rng.randint(0, 40)))
+        waiting, want = [], set()
+        for i, (_, is_gap) in enumerate(rows):
+            if not is_gap:
+                waiting.append(i)
+            elif waiting:
+                want.add((waiting.pop(), i))
+        got = packing.sweep(np.array([g for _, g in rows], bool))
+        assert set(zip(*(x.tolist() for x in got))) == want
+
+
+def best_fit(lengths, capacity):
     bins = []
     for x in sorted(lengths, reverse=True):
         fit = min((b for b in range(len(bins)) if bins[b] >= x), key=lambda b: bins[b], default=None)
         if fit is None:
-            bins.append(50)
+            bins.append(capacity)
             fit = len(bins) - 1
         bins[fit] -= x
-    assert used <= len(bins) + 1
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed, hot, reach", [(1, 0, 50), (2, 150, 50), (3, 300, 20)])
+def test_rounds_pack_alike_in_one_range_and_many_and_as_well_as_best_fit(spark, monkeypatch, seed, hot, reach):
+    rng = random.Random(seed)
+    lengths = [7] * hot + [rng.randint(1, reach) for _ in range(400 - hot)]
+    table = spark.createDataFrame([(i, i, n) for i, n in enumerate(lengths)], "row long, doc_id long, length long").repartition(3)
+    out = []
+    for size in (10**6, 40):
+        monkeypatch.setattr(packing, "RANGE", size)
+        rows = packing.pack(table, 50).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+        by = defaultdict(list)
+        for r in rows:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for p in by.values():
+            assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 50
+        out.append((len(by), sorted((r["doc_id"], r["sequence_id"], r["offset"]) for r in rows)))
+    assert out[0] == out[1] and out[0][0] <= best_fit(lengths, 50) + 2
+
+
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 6), (None, None, 7), (2, "", 8)], "doc_id long, text string, row long")
+    got = packing.packed(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["piece"], r["start"]) for r in got) == [(0, 0, 0), (1, 0, 0), (1, 0, 0), (2, 0, 0)]
+    assert len({r["sequence_id"] for r in got}) == 1 and len({r["offset"] for r in got}) == 4
 
 
 def test_word_encoder_equals_the_library():
