@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .licenses import EQUAL, KNOWN, LINE_REACH
+from .licenses import DIGESTS, EQUAL, KNOWN
 from .mixing import EPOCHS, SHARE, WEIGHTS
-from .quality_rules import REACH, SPREADS
+from .quality_rules import MEASURES, REACH, SIGMAS
 
 _WORD = r"[^ \t\n\x0b\f\r]+"
 _LINE = r"[^ \t\n\x0b\f\r]"
@@ -39,14 +39,14 @@ def mixing() -> str:
 
 def quality_rules() -> str:
     inside, fences = [], []
-    for m, (down, up) in SPREADS.items():
+    for m, (count, units, both) in MEASURES.items():
         q = lambda p, m=m: f"quantile_disc({m}, {p})"
-        iqr = f"({q(0.75)} - {q(0.25)})"
-        fences.append(f"{q(0.75)} + greatest({REACH} * {iqr}, {up}) AS most_{m}")
-        inside.append(f"coalesce({m} <= most_{m}, true)")
-        if down:
-            fences.append(f"{q(0.25)} - greatest({REACH} * {iqr}, {down}) AS least_{m}")
-            inside.append(f"coalesce({m} >= least_{m}, true)")
+        reach = f"{REACH}::DOUBLE * ({q(0.75)} - {q(0.25)})"
+        fences.append(f"{q(0.75)} + {reach} AS most_{m}")
+        fences.append(f"greatest({q(0.25)} - {reach}, 0.0) AS least_{m}" if both else f"0.0::DOUBLE AS least_{m}")
+        for end, sign, way in (("most", "+", "<="), ("least", "-", ">=")):
+            x = f"{units} * {end}_{m}"
+            inside.append(f"coalesce({count} {way} {x} {sign} ({SIGMAS}::DOUBLE * sqrt({x}) + {SIGMAS}::DOUBLE), true)")
     return f"""
     WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
     numbered AS (SELECT row_number() OVER () AS r, * FROM d),
@@ -62,7 +62,7 @@ def quality_rules() -> str:
         FROM numbered n LEFT JOIN lined l ON n.r = l.r LEFT JOIN repeats p ON n.r = p.r),
     measured AS (
         SELECT *, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words END AS symbols_per_word, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words END AS chars_per_word,
-               CASE WHEN n_words > 0 THEN n_dup_lines::DOUBLE / greatest(n_lines, 1) END AS dup_line_share,
+               CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines END AS dup_line_share,
                (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed
         FROM counted),
     fences AS (SELECT lang, source, {', '.join(fences)} FROM measured GROUP BY lang, source)
@@ -84,14 +84,14 @@ def _canonical(text: str) -> str:
 
 def license_scan() -> str:
     known = ", ".join(f"({_quoted(a)}, {_quoted(t)})" for a, t in KNOWN)
-    longest = LINE_REACH * max(len(t) for _, t in KNOWN if "\n" not in t)
+    digests = ", ".join(f"({_quoted(d)}, {_quoted(a)})" for a, d in DIGESTS)
     return f"""
-    WITH given(license, text) AS (VALUES {known}),
-    known AS (SELECT {_canonical('text')} AS digest, min(license) AS license FROM given GROUP BY 1),
+    WITH given(license, text) AS (VALUES {known}), more(digest, license) AS (VALUES {digests}),
+    known AS (SELECT digest, min(license) AS license FROM (SELECT {_canonical('text')} AS digest, license FROM given UNION ALL SELECT digest, license FROM more) GROUP BY 1),
     notices AS (SELECT {_canonical('text')} AS digest, min(license) AS license FROM given WHERE NOT contains(text, chr(10)) GROUP BY 1),
     docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-    hits AS (SELECT r, license FROM (SELECT r, {_canonical('line')} AS digest FROM lines WHERE length(line) <= {longest} AND regexp_matches(line, '(?i)licen[cs]e')) JOIN notices USING (digest)),
+    hits AS (SELECT r, license FROM (SELECT r, {_canonical('line')} AS digest FROM lines) JOIN notices USING (digest)),
     found AS (SELECT r, list_sort(list(DISTINCT license)) AS line_licenses, count(*) AS n FROM hits GROUP BY r)
     SELECT doc_id, k.license AS text_license, coalesce(line_licenses, []::VARCHAR[]) AS line_licenses, coalesce(n, 0)::BIGINT AS n_notice_lines
     FROM (SELECT r, doc_id, {_canonical('text')} AS digest FROM docs) d LEFT JOIN known k USING (digest) LEFT JOIN found f USING (r)"""

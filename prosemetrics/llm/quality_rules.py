@@ -1,10 +1,14 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 A mergeable quantile sketch (the one behind ``percentile_approx``) of each measure is
-built per (lang, source); a document is an outlier if a measure lies beyond the fence
-``quartile +- max(3 * interquartile range, spread)`` of its own group. The fences are a
-small table, one row a group, joined to the documents. Two scans, no text is shuffled,
-no Python runs.
+built per (lang, source). Every measure is a count per unit: symbols per word, characters
+per word, repeated lines per line. The quartiles of a group give the rates that are still
+usual there (``quartile +- REACH * interquartile range``); a document of n units is an
+outlier if its count lies more than ``SIGMAS`` standard deviations of a Poisson count, and
+``SIGMAS`` besides (nothing seen at a rate of zero allows for three), beyond n times that
+rate. So there is no fixed cutoff: a long document is held to its group's rates, a short
+one gets the benefit of chance. The rates are a small table, one row a group, joined to
+the documents. Two scans, no text is shuffled, no Python runs.
 """
 
 from __future__ import annotations
@@ -15,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import WORD, let, written
 
 ACCURACY = 10_000
-REACH = 3.0
-#: measure: (fence below the lower quartile, fence above the upper quartile), the least spread of each.
-SPREADS = {"symbols_per_word": (None, 1.0), "chars_per_word": (3.0, 12.0), "dup_line_share": (None, 0.4)}
+REACH, SIGMAS = 3.0, 3.0
+#: measure: (its count, its units, whether too little of it is bad too).
+MEASURES = {"symbols_per_word": ("n_symbols", "n_words", False), "chars_per_word": ("word_chars", "n_words", True), "dup_line_share": ("n_dup_lines", "n_lines", False)}
 SYMBOL = "[#*$%&|<>]"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -64,15 +68,8 @@ def measured(docs: DataFrame, *, text: str = "text", repeats: bool = True) -> Da
     Null text counts as empty. A measure is null where there is no word.
     """
     out = docs.withColumns({f"_{k.lstrip('_')}": v for k, v in _cheap(F.col(text)).items()})
-    out = out.withColumn("_n_dup_lines", F.col("_lines")["dup"])
-    some = lambda v: F.when(F.col("_n_words") > 0, v)
-    out = out.withColumns(
-        {
-            "_symbols_per_word": some(F.col("_n_symbols") / F.col("_n_words")),
-            "_chars_per_word": some(F.col("_word_chars") / F.col("_n_words")),
-            "_dup_line_share": some(F.col("_n_dup_lines") / F.greatest(F.col("_lines")["n"], F.lit(1))),
-        }
-    )
+    out = out.withColumns({"_n_dup_lines": F.col("_lines")["dup"], "_n_lines": F.col("_lines")["n"]})
+    out = out.withColumns({f"_{m}": F.when(F.col(f"_{units}") > 0, F.col(f"_{count}") / F.col(f"_{units}")) for m, (count, units, _) in MEASURES.items()})
     if repeats:
         out = out.withColumn("_n_repeat_words", repeat_words(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))))
         out = out.withColumn("_base_failed", (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words")))
@@ -80,15 +77,14 @@ def measured(docs: DataFrame, *, text: str = "text", repeats: bool = True) -> Da
 
 
 def fences(docs: DataFrame) -> DataFrame:
-    """lang, source and, for each measure, the least and largest value that is no outlier there."""
-    quartiles = {m: F.percentile_approx(f"_{m}", [0.25, 0.75], ACCURACY) for m in SPREADS}
+    """lang, source and, for each measure, the least and largest rate that is usual there."""
+    quartiles = {m: F.percentile_approx(f"_{m}", [0.25, 0.75], ACCURACY) for m in MEASURES}
     out = measured(docs, repeats=False).groupBy("lang", "source").agg(*[q.alias(f"q_{m}") for m, q in quartiles.items()])
-    for m, (down, up) in SPREADS.items():
+    for m, (_, _, both) in MEASURES.items():
         q1, q3 = F.col(f"q_{m}")[0], F.col(f"q_{m}")[1]
         reach = F.lit(REACH) * (q3 - q1)
-        out = out.withColumn(f"least_{m}", q1 - F.greatest(reach, F.lit(down)) if down else F.lit(None).cast("double"))
-        out = out.withColumn(f"most_{m}", q3 + F.greatest(reach, F.lit(up)))
-    return out.drop(*[f"q_{m}" for m in SPREADS])
+        out = out.withColumn(f"least_{m}", F.greatest(q1 - reach, F.lit(0.0)) if both else F.lit(0.0)).withColumn(f"most_{m}", q3 + reach)
+    return out.drop(*[f"q_{m}" for m in MEASURES])
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -100,8 +96,10 @@ def judged(docs: DataFrame) -> DataFrame:
     d, f = measured(docs).alias("d"), written(fences(docs)).alias("f")  # written, so the plan knows its size: texts are not shuffled for it
     out = d.join(f, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     inside = ~F.col("_base_failed")
-    for m in SPREADS:
-        inside &= F.coalesce((F.col(f"_{m}") >= F.col(f"least_{m}")), F.lit(True)) & F.coalesce((F.col(f"_{m}") <= F.col(f"most_{m}")), F.lit(True))
+    for m, (count, units, _) in MEASURES.items():
+        low, high = (F.col(f"_{units}") * F.col(f"{end}_{m}") for end in ("least", "most"))
+        chance = lambda x: F.lit(SIGMAS) * F.sqrt(x) + F.lit(SIGMAS)
+        inside &= F.coalesce(F.col(f"_{count}") <= high + chance(high), F.lit(True)) & F.coalesce(F.col(f"_{count}") >= low - chance(low), F.lit(True))
     return out.withColumn("_kept", inside).select("d.*", "_kept")
 
 
@@ -112,6 +110,9 @@ def rule_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the same columns."""
+    """The rows of ``docs`` that the rules keep, with the same columns, whatever their names.
+
+    Rows of null or empty text go, since they have no words. Empty table: no rows.
+    """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return judged(row.select("row", *[F.col("row")[c].alias(c) for c in ("text", "lang", "source")])).filter("_kept").select("row.*")

@@ -1,6 +1,7 @@
 """Operators on documents, held against brute force on small fixtures with nulls, empties, ties, repeats and odd columns."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -471,3 +472,31 @@ def test_rare_languages_are_learned_from_a_sample(spark):
     assert model["langs"] == ["en", "fi", "hu"]
     got = langid.predict(spark.createDataFrame([(1, "puutarha ja talo"), (2, "kert és ház")], "doc_id long, text string"), model).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "fi", 2: "hu"}
+
+
+def test_long_lines_other_notices_and_digests_of_whole_texts(spark):
+    long = "Released under the MIT License" + " " * 500 + "."
+    whole = "Some Licence\n\nCopyright 2020 A. Person\nYou may do as you please, at http://a.example/x.\n" * 3
+    docs = spark.createDataFrame([(1, long), (2, "a\nThis work is in the PUBLIC domain!\nb " + "word " * 20_000), (3, whole.upper().replace("HTTP", "HTTPS")), (4, whole + "more")], "doc_id long, text string")
+    digests = [("Own-1.0", docs.filter("doc_id = 3").select(licenses.digest(F.lit(whole)).alias("d")).first()["d"])]
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs, [*licenses.KNOWN, ("PD", "This work is in the public domain.")], digests).collect()}
+    assert got[1]["line_licenses"] == ["MIT"] and got[1]["text_license"] == "MIT"
+    assert got[2]["line_licenses"] == ["PD"] and got[3]["text_license"] == "Own-1.0" and got[4]["text_license"] is None
+
+
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_whole_published_licences_are_known(spark, file, name):
+    path = pathlib.Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    text = path.read_text()
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, text[: len(text) // 2])], "doc_id long, text string")
+    assert [r["text_license"] for r in licenses.license_scan(docs).orderBy("doc_id").collect()] == [name, name, None]
+
+
+def test_quality_fences_catch_junk_of_few_symbols_and_spare_good_documents(spark):
+    """Labelled documents of the larger table: junk at half a symbol per word goes, good documents stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.rule_verdicts(docs).join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    assert n[0, True] < 0.05 * (n[0, True] + n[0, False]) and n.get((1, False), 0) < 0.005 * n[1, True]
