@@ -1,19 +1,19 @@
 """Exact-substring dedup by longest-previous-factor arrays, keeping the first copy.
 
-A byte goes if it lies in a string of ``length`` bytes that also starts earlier. In
-suffix order (suffixes cut at ``length``, ties by position) a suffix's longest previous
-factor is the longer of the prefixes it shares with its previous and its next smaller
-position. Shared prefixes that are shorter than ``length`` don't count here, so only the
-neighbours within a class of equal prefixes do: there the next row has a larger position,
-and the previous row, if there is one, the previous smaller position.
-
-The suffix array is sorted in buckets. The bucket of a string is that of its anchor, the
+A byte goes if it lies in a string of ``length`` bytes that also starts earlier. Strings
+are sorted in suffix order; for each, the nearest neighbours before and after it that
+start at a smaller position (previous and next smaller positions) share the longest
+prefixes with it that any earlier string can; the longer of the two is its longest
+previous factor. A string whose factor is ``length`` or more goes.
+
+The suffix order is built in buckets. The bucket of a string is that of its anchor, the
 least hash among its ``GRAM``-byte grams, so equal strings always meet. Neighbouring
-strings with the same anchor make a chunk; chunks travel as two hashes (of the anchor and
-of the bytes) and a place. Of equal chunks only the first can be kept, which needs no
-bytes and is combined before the shuffle; bytes are fetched and sorted only for anchors
-that have several different chunks. Anchors that a sample shows in many documents are
-split into one chunk a string, which spread by their own hash.
+strings with the same anchor make a chunk. First chunks travel as the hash of their anchor
+and a place: a chunk whose anchor stands nowhere else can't hold a repeated string. The
+bytes of all others are fetched, compared and sorted; hashes alone decide nothing. Equal
+chunks of one slice of documents are combined before the first shuffle, after comparing
+their bytes. Anchors that a sample shows to be common are split into one chunk a string,
+which spread by their own hash.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from .hashing import between, prefix, slices
 LENGTH, GRAM = 100, 20
 #: Bytes of text whose chunks share a bucket; bytes that a map step combines at once, and hashes at once.
 BUCKET, SLICE, SEGMENT = 4_000_000, 2_000_000, 1_000_000
-#: The sample that finds hot anchors: documents, least share of them, most anchors.
-SAMPLE, HOT_SHARE, HOT_MOST = 2_000, 0.004, 20_000
+#: Anchors that this share of the documents holds, or this many of them, are split; the sample that finds them holds this many documents, and so many of each such anchor.
+HOT_SHARE, HOT_ROWS, SAMPLE, SEEN = 0.004, 500_000, 2_000, 8
 _LOW = np.uint64(0xFFFFFF)
-_FIELDS = (("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"))
+_FIELDS = (("a", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"))
 
 
 def anchors(raw: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -88,11 +88,11 @@ def _chunks(ids: np.ndarray, texts: list[bytes], hot: np.ndarray, length: int) -
             doc, first, count = np.concatenate([doc[~split], doc[each]]), np.concatenate([first[~split], at]), np.concatenate([count[~split], np.ones(len(each), int)])
             a, c = np.concatenate([a[~split], own]), np.concatenate([c[~split], own])
     starts = np.cumsum(sizes) - sizes
-    return {"a": a, "c": c, "doc": ids[doc] if len(doc) else doc, "start": first - starts[doc] if len(doc) else first, "n": count}
+    return {"a": a, "c": c, "doc": ids[doc] if len(doc) else doc, "start": first - starts[doc] if len(doc) else first, "n": count, "at": first}
 
 
-def _earliest(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """x sorted by (a, c, doc, start); whether a row's chunk also starts earlier."""
+def _earliest(x: dict[str, np.ndarray], raw: bytes, length: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """x sorted by (a, c, doc, start); whether a row's chunk, byte for byte, also starts earlier among these."""
     order = np.lexsort((x["start"], x["doc"], x["c"], x["a"]))
     x = {k: v[order] for k, v in x.items()}
     n = len(order)
@@ -100,6 +100,9 @@ def _earliest(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
     same[1:] = (x["a"][1:] == x["a"][:-1]) & (x["c"][1:] == x["c"][:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(n))) if n else np.zeros(0, int)
     later = same & ((x["doc"] != x["doc"][head]) | (x["start"] != x["start"][head]))
+    rows = np.flatnonzero(later)
+    size = (x["n"][rows] + length - 1).tolist()
+    later[rows] = [raw[i : i + k] == raw[j : j + k] for i, j, k in zip(x["at"][rows].tolist(), x["at"][head[rows]].tolist(), size)]
     return x, later
 
 
@@ -156,24 +159,82 @@ def suffix_classes(raw: np.ndarray, length: int) -> np.ndarray:
     return rank[:n]
 
 
+def shared_prefixes(raw: np.ndarray, at: np.ndarray, length: int, block: int = 20_000) -> np.ndarray:
+    """How many bytes, ``length`` at most, the strings at these places share with the one before (the first: none)."""
+    out = np.zeros(len(at), np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(raw, length) if len(raw) >= length else None
+    for i in range(1, len(at), block):
+        rows = windows[at[i - 1 : i + block]]
+        differ = rows[1:] != rows[:-1]
+        out[i : i + len(differ)] = np.where(differ.any(1), differ.argmax(1), length)
+    return out
+
+
+def smaller_before(position: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest row before it of a smaller position (-1: none), and the prefix that both share.
+
+    shared: with the row before. A row points to the one before it; while that one's
+    position isn't smaller, it takes over where that one points to.
+    """
+    at, common = np.arange(len(position)) - 1, shared.copy()
+    open_ = np.arange(1, len(position))
+    while len(open_):
+        to = at[open_]
+        more = (to >= 0) & (position[to] >= position[open_])
+        open_, to = open_[more], to[more]
+        common[open_] = np.minimum(common[open_], common[to])
+        at[open_] = at[to]
+    common[at < 0] = 0
+    return at, common
+
+
+def longest_previous_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Of strings in suffix order: their positions, and the prefix each shares with the string before."""
+    before = smaller_before(position, shared)[1]
+    after = smaller_before(position[::-1], np.append(0, shared[:0:-1]) if len(shared) else shared)[1][::-1]
+    return np.maximum(before, after)
+
+
 def previous_factors(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the strings of these chunks whose longest previous factor is ``length`` or more."""
+    if not len(chunks):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw = np.frombuffer(b"".join(chunks), np.uint8)
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    at = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rank = suffix_classes(raw, length)[at]
-    doc, start = np.repeat(doc, n), np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((start, doc, rank))
-    rank, doc, start = rank[order], doc[order], start[order]
-    same = np.concatenate([[False], rank[1:] == rank[:-1]])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(rank))))
-    found = same & ((doc != doc[head]) | (start != start[head]))
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(sizes) - sizes, n) + step
+    doc, start = np.repeat(doc, n), np.repeat(start, n) + step
+    order = np.lexsort((start, doc, suffix_classes(raw, length)[at]))
+    at, doc, start = at[order], doc[order], start[order]
+    by_place = np.lexsort((start, doc))
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[by_place][1:] != doc[by_place][:-1]) | (start[by_place][1:] != start[by_place][:-1])
+    position = np.empty(len(at), np.int64)
+    position[by_place] = np.cumsum(new)  # rows of one id and start have the same position
+    found = longest_previous_factors(position, shared_prefixes(raw, at, length)) >= length
     return doc[found], start[found]
 
 
+def repeated_strings(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the runs of strings of a bucket's chunks that start earlier too.
+
+    Equal chunks are neighbours throughout the suffix order, so only the first of them is
+    sorted: the previous smaller position of any other's strings is that same string.
+    """
+    order = np.lexsort((start, doc))
+    first: dict[bytes, int] = {}
+    head = np.array([first.setdefault(chunks[i], i) for i in order], np.int64)
+    later = (doc[order] != doc[head]) | (start[order] != start[head])
+    copies, once = order[later], np.fromiter(first.values(), np.int64, len(first))
+    d, s = previous_factors([chunks[i] for i in once], doc[once], start[once], n[once], length)
+    return spans(np.concatenate([doc[copies], d]), np.concatenate([start[copies], s]), np.concatenate([start[copies] + n[copies] + length - 1, s + length]))
+
+
 def _hot_anchors(docs: DataFrame, rows: int, length: int) -> np.ndarray:
-    share = min(1.0, SAMPLE / max(1, rows))
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("id", "text")
+    """Hashes of the common anchors: at most as many as chunks there are divided by the rows that make an anchor common."""
+    most = max(SEEN, min(HOT_SHARE * rows, HOT_ROWS))
+    share = min(1.0, max(SAMPLE / max(1, rows), SEEN / most))
+    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil(share * (1 << 40))).select("id", "text")
 
     def run(batches):
         for b in batches:
@@ -185,9 +246,8 @@ def _hot_anchors(docs: DataFrame, rows: int, length: int) -> np.ndarray:
                 values, counts = np.unique(pairs, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["a", "n"])
 
-    found = sample.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, int(HOT_SHARE * share * rows)))
-    hot = [r["a"] for r in found.orderBy(F.desc("n"), "a").limit(HOT_MOST).collect()]
-    return np.sort(np.array(hot, np.int64).view(np.uint64))
+    found = sample.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(SEEN, share * most))
+    return np.sort(np.array([r["a"] for r in found.select("a").collect()], np.int64).view(np.uint64))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -205,8 +265,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             ids = np.asarray(b.column("id"))
             for i, j in slices([len(t) for t in texts], SLICE):
-                x, later = _earliest(_chunks(ids[i:j], texts[i:j], hot, length))
-                bucket = np.where(later, 0, (x["a"] >> np.uint64(33)).astype(np.int64) % buckets)
+                x, later = _earliest(_chunks(ids[i:j], texts[i:j], hot, length), b"".join(texts[i:j]), length)
+                bucket = (x["a"] >> np.uint64(33)).astype(np.int64) % buckets
                 # What is decided here rides along in a bucket of its own document.
                 bucket[later] = x["doc"][later] % buckets
                 order = np.lexsort((bucket, later))
@@ -215,23 +275,11 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), pa.array([bool(later[g[0]]) for g in groups], pa.bool_()), pa.array([_pack(x, g) for g in groups], pa.binary())], ["bucket", "later", "blob"])
 
     def decide(p: pd.DataFrame) -> pd.DataFrame:
-        gone = _join(list(p["blob"][p["later"]]))
-        x, later = _earliest(_join(list(p["blob"][~p["later"]])))
-        doc = np.concatenate([gone["doc"], x["doc"][later]])
-        start = np.concatenate([gone["start"], x["start"][later]])
-        end = start + np.concatenate([gone["n"], x["n"][later]]).astype(np.int64) + tail
-        doc, start, end = spans(doc, start, end)
-        kept = ~later
-        a, c = x["a"][kept], x["c"][kept]
-        if len(a):
-            change = np.concatenate([[True], (a[1:] != a[:-1])])
-            several = np.zeros(len(a), bool)
-            several[1:] = (a[1:] == a[:-1]) & (c[1:] != c[:-1])
-            group = np.cumsum(change) - 1
-            open_ = np.bincount(group[several], minlength=group[-1] + 1)[group] > 0
-            k = np.flatnonzero(kept)[open_]
-        else:
-            k = np.zeros(0, int)
+        """The runs that are decided, and the chunks whose anchor stands in several."""
+        gone, x = (_join(list(p["blob"][p["later"] == later])) for later in (True, False))
+        doc, start, end = spans(gone["doc"], gone["start"], gone["start"] + gone["n"].astype(np.int64) + tail)
+        _, group, times = np.unique(x["a"], return_inverse=True, return_counts=True)
+        k = np.flatnonzero(times[group] > 1) if len(group) else np.zeros(0, int)
         return pd.DataFrame({"id": np.concatenate([doc, x["doc"][k]]), "a": np.concatenate([np.zeros(len(doc), np.int64), x["a"][k].view(np.int64)]), "start": np.concatenate([start, x["start"][k]]), "size": np.concatenate([end - start, x["n"][k].astype(np.int64)]), "open": np.concatenate([np.zeros(len(doc), bool), np.ones(len(k), bool)])})
 
     blobs = docs.mapInArrow(combine, "bucket long, later boolean, blob binary")
@@ -254,8 +302,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     fetched = docs.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "wanted").mapInArrow(fetch, "a long, id long, start long, size long, chunk binary")
 
     def sort(p: pd.DataFrame) -> pd.DataFrame:
-        doc, start = previous_factors(list(p["chunk"]), p["id"].to_numpy(), p["start"].to_numpy(), p["size"].to_numpy(), length)
-        doc, start, end = spans(doc, start, start + length)
+        doc, start, end = repeated_strings(list(p["chunk"]), p["id"].to_numpy(), p["start"].to_numpy(), p["size"].to_numpy(), length)
         return pd.DataFrame({"id": doc, "start": start, "end": end})
 
     opened = fetched.withColumn("bucket", F.pmod(F.shiftrightunsigned("a", 33), F.lit(buckets))).groupBy("bucket").applyInPandas(sort, "id long, start long, end long")
