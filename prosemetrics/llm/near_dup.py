@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 from .hashing import mix, shingle_sets, slices
 
 WORDS, PERCENT = 3, 85
-BUCKETS, ROWS, MANTISSA = 64, 4, 10
-BANDS = BUCKETS // ROWS
+BUCKETS, MANTISSA = 64, 10
 _BITS = 64 - BUCKETS.bit_length() + 1  # of a hash behind its bucket
 #: Pairs of sets of this size or more need an estimate within ``SLACK`` of the threshold (more than 4 standard deviations).
 SURE, SLACK = 64, 0.25
@@ -65,10 +64,18 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(signatures: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Registers a band: as many as leave a pair at the threshold a chance below 1e-5 of sharing no band, 4 at most."""
+    share = percent / 100
+    return next((r for r in (4, 3, 2) if (1 - share**r) ** (BUCKETS // r) < 1e-5), 1)
+
+
+def bands(signatures: np.ndarray, rows: int = 4) -> np.ndarray:
     """A key for each band of each signature."""
-    packed = np.ascontiguousarray(signatures).view(np.uint64)
-    return mix(packed + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+    n = BUCKETS // rows
+    parts = signatures[:, : n * rows].reshape(-1, n, rows).astype(np.uint64)
+    packed = (parts << (np.uint64(16) * np.arange(rows, dtype=np.uint64))).sum(2, dtype=np.uint64)
+    return mix(packed + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -87,8 +94,9 @@ def estimate(equal, n: int, m: int):
     return np.clip((equal / BUCKETS - c) / (1 - c), 0, 1)
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), digest (of the set; null if empty), sig, keys (one a band)."""
+    rows = band_rows(percent)
 
     def run(batches):
         for b in batches:
@@ -97,7 +105,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sets = shingle_sets(texts[i:j], words)
                 some = [k for k, s in enumerate(sets) if len(s)]
                 sig = np.stack([signature(sets[k]) for k in some]) if some else np.zeros((0, BUCKETS), np.uint16)
-                keys = bands(sig) if some else np.zeros((0, BANDS), np.int64)
+                keys = bands(sig, rows)
                 digests, sigs, all_keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for r, k in enumerate(some):
                     digests[k], sigs[k], all_keys[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), sig[r].tobytes(), keys[r]
@@ -142,8 +150,10 @@ def components(edges: DataFrame) -> DataFrame:
         at = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = written(sunk.join(at, "component").select("node", "was", F.least("component", "further").alias("component")))
         changed = new.filter("component <> was").limit(1).count()
+        remove(labels)
         labels = new.select("node", "component")
         if not changed:
+            remove(both)
             return labels
 
 
@@ -240,12 +250,14 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     Rows that share an id are one document. A null or empty text has no shingles and no
     links. A null id is its own component, which is null, and is kept.
     """
-    signed = written(signatures(docs, words))
+    signed = written(signatures(docs, words, percent))
     some = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(some.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     banded = reps.select("rid", F.explode("keys").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("size")).filter("size > 1")
+    # Written by itself, so that Spark may split the join where one band holds many rows; the sums before it are combined in each task.
+    heads = written(banded.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("size")).filter("size > 1"))
     members = written(banded.join(heads, "key"))
+    remove(heads)
     same_id = reps.groupBy("rid").count().filter("count > 1").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
     wanted = members.select("rid").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rid"), "text")
@@ -257,8 +269,13 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     edges = written(verified(star, sets, percent).unionByName(same_id))
     labels = components(edges)
     more = written(bridges(members, labels, about, sets, percent))
+    remove(sets)
+    remove(members)
     if more.limit(1).count():
+        remove(labels)
         labels = components(edges.unionByName(more))
+    remove(edges)
+    remove(more)
     root = reps.join(labels, reps["rid"] == labels["node"], "left").select("digest", F.coalesce("component", "rid").alias("component_id"))
     out = signed.alias("s").join(root.alias("r"), "digest", "left").select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("r.component_id", "s.doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -277,9 +294,12 @@ def _vector_likely(percent: int):
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows of documents that are not the smallest of their component.
+    """``docs``, with the same columns, without the rows of documents that are not the smallest of their component.
 
-    Rows that repeat an id are one document.
+    Rows that repeat an id are one document and all stay or all go. Documents whose text
+    is null, empty or without words stay, as do rows of a null id. Empty table: no rows.
+    Columns of ``docs`` may have any name.
     """
-    gone = linked(docs.select("doc_id", "text"), words, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = linked(docs.select("doc_id", "text"), words, percent).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return row.join(gone.hint("shuffle_hash"), F.col("row.doc_id").cast("long") == F.col("id"), "left_anti").select("row.*")
