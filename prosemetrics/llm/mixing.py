@@ -78,19 +78,30 @@ def mix(sizes: DataFrame, rows: int, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix of ``docs``: their rows, each as many times as the mix takes it.
+    """The mix of ``docs``: their rows, with the same columns, each as many times as the mix takes it.
 
     The first pass finds, for each source, the whole epochs and the key of the last row
     that the unfinished epoch takes; the second deals every row by those alone, so no
-    text is shuffled.
+    text is shuffled. Rows that share key, id and size with that last row are ranked
+    among each other, and as many are taken as :func:`mix` takes. Null and empty texts
+    have no words and may be taken; null sources are a source. Empty table: no rows.
     """
     sizes = written(sized(docs))
     mixed = mix(sizes, sizes.count())
-    cut = F.max(F.when(F.col("extra"), F.struct("key", "doc_id", "size")))
+    at = F.struct("key", "doc_id", "size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    cuts = written(mixed.withColumn("whole", whole).withColumn("extra", F.col("copies") > F.col("whole")).groupBy("source").agg(F.first("whole").alias("whole"), cut.alias("cut")))
+    same = mixed.withColumn("whole", whole).groupBy("source", at.alias("at")).agg(F.first("whole").alias("whole"), F.count("*").alias("n"), F.sum((F.col("copies") > F.col("whole")).cast("long")).alias("extra"))
+    last = F.max(F.when(F.col("extra") > 0, F.struct("at", "n", "extra")))
+    cuts = written(same.groupBy("source").agg(F.first("whole").alias("whole"), last.alias("last")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
     here = F.struct(random_key("row.doc_id").alias("key"), F.col("row.doc_id").alias("doc_id"), F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    copies = F.col("c.whole") + F.coalesce(here <= F.col("c.cut"), F.lit(False)).cast("long")
-    taken = row.join(cuts.alias("c"), F.col("row.source").eqNullSafe(F.col("c.source"))).select("row", copies.alias("copies")).filter("copies > 0")
+    dealt = row.withColumn("here", here).join(cuts.alias("c"), F.col("row.source").eqNullSafe(F.col("c.source")))
+    tied = F.coalesce((F.col("here") == F.col("c.last.at")) & (F.col("c.last.extra") < F.col("c.last.n")), F.lit(False))
+    sure = dealt.filter(~tied).select("row", (F.col("c.whole") + F.coalesce(F.col("here") <= F.col("c.last.at"), F.lit(False)).cast("long")).alias("copies"))
+    # Equal rows at a cut, of which the mix takes some: the rows of one id of one source.
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.to_json("row")))
+    some = dealt.filter(tied).select("row", F.col("row.source").alias("source"), "c.whole", F.col("c.last.extra").alias("extra"))
+    some = some.select("row", (F.col("whole") + (nth <= F.col("extra")).cast("long")).alias("copies"))
+    split = cuts.filter("last.extra < last.n").limit(1).count()  # else there is nothing to rank, and one scan does
+    taken = (sure.unionByName(some) if split else sure).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

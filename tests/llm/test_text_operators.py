@@ -187,6 +187,50 @@ def test_repeated_passages_edges(spark, empty):
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in got) == [(False, 0), (False, 499), (False, 499), (True, 0)]
 
 
+def test_longest_previous_factors_against_brute_force():
+    rng = np.random.default_rng(5)
+    for length in (3, 6):
+        raw = rng.integers(97, 100, 120, dtype=np.uint8)
+        at = np.arange(len(raw) - length + 1)
+        text = raw.tobytes()
+        order = np.array(sorted(at, key=lambda i: (text[i : i + length], i)))
+        position = rng.permutation(len(at))  # of each place; any order will do
+        order = np.array(sorted(at, key=lambda i: (text[i : i + length], position[i])))
+        got = lpf.longest_previous_factors(position[order], lpf.shared_prefixes(raw, order, length))
+
+        def share(i, j):
+            return next((k for k in range(length) if text[i + k] != text[j + k]), length)
+
+        want = [max((share(i, j) for j in at if position[j] < position[i]), default=0) for i in order]
+        assert got.tolist() == want
+    assert lpf.smaller_before(np.array([5, 4, 3, 2, 1, 9]), np.array([0, 1, 2, 3, 4, 5]))[0].tolist() == [-1, -1, -1, -1, -1, 4]
+
+
+def test_equal_hashes_of_other_bytes_decide_nothing(docs, rows, monkeypatch):
+    """Hashes so poor that most of them collide change no result."""
+    want = {r["doc_id"]: r["kept_sha256"] for r in lpf.without_repeats(docs).collect()}
+    raw = b"".join((r[1] or "").encode() for r in rows)
+    x = lpf._chunks(np.arange(len(rows)), [(r[1] or "").encode() for r in rows], np.zeros(0, np.uint64), 100)
+    x["a"] %= np.uint64(3)
+    x["c"] %= np.uint64(2)
+    y, later = lpf._earliest(x, raw, 100)
+    seen = {}
+    for i in range(len(later)):
+        chunk = raw[y["at"][i] : y["at"][i] + y["n"][i] + 99]
+        assert not later[i] or chunk in seen
+        seen[chunk] = i
+    chunks = [raw[a : a + n + 99] for a, n in zip(y["at"], y["n"])]
+    gone = dict.fromkeys(range(len(rows)), b"")
+    doc, start, end = lpf.repeated_strings(chunks, y["doc"], y["start"], y["n"])
+    for i, r in enumerate(rows):
+        text, at = (r[1] or "").encode(), 0
+        for s, e in sorted(zip(start[doc == i], end[doc == i])):
+            gone[i] += text[at:s]
+            at = e
+        gone[i] += text[at:]
+    assert {i: hashlib.sha256(x).hexdigest() for i, x in gone.items()} == want
+
+
 def test_suffix_classes_are_the_suffix_order():
     raw = np.random.default_rng(0).integers(97, 100, 300, dtype=np.uint8)
     rank = lpf.suffix_classes(raw, 12)
@@ -500,3 +544,31 @@ def test_quality_fences_catch_junk_of_few_symbols_and_spare_good_documents(spark
     got = quality_rules.rule_verdicts(docs).join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in got}
     assert n[0, True] < 0.05 * (n[0, True] + n[0, False]) and n.get((1, False), 0) < 0.005 * n[1, True]
+
+
+def test_near_duplicate_stage_takes_any_column_names_and_nulls(spark, empty):
+    rows = [(1, "a b c d e f g", 1, 2), (2, "a b c d e f g", 3, 4), (3, None, 5, 6), (4, "", 7, 8), (None, "a b c d e f g", 9, 10), (5, None, 11, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, id long").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    out = near_dup.deduplicated(docs, 5, 80)
+    assert out.columns == docs.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3, 4, 5]
+    assert near_dup.deduplicated(empty).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_bands_miss_few_pairs_at_the_threshold(percent):
+    rows = near_dup.band_rows(percent)
+    assert rows == 1 or (1 - (percent / 100) ** rows) ** (near_dup.BUCKETS // rows) < 1e-5
+    sig = np.random.default_rng(0).integers(0, 1 << 16, (5, near_dup.BUCKETS), dtype=np.uint16)
+    other = sig.copy()
+    other[:, :rows] += 1
+    assert ((near_dup.bands(sig, rows) == near_dup.bands(other, rows)).sum(1) == near_dup.BUCKETS // rows - 1).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_mix_of_equal_rows_takes_what_the_query_takes(spark, n):
+    docs = spark.createDataFrame([(7, "two words", "a")] * n + [(8, "one", None)], "doc_id long, text string, source string")
+    sizes = mixing.sized(docs)
+    want = Counter()
+    for r in mixing.mix(sizes, sizes.count()).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect()) == +want
