@@ -12,6 +12,8 @@ probability of at most 1 - CONFIDENCE, that is P(chi2 < r^2 / d^2) >= CONFIDENCE
 The upper levels of the kd-tree are fitted on a bounded sample and cut the projected
 space into cells; every vector is indexed, in blocks of bounded size. A query first
 searches its home cell, which bounds d; then the cells that the test can't exclude.
+Queries travel in chunks of neighbours (queries of one cell, or of cells beside each
+other), and a cell's vectors are copied only to the chunks with a query that needs it.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 K, QUERY_EVERY = 20, 20
-DIMS, CONFIDENCE, SEED = 8, 0.98, 7
+DIMS, CONFIDENCE, SEED = 8, 0.9, 7
 #: Bounds: vectors read to fit the cells, cells, vectors of a block, queries of a block, vectors of a leaf of a block's own tree.
-SAMPLE, CELLS, BLOCK, QUERIES, LEAF = 20_000, 1_024, 8_192, 16_384, 64
+SAMPLE, CELLS, BLOCK, QUERIES, LEAF = 20_000, 1_024, 8_192, 16_384, 128
 
 
 def chi2_cdf(x, dims: int = DIMS):
@@ -117,30 +119,39 @@ def _dealt(ids: pd.Series, n: int) -> np.ndarray:
     return ((ids.to_numpy().astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(int) % n
 
 
-def search(vectors: np.ndarray, projected: np.ndarray, queries: np.ndarray, at: np.ndarray, bounds: np.ndarray, k: int, most: float, radius: float):
-    """For each query: places and scores of its best k of ``vectors``, as far as the test wants them.
+def search(vectors: np.ndarray, ids: np.ndarray, projected: np.ndarray, queries: np.ndarray, at: np.ndarray, bounds: np.ndarray, k: int, most: float, radius: float):
+    """ids and scores (a row a query, best first, ties to the smaller id, id -1: none) of the best k of ``vectors``, as far as the test wants them.
 
-    at: the queries' projections; bounds: their k-th best squared distance so far.
+    at: the queries' projections; bounds: their k-th best squared distance so far. In each
+    step every query that the test doesn't stop verifies its next leaf.
     """
     tree = Tree(projected, max(1, len(vectors) // LEAF))
     least = tree.squared(at)
+    order = np.argsort(least, axis=1, kind="stable")
     norms = np.sqrt((queries * queries).sum(1))
-    for i in range(len(queries)):
-        order = np.argsort(least[i], kind="stable")
-        places, scores, bound, step = np.zeros(0, int), np.zeros(0), bounds[i], 0
-        while step < len(order) and least[i, order[step]] <= radius * bound:
-            rows = np.concatenate([tree.rows[j] for j in order[step : step + 4]])
-            step += 4
-            places, scores = np.concatenate([places, rows]), np.concatenate([scores, vectors[rows] @ queries[i]])
-            if len(places) > k:
-                keep = np.argpartition(-scores, k - 1)
-                worst = scores[keep[k - 1]]
-                keep = np.flatnonzero(scores >= worst)  # ties stay
-                places, scores = places[keep], scores[keep]
-                bound = min(bound, max(2 * most**2 - 2 * most * worst / norms[i], 0) * (1 + 1e-9))
-            elif len(places) == k:
-                bound = min(bound, max(2 * most**2 - 2 * most * scores.min() / norms[i], 0) * (1 + 1e-9))
-        yield places, scores
+    best, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
+    bound, live = bounds.astype(float).copy(), np.arange(len(queries))
+    for step in range(least.shape[1]):
+        leaf = order[live, step]
+        go = least[live, leaf] <= radius * bound[live]
+        live, leaf = live[go], leaf[go]
+        if not len(live):
+            break
+        by = np.argsort(leaf, kind="stable")
+        for mine in np.split(live[by], np.flatnonzero(np.diff(leaf[by])) + 1):
+            rows = tree.rows[order[mine[0], step]]
+            new = queries[mine] @ vectors[rows].T
+            better = (new >= scores[mine, -1:]).any(1)
+            mine, new = mine[better], new[better]
+            both = np.hstack([scores[mine], new])
+            names = np.hstack([best[mine], np.broadcast_to(ids[rows], new.shape)])
+            top = np.lexsort((names, -both))[:, :k]
+            scores[mine], best[mine] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+            worst = scores[mine, -1]
+            seen = np.isfinite(worst)
+            reached = np.maximum(2 * most**2 - 2 * most * worst[seen] / norms[mine[seen]], 0) * (1 + 1e-9)
+            bound[mine[seen]] = np.minimum(bound[mine[seen]], reached)
+    return best, scores
 
 
 def distinct_vectors(table: DataFrame, k: int = K) -> DataFrame:
@@ -189,7 +200,14 @@ def nearest(table: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     asked = table.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec")).filter(F.col("query_id") % every == 0)
     queries = written(asked.join(reps.select("rid", "vec"), "vec").select("query_id", "rid"))
     distinct = written(queries.select("rid").distinct().join(reps.select("rid", "vec"), "rid").select(F.col("rid").alias("qid"), "vec"))
-    chunks = max(1, math.ceil(distinct.count() / QUERIES))
+
+    def at_home(batches):
+        for b in batches:
+            yield pd.DataFrame({"cell": tree.leaf(lifted_queries(np.stack(b["vec"]), most) @ a)})
+
+    homes = {r["cell"]: r["count"] for r in distinct.mapInPandas(at_home, "cell int").groupBy("cell").count().collect()}  # at most ``CELLS`` rows
+    sizes = np.array([homes.get(i, 0) for i in range(len(tree.rows))])
+    before = np.cumsum(sizes) - sizes
 
     def visits(home: bool):
         def run(batches):
@@ -203,26 +221,26 @@ def nearest(table: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
                     near = tree.squared(at) <= radius * b["bound"].to_numpy()[:, None]
                     near[np.arange(len(q)), inside] = False
                     row, cell = np.nonzero(near)
-                for i in range(blocks if len(row) else 0):
-                    yield pd.DataFrame({"cell": cell, "block": i, "chunk": _dealt(b["qid"], chunks)[row], "qid": b["qid"].to_numpy()[row], "bound": b["bound"].to_numpy()[row], "vec": [q[j] for j in row]})
+                if not len(row):
+                    continue
+                chunk = (before[inside] + _dealt(b["qid"], 1 << 30) % np.maximum(sizes[inside], 1)) // QUERIES
+                yield pd.DataFrame({"cell": cell, "chunk": chunk[row], "qid": b["qid"].to_numpy()[row], "bound": b["bound"].to_numpy()[row], "vec": [q[j] for j in row]})
 
         return run
 
     def look(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": [], "rid": [], "score": []})
         if p.empty or q.empty:
-            return empty
-        x, y, ids = np.stack(p["vec"]), np.stack(q["vec"]), p["rid"].to_numpy()
-        found = search(x, lifted_points(x, most) @ a, y, lifted_queries(y, most) @ a, q["bound"].to_numpy(), k + 1, most, radius)
-        parts = []
-        for qid, (places, scores) in zip(q["qid"], found):
-            keep = np.lexsort((ids[places], -scores))[: k + 1]
-            parts.append((np.full(len(keep), qid), ids[places[keep]], scores[keep]))
-        return pd.DataFrame({c: np.concatenate([x[i] for x in parts]) for i, c in enumerate(("qid", "rid", "score"))}) if parts else empty
+            return pd.DataFrame({"qid": [], "rid": [], "score": []})
+        x, y = np.stack(p["vec"]), np.stack(q["vec"])
+        ids, scores = search(x, p["rid"].to_numpy(), lifted_points(x, most) @ a, y, lifted_queries(y, most) @ a, q["bound"].to_numpy(), k + 1, most, radius)
+        row, nth = np.nonzero(np.isfinite(scores))
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "rid": ids[row, nth], "score": scores[row, nth]})
 
     def searched(asking: DataFrame, home: bool) -> DataFrame:
-        to = asking.mapInPandas(visits(home), "cell int, block int, chunk int, qid long, bound double, vec array<double>")
-        spread = points.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        to = written(asking.mapInPandas(visits(home), "cell int, chunk int, qid long, bound double, vec array<double>"))
+        wanted = to.select("cell", F.col("chunk").alias("of")).distinct()  # at most ``CELLS`` rows a chunk
+        spread = points.join(wanted, "cell").withColumnRenamed("of", "chunk")
+        to = to.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         key = ("cell", "block", "chunk")
         return spread.groupBy(*key).cogroup(to.groupBy(*key)).applyInPandas(look, out)
 
