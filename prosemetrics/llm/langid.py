@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, written
 
-#: Bounds of the fit: labelled documents that are read for it, known words and n-grams that are kept.
-SAMPLE, WORDS, GRAMS = 4_000, 60_000, 60_000
+#: Characters of labelled documents that the fit reads; words and n-grams that it sees less often than ``LEAST`` times are unknown.
+SAMPLE, LEAST = 4_000_000, 2
 #: Into how many values ids are hashed for the sample.
 SPAN = 1 << 40
 LONGEST = 5
@@ -31,17 +31,23 @@ def _words(text) -> "F.Column":
     return F.filter(F.split(F.lower(text), LETTERS), lambda w: F.length(w) > 0)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> dict:
+def _pieces(padded, k: int) -> "F.Column":
+    """The k-character pieces of a word."""
+    starts = F.sequence(F.lit(1), F.length(padded) - (k - 1))
+    return F.when(F.length(padded) >= k, F.transform(starts, lambda i: F.substring(padded, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Counts over a bounded sample (by hash of the id) of the rows of ``docs`` with a language and a text.
 
-    A language has its share of ``sample``, or an equal part of it if that is more, and
-    one document at least: no more than twice ``sample`` documents (or one a language).
-    Returns ``langs`` and, for words and n-grams, their rows of log frequencies. Its size
-    is bounded by ``words`` and ``grams`` times the number of languages.
+    ``sample`` bounds its characters, on average: a language has its share of it, or an
+    equal part if that is more, and one document at least; so about twice ``sample`` in
+    all. Whole documents are taken. Returns ``langs`` and, for every word and n-gram seen
+    ``LEAST`` times in the sample, its row of log frequencies.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(SPAN)))
-    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("first")))  # written, so the plan knows its size: texts are not shuffled for it
+    sizes = written(rows.groupBy("lang").agg(F.sum(F.length("text") + 1).alias("n"), F.min("at").alias("first")))  # written, so the plan knows its size: texts are not shuffled for it
     n, langs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not n:
         return {"langs": [], "words": {}, "grams": {}, "unseen": np.zeros(0)}
@@ -51,11 +57,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     counts = rows.select("lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     counts = counts.repartition(F.col("word")).persist()
     try:
-        known = _top(counts.select("lang", F.col("word").alias("item"), "count"), words, 2)
+        known = _seen(counts.select("lang", F.col("word").alias("item"), "count"))
         padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-        pieces = F.flatten(F.array(*[F.when(F.length(padded) >= k, F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i, k=k: F.substring(padded, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1)]))
+        pieces = F.flatten(F.array(*[_pieces(padded, k) for k in range(1, LONGEST + 1)]))
         grammed = counts.select("lang", "count", F.explode(pieces).alias("item")).groupBy("lang", "item").agg(F.sum("count").alias("count"))
-        parts = _top(grammed, grams, 2)
+        parts = _seen(grammed)
     finally:
         counts.unpersist()
     langs = sorted(set(known["lang"]) | set(parts["lang"]))
@@ -73,9 +79,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     return {"langs": langs, "words": table(known, lambda _: 0), "grams": table(parts, len)}
 
 
-def _top(counts: DataFrame, most: int, least: int) -> pd.DataFrame:
-    """Rows of the ``most`` items of the greatest count over all languages."""
-    totals = counts.groupBy("item").agg(F.sum("count").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "item").limit(most)
+def _seen(counts: DataFrame) -> pd.DataFrame:
+    """Rows of the items of ``LEAST`` counts over all languages; their number is bounded by the sample."""
+    totals = counts.groupBy("item").agg(F.sum("count").alias("n")).filter(F.col("n") >= LEAST).select("item")
     return counts.join(totals, "item").select("lang", "item", "count").toPandas()
 
 
