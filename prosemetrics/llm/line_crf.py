@@ -8,16 +8,15 @@ label. Lines carry no labels of their own: in training each has its document's.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, remove, written
 
-#: Labelled documents that the fit reads, at most; steps of its optimiser.
-SAMPLE, STEPS, PENALTY = 3_000, 150, 1e-3
+#: Labelled documents and lines that the fit reads, at most; steps of its optimiser.
+SAMPLE, LINES, STEPS, PENALTY = 3_000, 150_000, 150, 1e-3
 THRESHOLD = 0.3
 OWN = 11
 
@@ -154,8 +153,12 @@ def scored(model: dict, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["a"] * logit(raw) + model["b"], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A model from at most ``sample`` labelled rows that are not held out, taken by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> dict | None:
+    """A model from at most ``sample`` labelled documents that are not held out, taken by a hash of the id.
+
+    Of these, in that order, those that come to ``lines`` lines in all; whole documents
+    only. Rows that repeat an id are one document, of which any row may be taken.
+    """
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     known = known.filter(~F.coalesce(held_out(), F.lit(True)))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -163,10 +166,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
 
     def run(batches):
         for b in batches:
-            pairs = [line_features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([f.tobytes() for f, _ in pairs], pa.binary()), pa.array([w.astype("float32").tobytes() for _, w in pairs], pa.binary())], ["doc_id", "quality", "f", "w"])
-
-    rows = texts.mapInArrow(run, "doc_id long, quality int, f binary, w binary").orderBy("doc_id").toPandas()
+            for i in range(b.num_rows):
+                f, w = line_features(b.column("text")[i].as_py())
+                fits = len(f) <= lines
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), b.column("quality").slice(i, 1), pa.array([len(f)], pa.int64()), pa.array([f.tobytes() if fits else None], pa.binary()), pa.array([w.astype("float32").tobytes() if fits else None], pa.binary())], ["doc_id", "quality", "n", "f", "w"])
+
+    read = written(texts.mapInArrow(run, "doc_id long, quality int, n long, f binary, w binary").filter("f is not null").dropDuplicates(["doc_id"]))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # ``sample`` rows at most
+    taken = read.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= lines).select("doc_id")
+    rows = read.join(F.broadcast(taken), "doc_id").orderBy("doc_id").toPandas()
+    remove(read)
     if rows.empty:
         return None
     features = [np.frombuffer(x, "float32").reshape(-1, OWN) for x in rows["f"]]
@@ -187,6 +196,11 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted. Empty table: no rows; null ids are held out."""
+    """One row a document: doc_id, held_out, score, predicted.
+
+    Null and empty texts are one empty line and get a score like any other. Null ids are
+    held out. Repeated rows are scored alike; of labels that repeat an id the larger
+    counts. Other columns of ``docs`` do not matter. Empty table: no rows.
+    """
     out = score(docs, fit(docs, labels))
     return out.withColumn("held_out", F.coalesce(held_out(), F.lit(True))).select("doc_id", "held_out", "score", "predicted")
