@@ -202,7 +202,7 @@ def generated_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, s
             before, quote, label = f"{filler()} {before}", '"' if before.endswith('"') else "@" if "http://" in before else "", 0
             if rng.random() < 0.25:
                 found, before = found.upper(), before.upper()
-        out.append((found, before[-NEAR:], (quote + pick((" ", "\n", "; ", "### ", "!! ")) + filler())[:NEAR], label))
+        out.append((found, before[-NEAR:], (quote + pick((" ", "\n", "; ", ", ", ".")) + filler())[:NEAR], label))
     return out
 
 
@@ -315,7 +315,11 @@ MARK = "<secret>"
 
 
 def redact(docs: DataFrame, findings=None) -> DataFrame:
-    """``docs`` with each secret of ``text`` replaced by ``MARK``; other texts and columns stay as they are."""
+    """``docs`` with each secret of ``text`` replaced by ``MARK``; other texts and columns stay as they are.
+
+    Null and empty texts stay so. Rows that repeat an id are each redacted for themselves.
+    Columns may have any name; the only one read is ``text``. Empty table: no rows.
+    """
     forest = trained(findings) if findings is not None else default_forest()
 
     def run(batches):
