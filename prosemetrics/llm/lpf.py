@@ -32,7 +32,7 @@ from .hashing import between, prefix, slices
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text whose chunks share a bucket; bytes that a map step combines at once, and hashes at once.
-BUCKET, SLICE, SEGMENT = 4_000_000, 2_000_000, 1_000_000
+BUCKET, SLICE, SEGMENT = 2_000_000, 2_000_000, 1_000_000
 #: Anchors that this share of the documents holds, or this many of them, are split; the sample that finds them holds this many documents, and so many of each such anchor.
 HOT_SHARE, HOT_ROWS, SAMPLE, SEEN = 0.004, 500_000, 2_000, 8
 _LOW = np.uint64(0xFFFFFF)
@@ -143,20 +143,30 @@ def _reach(doc: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(rank * top + end) - rank * top
 
 
-def suffix_classes(raw: np.ndarray, length: int) -> np.ndarray:
-    """For each place, the rank of its ``length``-byte prefix among all (shorter ones at the end are padded), by prefix doubling."""
-    padded = np.concatenate([raw, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
-    n = len(raw)
-    word = np.zeros(n + length, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : j + n + length]
-    rank, done = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
-    while done < length:
-        step = min(done, length - done)
-        m = len(rank) - step
-        rank = np.unique((rank[:m] << np.uint64(32)) | rank[step:], return_inverse=True)[1].astype(np.uint64)
-        done += step
-    return rank[:n]
+def suffix_ranks(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For each place of ``at`` how many of them start a smaller string of ``length`` bytes; equal strings have equal ranks.
+
+    Strings are sorted by eight bytes at a time, each time only those that are still equal.
+    """
+    rank, tied = np.zeros(len(at), np.int64), np.arange(len(at))
+    width = min(8, length)
+    for offset in [*range(0, length - width, width), length - width]:
+        key = np.zeros(len(tied), np.uint64)
+        for j in range(width):
+            key = (key << np.uint64(8)) | raw[at[tied] + (offset + j)]
+        was = rank[tied]
+        order = np.lexsort((key, was)) if offset else np.argsort(key, kind="stable")
+        tied, key, was = tied[order], key[order], was[order]
+        group, own = np.ones(len(tied), bool), np.ones(len(tied), bool)
+        group[1:] = was[1:] != was[:-1]
+        own[1:] = group[1:] | (key[1:] != key[:-1])
+        place = np.arange(len(tied))
+        first = np.maximum.accumulate(np.where(own, place, 0))
+        rank[tied] = was + first - np.maximum.accumulate(np.where(group, place, 0))
+        tied = tied[~own | ~np.append(own[1:], True)]
+        if not len(tied):
+            break
+    return rank
 
 
 def shared_prefixes(raw: np.ndarray, at: np.ndarray, length: int, block: int = 20_000) -> np.ndarray:
@@ -204,7 +214,7 @@ def previous_factors(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, n:
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(sizes) - sizes, n) + step
     doc, start = np.repeat(doc, n), np.repeat(start, n) + step
-    order = np.lexsort((start, doc, suffix_classes(raw, length)[at]))
+    order = np.lexsort((start, doc, suffix_ranks(raw, at, length)))
     at, doc, start = at[order], doc[order], start[order]
     by_place = np.lexsort((start, doc))
     new = np.ones(len(at), bool)
