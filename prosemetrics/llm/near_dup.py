@@ -224,7 +224,7 @@ def bridges(members: DataFrame, labels: DataFrame, about: DataFrame, sets: DataF
     rows = members.filter("size > 2").join(labels, members["rid"] == labels["node"], "left").select("key", "rid", F.coalesce("component", "rid").alias("component"))
     per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     per = per.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1")
-    dealt = rows.join(per, "key")
+    dealt = rows.join(written(per), "key")  # written, so that Spark may split this join too
     blocks, chunks = (F.ceil(F.col(c) / HELD).cast("int") for c in ("total", "rest"))
     dealt = dealt.withColumn("rest", F.col("total") - F.col("most")).withColumns({"blocks": blocks, "query": F.col("component") != F.col("main")}).withColumn("chunks", chunks)
     some = lambda n: F.pmod(F.xxhash64("rid"), n.cast("long")).cast("int")
