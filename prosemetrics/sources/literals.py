@@ -10,23 +10,38 @@ from pyspark.sql import functions as F
 LEAST_WORDS, STAND_IN, LEAST_DOCSTRING = 4, "X", 30
 
 
+class _Strings(ast.NodeVisitor):
+    """Collects (line, rank, text): a formatted string before the plain ones of its line, outer ones before inner ones."""
+
+    def __init__(self):
+        self.found, self.level = [], 0
+
+    def generic_visit(self, node):
+        self.level += 1
+        super().generic_visit(node)
+        self.level -= 1
+
+    def visit_Constant(self, node):
+        if isinstance(node.value, str):
+            self.found.append((node.lineno, (1, self.level, len(self.found)), node.value))
+
+    def visit_JoinedStr(self, node):
+        holes = [v for v in node.values if not (isinstance(v, ast.Constant) and isinstance(v.value, str))]
+        self.found.append((node.lineno, (0, self.level, len(self.found)), "".join(STAND_IN if v in holes else v.value for v in node.values)))
+        self.level += 1
+        for hole in holes:
+            self.visit(hole)
+        self.level -= 1
+
+
 def literals(source: str | None) -> list[tuple[int, str]]:
     """(line, text) of every literal of LEAST_WORDS words or more; a formatted string counts once, its holes as STAND_IN."""
+    strings = _Strings()
     try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError):
+        strings.visit(ast.parse(source or ""))
+    except (SyntaxError, ValueError, RecursionError):
         return []
-    found, inside = [], set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.JoinedStr):
-            text = ""
-            for v in node.values:
-                plain = isinstance(v, ast.Constant) and isinstance(v.value, str)
-                text += v.value if plain else STAND_IN
-                inside.add(id(v))
-            found.append((node.lineno, text))
-    found += [(n.lineno, n.value) for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str) and id(n) not in inside]
-    return sorted(((n, t) for n, t in found if len(t.split()) >= LEAST_WORDS), key=lambda x: x[0])
+    return [(line, text) for line, _, text in sorted(strings.found) if len(text.split()) >= LEAST_WORDS]
 
 
 @F.udtf(returnType="line int, ord int, segment string")

@@ -2,45 +2,47 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("md", "txt", "rst", "py")
-_UNSURE = re.compile(r"\$\(|`|<<.*<<")
+# What makes the text of a command unsure.
+UNSURE, EXPANDS = r"\$\(|`|<<.*<<", r"[$`]"
+
+
+def _written(target: Column, text: Column, quoted: Column, sure: Column) -> Column:
+    """The write, or null if the shell would expand its text."""
+    return F.when(sure & (quoted | ~text.rlike(EXPANDS)), F.struct(target.alias("target"), text.alias("text")))
+
+
+def _here_document(command: Column, name: str) -> Column:
+    """``cat`` or ``tee`` fed by ``<<MARK``: the lines up to the one that is the mark alone."""
+    at = F.regexp_instr(command, F.lit(r"<<-?\s*(['\"]?)\w+\1"))
+    rest = F.substring(command, at, F.length(command))
+    head = F.concat(F.substring(command, F.lit(1), at - 1), F.regexp_extract(rest, r"\A[^\n]*", 0))
+    forms = []
+    for dash, tabs in (("-", r"\t*"), ("", "")):
+        form = rf"(?s)\A<<{dash}(?!-)\s*(['\"]?)(\w+)\1[^\n]*\n((?:.*?\n)??){tabs}\2\s*?(?:\n|\z)"
+        body = F.regexp_extract(rest, form, 3)
+        body = F.regexp_replace(body, r"(?m)^\t+", "") if dash else body
+        sure = (at > 0) & rest.rlike(form) & head.rlike(r"\b(?:cat|tee)\b") & head.rlike(rf"{name}\b")
+        forms.append(_written(F.regexp_extract(head, rf"({name})\b", 1), body, F.regexp_extract(rest, form, 1) != "", sure))
+    return F.coalesce(*forms)
 
 
-def shell_write(command: str | None, extensions=EXTENSIONS) -> tuple[str, str] | None:
-    """(target, text), or None if there is no write or its text depends on expansion."""
-    if not command or _UNSURE.search(command):
-        return None
+def _said(command: Column, name: str) -> Column:
+    """One quoted string of ``echo`` or ``printf``, redirected or piped into ``tee``."""
+    form = rf"\A\s*(?:echo|printf)\s+(?:-\w+\s+)?(['\"])(.*?)\1\s*(?:>>?\s*|\|\s*tee\s+(?:-\w+\s+)?)({name})\s*\z"
+    part = lambda i: F.regexp_extract(command, form, i)
+    return _written(part(3), part(2), part(1) == "'", command.rlike(form))
+
+
+def shell_write(command: Column, extensions=EXTENSIONS) -> Column:
+    """struct<target, text>; null if there is no write or its text depends on expansion."""
     name = rf"[^\s<>|;&]+\.(?:{'|'.join(extensions)})"
-    here = re.search(r"<<(-?)\s*(['\"]?)(\w+)\2", command)
-    if here:
-        head, _, rest = command.partition("\n") if "\n" not in command[: here.end()] else (command[: command.find("\n", here.end())], "\n", command[command.find("\n", here.end()) + 1 :])
-        target = re.search(rf"({name})\b", head)
-        tabs = r"\t*" if here[1] else ""
-        end = re.search(rf"^{tabs}{here[3]}\s*$", rest, re.M)
-        if re.search(r"\b(?:cat|tee)\b", head) and target and end:
-            body = rest[: end.start()]
-            if here[1]:
-                body = re.sub(r"^\t+", "", body, flags=re.M)
-            if here[2] or not re.search(r"[$`]", body):
-                return target[1], body
-        return None
-    said = re.match(rf"^\s*(?:echo|printf)\s+(?:-\w+\s+)?(['\"])(.*?)\1\s*(?:>>?|\|\s*tee\b\s*(?:-\w+\s+)?)\s*({name})\s*$", command)
-    if said and (said[1] == "'" or not re.search(r"[$`]", said[2])):
-        return said[3], said[2]
-    return None
+    return F.when(~command.rlike(UNSURE), F.coalesce(_here_document(command, name), _said(command, name)))
 
 
 def shell_writes(commands: DataFrame, *, command: str = "command") -> DataFrame:
     """``commands`` with target and text, both null where nothing can be told."""
-
-    @F.pandas_udf("struct<target:string,text:string>")
-    def of(c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shell_write(x) or (None, None) for x in c], columns=["target", "text"])
-
-    return commands.withColumn("_w", of(F.col(command))).withColumns({"target": F.col("_w.target"), "text": F.col("_w.text")}).drop("_w")
+    return commands.withColumn("_w", shell_write(F.col(command))).withColumns({"target": F.col("_w.target"), "text": F.col("_w.text")}).drop("_w")
