@@ -163,7 +163,7 @@ CHECKS: dict[str, str] = {
     "tautological_assert": _hits(CODE, _if(_has(r"^\s*assert\s+True\s*$", "s", ""), "t")),
     "constant_condition": _hits(CODE, _if(_has(r"^\s*(?:if\s+(True|False)|while\s+(False))\s*:\s*$", "s", ""), r"regexp_extract(s, '(True|False)')")),
     "safety_instruction": _SAFETY,
-    "length": _hits(SENTS, _if("len(regexp_extract_all(s, '\\S+')) > 25", "''")),
+    "length": _hits(SENTS, _if("len(regexp_extract_all(s, '\\S+')) > 20", "''")),
     "ing_form": _hits(SENTS, f"list_filter({_all(r'\b(\w+ing)\b', 1)}, lambda x: lower(x) NOT IN ({', '.join(map(q, (*C.ING_NOUNS, *C.ING_NEVER_VERBAL)))}))"),
     "perfect_tense": _hits(SENTS, f"list_transform({_all(r'\b(has|have|had)\s+been\b', 1)}, lambda x: x || ' been') || list_filter(list_transform({_all(r'\b(?:has|have|had)\s+\w+\b')}, lambda x: regexp_replace(x, '\\s+', ' ')), lambda x: regexp_matches(x, '(?i)ed$') AND NOT regexp_matches(x, '(?i) been$') OR list_contains([{', '.join(map(q, C.PARTICIPLES))}], lower(regexp_extract(x, ' (\\w+)$', 1))))"),
     "progressive": _hits(SENTS, f"list_transform({_all(C.PROGRESSIVE)}, lambda x: regexp_replace(x, '\\s+', ' '))"),

@@ -2,22 +2,87 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import glob_regex
+
 # Directories that a tree walk leaves out.
-SKIP_DIRS = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode")
+SKIP_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".idea", ".vscode", ".cache", "dist", "build", ".tox", "site-packages")
+
+
+def _walk(uri: str):
+    """(path, whether a folder) of what lies in a folder, names that start with a dot or an underscore too; junk folders left out."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(uri)
+    head = uri[: len(uri) - len(at)] if uri.endswith(at) else ""
+    for x in system.get_file_info(fs.FileSelector(at)):
+        if x.type == fs.FileType.Directory and x.base_name not in SKIP_DIRS:
+            yield head + x.path, True
+        elif x.type == fs.FileType.File:
+            yield head + x.path, False
+
+
+def tree_paths(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """path of every file below ``root`` (or ``root`` itself) but in junk folders, whose name matches the glob.
+
+    The driver lists the root; tasks walk the folders in it.
+    """
+    from pyarrow import fs
+
+    root = root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+    root = re.sub(r"^file:/*", "file:///", root)
+    system, at = fs.FileSystem.from_uri(root)
+    top = [(root, False)] if system.get_file_info(at).type == fs.FileType.File else list(_walk(root))
+
+    def below(batches):
+        for b in batches:
+            for start, is_dir in zip(b["path"], b["is_dir"]):
+                found, folders = ([], [start]) if is_dir else ([start], [])
+                while folders:
+                    for path, inner in _walk(folders.pop()):
+                        (folders if inner else found).append(path)
+                yield pd.DataFrame({"path": sorted(found)})
+
+    seeds = spark.createDataFrame(top, "path string, is_dir boolean")
+    paths = seeds.repartition(max(1, min(len(top), 1000))).mapInPandas(below, "path string")
+    return paths.filter(F.substring_index("path", "/", -1).rlike(glob_regex(glob))) if glob else paths
+
+
+def read_paths(paths: DataFrame) -> DataFrame:
+    """path, content (null if it can't be read) of the files in ``path``."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for path in b["path"]:
+                try:
+                    system, at = fs.FileSystem.from_uri(path)
+                    with system.open_input_stream(at) as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pd.DataFrame({"path": [path], "content": [content]})
+
+    return paths.select("path").mapInPandas(run, "path string, content binary")
 
 
 def scan_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path, text, state (ok, blank, unreadable) of every file below ``root`` but in junk directories."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root).select("path", "content")
-    below = F.replace(F.col("path"), F.lit(root.rstrip("/")), F.lit(""))
-    files = files.filter(~F.arrays_overlap(F.split(below, "/"), F.array(*[F.lit(d) for d in SKIP_DIRS])))
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
+    """path, text, state (ok, blank, unreadable) of every file below ``root`` but in junk directories.
+
+    Paths are listed and filtered first; only the survivors are read. Spark's own file
+    sources pass over names that start with a dot or an underscore, so they aren't used.
+    """
+    files = read_paths(tree_paths(spark, root, glob).repartition(F.col("path")))
+    ok = F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
     text = F.when(ok, F.col("content").cast("string"))
-    state = F.when(~ok, "unreadable").when(F.trim(F.regexp_replace(text, r"\s", "")) == "", "blank").otherwise("ok")
+    state = F.when(~ok, "unreadable").when(F.trim(F.regexp_replace(text, r"(?U)\s", "")) == "", "blank").otherwise("ok")
     return files.select("path", text.alias("text"), state.alias("state"))
 
 

@@ -16,6 +16,11 @@ from ..functions.patterns import all_matches, each, lookup, rx
 from pyspark.sql import functions as F
 
 
+# What a rule's level does.
+ACTIONS = {"suggestion": "warn", "warning": "warn", "error": "block"}
+PREFIX = "vale"
+
+
 class Refused(ValueError):
     """The rule uses what this engine does not do."""
 
@@ -25,7 +30,7 @@ class Rule:
     name: str
     extends: str = ""
     message: str = ""
-    level: str = "warning"
+    level: str = "suggestion"
     ignorecase: bool = False
     nonword: bool = False
     tokens: list[str] = field(default_factory=list)
@@ -74,8 +79,19 @@ def parse(name: str, text: str) -> Rule:
     return rule
 
 
-def convert(rule: Rule, spark: SparkSession | None = None) -> Check:
-    """The rule as a sentence check; ``spark`` compiles the pattern in Java, else Python's own compiler must do."""
+def catches_and_remedy(message: str) -> tuple[str, str]:
+    """A message in two at its first colon: what is caught, and what to do instead."""
+    caught, _, instead = message.replace("%s", "this").strip().partition(":")
+    return caught.strip(), instead.strip() if ":" in message else "rewrite it"
+
+
+def convert(rule: Rule, spark: SparkSession | None = None, prefix: str = PREFIX) -> Check:
+    """The rule as a sentence check that reports the first match of a sentence.
+
+    ``spark`` compiles the pattern in Java, else Python's own compiler must do.
+    """
+    if rule.level.lower() not in ACTIONS:
+        raise Refused(f"{rule.name}: unknown level {rule.level!r}")
     if rule.extends not in ("existence", "substitution"):
         raise Refused(f"{rule.name}: extends {rule.extends or 'nothing'}")
     odd = set(rule.other) - {"link", "description", "scope", "limit", "action"}
@@ -96,25 +112,33 @@ def convert(rule: Rule, spark: SparkSession | None = None) -> Check:
             raise Refused(f"{rule.name}: the pattern does not compile") from e
     else:
         re.compile(pattern)
-    swap = {k.lower(): v for k, v in rule.swap.items()}
+    swap = rule.swap
+
+    _, remedy = catches_and_remedy(rule.message)
 
     def find(s, _):
-        to = (lambda w: F.coalesce(lookup(swap, F.lower(w)), F.lit(None))) if swap else None
-        return each(all_matches(s, pattern, rule.ignorecase), rule=f"imported.{rule.name}", note=rule.message, replacement=to)
+        first = F.slice(all_matches(s, pattern, rule.ignorecase), 1, 1)
+        if not swap:
+            return each(first, rule=f"imported.{rule.name}", note=remedy)
+        to = lambda w: F.coalesce(lookup(swap, w), lookup(swap, F.lower(w)))
+        note = lambda w: F.coalesce(F.concat(F.lit("use '"), to(w), F.lit("' instead")), F.lit("rephrase it"))
+        return each(first, rule=f"imported.{rule.name}", note=note, replacement=to)
 
-    return Check(check_id(rule.name), "SENTENCE", find, action="block" if rule.level == "error" else "warn")
+    return Check(check_id(rule.name, prefix), "SENTENCE", find, action=ACTIONS[rule.level.lower()])
 
 
-def check_id(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()).strip("_")
+def check_id(name: str, prefix: str = PREFIX) -> str:
+    """In snake case, behind the prefix of its package; an empty prefix adds nothing."""
+    snake = re.sub(r"[^a-z0-9_]+", "_", re.sub(r"\B(?=[A-Z])", "_", name).lower()).strip("_")
+    return f"{prefix}_{snake}" if prefix else snake
 
 
-def import_rules(files: list[tuple[str, str]], spark: SparkSession | None = None) -> tuple[list[Check], list[tuple[str, str]]]:
+def import_rules(files: list[tuple[str, str]], spark: SparkSession | None = None, prefix: str = PREFIX) -> tuple[list[Check], list[tuple[str, str]]]:
     """Checks from (name, text) pairs, and (name, reason) of the rules that were refused."""
     done, refused = [], []
     for name, text in files:
         try:
-            done.append(convert(parse(name, text), spark))
+            done.append(convert(parse(name, text), spark, prefix))
         except (Refused, re.error) as e:
             refused.append((name, str(e)))
     return done, refused
