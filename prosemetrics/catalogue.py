@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from .checks import controlled, prose
-from .operators import corpus, embedded, experiment, fix, history, lint, routing, structure, terms, vocabulary
+from .operators import config, corpus, embedded, experiment, fix, history, lint, routing, structure, terms, vocabulary
 from .plans import oracles as O
 from .plans.derived import LEXICON, derived, derived_sql
 from .plans.registry import TERM_LISTS, built_in_terms, check_table, ruleset, rulesets, term_lists
@@ -139,8 +139,11 @@ def html_paragraphs_nested(spark, sf_dir):
 # --- corpus analytics ---------------------------------------------------------------------
 def _flagged(spark, docs, keep=FLAGSHIP):
     checks = check_table(spark, "controlled").filter(F.col("check_id").isin(*keep))
-    found = lint.dedup(lint.flags(docs.select("doc_id", "text"), "controlled", disabled=_only("controlled", keep)), "controlled")
-    return found, checks
+    return lint.merged_flags(docs.select("doc_id", "text"), "controlled", disabled=_only("controlled", keep)), checks
+
+
+def _activity(docs, keep, by=()):
+    return corpus.activity_of(docs, "controlled", by, disabled=_only("controlled", keep))
 
 
 def _sentences_cte(where: str = "") -> str:
@@ -220,18 +223,18 @@ _WHOLE = tuple(c.id for c in ruleset("controlled").checks if c.id != "vocabulary
 
 def activity_whole(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return corpus.activity(docs, *_flagged(spark, docs, _WHOLE), ("lang", "source")).select("lang", "source", "check_id", "hits", "files", "words", "documents")
+    return _activity(docs, _WHOLE, ("lang", "source")).select("lang", "source", "check_id", "hits", "files", "words", "documents")
 
 
 def flag_share_whole(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return corpus.activity(docs, *_flagged(spark, docs, _WHOLE)).select("check_id", "hits", "share")
+    return _activity(docs, _WHOLE).select("check_id", "hits", "share")
 
 
 def _compared_whole(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     docs = docs.withColumn("control", F.when(F.col("quality") == 1, F.concat(F.lit("c"), F.pmod("doc_id", F.lit(3)).cast("string"))).otherwise("measured"))
-    act = corpus.activity(docs, *_flagged(spark, docs, _WHOLE), ("control",))
+    act = _activity(docs, _WHOLE, ("control",))
     return corpus.compare(act.filter("control = 'measured'").drop("control"), act.filter("control <> 'measured'"), ("control",))
 
 
@@ -267,7 +270,7 @@ _MERGED_SQL = f"""{O.SENTS}, raw AS (SELECT doc_id, 'vague_intensifier' AS kind,
 
 
 def _intense(spark, sf_dir):
-    return lint.dedup(lint.flags(derived(spark, sf_dir, "sentences"), "prose", disabled=_only("prose", _INTENSE)), "prose")
+    return lint.merged_flags(derived(spark, sf_dir, "sentences"), "prose", disabled=_only("prose", _INTENSE))
 
 
 def dedup_flags(spark, sf_dir):
@@ -280,6 +283,12 @@ def _strict(spark):
 
 
 def gate_decision(spark, sf_dir):
+    docs = derived(spark, sf_dir, "sentences")
+    return lint.gate_documents(docs, "prose", config=_strict(spark), disabled=_only("prose", _INTENSE)).select("doc_id", "kind", "weight", "blocks")
+
+
+def gate_merged(spark, sf_dir):
+    """The same, from flags that are rows already."""
     return lint.gate(_intense(spark, sf_dir), _strict(spark)).select("doc_id", "kind", "weight", "blocks")
 
 
@@ -287,10 +296,60 @@ _GATE_SQL = f"{_MERGED_SQL} SELECT doc_id, kind, sum(n)::BIGINT AS weight, sum(n
 
 
 def lint_status(spark, sf_dir):
+    return lint.lint(derived(spark, sf_dir, "sentences"), "prose", config=_strict(spark), disabled=_only("prose", _INTENSE))
+
+
+def dedup_rows(spark, sf_dir):
+    """``dedup_flags``, merged by a shuffle from flags that are rows already."""
+    m = lint.dedup(lint.flags(derived(spark, sf_dir, "sentences"), "prose", disabled=_only("prose", _INTENSE)), "prose")
+    return m.select("doc_id", "kind", "bucket", F.lower("label").alias("label"), F.coalesce("occurrences", F.lit(1)).cast("long").alias("n"))
+
+
+def verdicts_merged(spark, sf_dir):
     docs = derived(spark, sf_dir, "sentences")
     return lint.verdicts(docs, _intense(spark, sf_dir), _strict(spark))
 
 
+#: Files made of the derived texts: every fifth is out of scope, every seventh of no rule; of the others, blog/ has no adverb check.
+_SCAN_RULES = [{"glob": "vendor/*", "ruleset": None}, {"glob": "blog/*.md", "ruleset": "prose", "disable": ["stock_adverb"]}, {"glob": "*.md", "ruleset": "prose"}]
+
+
+def _scan_files(spark, sf_dir):
+    folder = F.when(F.col("doc_id") % 5 == 0, "vendor/").when(F.col("doc_id") % 2 == 0, "blog/").otherwise("docs/")
+    path = F.concat(folder, F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".html").otherwise(".md"))
+    return derived(spark, sf_dir, "sentences").select(path.alias("path"), "text")
+
+
+def _scan(spark, sf_dir):
+    overrides = spark.createDataFrame([("vague_intensifier", "blog/*.md", "threshold", "2"), *[(c, None, "action", "block") for c in _INTENSE]], "check_id string, glob string, field string, value string")
+    return routing.lint_routed(_scan_files(spark, sf_dir), _SCAN_RULES, overrides, {"prose": _only("prose", _INTENSE)})
+
+
+def scan_routed(spark, sf_dir):
+    """Path to rule, ruleset, disabled checks and thresholds, then the verdict of each file."""
+    return _scan(spark, sf_dir)
+
+
+def scan_counts(spark, sf_dir):
+    return routing.routed_summary(_scan(spark, sf_dir))
+
+
+_SCAN_CTE = f"""{_MERGED_SQL}, f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'vendor/' WHEN doc_id % 2 = 0 THEN 'blog/' ELSE 'docs/' END AS folder, CASE WHEN doc_id % 7 = 0 THEN '.html' ELSE '.md' END AS ext FROM docs),
+    r AS (SELECT *, folder || doc_id || ext AS path, CASE WHEN folder = 'vendor/' THEN 0 WHEN ext <> '.md' THEN NULL WHEN folder = 'blog/' THEN 1 ELSE 2 END AS rule_ord FROM f),
+    m AS (SELECT r.*, kind, bucket, label, n FROM r LEFT JOIN merged USING (doc_id) WHERE rule_ord > 0 AND NOT (rule_ord = 1 AND coalesce(kind, '') = 'stock_adverb') OR kind IS NULL),
+    k AS (SELECT path, kind, sum(n) >= CASE WHEN rule_ord = 1 AND kind = 'vague_intensifier' THEN 2 ELSE 1 END AS b FROM m WHERE bucket = 'semantic' AND rule_ord > 0 GROUP BY path, kind, rule_ord),
+    c AS (SELECT path, count(*) FILTER (bucket = 'semantic') AS semantic, count(*) FILTER (bucket = 'mechanical') AS mechanical FROM m WHERE rule_ord > 0 GROUP BY path), w AS (SELECT path, bool_or(b) AS would_block FROM k GROUP BY path),
+    v AS (SELECT path, rule_ord, CASE WHEN rule_ord > 0 THEN 'prose' END AS ruleset, CASE WHEN rule_ord IS NULL OR rule_ord = 0 THEN 'out_of_scope' WHEN coalesce(semantic, 0) > 0 THEN 'semantic_flags' WHEN coalesce(mechanical, 0) > 0 THEN 'mechanical_violations' ELSE 'clean' END AS status,
+        coalesce(semantic, 0)::BIGINT AS semantic, coalesce(mechanical, 0)::BIGINT AS mechanical, coalesce(would_block, false) AS would_block FROM r LEFT JOIN c USING (path) LEFT JOIN w USING (path))"""
+_SCAN_COUNTS = "SELECT count(*) FILTER (status <> 'out_of_scope') AS scanned, count(*) FILTER (status = 'out_of_scope') AS out_of_scope, 0::BIGINT AS blank, count(*) FILTER (status = 'clean') AS clean, count(*) FILTER (status IN ('semantic_flags', 'mechanical_violations') AND NOT would_block) AS with_notes, count(*) FILTER (would_block) AS failed FROM v"
+
+
+def lint_rulesets_documents(spark, sf_dir):
+    """Verdicts of all three rulesets, whole, on all documents, by path: a source's number chooses the ruleset."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".py"), F.lit(".txt")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))).alias("path"), "text")
+    return routing.lint_routed(docs, [{"glob": "*.txt", "ruleset": "controlled"}, *routing.DEFAULT_RULES])
+
+
 _STATUS_SQL = f"""{_MERGED_SQL}, counts AS (SELECT doc_id, count(*) FILTER (bucket = 'semantic') AS semantic, count(*) FILTER (bucket = 'mechanical') AS mechanical FROM merged GROUP BY doc_id),
     blk AS (SELECT doc_id, bool_or(b) AS would_block FROM (SELECT doc_id, sum(n) >= CASE WHEN kind = 'vague_intensifier' THEN 2 ELSE 1 END AS b FROM merged WHERE bucket = 'semantic' GROUP BY doc_id, kind) GROUP BY doc_id)
     SELECT d.doc_id, CASE WHEN coalesce(semantic, 0) > 0 THEN 'semantic_flags' WHEN coalesce(mechanical, 0) > 0 THEN 'mechanical_violations' ELSE 'clean' END AS status, coalesce(semantic, 0)::BIGINT AS semantic, coalesce(mechanical, 0)::BIGINT AS mechanical, coalesce(would_block, false) AS would_block FROM docs d LEFT JOIN counts USING (doc_id) LEFT JOIN blk USING (doc_id)"""
@@ -324,6 +383,70 @@ _ROUTE_SQL = """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', 'ht
     SELECT page_id, min(ord)::INT AS rule_ord, arg_min_null(rs, ord) AS ruleset FROM p LEFT JOIN r ON regexp_matches(path, pat) GROUP BY page_id"""
 
 
+_PACK_RULES = [{"glob": "*/fr/*", "ruleset": "prose", "packs": {"weasel_attribution": ["law"], "terminology": ["law", "web"]}}, {"glob": "*page=?", "ruleset": "controlled", "packs": {"project_terms": ["web"]}}, {"glob": "*/en/*", "ruleset": None}]
+
+
+def packs_for_path(spark, sf_dir):
+    """Packs that the first matching rule binds to each page, over all lists and for one."""
+    paths = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "http/").alias("path"))
+    out = config.packs_for_path(paths, _PACK_RULES).withColumnRenamed("packs", "every").drop("rule_ord")
+    return config.packs_for_path(out, _PACK_RULES, "terminology").select("page_id", F.array_join("every", ",").alias("every"), F.array_join("packs", ",").alias("terminology"))
+
+
+_PACKS_SQL = """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', 'http/') AS path FROM pages) SELECT page_id, CASE WHEN path LIKE '%/fr/%' THEN 'law,web' WHEN path LIKE '%page=_' THEN 'web' ELSE '' END AS every, CASE WHEN path LIKE '%/fr/%' THEN 'law,web' ELSE '' END AS terminology FROM p"""
+
+
+def _part_rules(spark, sf_dir):
+    """A rule a part: odd ones carry what belongs to another ruleset."""
+    n = F.col("p_partkey")
+    part = _table(spark, sf_dir, "part").select(n.cast("int").alias("ord"), F.concat(F.lit("*"), n.cast("string"), F.lit(".py")).alias("glob"), F.when(n % 4 != 3, F.element_at(F.array(F.lit("prose"), F.lit("code"), F.lit("controlled")), (n % 3 + 1).cast("int"))).alias("ruleset"), F.create_map(F.when(n % 2 == 0, "generic_naming").otherwise("terminology"), F.array("p_name")).alias("packs"), F.array(F.when(n % 2 == 0, "passive").otherwise("print_debug")).alias("disable"), F.when(n % 5 == 0, "controlled").alias("embedded_prose"))
+    return part, check_table(spark), term_lists(spark)
+
+
+def orphaned_extras(spark, sf_dir):
+    found = config.orphaned_extras(*_part_rules(spark, sf_dir))
+    return found.select("glob", F.array_join(F.map_keys("packs"), ",").alias("packs"), F.array_join("disable", ",").alias("disable"))
+
+
+_PART_RULES_SQL = """WITH r AS (SELECT p_partkey AS n, '*' || p_partkey || '.py' AS "glob", CASE WHEN p_partkey % 4 <> 3 THEN (['prose', 'code', 'controlled'])[p_partkey % 3 + 1] END AS rs, CASE WHEN p_partkey % 2 = 0 THEN 'generic_naming' ELSE 'terminology' END AS pack, CASE WHEN p_partkey % 2 = 0 THEN 'passive' ELSE 'print_debug' END AS dis, p_partkey % 5 = 0 AS emb FROM part),
+    j AS (SELECT *, (pack = 'generic_naming' AND rs = 'code') OR (pack = 'terminology' AND rs = 'prose') AS pack_fits, (dis = 'passive' AND (rs = 'controlled' OR emb)) OR (dis = 'print_debug' AND rs = 'code') AS dis_fits FROM r)"""
+_ORPHANS_SQL = f"{_PART_RULES_SQL} SELECT \"glob\", CASE WHEN NOT pack_fits THEN pack END AS packs, CASE WHEN NOT dis_fits THEN dis END AS disable FROM j WHERE rs IS NOT NULL AND NOT (pack_fits AND dis_fits)"
+
+
+def saved_rules(spark, sf_dir):
+    """The part rules saved anew, every third with another ruleset and none with extras of its own."""
+    old, checks, lists = _part_rules(spark, sf_dir)
+    moved = F.when(F.col("ord") % 3 == 0, "code").otherwise(F.col("ruleset"))
+    new = old.select("ord", "glob", moved.alias("ruleset"), F.lit(None).cast("map<string,array<string>>").alias("packs"), F.lit(None).cast("array<string>").alias("disable"), F.lit(None).cast("string").alias("embedded_prose"))
+    return config.save_rules(new, old, checks, lists).select("glob", "ruleset", F.array_join(F.map_keys("packs"), ",").alias("packs"), F.array_join("disable", ",").alias("disable"), "embedded_prose")
+
+
+_SAVED_SQL = """WITH r AS (SELECT p_partkey AS n, '*' || p_partkey || '.py' AS "glob", CASE WHEN p_partkey % 4 <> 3 THEN (['prose', 'code', 'controlled'])[p_partkey % 3 + 1] END AS was, CASE WHEN p_partkey % 2 = 0 THEN 'generic_naming' ELSE 'terminology' END AS pack, CASE WHEN p_partkey % 2 = 0 THEN 'passive' ELSE 'print_debug' END AS dis, CASE WHEN p_partkey % 5 = 0 THEN 'controlled' END AS emb FROM part),
+    m AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'code' ELSE was END AS rs FROM r), j AS (SELECT *, rs IS NOT DISTINCT FROM was AS same, (pack = 'generic_naming' AND rs = 'code') OR (pack = 'terminology' AND rs = 'prose') AS pack_fits, (dis = 'passive' AND (rs = 'controlled' OR emb IS NOT NULL)) OR (dis = 'print_debug' AND rs = 'code') AS dis_fits FROM m)
+    SELECT "glob", rs AS ruleset, CASE WHEN same OR pack_fits THEN pack END AS packs, CASE WHEN same OR dis_fits THEN dis END AS disable, emb AS embedded_prose FROM j"""
+
+
+def enablement(spark, sf_dir):
+    """Replace against merge: what each leaves on, by check."""
+    every = check_table(spark)
+    merge = config.enable(config.enable_exactly(every, ["passive", "modal", "print_debug"]), {"modal": False, "filler_verb": True})
+    return merge.filter("enabled").select("ruleset", "check_id")
+
+
+_ENABLED_SQL = "SELECT * FROM (VALUES ('controlled', 'passive'), ('code', 'print_debug'), ('prose', 'filler_verb')) t(ruleset, check_id)"
+
+
+def custom_feeds(spark, sf_dir):
+    """Terms in force by check, where a list of one's own feeds a check besides the built-in lists."""
+    lists = config.add_term_list(term_lists(spark), "prose", "house_style", feeds="terminology")
+    own = _table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.lit("prose").alias("ruleset"), F.lit("house_style").alias("list_id"), F.lower("p_name").alias("term"))
+    fed = config.extra_by_check(own.unionByName(own.withColumn("list_id", F.lit("unread"))), lists)
+    return fed.select("ruleset", "check_id", F.size("terms").alias("terms"))
+
+
+_FEEDS_SQL = "SELECT 'prose' AS ruleset, 'terminology' AS check_id, count(DISTINCT lower(p_name))::INT AS terms FROM part WHERE p_partkey % 10 = 0"
+
+
 def _layers(spark, sf_dir):
     """A vocabulary made of the parts' names: types are lists, brands packs."""
     part = _table(spark, sf_dir, "part").withColumn("term", F.lower("p_name"))
@@ -519,6 +642,11 @@ _FIX_SQL = f"""{O.SENTS}, a AS (SELECT doc_id, i, regexp_replace(regexp_replace(
     SELECT doc_id, string_agg(upper(substr(t, 1, 1)) || substr(t, 2), ' ' ORDER BY i) AS fixed FROM b GROUP BY doc_id"""
 
 
+def fix_documents(spark, sf_dir):
+    """The prose fixes on all documents, block by block."""
+    return fix.fix(_table(spark, sf_dir, "documents")).select("doc_id", F.sha2("fixed", 256).alias("fixed_sha256"), F.length("fixed").alias("characters"))
+
+
 def fix_controlled(spark, sf_dir):
     return fix.fix(derived(spark, sf_dir, "sentences"), "controlled").select("doc_id", "fixed")
 
@@ -549,9 +677,9 @@ def import_rules(spark, sf_dir):
     return found.groupBy("doc_id", "label", "replacement").agg(F.count("*").alias("hits"))
 
 
-_IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, unnest(regexp_extract_all(s, '(?i)\\b(?:robust|late)\\b')) AS label FROM sents) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
+_IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, regexp_extract(s, '(?i)\\b(?:robust|late)\\b') AS label FROM sents WHERE regexp_matches(s, '(?i)\\b(?:robust|late)\\b')) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
 
-_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, gate_decision, lint_status, lint_status_documents, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
+_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, dedup_rows, gate_decision, gate_merged, lint_status, verdicts_merged, lint_status_documents, lint_rulesets_documents, scan_routed, scan_counts, packs_for_path, orphaned_extras, saved_rules, enablement, custom_feeds, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_documents, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
 
 
 def queries():
@@ -567,6 +695,8 @@ def oracle_sql():
         "activity_by_lang": _ACTIVITY_SQL, "flag_share": _SHARE_SQL, "compare_quality": f"{_COMPARED} SELECT * FROM cmp", "consensus_quality": f"{_COMPARED} {_CONSENSUS}", "calibration": f"{_COMPARED} {_CALIBRATION}",
         "kind_counts": f"WITH docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_sentences_cte()} SELECT k AS kind, count(*) AS flags FROM merged GROUP BY k", "manifest": _MANIFEST_SQL,
         "sentence_split": _SENTENCE_SQL, "word_counts": _WORDS_SQL, "text_shape": _SHAPE_SQL, "blocks": _BLOCKS_SQL, "html_paragraphs": _HTML_SQL, "vocabulary_join": _VOCABULARY_SQL,
+        "dedup_rows": f"{_MERGED_SQL} SELECT doc_id, kind, bucket, label, n FROM merged", "gate_merged": _GATE_SQL, "verdicts_merged": _STATUS_SQL, "scan_routed": f"{_SCAN_CTE} SELECT * FROM v", "scan_counts": f"{_SCAN_CTE} {_SCAN_COUNTS}",
+        "packs_for_path": _PACKS_SQL, "orphaned_extras": _ORPHANS_SQL, "saved_rules": _SAVED_SQL, "enablement": _ENABLED_SQL, "custom_feeds": _FEEDS_SQL,
         "dedup_flags": f"{_MERGED_SQL} SELECT doc_id, kind, bucket, label, n FROM merged", "gate_decision": _GATE_SQL, "lint_status": _STATUS_SQL, "ratchet": _RATCHET_SQL, "route_first_match": _ROUTE_SQL,
         "terms_resolve": f"{_TERMS_CTE} SELECT * FROM res", "term_layer_counts": _LAYER_SQL, "check_dimension": _DIM_SQL, "complement_checks": f"SELECT ruleset, check_id FROM ({_DIM_SQL}) WHERE action <> 'block'",
         "remedies": "SELECT * FROM (VALUES " + _values([(r, f, l, p) for r, l, f, _, p, _, _ in TERM_LISTS]) + ") t(ruleset, check_id, list_id, polarity)",

@@ -33,7 +33,7 @@ def _files(spark: SparkSession, paths: list[str], glob: str | None = None) -> Da
 
 
 def _merged(docs: DataFrame, rules: str) -> DataFrame:
-    return lint.dedup(lint.flags(docs, rules), rules)
+    return lint.merged_flags(docs, rules)
 
 
 def _show(df: DataFrame, as_json: bool) -> None:
@@ -49,20 +49,35 @@ def run(argv: list[str], spark: SparkSession) -> int:
     top = argparse.ArgumentParser(prog="prosemetrics", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     top.add_argument("command", choices=("lint", "scan", "decay", "fix", "checks", "rules", "precommit", "terms", "packs", "import", "status", "list-rulesets", "rule-checks"))
     top.add_argument("paths", nargs="*")
-    top.add_argument("--ruleset", default="prose")
+    top.add_argument("--ruleset", help="force it on every file; else, for lint and scan, a file's rule chooses")
+    top.add_argument("--rules", help="JSON file of a configuration; the default rules if there is none")
     top.add_argument("--glob")
     top.add_argument("--against", action="append", default=[])
     top.add_argument("--calibrate", action="store_true")
     top.add_argument("--headroom", type=float, default=1.0)
     top.add_argument("--json", action="store_true")
     a = top.parse_args(argv)
-    rules, show = ruleset(a.ruleset).id, lambda df: _show(df, a.json)
-    if a.command == "lint":
+    rules, show = ruleset(a.ruleset or "prose").id, lambda df: _show(df, a.json)
+    given = json.loads(pathlib.Path(a.rules).read_text()) if a.rules else {}
+    routes = given.get("rulesets", [*routing.DEFAULT_RULES])
+    if a.command == "lint" and not a.ruleset:
+        routed = routing.route(_files(spark, a.paths, a.glob), routes, path="doc_id")
+        for name in sorted({r["ruleset"] for r in routes if r.get("ruleset")}):
+            found = lint.merged_flags(routed.filter(F.col("ruleset") == name), name, keep=("rule_ord",))
+            off = tuple((given.get("disabled_checks") or {}).get(name, ()))
+            show(lint.display(routing.drop_disabled(found, routes, off)).orderBy("doc_id", *lint.ORDER).select("doc_id", "kind", "display", "bucket", "occurrences"))
+    elif a.command == "lint":
         show(lint.display(_merged(_files(spark, a.paths, a.glob), rules)).orderBy("doc_id", *lint.ORDER).select("doc_id", "kind", "display", "bucket", "occurrences"))
     elif a.command == "scan":
         docs = _files(spark, a.paths, a.glob)
+        if not a.ruleset:
+            verdicts = routing.lint_routed(docs.withColumnRenamed("doc_id", "path"), routes, disabled=given.get("disabled_checks"))
+            show(routing.routed_summary(verdicts))
+            failed = verdicts.filter("would_block")
+            show(failed.orderBy("path"))
+            return int(failed.limit(1).count() > 0)
         merged = _merged(docs, rules).persist()
-        verdicts = lint.verdicts(docs, merged, check_table(spark, rules))
+        verdicts = lint.lint(docs, rules)
         show(corpus.scan_summary(verdicts))
         show(corpus.kind_counts(merged))
         merged.unpersist()
@@ -109,8 +124,7 @@ def run(argv: list[str], spark: SparkSession) -> int:
     elif a.command == "list-rulesets":
         show(check_table(spark).groupBy("ruleset").agg(F.count("*").alias("checks")).orderBy("ruleset"))
     elif a.command == "rule-checks":
-        given = json.loads(pathlib.Path(a.paths[0]).read_text())
-        show(routing.explain(spark, a.paths[1], given, check_table(spark)))
+        show(routing.explain(spark, a.paths[1], json.loads(pathlib.Path(a.paths[0]).read_text()), check_table(spark)))
     return 0
 
 

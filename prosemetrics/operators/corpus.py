@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checks.base import Ruleset
+from ..plans.registry import ruleset
+from .lint import flag_arrays, merged_array
 from .structure import blank_words
 
 DISCRIMINATES, BACKWARDS = 2.0, 0.5
@@ -32,6 +35,33 @@ def activity(docs: DataFrame, merged: DataFrame, checks: DataFrame, by: tuple[st
     return out.select(*by, "check_id", "kind", "hits", "files", "words", "documents", rate.alias("per_1k"), share.alias("share"))
 
 
+def activity_of(docs: DataFrame, rules: str | Ruleset = "prose", by: tuple[str, ...] = (), context: dict | None = None, *, key: str = "doc_id", text: str = "text", include_mechanical: bool = False, **options) -> DataFrame:
+    """``activity`` of ``docs``, from one pass over them and one small shuffle.
+
+    A document gives a row for each check that fired and one for its words; tasks add them
+    up before the shuffle, so that holds by corpus and check. Checks left out by
+    ``disabled`` have no row.
+    """
+    declared, by = ruleset(rules), [*by]
+    off = set(options.get("disabled", ()))
+    with_words = docs.withColumn("_words", blank_words(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+    found = flag_arrays(with_words, declared, context, key=key, text=text, keep=(*by, "_words"), **options)
+    kinds = F.transform(F.filter(merged_array(F.col("found"), declared), lambda m: F.lit(include_mechanical) | ~m["flag"]["mechanical"]), lambda m: m["flag"]["kind"])
+    per = F.transform(F.array_distinct("kinds"), lambda k: F.struct(k.alias("check_id"), F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias("hits"), F.lit(0).cast("long").alias("words")))
+    own = F.struct(F.lit(None).cast("string").alias("check_id"), F.lit(0).cast("long").alias("hits"), F.col("_words").alias("words"))
+    rows = found.select(*by, "_words", kinds.alias("kinds")).select(*by, F.explode(F.concat(F.array(own), per)).alias("r")).select(*by, "r.*")
+    sums = rows.groupBy(*by, "check_id").agg(F.sum("hits").alias("hits"), F.count("*").alias("files"), F.sum("words").alias("words"))
+    # A corpus becomes one row: its totals, and a map of the checks that fired.
+    some = F.col("check_id").isNotNull()
+    corpora = sums.groupBy(*by).agg(F.sum("words").alias("words"), F.sum(F.when(~some, F.col("files")).otherwise(0)).alias("documents"), F.map_from_entries(F.collect_list(F.when(some, F.struct("check_id", F.struct("hits", "files").alias("n"))))).alias("fired"))  # one entry a check
+    dim = F.array(*[F.struct(F.lit(c.id).alias("check_id"), F.lit(c.kind).alias("kind")) for c in declared.checks if c.id not in off])
+    out = corpora.filter("documents > 0").select(*by, "words", "documents", "fired", F.explode(dim).alias("c")).select(*by, "words", "documents", "c.*", F.try_element_at("fired", F.col("c.check_id")).alias("n"), F.aggregate(F.map_values("fired"), F.lit(0).cast("long"), lambda a, x: a + x["hits"]).alias("all_hits"))
+    out = out.withColumns({"hits": F.coalesce("n.hits", F.lit(0)), "files": F.coalesce("n.files", F.lit(0))})
+    rate = F.coalesce(F.round(F.try_divide(F.col("hits") * 1000.0, F.col("words")), 2), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("all_hits")), F.lit(0.0))
+    return out.select(*by, "check_id", "kind", "hits", "files", "words", "documents", rate.alias("per_1k"), share.alias("share"))
+
+
 def compare(measured: DataFrame, control: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """check_id, by, per_1k, control_per_1k, ratio, verdict. ``by``: columns of ``control`` that make several controls.
 
@@ -74,12 +104,26 @@ def kind_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("kind").agg(F.count("*").alias("flags")).orderBy(F.desc("flags"), "kind")
 
 
-def manifest(docs: DataFrame, label: str = "source", text: str = "text", order: str = "doc_id") -> DataFrame:
-    """One row a source: documents, words, sha256 over the digests of its labelled texts in order of the id.
+#: Documents whose digests one task joins.
+MANIFEST_RANGE = 10_000
+
+
+def manifest(docs: DataFrame, label: str = "source", text: str = "text", order: str = "doc_id", per_range: int = MANIFEST_RANGE) -> DataFrame:
+    """One row a source: documents, words, sha256 of its labelled texts in order of the id.
 
-    A digest a row keeps the ordered list small; it holds 64 characters a document.
+    Digests of the texts are ranked within their source and hashed in ranges of
+    ``per_range``; where a source has several ranges, sha256 is that of the ranges' digests.
+    So no task holds more than ``per_range`` digests, or one digest a range.
     """
     one = F.sha2(F.concat(F.coalesce(F.col(label), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 256)
-    rows = docs.select(F.col(label).alias("source"), F.struct(F.col(order).alias("o"), one.alias("d")).alias("x"), blank_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    out = rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("w").cast("long").alias("words"), F.array_sort(F.collect_list("x")).alias("xs"))
-    return out.select("source", "documents", "words", F.sha2(F.array_join(F.transform("xs", lambda x: x["d"]), ""), 256).alias("sha256"))
+    rows = docs.select(F.col(label).alias("source"), F.col(order).alias("o"), one.alias("d"), blank_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    totals = rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("w").cast("long").alias("words"))
+    # Ids in ranges of like size: the quantiles of a mergeable sketch cut them, equal ids stay together.
+    cuts = rows.groupBy("source").agg(F.count("*").alias("n"), F.percentile_approx("o", [i / 1000 for i in range(1, 1000)], 10_000).alias("at"))
+    step = F.greatest(F.lit(1), F.ceil(F.lit(1000.0) * per_range / F.col("n")))
+    cuts = cuts.select(F.col("source").alias("of"), F.when(F.col("n") > per_range, F.array_distinct(F.filter("at", lambda x, i: (i + 1) % step == 0))).otherwise(F.array().cast(cuts.schema["at"].dataType)).alias("cuts"))
+    placed = rows.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("o"))))  # one row a source
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["d"]), ""), 256)
+    ranges = placed.groupBy("source", "range").agg(joined(F.struct("o", "d")).alias("d"))
+    whole = ranges.groupBy(F.col("source").alias("of")).agg(F.when(F.count("*") == 1, F.first("d")).otherwise(joined(F.struct("range", "d"))).alias("sha256"))
+    return totals.join(whole, F.col("source").eqNullSafe(F.col("of"))).select("source", "documents", "words", "sha256")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.literals import prose_segments
-from .lint import dedup, flags, gate
+from .lint import gate, merged_flags
 
 
 def embedded_flags(files: DataFrame, rules: str = "prose", *, key: str = "path", text: str = "text") -> DataFrame:
@@ -16,7 +16,7 @@ def embedded_flags(files: DataFrame, rules: str = "prose", *, key: str = "path",
     """
     parts = prose_segments(files, key=key, text=text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "ord", F.col("segment")))).alias("segments"))
     docs = parts.withColumn("joined", F.array_join(F.transform("segments", lambda s: s["segment"]), "\n\n"))
-    merged = dedup(flags(docs, rules, key=key, text="joined"), rules, key=key).filter("bucket = 'semantic'")
+    merged = merged_flags(docs, rules, key=key, text="joined").filter("bucket = 'semantic'")
     here = F.filter("segments", lambda s: F.contains(s["segment"], F.col("text")) & (F.col("text") != ""))
     return merged.join(docs.select(key, "segments"), key).withColumn("embedded_line", F.get(here, F.lit(0))["line"]).drop("segments")
 

@@ -30,23 +30,26 @@ def _over(items: Column, checks: list[tuple[int, Check]], context: dict, item=la
     return F.flatten(F.transform(items, each)).cast(f"array<{_FLAG}>")
 
 
-def flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "description") -> DataFrame:
-    """One row a flag, not merged: key, the four ordinals, kind, label, text, bucket and the hit's details.
+def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = ()) -> DataFrame:
+    """``keep`` columns, key and ``found``: the array of a document's flags, not merged, in order.
 
-    A projection and one explode: no shuffle. Checks in ``disabled`` are never built.
-    context: ``extra`` (terms by check), ``lexicon``, ``limits``. Null text counts as empty.
+    A projection: no shuffle. Checks in ``disabled`` are never built. context: ``extra``
+    (terms by check), ``lexicon``, ``limits``. register: whether a sentence that is no
+    numbered step counts as procedure (the default) or as description. Null text counts
+    as empty.
     """
     rules, context = ruleset(rules), dict(context or {})
     live = [(i, c) for i, c in enumerate(rules.checks) if c.id not in set(disabled)]
     of = lambda *units: [(i, c) for i, c in live if c.unit in units]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    kept = [c for c in dict.fromkeys((key, *keep))]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = []
     if rules.lines == "code":
-        base = docs.select(key, whole.alias("text")).withColumn("is_script", code.is_script(F.split("text", "\n", -1))).withColumn("lines", code_lines(F.col("text")))
+        base = base.withColumn("is_script", code.is_script(F.split("text", "\n", -1))).withColumn("lines", code_lines(F.col("text")))
         context["is_script"] = F.col("is_script")
         parts.append((of("LINE"), F.col("lines"), {"shown": lambda x: x["line"]}))
     else:
-        base = with_units(docs.select(key, whole.alias("text")))
+        base = with_units(base)
         procedure = lambda x: {"procedure": F.lit(True) if register == "procedure" else x["numbered"]}
         bodies = F.transform(F.filter("blocks", lambda b: b["kind"] != "header"), lambda b: b["content"])
         parts.append((of("BLOCK"), bodies, {}))
@@ -57,10 +60,114 @@ def flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None
         seen = F.col("text") if rules.whole == "raw" else F.array_join(plain, " ")
         parts.append((of("DOCUMENT"), F.array(seen), {"shown": lambda x: F.lit(None).cast("string")}))
     arrays = [_over(items, checks, context, **how) for checks, items, how in parts if checks]
-    out = base.select(key, F.explode(F.concat(*arrays)).alias("f")) if arrays else base.select(key, F.lit(None).cast(_FLAG).alias("f")).filter("false")
-    bucket = F.when(F.col("f.mechanical"), "mechanical").otherwise("semantic").alias("bucket")
-    names = ("label", "rule", "type", "auto_fix", "replacement", "note", "occurrences")
-    return out.select(key, *[F.col(f"f.{c}").alias(c) for c in ORDER], F.col("f.kind").alias("kind"), F.col("f.text").alias("text"), bucket, *[F.col(f"f.hit.{c}").alias(c) for c in names])
+    found = F.concat(*arrays) if arrays else F.array().cast(f"array<{_FLAG}>")
+    return base.select("kept.*", found.alias("found"))
+
+
+def _rows(docs: DataFrame, f: str, keys: list[str], occurrences: Column) -> DataFrame:
+    bucket = F.when(F.col(f"{f}.mechanical"), "mechanical").otherwise("semantic").alias("bucket")
+    names = ("label", "rule", "type", "auto_fix", "replacement", "note")
+    return docs.select(*keys, *[F.col(f"{f}.{c}").alias(c) for c in ORDER], F.col(f"{f}.kind").alias("kind"), F.col(f"{f}.text").alias("text"), bucket, *[F.col(f"{f}.hit.{c}").alias(c) for c in names], occurrences.alias("occurrences"))
+
+
+def flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", **options) -> DataFrame:
+    """One row a flag, not merged: key, the four ordinals, kind, label, text, bucket and the hit's details.
+
+    ``flag_arrays`` and one explode: no shuffle.
+    """
+    keys = [*dict.fromkeys((key, *options.get("keep", ())))]
+    out = flag_arrays(docs, rules, context, key=key, **options).select(*keys, F.explode("found").alias("f"))
+    return _rows(out, "f", keys, F.col("f.hit.occurrences"))
+
+
+def merged_array(found: Column, rules: str | Ruleset = "prose") -> Column:
+    """array<struct<flag, occurrences>>: a document's flags as :func:`dedup` leaves them, merged inside the row."""
+    rules = ruleset(rules)
+    whole = lambda f, n: F.struct(f.alias("flag"), n.alias("occurrences"))
+    if not rules.dedup:
+        return F.transform(found, lambda f: whole(f, f["hit"]["occurrences"]))
+    ordinals = lambda f: [f[c] for c in ORDER]
+
+    def keyed(f: Column) -> Column:
+        label = F.coalesce(f["hit"]["label"], F.lit(""))
+        single = (label == "") | f["kind"].isin(*rules.keep_apart) if rules.keep_apart else label == ""
+        group = F.when(single, F.concat(F.lit("#"), F.concat_ws("/", *ordinals(f)))).otherwise(F.concat(F.lit("="), F.lower(label)))
+        return F.struct(F.concat_ws("\x1f", f["mechanical"].cast("string"), f["kind"], group).alias("group"), *[f[c].alias(c) for c in ORDER], f.alias("flag"))
+
+    def grouped(rows: Column) -> Column:
+        """rows are sorted by group; each run becomes its first row, with how many rows it has."""
+        new = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.get(rows, i)["group"] != F.get(rows, i - 1)["group"]))
+
+        def runs(starts: Column) -> Column:
+            def one(i: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(starts, j + 1), F.size(rows)) - i
+                first = F.get(rows, i)["flag"]
+                return whole(first, F.when(n > 1, n).otherwise(first["hit"]["occurrences"]))
+
+            return F.transform(starts, one)
+
+        return F.when(F.size(rows) > 0, let(new, runs)).otherwise(F.array().cast(f"array<struct<flag:{_FLAG},occurrences:int>>"))
+
+    return let(F.sort_array(F.transform(found, keyed)), grouped)
+
+
+def merged_flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", **options) -> DataFrame:
+    """``dedup(flags(docs))`` without a shuffle: flags are merged in their document's row."""
+    keys = [*dict.fromkeys((key, *options.get("keep", ())))]
+    arrays = flag_arrays(docs, rules, context, key=key, **options)
+    out = arrays.select(*keys, F.explode(merged_array(F.col("found"), rules)).alias("m"))
+    return _rows(out, "m.flag", keys, F.col("m.occurrences"))
+
+
+def limits_of(config: DataFrame) -> dict[str, tuple[int, str]]:
+    """Threshold and action by check: as many as are declared, so the driver may hold them."""
+    return {r["check_id"]: (r["threshold"], r["action"]) for r in config.select("check_id", "threshold", "action").collect()}
+
+
+def gates(merged: Column, limits: dict[str, tuple[int, str]], scope: Column | None = None) -> Column:
+    """array<struct<kind, weight, threshold, action, triggered, blocks>> of a document's semantic flags, by kind.
+
+    limits: by check, or by scope and check (``scope/check``) where ``scope`` is given. A
+    check that they do not know counts as (1, warn).
+    """
+    thresholds, actions = ({k: v[i] for k, v in limits.items()} for i in (0, 1))
+    table = lambda d, kind: F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) if d else F.create_map().cast(f"map<string,{kind}>")
+    name = lambda k: F.concat(scope.cast("string"), F.lit("/"), k) if scope is not None else k
+    semantic = F.filter(merged, lambda m: ~m["flag"]["mechanical"])
+
+    def of(flags_: Column) -> Column:
+        def one(k: Column) -> Column:
+            mine = F.filter(flags_, lambda m: m["flag"]["kind"] == k)
+            weight = F.aggregate(mine, F.lit(0).cast("long"), lambda a, m: a + F.coalesce(m["occurrences"], F.lit(1)))
+            least = F.coalesce(F.try_element_at(table(thresholds, "int"), name(k)), F.lit(1))
+            action = F.coalesce(F.try_element_at(table(actions, "string"), name(k)), F.lit("warn"))
+            return F.struct(k.alias("kind"), weight.alias("weight"), least.alias("threshold"), action.alias("action"))
+
+        full = lambda g: F.struct(g["kind"].alias("kind"), g["weight"].alias("weight"), g["threshold"].alias("threshold"), g["action"].alias("action"), (g["weight"] >= g["threshold"]).alias("triggered"), ((g["weight"] >= g["threshold"]) & (g["action"] == "block")).alias("blocks"))
+        return F.transform(F.transform(F.array_sort(F.array_distinct(F.transform(flags_, lambda m: m["flag"]["kind"]))), one), full)
+
+    return let(semantic, of)
+
+
+def judged(arrays: DataFrame, rules: str | Ruleset, limits: dict[str, tuple[int, str]], scope: Column | None = None) -> DataFrame:
+    """``arrays`` (with ``found``) with gates, semantic, mechanical, would_block and status: all inside the row."""
+    out = arrays.withColumn("merged", merged_array(F.col("found"), rules)).drop("found")
+    out = out.withColumns({"gates": gates(F.col("merged"), limits, scope), "mechanical": F.size(F.filter("merged", lambda m: m["flag"]["mechanical"])).cast("long")})
+    out = out.withColumn("semantic", F.size("merged").cast("long") - F.col("mechanical")).withColumn("would_block", F.exists("gates", lambda g: g["blocks"]))
+    status = F.when(F.col("semantic") > 0, "semantic_flags").when(F.col("mechanical") > 0, "mechanical_violations").otherwise("clean")
+    return out.withColumn("status", status).drop("merged")
+
+
+def _limits(docs: DataFrame, rules, config: DataFrame | None) -> dict:
+    if config is not None:
+        return limits_of(config)
+    return {c.id: (c.threshold, c.action) for c in ruleset(rules).checks}
+
+
+def gate_documents(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, config: DataFrame | None = None, *, key: str = "doc_id", **options) -> DataFrame:
+    """``gate(dedup(flags(docs)))`` without a shuffle: key, kind, weight, threshold, action, triggered, blocks."""
+    out = judged(flag_arrays(docs, rules, context, key=key, **options), rules, _limits(docs, rules, config))
+    return out.select(key, F.explode("gates").alias("g")).select(key, "g.*")
 
 
 def dedup(found: DataFrame, rules: str | Ruleset = "prose", *, key: str = "doc_id") -> DataFrame:
@@ -107,24 +214,23 @@ def verdicts(docs: DataFrame, merged: DataFrame, config: DataFrame, *, key: str
     return out.select(key, status.alias("status"), "semantic", "mechanical", "would_block")
 
 
-def lint(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, config: DataFrame | None = None, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``verdicts`` of ``docs``."""
-    config = config if config is not None else check_table(docs.sparkSession, rules)
-    return verdicts(docs, dedup(flags(docs, rules, context, key=key, text=text, **options), rules, key=key), config, key=key)
+def lint(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, config: DataFrame | None = None, *, key: str = "doc_id", **options) -> DataFrame:
+    """One row a document, as ``verdicts``: key, status, semantic, mechanical, would_block. One projection, no shuffle."""
+    out = judged(flag_arrays(docs, rules, context, key=key, **options), rules, _limits(docs, rules, config))
+    return out.select(key, *[c for c in options.get("keep", ()) if c != key], "status", "semantic", "mechanical", "would_block")
 
 
 def ratchet(pairs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, config: DataFrame | None = None, *, key: str = "path") -> DataFrame:
     """key, before_weight, after_weight, deny. pairs: key, before (nullable), after.
 
     Denied if the text after has blocking flags and either there was nothing before or
-    the weight of the blocking flags grew.
+    the weight of the blocking flags grew. Both texts are judged in the row of their pair.
     """
-    config = config if config is not None else check_table(pairs.sparkSession, rules)
-    both = pairs.select(key, F.explode(F.array(F.struct(F.lit("before").alias("state"), F.col("before").alias("text")), F.struct(F.lit("after").alias("state"), F.col("after").alias("text")))).alias("s"))
-    both = both.select(F.struct(key, "s.state").alias("id"), F.col("s.text").alias("text"))
-    blocking = gate(dedup(flags(both, rules, context, key="id"), rules, key="id"), config, key="id").filter("blocks")
-    sums = blocking.groupBy(F.col(f"id.{key}").alias(key)).agg(*[F.sum(F.when(F.col("id.state") == s, F.col("weight")).otherwise(0)).alias(f"{s}_weight") for s in ("before", "after")])
-    out = pairs.select(key, "before").join(sums, key, "left").fillna(0, ["before_weight", "after_weight"])
+    limits, out = _limits(pairs, rules, config), pairs.select(key, "before", "after")
+    weight = F.aggregate(F.filter("gates", lambda g: g["blocks"]), F.lit(0).cast("long"), lambda a, g: a + g["weight"])
+    for side in ("before", "after"):
+        left = [c for c in out.columns if c != key]
+        out = judged(flag_arrays(out, rules, context, key=key, text=side, keep=tuple(left)), rules, limits).select(key, *left, weight.alias(f"{side}_weight"))
     empty = F.coalesce(F.trim("before"), F.lit("")) == ""
     return out.select(key, "before_weight", "after_weight", ((F.col("after_weight") > 0) & (empty | (F.col("after_weight") > F.col("before_weight")))).alias("deny"))
 

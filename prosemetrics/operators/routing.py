@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import glob_regex
 from ..plans.registry import ruleset
+from .lint import flag_arrays, judged
 
 RULE = "ord int, glob string, ruleset string, packs map<string,array<string>>, disable array<string>, embedded_prose string"
-DEFAULT_RULES = ({"glob": "*.md", "ruleset": "prose"}, {"glob": "*.py", "ruleset": "code"})
+# The rules of a project that has none of its own; the first is out of scope.
+DEFAULT_RULES = (
+    {"glob": ".claude/*", "ruleset": None}, {"glob": "*.md", "ruleset": "prose"}, {"glob": "*.txt", "ruleset": "prose"},
+    {"glob": "*.rst", "ruleset": "prose"}, {"glob": "*.py", "ruleset": "code"},
+)
 
 
 def relative(path, root: str):
@@ -88,3 +93,50 @@ def explain(spark, path: str, rules: list[dict], checks: DataFrame) -> DataFrame
 def unused(rules: DataFrame) -> DataFrame:
     """Rules that no path can reach because an earlier rule has the same glob."""
     return rules.withColumn("nth", F.row_number().over(Window.partitionBy("glob").orderBy("ord"))).filter("nth > 1").drop("nth")
+
+
+def lint_routed(files: DataFrame, rules: list[dict] = DEFAULT_RULES, overrides: DataFrame | None = None, disabled: dict[str, list[str]] | None = None, extra: dict[int, dict] | None = None, *, path: str = "path", text: str = "text", root: str = "/") -> DataFrame:
+    """One row a file: path, rule_ord, ruleset, status, semantic, mechanical, would_block.
+
+    The first matching rule gives a file its ruleset; the checks disabled for the project
+    (``disabled``: by ruleset) or on the rule don't count, and thresholds and actions are
+    the defaults, then ``overrides`` of the project, then those of the rule's glob.
+    ``extra``: terms by check, by the rule's ordinal. Files of no rule, or of one without a
+    ruleset, are ``out_of_scope``; texts of blanks alone are ``blank``. One pass over the
+    files of each ruleset; no shuffle.
+    """
+    spark, disabled, extra = files.sparkSession, disabled or {}, extra or {}
+    routed = route(files.select(path, text), rules, path=path, root=root)
+    blank = F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s", "")), F.lit("")) == ""
+    none = [F.lit(0).cast("long").alias("semantic"), F.lit(0).cast("long").alias("mechanical"), F.lit(False).alias("would_block")]
+    idle = F.when(F.col("ruleset").isNull(), "out_of_scope").when(blank, "blank")
+    out = routed.withColumn("status", idle).filter("status is not null").select(path, "rule_ord", "ruleset", "status", *none)
+    groups: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rules):
+        if r.get("ruleset"):
+            groups.setdefault((r["ruleset"], repr(sorted(extra.get(i, {}).items()))), []).append(i)
+    for (name, _), ordinals in groups.items():
+        declared, limits, off = ruleset(name), {}, []
+        for i in ordinals:
+            table = {c.id: (c.threshold, c.action) for c in declared.checks}
+            if overrides is not None:
+                from ..plans.registry import check_table
+
+                table |= {x["check_id"]: (x["threshold"], x["action"]) for x in effective_config(check_table(spark, name), overrides, rules[i]["glob"]).select("check_id", "threshold", "action").collect()}
+            limits |= {f"{i}/{c}": v for c, v in table.items()}
+            off += [f"{i}/{c}" for c in (*disabled.get(name, ()), *(rules[i].get("disable") or ()))]
+        never = [c.id for c in declared.checks if all(f"{i}/{c.id}" in off for i in ordinals)]
+        mine = routed.filter(F.col("rule_ord").isin(*ordinals) & ~blank)
+        context = {"extra": extra[ordinals[0]]} if ordinals[0] in extra else None
+        arrays = flag_arrays(mine, declared, context, key=path, text=text, keep=("rule_ord", "ruleset"), disabled=never)
+        if off:
+            arrays = arrays.withColumn("found", F.filter("found", lambda f: ~F.concat(F.col("rule_ord").cast("string"), F.lit("/"), f["kind"]).isin(*off)))
+        out = out.unionByName(judged(arrays, declared, limits, F.col("rule_ord")).select(path, "rule_ord", "ruleset", "status", "semantic", "mechanical", "would_block"))
+    return out
+
+
+def routed_summary(verdicts: DataFrame) -> DataFrame:
+    """scanned, out_of_scope, blank, clean, with_notes, failed of ``lint_routed``'s rows."""
+    n = F.col("status")
+    judged_ = ~n.isin("out_of_scope", "blank")
+    return verdicts.agg(F.count_if(judged_).alias("scanned"), F.count_if(n == "out_of_scope").alias("out_of_scope"), F.count_if(n == "blank").alias("blank"), F.count_if(n == "clean").alias("clean"), F.count_if(judged_ & (n != "clean") & ~F.col("would_block")).alias("with_notes"), F.count_if("would_block").alias("failed"))

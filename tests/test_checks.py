@@ -59,7 +59,8 @@ CASES = [
     ("code", "tautological_assert", "    assert True\nassert x", ["assert True"]),
     ("code", "constant_condition", "if True:\nwhile True:\nwhile False:", ["True", "False"]),
     ("controlled", "safety_instruction", "WARNING: but stop.\n\nCAUTION: Stop, or it can cause harm.\n\nDANGER:", ["WARNING", "WARNING", "DANGER"]),
-    ("controlled", "length", "One " + "two " * 20 + "end.", []),
+    ("controlled", "length", "One " + "two " * 20 + "end.", [None]),
+    ("controlled", "length", "One " + "two " * 18 + "end.", []),
     ("controlled", "length", "1. One " + "two " * 20 + "end.", [None]),
     ("controlled", "ing_form", "Testing the wing in the morning is missing.", ["Testing"]),
     ("controlled", "perfect_tense", "It has been done. They have written and had stopped. It has three.", ["has been", "have written", "had stopped"]),
@@ -214,3 +215,25 @@ def test_glob():
     for g in ("*.md", "docs/*", "a?b", "[ab]*.py", "[!a]x", "x[", "a.b"):
         for p in ("docs/a/b.md", "a.md", "axb", "b.py", "ax", "bx", "x[", "a.b", "aXb", "a\nb"):
             assert bool(re.match(glob_regex(g).replace("\\z", "\\Z"), p)) == fnmatch.fnmatchcase(p, g), (g, p)
+
+
+def test_the_register_sets_the_limit_of_words(spark):
+    """A sentence is procedure unless told otherwise: 20 words; as description, 25, but for numbered steps."""
+    docs = spark.createDataFrame([(1, "One " + "two " * 20 + "end."), (2, "1. One " + "two " * 20 + "end."), (3, "One " + "two " * 24 + "end.")], "doc_id long, text string")
+    only = [c.id for c in ruleset("controlled").checks if c.id != "length"]
+    at = lambda **how: sorted(r["doc_id"] for r in lint.flags(docs, "controlled", disabled=only, **how).collect())
+    assert at() == [1, 2, 3] and at(register="description") == [2, 3]
+
+
+def test_flags_are_merged_and_judged_in_the_row_as_by_shuffles(spark):
+    """The row-wise path against the table-wise one, on every case of every ruleset; its plan has no exchange."""
+    for name in ("prose", "code", "controlled"):
+        docs = spark.createDataFrame([(i, t) for i, (r, _, t, _) in enumerate(CASES) if r == name] + [(-1, None), (-2, "very Very very. " * 3)], "doc_id long, text string")
+        merged = lint.dedup(lint.flags(docs, name), name)
+        row = lambda df: sorted(map(str, df.select("doc_id", *lint.ORDER, "kind", "bucket", "label", "occurrences").collect()))
+        assert row(lint.merged_flags(docs, name)) == row(merged)
+        table = check_table(spark, name)
+        assert sorted(map(tuple, lint.gate_documents(docs, name).collect())) == sorted(map(tuple, lint.gate(merged, table).select("doc_id", "kind", "weight", "threshold", "action", "triggered", "blocks").collect()))
+        verdicts = lint.lint(docs, name)
+        assert sorted(map(tuple, verdicts.collect())) == sorted(map(tuple, lint.verdicts(docs, merged, table).collect()))
+        assert "Exchange" not in verdicts._jdf.queryExecution().executedPlan().toString()

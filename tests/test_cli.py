@@ -21,8 +21,16 @@ def lines(capsys):
 def test_lint_scan_and_fix(spark, tree, capsys):
     assert run(["lint", f"file:{tree}/a", "--json"], spark) == 0
     assert [r["display"] for r in lines(capsys)] == ["very"]
-    assert run(["scan", f"file:{tree}/a", "--json"], spark) == 0
+    assert run(["scan", f"file:{tree}/a", "--ruleset", "prose", "--json"], spark) == 0
     assert lines(capsys) == [{"clean": 1, "with_notes": 1, "failed": 0, "total": 2}, {"kind": "vague_intensifier", "flags": 1}]
+    (tree / "a" / "data.csv").write_text("very, very")
+    (tree / "a" / "conf.json").write_text(json.dumps({"rulesets": [{"glob": "*.md", "ruleset": "prose"}, {"glob": "*", "ruleset": None}], "disabled_checks": {"prose": ["vague_intensifier"]}}))
+    assert run(["scan", f"file:{tree}/a", "--json"], spark) == 0
+    assert lines(capsys) == [{"scanned": 2, "out_of_scope": 2, "blank": 0, "clean": 1, "with_notes": 1, "failed": 0}]
+    assert run(["scan", f"file:{tree}/a", "--rules", str(tree / "a" / "conf.json"), "--json"], spark) == 0
+    assert lines(capsys) == [{"scanned": 2, "out_of_scope": 2, "blank": 0, "clean": 2, "with_notes": 0, "failed": 0}]
+    for name in ("data.csv", "conf.json"):
+        (tree / "a" / name).unlink()
     run(["fix", f"file:{tree}/a", "--json"], spark)
     assert {r["fixed"] for r in lines(capsys)} == {"It is very big.", "It ran."}
 
@@ -52,4 +60,4 @@ def test_precommit_denies_what_got_worse(spark, tree):
 def test_import(spark, tree, capsys):
     (tree / "a" / "r.yml").write_text("extends: existence\nmessage: no\ntokens:\n  - foo\n")
     run(["import", str(tree / "a")], spark)
-    assert json.loads(capsys.readouterr().out)["imported"] == ["r"]
+    assert json.loads(capsys.readouterr().out)["imported"] == ["vale_r"]

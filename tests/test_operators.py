@@ -173,6 +173,19 @@ def test_fixes(spark):
         assert got == after, (before, got)
     native = spark.createDataFrame([(b,) for r, b, _ in cases[:2]], "text string").select(fix.fix_prose_sentence(F.col("text")).alias("t")).collect()
     assert [r["t"] for r in native] == [a for *_, a in cases[:2]]
+    kept = fix.fix(spark.createDataFrame([("It was, arguably, fine 🎉.",)], "text string"), disabled=("stock_adverb",)).collect()[0]["fixed"]
+    assert kept == "It was, arguably, fine."
+
+
+def test_fixes_keep_blocks(spark):
+    """Fences and blank lines stay byte for byte, list items and headings keep their lines, paragraphs are joined."""
+    cases = [
+        ("# notably a head\n\nnotably one.\nstill  one. Two,\n- notably item\n  12) notably  x\n   \nlast", "# a head\n\nOne. still one. Two,\n- Item\n  12) X\n   \nLast"),
+        ("```\nnotably  raw\n\n```\nnotably done\n", "```\nnotably  raw\n\n```\nDone\n"), ("a b\n```x\nnotably\n", "A b\n```x\nnotably\n"), ("```\na\n```\n\n```\nb\n```", "```\na\n```\n\n```\nb\n```"),
+        ("```\na\n```\n```\nb\n```\n\n\nx", "```\na\n```\n```\nb\n```\n\n\nX"), ("", ""), ("\n", "\n"), ("\n\nx\n\n", "\n\nX\n\n"), ("- ", "- "), (None, None), ("#x y", "#x y"),
+    ]
+    got = fix.fix(spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, text string")).orderBy("i").collect()
+    assert [r["fixed"] for r in got] == [a for _, a in cases]
 
 
 def test_edits_and_decisions(spark):
@@ -192,9 +205,11 @@ def test_literals_and_embedded_prose(spark):
 
 def test_html(spark):
     page = "<p>" + "word " * 25 + "<sup>1</sup></p><table><tr><td><p>" + "cell " * 30 + "</p></td></tr></table><p>short</p>"
-    assert html.paragraphs(page) == [("word " * 25).strip()]
-    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
-    assert [r["ord"] for r in html.html_paragraphs(pages).collect()] == [0] and html.flat_paragraphs(pages).count() == 1
+    nested = "<figure><table><tr><td><p>" + "no " * 30 + "</p></td></tr></table></figure><script>if (a<b) '<p>" + "x " * 30 + "</p>'</script><!-- <p> --><p>A &amp; B &eacute;&#8212;&#x41;&unknown; <b>bold</b>\n" + "word " * 25 + "</P>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, nested), (4, "<p>" + "open " * 30), (5, "<p>lost <p>" + "kept " * 20 + "</p> outside")], "page_id long, html string")
+    got = {r["page_id"]: (r["ord"], r["paragraph"]) for r in html.html_paragraphs(pages).collect()}
+    assert got == {1: (0, ("word " * 25).strip()), 3: (0, "A & B é—A&unknown; bold " + ("word " * 25).strip()), 5: (0, ("kept " * 20).strip())}
+    assert html.flat_paragraphs(pages.filter("page_id = 1")).count() == 1
 
 
 def test_shell_writes(spark):
@@ -206,14 +221,16 @@ def test_shell_writes(spark):
 def test_rule_import(spark):
     ok = "extends: existence\nmessage: 'No %s'\nlevel: error\nignorecase: true\ntokens:\n  - obviously\n  - of course\n"
     swap = "extends: substitution\nmessage: Use it\nswap:\n  utilize: use\n  \"in order to\": to\n"
-    done, refused = rule_import.import_rules([("My.ObviousWords", ok), ("Swap", swap), ("Script", "extends: script\nscript: x"), ("Bad", "extends: existence\ntokens:\n  - '(?P<x>a)'\n")], spark)
-    assert [(c.id, c.action) for c in done] == [("my_obvious_words", "block"), ("swap", "warn")] and [n for n, _ in refused] == ["Script", "Bad"]
+    done, refused = rule_import.import_rules([("ObviousWords", ok), ("Odd", ok.replace("error", "nonsense")), ("Swap", swap), ("Script", "extends: script\nscript: x"), ("Bad", "extends: existence\ntokens:\n  - '(?P<x>a)'\n")], spark)
+    assert [(c.id, c.action) for c in done] == [("vale_obvious_words", "block"), ("vale_swap", "warn")] and [n for n, _ in refused] == ["Odd", "Script", "Bad"]
     from prosemetrics.operators import lint
     from prosemetrics.plans.registry import ruleset
 
-    docs = spark.createDataFrame([(1, "Obviously we utilize it.")], "doc_id long, text string")
-    rows = lint.flags(docs, ruleset("prose").with_checks(tuple(done))).filter("kind in ('swap', 'my_obvious_words')").collect()
-    assert {(r["label"], r["replacement"]) for r in rows} == {("Obviously", None), ("utilize", "use")}
+    docs = spark.createDataFrame([(1, "Obviously we utilize it, obviously.")], "doc_id long, text string")
+    rows = lint.flags(docs, ruleset("prose").with_checks(tuple(done))).filter("kind in ('vale_swap', 'vale_obvious_words')").collect()
+    assert sorted((r["label"], r["replacement"], r["note"]) for r in rows) == [("Obviously", None, "rewrite it"), ("utilize", "use", "use 'use' instead")]
+    assert rule_import.check_id("AbstractTriad") == "vale_abstract_triad" and rule_import.check_id("Cliche", "aitells") == "aitells_cliche"
+    assert rule_import.catches_and_remedy("'%s' is a cliche: cut it") == ("'this' is a cliche", "cut it")
 
 
 def test_tree_scan_packs_and_prompts(spark, tmp_path):
@@ -223,6 +240,12 @@ def test_tree_scan_packs_and_prompts(spark, tmp_path):
     (tmp_path / "a" / "blank.md").write_text(" \n")
     (tmp_path / "a" / "bad.md").write_bytes(b"\xff\xfe\xff")
     (tmp_path / "node_modules" / "y.md").write_text("no")
+    for name in ("__init__.py", "_part.md.txt", ".github/x.rst", "a/b/deep.txt", "a/site-packages/no.txt", ".cache/no.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("Some text.")
+    every = files.scan_tree(spark, f"file:{tmp_path}").collect()
+    assert sorted(r["path"].split(tmp_path.name + "/")[1] for r in every) == [".github/x.rst", "__init__.py", "_part.md.txt", "a/b/deep.txt", "a/bad.md", "a/blank.md", "a/x.md"]
+    assert [r["text"] for r in files.scan_tree(spark, str(tmp_path / "__init__.py")).collect()] == ["Some text."]
     got = files.scan_tree(spark, f"file:{tmp_path}", "*.md")
     assert sorted(r["state"] for r in got.collect()) == ["blank", "ok", "unreadable"]
     assert tuple(files.scan_counts(got).collect()[0]) == (1, 1, 1)
@@ -252,3 +275,37 @@ def test_event_log_and_streams(spark, tmp_path):
     q = history_stream.without_double_fires(stream).writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", f"file:{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select * from once").count() <= 12
+
+
+def test_routed_lint(spark):
+    from prosemetrics.operators import routing
+
+    rows = [("docs/a.md", "It is very big."), ("blog/a.md", "It is very big."), ("b.py", "x = 1  # increment x\n"), ("c.csv", "very"), (".claude/x.md", "very"), ("d.md", " \n"), ("e.md", None)]
+    files_ = spark.createDataFrame(rows, "path string, text string")
+    rules = [*routing.DEFAULT_RULES[:1], {"glob": "blog/*", "ruleset": "prose", "disable": ["vague_intensifier"]}, *routing.DEFAULT_RULES[1:]]
+    over = spark.createDataFrame([("vague_intensifier", None, "action", "block"), ("vague_intensifier", "*.md", "threshold", "2")], "check_id string, glob string, field string, value string")
+    got = {r["path"]: (r["ruleset"], r["status"], r["would_block"]) for r in routing.lint_routed(files_, rules, over.filter("field = 'action'")).collect()}
+    assert got["docs/a.md"] == ("prose", "semantic_flags", True) and got["blog/a.md"] == ("prose", "clean", False) and got["b.py"][0] == "code"
+    assert got["c.csv"] == (None, "out_of_scope", False) and got[".claude/x.md"][1] == "out_of_scope" and got["d.md"][1] == got["e.md"][1] == "blank"
+    assert not {r["path"]: r["would_block"] for r in routing.lint_routed(files_, rules, over).collect()}["docs/a.md"]
+    assert routing.routed_summary(routing.lint_routed(files_, rules)).collect()[0]["out_of_scope"] == 2
+
+
+def test_configuration(spark):
+    from prosemetrics.operators import config, routing
+    from prosemetrics.plans import registry
+
+    table = config.rules_table(spark)
+    assert [r["glob"] for r in table.orderBy("ord").collect()] == [r["glob"] for r in routing.DEFAULT_RULES]
+    given = spark.createDataFrame([('{"rulesets": [{"glob": "*.md", "ruleset": "prose", "packs": {"terminology": ["web"]}}], "options": 1, "terms": {}}',)], "value string")
+    loaded = config.load_rules(given)
+    assert [(r["glob"], r["packs"]) for r in loaded.collect()] == [("*.md", {"terminology": ["web"]})] and [r["key"] for r in config.stray_keys(given).collect()] == ["options"]
+    assert config.load_rules(given.limit(0)).count() == len(routing.DEFAULT_RULES)
+    bound = config.set_rule_packs(loaded, "*.md", "stock_adverb", ["law"], ["law", "web"])
+    assert bound.collect()[0]["packs"] == {"terminology": ["web"], "stock_adverb": ["law"]}
+    assert config.set_rule_packs(config.set_rule_packs(bound, "*.md", "stock_adverb", []), "*.md", "terminology", []).collect()[0]["packs"] is None
+    assert config.set_rule_disable(loaded, "*.md", ["filler_verb"]).collect()[0]["disable"] == ["filler_verb"]
+    checks, lists = registry.check_table(spark), registry.term_lists(spark)
+    for wrong in (lambda: config.set_rule_packs(loaded, "*.md", "x", ["odd"], ["law"]), lambda: config.set_rule_packs(loaded, "*.x", "x", []), lambda: config.set_rule_disable(loaded, "*.md", ["odd"], ["passive"]), lambda: config.enable(checks, {"odd": True}), lambda: config.add_term_list(lists, "prose", "Bad id"), lambda: config.add_term_list(lists, "prose", "terminology"), lambda: config.add_term_list(lists, "prose", "mine", feeds="odd")):
+        with pytest.raises(ValueError):
+            wrong()
