@@ -88,7 +88,7 @@ def _seen(counts: DataFrame) -> pd.DataFrame:
 class Scorer:
     """Scores batches of texts; keeps the scores of words it has met, up to ``room`` of them."""
 
-    def __init__(self, model: dict, room: int = 300_000):
+    def __init__(self, model: dict, room: int = 150_000):
         self.model, self.room, self.met = model, room, {}
         self.n = len(model["langs"])
 
