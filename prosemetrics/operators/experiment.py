@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -46,13 +47,29 @@ def paired(arms: DataFrame, a: str, b: str, value: str) -> DataFrame:
 
 
 def binomial_tail(n: Column, k: Column) -> Column:
-    """P(X <= k) of n fair coins, by a running product of term ratios, in logarithms."""
-    zero = F.struct((-n.cast("double") * F.log(F.lit(2.0))).alias("term"), F.lit(0.0).alias("sum"))
+    """P(X <= k) of n fair coins: the terms from k down, each from the one above by their ratio.
+
+    Twelve standard deviations below k nothing counts any more, so the terms grow with the
+    root of n only.
+    """
+    x = lambda c: c.cast("double")
+
+    def log_factorial(m: Column) -> Column:
+        """Exact for small m, else Stirling's series (relative error below 1e-16 from 32 on)."""
+        exact = F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(33)]), m.cast("int"))
+        d = x(m)
+        series = d * F.log(d) - d + 0.5 * F.log(F.lit(2 * math.pi) * d) + 1 / (12 * d) - 1 / (360 * d * d * d) + 1 / (1260 * F.pow(d, F.lit(5.0)))
+        return F.when(m <= 32, exact).otherwise(series)
+
+    top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - x(n) * F.log(F.lit(2.0)))
+    start = F.struct(top.alias("term"), top.alias("sum"))
 
     def step(acc, i):
-        return F.struct((acc["term"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("term"), (acc["sum"] + F.exp(acc["term"])).alias("sum"))
+        term = acc["term"] * x(k - i) / x(n - k + i + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), zero, step, lambda a: a["sum"])
+    few = F.filter(F.sequence(F.lit(0).cast("long"), F.least(k, F.ceil(6 * F.sqrt(x(n))) + 60).cast("long")), lambda i: i < k)
+    return F.aggregate(few, start, step, lambda a: a["sum"])
 
 
 def sign_test(pairs: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
@@ -134,7 +151,14 @@ def message_digest(messages: Column) -> Column:
 
     The JSON has ``", "`` and ``": "`` between its parts, which to_json does not write.
     """
-    quoted = lambda s: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r'([\\"])', r"\\$1"), "\n", r"\\n"), "\t", r"\\t"), "\r", r"\\r"), F.lit('"'))
+    # JSON's short escapes; other control characters are written as \\u and four digits.
+    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f"}
+
+    def quoted(s: Column) -> Column:
+        for raw, escaped in (short | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in short}).items():
+            s = F.replace(s, F.lit(raw), F.lit(escaped))
+        return F.concat(F.lit('"'), s, F.lit('"'))
+
     one = lambda m: F.concat(F.lit('{"content": '), quoted(m["content"]), F.lit(', "role": '), quoted(m["role"]), F.lit("}"))
     return F.substring(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(messages, one), ", "), F.lit("]")), 256), 1, 16)
 

@@ -10,17 +10,47 @@ GATE_ACTIONS = ("deny", "auto_fix", "clean")
 EVENT = "seq long, ts double, action string, file string, kinds array<string>, ruleset string"
 
 
+#: Events of a log that one task orders.
+RANGE = 100_000
+
+
+def _ordered(events: DataFrame, by: tuple[str, ...], before: int, add) -> DataFrame:
+    """``add(events, window)`` over each log in order of seq, where a row looks back on ``before`` rows at most.
+
+    One long log is dealt to ranges of seq; each range also gets the last ``before`` rows of
+    the one before it, to look back on, and drops them again. So no task orders a whole log.
+    """
+    if by:
+        return add(events, Window.partitionBy(*by).orderBy("seq"))
+    n = events.count()
+    cuts = events.agg(F.percentile_approx("seq", [i / 1000 for i in range(1, 1000)], 10_000).alias("at")).first()["at"] or []
+    step = max(1, -(-1000 * RANGE // max(n, 1)))
+    cuts = sorted(set(cuts[step - 1 :: step])) if n > RANGE else []
+    if not cuts:
+        return add(events.withColumn("_range", F.lit(0)), Window.partitionBy("_range").orderBy("seq")).drop("_range")
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("seq")))
+    placed = events.withColumns({"_range": number, "_own": F.lit(True)})
+    last = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("seq")))).filter(F.col("_nth") <= before).drop("_nth")
+    # What a range holds may be fewer rows than are looked back on; then the ranges before it lend theirs too.
+    lent = last.withColumns({"_range": F.explode(F.sequence(F.col("_range") + 1, F.least(F.col("_range") + before, F.lit(len(cuts))))) if before > 1 else F.col("_range") + 1, "_own": F.lit(False)}) if len(cuts) else last.limit(0)
+    lent = lent.filter(F.col("_range") <= len(cuts))
+    return add(placed.unionByName(lent), Window.partitionBy("_range").orderBy("seq")).filter("_own").drop("_range", "_own")
+
+
 def dedupe_double_fire(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Without events that repeat the file and action of the row just before, less than two seconds later.
 
     Compared with the row before in the log, kept or not. The log is one sequence; ``by``
-    names columns (a log's name) that split several logs, which is what makes it parallel.
+    names columns (a log's name) that split several logs.
     """
-    w = Window.partitionBy(*by).orderBy("seq") if by else Window.partitionBy(F.lit(0)).orderBy("seq")
-    before = lambda c: F.lag(c).over(w)
-    gap = F.coalesce("ts", F.lit(0.0)) - F.coalesce(before("ts"), F.lit(0.0))
-    again = F.lag(F.lit(True)).over(w) & F.col("file").isNotNull() & F.col("file").eqNullSafe(before("file")) & F.col("action").eqNullSafe(before("action")) & (gap < DOUBLE_FIRE_SECONDS)
-    return events.withColumn("_again", F.coalesce(again, F.lit(False))).filter("not _again").drop("_again")
+
+    def add(rows: DataFrame, w) -> DataFrame:
+        before = lambda c: F.lag(c).over(w)
+        gap = F.coalesce("ts", F.lit(0.0)) - F.coalesce(before("ts"), F.lit(0.0))
+        again = F.lag(F.lit(True)).over(w) & F.col("file").isNotNull() & F.col("file").eqNullSafe(before("file")) & F.col("action").eqNullSafe(before("action")) & (gap < DOUBLE_FIRE_SECONDS)
+        return rows.withColumn("_again", F.coalesce(again, F.lit(False)))
+
+    return _ordered(events, by, 1, add).filter("not _again").drop("_again")
 
 
 def deny_streaks(events: DataFrame) -> DataFrame:
@@ -32,9 +62,12 @@ def deny_streaks(events: DataFrame) -> DataFrame:
 
 def recent_deny(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """events with nearby_deny: whether one of the last 20 rows of the raw log, this one included, denied less than 300 seconds before it."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("seq").rowsBetween(-(NEARBY_ROWS - 1), 0)
-    latest = F.max(F.when(F.col("action") == "deny", F.coalesce("ts", F.lit(0.0)))).over(w)
-    return events.withColumn("nearby_deny", F.coalesce(F.coalesce("ts", F.lit(0.0)) - latest < NEARBY_SECONDS, F.lit(False)))
+
+    def add(rows: DataFrame, w) -> DataFrame:
+        latest = F.max(F.when(F.col("action") == "deny", F.coalesce("ts", F.lit(0.0)))).over(w.rowsBetween(-(NEARBY_ROWS - 1), 0))
+        return rows.withColumn("nearby_deny", F.coalesce(F.coalesce("ts", F.lit(0.0)) - latest < NEARBY_SECONDS, F.lit(False)))
+
+    return _ordered(events, by, NEARBY_ROWS - 1, add)
 
 
 def hit_counts(events: DataFrame, checks: DataFrame, ruleset: str | None = None) -> DataFrame:

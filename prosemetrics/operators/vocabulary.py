@@ -80,3 +80,17 @@ def parse_dictionary(lines: DataFrame) -> DataFrame:
     some = F.array_distinct(F.flatten(F.transform("v", lambda x: F.transform(F.split(F.coalesce(x["field"], F.lit("")), ","), lambda y: F.lower(F.trim(F.regexp_replace(y, r"\(.*\)", "")))))))
     alternatives = F.filter(some, lambda x: (x != "") & (x != "none"))
     return grouped.select("word", "status", F.when(F.col("status") == "unapproved", F.get(alternatives, F.lit(0))).alias("replacement"), alternatives.alias("alternatives"), F.transform("v", lambda x: F.struct(x["pos"].alias("pos"), x["field"].alias("field"))).alias("pos_variants"))
+
+
+def pack_candidates(titles: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """term, note: the headwords of glossary titles (title, note) that may go into a pack.
+
+    A title names one headword or several (commas, "vs."), glosses in brackets dropped.
+    Words of the dictionary, and regular forms of such words, are left out: a form of an
+    unapproved word would undo its prohibition, one of an approved word adds nothing.
+    """
+    parts = F.split(F.regexp_replace("title", r"\([^)]*\)", ""), r"\s*,\s*|\s+(?:vs\.?|versus)\s+")
+    words_ = titles.select(F.explode(F.filter(F.transform(parts, lambda p: F.lower(F.trim(p))), lambda p: p != "")).alias("term"), "note")
+    forms = words_.select("term", "note", F.explode(F.array_append(base_candidates(F.col("term")), F.col("term"))).alias("word")).distinct()
+    barred = _joined(forms, dictionary.select("word").distinct(), "word", "left_semi").select("term").distinct()
+    return words_.distinct().join(barred, "term", "left_anti")

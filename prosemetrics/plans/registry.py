@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..checks import code, controlled, prose
@@ -37,14 +39,58 @@ def rulesets() -> list[str]:
     return sorted(_RULESETS)
 
 
+#: Rulesets that came with the package, and why others were refused.
+_BUILT_IN = frozenset(_RULESETS)
+_REFUSED: dict[str, str] = {}
+# What a ruleset can offer.
+CAPABILITIES = ("checks", "terms", "fix")
+
+
+def capabilities(name: str | Ruleset) -> tuple[str, ...]:
+    """What a ruleset offers: checks, term lists that feed them, fixes (it has mechanical checks)."""
+    r = ruleset(name)
+    has = {"checks": bool(r.checks), "terms": any(x[0] == r.id for x in TERM_LISTS), "fix": any(c.bucket_name != "semantic" for c in r.checks)}
+    return tuple(c for c in CAPABILITIES if has[c])
+
+
 def register(new: Ruleset) -> None:
-    """Add or replace a ruleset; one without checks or with repeated ids is refused."""
+    """Add or replace a ruleset of one's own; one without checks, with repeated ids or a built-in's id is refused."""
     ids = [c.id for c in new.checks]
+    if new.id in _BUILT_IN:
+        raise ValueError(f"{new.id!r} is built in")
+    if not ids:
+        raise ValueError(f"ruleset {new.id!r} has no checks")
     if len(ids) != len(set(ids)):
         raise ValueError(f"ruleset {new.id!r} declares a check twice")
     _RULESETS[new.id] = new
 
 
+def register_all(makers: dict[str, Callable[[], Ruleset]]) -> dict[str, str]:
+    """Register rulesets by the functions that make them; one that fails is put aside with its reason, and the others go on.
+
+    Returns the reasons by name; :func:`refused` gives those of the last call.
+    """
+    _REFUSED.clear()
+    for name, make in makers.items():
+        try:
+            register(make())
+        except Exception as e:  # whatever a user's own ruleset does wrong
+            _REFUSED[name] = f"{type(e).__name__}: {e}"
+    return dict(_REFUSED)
+
+
+def refused() -> dict[str, str]:
+    return dict(_REFUSED)
+
+
+def unregister(name: str) -> None:
+    """Remove a ruleset of one's own; a built-in one stays."""
+    ruleset(name)
+    if name in _BUILT_IN:
+        raise ValueError(f"{name!r} is built in")
+    del _RULESETS[name]
+
+
 def built_in_terms(spark: SparkSession) -> DataFrame:
     """ruleset, list_id, term, layer, pack, note, removed: the built-in layer of every list."""
     lists = {

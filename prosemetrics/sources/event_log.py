@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,30 @@ def append_events(events: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One JSON object a line; the committer replaces the old report as a whole."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+    """One JSON object a line. The report is written beside the old one and then takes its name.
+
+    A reader never sees half a report. Where the folder's file system renames but does not
+    replace folders, there is none for the moment between two renames.
+    """
+    swap_in(df.select(F.to_json(F.struct("*")).alias("value")), path, "text")
+
+
+def swap_in(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """``df`` written beside ``path``, which it then replaces; the old table stays until the new one is whole."""
+    spark = df.sparkSession
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.format(form).save(new)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    system = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = system.exists(of(path))
+    if had and not system.rename(of(path), of(old)):
+        raise OSError(f"can't rename {path}")
+    if not system.rename(of(new), of(path)):
+        if had:
+            system.rename(of(old), of(path))
+        raise OSError(f"can't rename {new}")
+    if had:
+        system.delete(of(old), True)
 
 
 def write_corpus(docs: DataFrame, path: str, by: str = "source") -> None:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import DOUBLE_FIRE_SECONDS, RETRY_CAP, top_kinds
+from ..operators.history import DOUBLE_FIRE_SECONDS, NEARBY_ROWS, NEARBY_SECONDS, RETRY_CAP
+from ..sources.event_log import swap_in
 
 
 def deny_streaks(events: DataFrame, output: str = "append") -> DataFrame:
@@ -51,12 +52,40 @@ def without_double_fires(events: DataFrame, by: str = "file") -> DataFrame:
     return events.groupBy(by).applyInPandasWithState(update, "seq long, ts double, action string, file string", "file string, action string, ts double", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_summary(events: DataFrame, path: str, checkpoint: str):
-    """Rewrites the top kinds at ``path`` after each batch of new events; all events so far are kept beside it."""
+def recent_denials(events: DataFrame, by: str = "ruleset") -> DataFrame:
+    """seq, nearby_deny of each event: whether one of the last 20 events of its ``by``, itself included, denied less than 300 seconds before.
 
-    def step(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(f"{path}/events")
-        top_kinds(batch.sparkSession.read.parquet(f"{path}/events")).write.mode("overwrite").parquet(f"{path}/summary")
+    The state is those events' times; group by a constant column for one log.
+    """
+
+    def update(key, batches, state: GroupState):
+        times = list(state.get[0]) if state.exists else []
+        rows, out = pd.concat(list(batches)).sort_values("seq"), []
+        for r in rows.itertuples(index=False):
+            ts = 0.0 if pd.isna(r.ts) else float(r.ts)
+            times = [*times, ts if r.action == "deny" else float("-inf")][-NEARBY_ROWS:]
+            out.append((r.seq, ts - max(times) < NEARBY_SECONDS))
+        state.update((times,))
+        yield pd.DataFrame(out, columns=["seq", "nearby_deny"])
+
+    return events.groupBy(by).applyInPandasWithState(update, "seq long, nearby_deny boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def keep_summary(events: DataFrame, path: str, checkpoint: str, k: int = 5):
+    """Keeps the top kinds at ``path/summary`` up to date.
+
+    A batch leaves its sums by kind in a folder named by its id, so one that is tried again
+    replaces what it left. The summary adds up the batches' sums, not the events, and
+    replaces the old one when it is whole.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        sums = batch.select("seq", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("hits"), F.min("seq").alias("first_seq"))
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        every = spark.read.schema("kind string, hits long, first_seq long").parquet(f"{path}/sums")
+        top = every.groupBy("kind").agg(F.sum("hits").alias("hits"), F.min("first_seq").alias("first_seq")).orderBy(F.desc("hits"), "first_seq", "kind").limit(k)
+        swap_in(top, f"{path}/summary")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -149,7 +149,7 @@ def test_text_shape_drift_and_leaderboard(spark):
 
 
 def test_replay_and_digest(spark):
-    messages = [{"role": "user", "content": 'say "hi"\n\tnow \\ ö'}]
+    messages = [{"role": "user", "content": 'say "hi"\n\tnow \\ ö' + "".join(map(chr, range(32)))}]
     want = hashlib.sha256(json.dumps(messages, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
     df = spark.createDataFrame([(messages,)], "m array<struct<role:string,content:string>>")
     assert df.select(experiment.message_digest(F.col("m"))).collect()[0][0] == want
@@ -272,6 +272,19 @@ def test_event_log_and_streams(spark, tmp_path):
     q = history_stream.keep_summary(stream, f"file:{tmp_path}/sum", f"file:{tmp_path}/c2")
     q.awaitTermination(120)
     assert spark.read.parquet(f"file:{tmp_path}/sum/summary").collect()[0]["hits"] == 12
+    (tmp_path / "log" / "f.json").write_text(json.dumps({"seq": 12, "ts": 500.0, "action": "deny", "file": "f0", "kinds": ["x", "y"]}))
+    for _ in range(2):  # the second time there is nothing new
+        q = history_stream.keep_summary(stream, f"file:{tmp_path}/sum", f"file:{tmp_path}/c2")
+        q.awaitTermination(120)
+        assert {r["kind"]: r["hits"] for r in spark.read.parquet(f"file:{tmp_path}/sum/summary").collect()} == {"x": 13, "y": 1}
+    (tmp_path / "log" / "f.json").unlink()
+    q = history_stream.recent_denials(stream).writeStream.format("memory").queryName("nearby").outputMode("append").option("checkpointLocation", f"file:{tmp_path}/c4").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {tuple(r) for r in spark.sql("select * from nearby").collect()} == {(r["seq"], r["nearby_deny"]) for r in history.recent_deny(events).collect()}
+    for text in ("one", "two"):
+        event_log.write_report(spark.createDataFrame([(text,)], "a string"), f"file:{tmp_path}/report")
+        assert [r["value"] for r in spark.read.text(f"file:{tmp_path}/report").collect()] == [json.dumps({"a": text}, separators=(",", ":"))]
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("report.")]
     q = history_stream.without_double_fires(stream).writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", f"file:{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select * from once").count() <= 12
@@ -309,3 +322,99 @@ def test_configuration(spark):
     for wrong in (lambda: config.set_rule_packs(loaded, "*.md", "x", ["odd"], ["law"]), lambda: config.set_rule_packs(loaded, "*.x", "x", []), lambda: config.set_rule_disable(loaded, "*.md", ["odd"], ["passive"]), lambda: config.enable(checks, {"odd": True}), lambda: config.add_term_list(lists, "prose", "Bad id"), lambda: config.add_term_list(lists, "prose", "terminology"), lambda: config.add_term_list(lists, "prose", "mine", feeds="odd")):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_logs_in_ranges_give_what_one_window_gives(spark, monkeypatch):
+    rng = random.Random(3)
+    rows, ts = [], 0.0
+    for i in range(400):
+        ts += rng.choice([0.5, 1.5, 40.0, 400.0])
+        rows.append((i * 2, ts, rng.choice(["deny", "clean", "auto_fix", "auto_fix"]), rng.choice(["a", "b", None]), ["x"], "prose"))
+    events = spark.createDataFrame(rows, history.EVENT)
+    one = [sorted(map(str, f(events).collect())) for f in (history.dedupe_double_fire, history.recent_deny)]
+    for size in (3, 50):
+        monkeypatch.setattr(history, "RANGE", size)
+        assert [sorted(map(str, f(events).collect())) for f in (history.dedupe_double_fire, history.recent_deny)] == one
+
+
+def test_sign_test_of_many_pairs(spark):
+    from math import comb
+
+    cases = [(10, 3), (60, 20), (500, 230), (1000, 500), (40, 0)]
+    df = spark.createDataFrame(cases, "n long, k long")
+    got = [r[0] for r in df.select(experiment.binomial_tail(F.col("n"), F.col("k"))).collect()]
+    assert got == pytest.approx([sum(comb(n, i) for i in range(k + 1)) / 2**n for n, k in cases], rel=1e-11)
+    huge = spark.range(1).select(experiment.binomial_tail(F.lit(10_000_000).cast("long"), F.lit(5_000_000).cast("long"))).collect()[0][0]
+    assert huge == pytest.approx(0.5, abs=2e-4)
+
+
+def test_manifest_in_ranges(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "s" if i % 3 else None) for i in range(60)] + [(7, "t7", "s")], "doc_id long, text string, source string")
+    one, many = ({r["source"]: r for r in corpus.manifest(docs, per_range=n).collect()} for n in (1000, 10))
+    assert one["s"]["documents"] == many["s"]["documents"] == 41 and one["s"]["sha256"] != many["s"]["sha256"]
+    again = {r["source"]: r["sha256"] for r in corpus.manifest(docs.repartition(7), per_range=10).collect()}
+    assert again == {k: r["sha256"] for k, r in many.items()}
+    changed = corpus.manifest(docs.withColumn("text", F.when(F.col("doc_id") == 40, "x").otherwise(F.col("text"))), per_range=10).collect()
+    assert {r["source"]: r["sha256"] for r in changed}["s"] != again["s"]
+
+
+def test_arms(spark, tmp_path):
+    from prosemetrics.operators import arms
+
+    spark.sparkContext.setCheckpointDir(f"file:{tmp_path}/ck")
+    prompts = spark.createDataFrame([("p", "write p"), ("q", "write q")], "prompt_id string, prompt string")
+    asked = []
+
+    def generate(rows):
+        asked.append(rows.count())
+        last = F.element_at("messages", -1)["content"]
+        return rows.select("prompt_id", F.concat(F.lit("bad " * 1), F.size("messages").cast("string"), F.lit(":"), last).alias("text"))
+
+    judge = lambda rows: rows.select("prompt_id", F.when((F.col("prompt_id") == "q") & F.col("text").contains("Revise"), 0).otherwise(2).cast("long").alias("flags"), F.lit("drop it").alias("note"))
+    single = {r["prompt_id"]: r for r in arms.single(prompts, generate, "be brief. ").collect()}
+    assert single["p"]["text"] == "bad 1:be brief. write p" and single["p"]["iterations"] == 1 and single["p"]["passed"] is None
+    blind = {r["prompt_id"]: r for r in arms.blind(prompts, generate, spark.createDataFrame([("p", 1), ("q", 3)], "prompt_id string, iterations int")).collect()}
+    assert blind["p"]["text"] == "bad 1:write p" and blind["q"]["text"] == f"bad 3:{arms.BLIND_REVISION}"
+    free = {r["prompt_id"]: r for r in arms.turns(prompts, ["shorter", "longer"], generate, judge).collect()}
+    assert free["p"]["iterations"] == 3 and free["p"]["per_turn"] == [2, 2, 2] and free["p"]["passed"] is None and free["p"]["text"] == "bad 5:longer"
+    gated = {r["prompt_id"]: r for r in arms.turns(prompts, ["shorter"], generate, judge, gate_rounds=3).collect()}
+    assert (gated["p"]["iterations"], gated["p"]["passed"], gated["p"]["per_turn"]) == (6, False, [2, 2]) and (gated["q"]["iterations"], gated["q"]["passed"], gated["q"]["per_turn"]) == (4, True, [0, 0])
+    saved = []
+    none = spark.createDataFrame([], "digest string, occurrence int, output string")
+    first = arms.single(prompts, arms.resuming(generate, none, save=lambda df: saved.append(df.select("digest", "occurrence", "output").collect()))).collect()
+    recorded = spark.createDataFrame(saved[0], "digest string, occurrence int, output string")
+    asked.clear()
+    assert sorted(arms.single(prompts, arms.resuming(generate, recorded)).collect()) == sorted(first) and asked == [0]
+    score = lambda rows: rows.select("prompt_id", F.length("text").alias("total"))
+    rows = arms.run_arms({"ungated": arms.single(prompts, generate), "control": arms.single(prompts, generate), "instructed": arms.single(prompts, generate, "be brief. ")}, score)
+    arms.save_run(rows, f"file:{tmp_path}/runs")
+    arms.save_run(rows.filter("arm = 'control'"), f"file:{tmp_path}/runs")
+    assert spark.read.parquet(f"file:{tmp_path}/runs").count() == 6
+    change = {r["arm"]: r for r in arms.changes(rows, "total").collect()}
+    assert (change["instructed"]["change"], change["instructed"]["direction"], change["instructed"]["finding"]) == (10.0, "WORSE", True) and not change["control"]["finding"]
+    (tmp_path / "skill.md").write_text("Write plainly.\n\n")
+    assert arms.load_instruction(spark, f"file:{tmp_path}/skill.md", {}) == "Write plainly.\n\n" and arms.load_instruction(spark, "a", {"a": "x"}, "!") == "x!"
+    with pytest.raises(ValueError):
+        arms.load_instruction(spark, "b", {"a": "x"})
+
+
+def test_pack_candidates(spark):
+    from prosemetrics.operators import vocabulary
+
+    titles = spark.createDataFrame([("add-in, add-on", "n"), ("argument vs. parameter", "n"), ("AI (artificial intelligence)", "n"), ("Runs", "n"), ("cancelled", "n"), ("stop", "n")], "title string, note string")
+    dictionary = spark.createDataFrame([("run", "unapproved"), ("stop", "approved"), ("cancel", "approved")], "word string, status string")
+    assert sorted(r["term"] for r in vocabulary.pack_candidates(titles, dictionary).collect()) == ["add-in", "add-on", "ai", "argument", "parameter"]
+
+
+def test_rulesets_of_ones_own(spark):
+    from prosemetrics.plans import registry
+
+    base = registry.ruleset("prose")
+    make = lambda name, checks: type(base)(name, checks)
+    reasons = registry.register_all({"good": lambda: make("good", base.checks[:2]), "none": lambda: make("none", ()), "twice": lambda: make("twice", (base.checks[0], base.checks[0])), "broken": lambda: 1 / 0, "prose": lambda: make("prose", base.checks[:1])})
+    assert set(reasons) == {"none", "twice", "broken", "prose"} == set(registry.refused()) and "ZeroDivisionError" in reasons["broken"]
+    assert "good" in registry.rulesets() and registry.capabilities("good") == ("checks", "fix") and registry.capabilities("prose") == ("checks", "terms", "fix")
+    registry.unregister("good")
+    assert "good" not in registry.rulesets()
+    with pytest.raises(ValueError):
+        registry.unregister("prose")
