@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from .checks import controlled, prose
-from .operators import config, corpus, embedded, experiment, fix, history, lint, routing, structure, terms, vocabulary
+from .operators import arms, config, corpus, embedded, experiment, fix, history, lint, routing, structure, terms, vocabulary
 from .plans import oracles as O
 from .plans.derived import LEXICON, derived, derived_sql
 from .plans.registry import TERM_LISTS, built_in_terms, check_table, ruleset, rulesets, term_lists
@@ -344,6 +344,11 @@ _SCAN_CTE = f"""{_MERGED_SQL}, f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THE
 _SCAN_COUNTS = "SELECT count(*) FILTER (status <> 'out_of_scope') AS scanned, count(*) FILTER (status = 'out_of_scope') AS out_of_scope, 0::BIGINT AS blank, count(*) FILTER (status = 'clean') AS clean, count(*) FILTER (status IN ('semantic_flags', 'mechanical_violations') AND NOT would_block) AS with_notes, count(*) FILTER (would_block) AS failed FROM v"
 
 
+def gate_documents(spark, sf_dir):
+    """Weights and decisions of all prose checks on all documents."""
+    return lint.gate_documents(_table(spark, sf_dir, "documents"), "prose")
+
+
 def lint_rulesets_documents(spark, sf_dir):
     """Verdicts of all three rulesets, whole, on all documents, by path: a source's number chooses the ruleset."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".py"), F.lit(".txt")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))).alias("path"), "text")
@@ -613,6 +618,17 @@ def drift_by_turn(spark, sf_dir):
 _DRIFT_SQL = "WITH g AS (SELECT role AS arm, turn, sum(len(regexp_extract_all(text, '\\S+')))::DOUBLE AS total, count(*) AS prompts FROM conversations GROUP BY ALL) SELECT *, total - first_value(total) OVER (PARTITION BY arm ORDER BY turn) AS change FROM g"
 
 
+def arm_changes(spark, sf_dir):
+    """Each role's mean words against the users', the system's turns standing for the second sample."""
+    out = arms.changes(_arms_whole(spark, sf_dir), "score", "user", "system")
+    return out.select("arm", F.round("mean", 6).alias("mean"), F.round("change", 6).alias("change"), "percent", "direction", F.round("noise_floor", 6).alias("noise_floor"), "finding")
+
+
+_CHANGES_SQL = """WITH w AS (SELECT conv_id, role, sum(len(regexp_extract_all(coalesce(text, ''), '\\S+'))) AS score FROM conversations GROUP BY ALL), m AS (SELECT role AS arm, avg(score) AS mean FROM w GROUP BY role),
+    b AS (SELECT max(mean) FILTER (arm = 'user') AS base, max(mean) FILTER (arm = 'system') AS control FROM m)
+    SELECT arm, round(mean, 6) AS mean, round(mean - base, 6) AS change, round((mean - base) * 100 / base) AS percent, CASE WHEN abs(mean - base) < 1e-9 THEN 'no change' WHEN mean < base THEN 'better' ELSE 'WORSE' END AS direction, round(abs(control - base), 6) AS noise_floor, abs(mean - base) > abs(control - base) AS finding FROM m, b WHERE arm <> 'user'"""
+
+
 def bootstrap_ci(spark, sf_dir):
     return experiment.bootstrap(experiment.paired(_arms_whole(spark, sf_dir), "user", "assistant", "score"))
 
@@ -679,7 +695,7 @@ def import_rules(spark, sf_dir):
 
 _IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, regexp_extract(s, '(?i)\\b(?:robust|late)\\b') AS label FROM sents WHERE regexp_matches(s, '(?i)\\b(?:robust|late)\\b')) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
 
-_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, dedup_rows, gate_decision, gate_merged, lint_status, verdicts_merged, lint_status_documents, lint_rulesets_documents, scan_routed, scan_counts, packs_for_path, orphaned_extras, saved_rules, enablement, custom_feeds, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, bootstrap_ci, replay_join, fix_prose, fix_documents, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
+_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, dedup_rows, gate_decision, gate_merged, lint_status, verdicts_merged, lint_status_documents, gate_documents, lint_rulesets_documents, scan_routed, scan_counts, packs_for_path, orphaned_extras, saved_rules, enablement, custom_feeds, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, arm_changes, bootstrap_ci, replay_join, fix_prose, fix_documents, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
 
 
 def queries():
@@ -702,5 +718,5 @@ def oracle_sql():
         "remedies": "SELECT * FROM (VALUES " + _values([(r, f, l, p) for r, l, f, _, p, _, _ in TERM_LISTS]) + ") t(ruleset, check_id, list_id, polarity)",
         "double_fire": f"{_DEDUPED} SELECT seq, action, file FROM d", "deny_streak": _STREAK_SQL, "recent_deny": _RECENT_SQL, "hit_counts": _HITS_SQL, "never_fired": f"SELECT check_id FROM ({_HITS_SQL}) WHERE hits = 0 AND gate_events >= 25",
         "status_counts": f"{_EVENTS} SELECT action, count(*) AS events FROM e GROUP BY action", "top_kinds": f"{_EVENTS} SELECT kind, count(*) AS hits, min(seq) AS first_seq FROM e GROUP BY kind ORDER BY hits DESC, first_seq LIMIT 5", "feed": _FEED_SQL,
-        "sign_test": _SIGN_SQL, "leaderboard": _BOARD_SQL, "drift_by_turn": _DRIFT_SQL, "replay_join": _REPLAY_SQL, "fix_prose": _FIX_SQL, "shell_writes": _SHELL_SQL, "import_rules": _IMPORT_SQL,
+        "sign_test": _SIGN_SQL, "leaderboard": _BOARD_SQL, "arm_changes": _CHANGES_SQL, "drift_by_turn": _DRIFT_SQL, "replay_join": _REPLAY_SQL, "fix_prose": _FIX_SQL, "shell_writes": _SHELL_SQL, "import_rules": _IMPORT_SQL,
     }

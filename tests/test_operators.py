@@ -418,3 +418,22 @@ def test_rulesets_of_ones_own(spark):
     assert "good" not in registry.rulesets()
     with pytest.raises(ValueError):
         registry.unregister("prose")
+
+
+def test_arm_scores_instructions_and_top_flags(spark):
+    from prosemetrics.operators import lint
+
+    docs = spark.createDataFrame([(1, "It is very robust. It is quite big."), (2, "It ran.")], "doc_id long, text string")
+    merged = lint.merged_flags(docs, "prose")
+    got = {r["doc_id"]: r for r in experiment.arm_scores(experiment.text_shape(docs), merged, ["vague_intensifier"]).collect()}
+    assert (got[1]["enforced_flags"], got[1]["held_out_flags"], got[2]["enforced_flags"]) == (2, merged.filter("doc_id = 1 and bucket = 'semantic' and kind <> 'vague_intensifier'").count(), 0)
+    assert got[1]["enforced_per_1k"] == pytest.approx(2000 / got[1]["words"])
+    one = check_table(spark, "prose").filter("check_id in ('passive', 'filler_verb', 'em_dash_cluster')")
+    assert experiment.instruction(one).collect()[0]["instruction"] == "- avoid em dash cluster\n- avoid filler verb"
+    assert lint.top_flags(lint.display(lint.flags(docs, "prose")), 1).count() == 1
+
+
+def test_embedded_prose_that_blocks(spark):
+    files_ = spark.createDataFrame([("a.py", 'x = "this is a very very big one"\n'), ("b.py", "x = 1\n")], "path string, text string")
+    config_ = check_table(spark, "prose").withColumn("action", F.when(F.col("check_id") == "vague_intensifier", "block").otherwise("warn"))
+    assert [(r["path"], r["kind"]) for r in embedded.embedded_blocking(files_, config_).collect()] == [("a.py", "vague_intensifier")]
