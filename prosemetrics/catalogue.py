@@ -677,6 +677,21 @@ def embedded_prose(spark, sf_dir):
     return embedded.embedded_flags(files).select("path", "kind", "label", "embedded_line")
 
 
+_SEGMENTS_SQL = "SELECT p_partkey AS path, 1 AS line, 0 AS ord, 'About the part ' || p_name || '.' AS segment FROM part UNION ALL SELECT p_partkey, 3, 1, 'the X price of the ' || p_name FROM part"
+_EMBEDDED_SQL = "SELECT p_partkey AS path, kind, label, embedded_line FROM part, (VALUES ('vague_intensifier', 'very', 1), ('marketing_adjective', 'robust', 1), ('filler_opener', 'Needless to say', 2), ('marketing_cliche', 'amazing', 2)) t(kind, label, embedded_line)"
+
+
+def admissible_packs(spark, sf_dir):
+    """Packs by kind, a part each, against the lists of all rulesets: how many each list can read."""
+    kind = F.element_at(F.array(F.lit("word"), F.lit("phrase"), F.lit("pattern"), F.lit(None)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    packs = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("pack_id"), kind.alias("content_kind"))
+    return terms.admissible(term_lists(spark), packs).groupBy("ruleset", "list_id").agg(F.count("*").alias("packs"))
+
+
+_ADMISSIBLE_SQL = f"""WITH lists(ruleset, list_id, kind) AS (VALUES ('prose', 'weasel_attribution', 'phrase'), ('prose', 'marketing_adjective', 'word'), ('prose', 'filler_verb', 'pattern'), ('prose', 'marketing_cliche', 'phrase'), ('prose', 'stock_adverb', 'word'), ('prose', 'copula_avoidance', 'phrase'), ('prose', 'section_template', 'phrase'), ('prose', 'terminology', 'word'), ('code', 'generic_naming', 'word'), ('controlled', 'project_terms', 'word')),
+    p AS (SELECT (['word', 'phrase', 'pattern', NULL])[p_partkey % 4 + 1] AS kind FROM part) SELECT ruleset, list_id, count(*) AS packs FROM lists l JOIN p ON p.kind IS NULL OR p.kind = l.kind GROUP BY ALL"""
+
+
 def shell_writes(spark, sf_dir):
     c = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("cat > notes.md <<'EOF'\nThe "), "p_name", F.lit("\nEOF\n")).alias("command"))
     return shell.shell_writes(c).select("p_partkey", "target", "text")
@@ -695,7 +710,7 @@ def import_rules(spark, sf_dir):
 
 _IMPORT_SQL = f"{O.SENTS}, h AS (SELECT doc_id, regexp_extract(s, '(?i)\\b(?:robust|late)\\b') AS label FROM sents WHERE regexp_matches(s, '(?i)\\b(?:robust|late)\\b')) SELECT doc_id, label, CASE lower(label) WHEN 'robust' THEN 'strong' ELSE 'delayed' END AS replacement, count(*) AS hits FROM h GROUP BY ALL"
 
-_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, dedup_rows, gate_decision, gate_merged, lint_status, verdicts_merged, lint_status_documents, gate_documents, lint_rulesets_documents, scan_routed, scan_counts, packs_for_path, orphaned_extras, saved_rules, enablement, custom_feeds, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, arm_changes, bootstrap_ci, replay_join, fix_prose, fix_documents, fix_controlled, prose_segments, embedded_prose, shell_writes, import_rules)}
+_QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_quality, consensus_quality, calibration, kind_counts, activity_whole, flag_share_whole, compare_quality_whole, consensus_quality_whole, calibration_whole, kind_counts_whole, manifest, sentence_split, word_counts, text_shape, text_shape_documents, blocks, html_paragraphs, html_paragraphs_nested, vocabulary_join, dedup_flags, dedup_rows, gate_decision, gate_merged, lint_status, verdicts_merged, lint_status_documents, gate_documents, lint_rulesets_documents, scan_routed, scan_counts, packs_for_path, orphaned_extras, saved_rules, enablement, custom_feeds, ratchet, route_first_match, terms_resolve, term_layer_counts, check_dimension, complement_checks, remedies, built_in_vocabulary, double_fire, deny_streak, recent_deny, hit_counts, never_fired, status_counts, top_kinds, feed, sign_test, leaderboard, sign_test_whole, leaderboard_whole, drift_by_turn, arm_changes, bootstrap_ci, replay_join, fix_prose, fix_documents, fix_controlled, prose_segments, embedded_prose, admissible_packs, shell_writes, import_rules)}
 
 
 def queries():
@@ -718,5 +733,5 @@ def oracle_sql():
         "remedies": "SELECT * FROM (VALUES " + _values([(r, f, l, p) for r, l, f, _, p, _, _ in TERM_LISTS]) + ") t(ruleset, check_id, list_id, polarity)",
         "double_fire": f"{_DEDUPED} SELECT seq, action, file FROM d", "deny_streak": _STREAK_SQL, "recent_deny": _RECENT_SQL, "hit_counts": _HITS_SQL, "never_fired": f"SELECT check_id FROM ({_HITS_SQL}) WHERE hits = 0 AND gate_events >= 25",
         "status_counts": f"{_EVENTS} SELECT action, count(*) AS events FROM e GROUP BY action", "top_kinds": f"{_EVENTS} SELECT kind, count(*) AS hits, min(seq) AS first_seq FROM e GROUP BY kind ORDER BY hits DESC, first_seq LIMIT 5", "feed": _FEED_SQL,
-        "sign_test": _SIGN_SQL, "leaderboard": _BOARD_SQL, "arm_changes": _CHANGES_SQL, "drift_by_turn": _DRIFT_SQL, "replay_join": _REPLAY_SQL, "fix_prose": _FIX_SQL, "shell_writes": _SHELL_SQL, "import_rules": _IMPORT_SQL,
+        "sign_test": _SIGN_SQL, "leaderboard": _BOARD_SQL, "arm_changes": _CHANGES_SQL, "drift_by_turn": _DRIFT_SQL, "replay_join": _REPLAY_SQL, "fix_prose": _FIX_SQL, "shell_writes": _SHELL_SQL, "prose_segments": _SEGMENTS_SQL, "embedded_prose": _EMBEDDED_SQL, "admissible_packs": _ADMISSIBLE_SQL, "import_rules": _IMPORT_SQL,
     }

@@ -93,3 +93,20 @@ def remedies(checks: DataFrame, lists: DataFrame) -> DataFrame:
 def orphans(extra: DataFrame, known: DataFrame) -> DataFrame:
     """Entries (ruleset, list_id) that no list declares."""
     return extra.join(known.select("ruleset", "list_id").distinct(), ["ruleset", "list_id"], "left_anti")
+
+
+def admissible(lists: DataFrame, packs: DataFrame) -> DataFrame:
+    """ruleset, list_id, pack_id, reason: the packs that each list can read.
+
+    lists: content_kind (and accepts_kinds, if a list reads more than its own kind); packs:
+    pack_id, content_kind. Patterns aren't read as words, nor words as phrases. Where either
+    side says nothing of its kind, the pack is let in and reason says so. Packs are matched
+    by kind, of which there are few, so lists and packs do not meet pair by pair.
+    """
+    kinds = F.col("accepts_kinds") if "accepts_kinds" in lists.columns else F.lit(None).cast("array<string>")
+    wanted = lists.filter("accepts_packs").select("ruleset", "list_id", F.coalesce(kinds, F.array("content_kind")).alias("kinds"))
+    wanted = wanted.withColumn("open", F.exists("kinds", lambda k: k.isNull()) | (F.size("kinds") == 0))
+    known = packs.filter(F.col("content_kind").isNotNull()).select("pack_id", F.col("content_kind").alias("kind"))
+    fits = wanted.filter(~F.col("open")).select("ruleset", "list_id", F.explode("kinds").alias("kind")).join(known, "kind").select("ruleset", "list_id", "pack_id", F.lit("").alias("reason"))
+    undeclared = wanted.join(packs, F.col("open") | F.col("content_kind").isNull()).select("ruleset", "list_id", "pack_id", F.lit("kind undeclared on one side").alias("reason"))
+    return fits.unionByName(undeclared).distinct()

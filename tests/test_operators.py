@@ -437,3 +437,10 @@ def test_embedded_prose_that_blocks(spark):
     files_ = spark.createDataFrame([("a.py", 'x = "this is a very very big one"\n'), ("b.py", "x = 1\n")], "path string, text string")
     config_ = check_table(spark, "prose").withColumn("action", F.when(F.col("check_id") == "vague_intensifier", "block").otherwise("warn"))
     assert [(r["path"], r["kind"]) for r in embedded.embedded_blocking(files_, config_).collect()] == [("a.py", "vague_intensifier")]
+
+
+def test_packs_that_a_list_can_read(spark):
+    lists = spark.createDataFrame([("r", "words", "word", None, True), ("r", "both", "word", ["word", "phrase"], True), ("r", "any", None, None, True), ("r", "closed", "word", None, False)], "ruleset string, list_id string, content_kind string, accepts_kinds array<string>, accepts_packs boolean")
+    packs = spark.createDataFrame([("w", "word"), ("p", "phrase"), ("x", None)], "pack_id string, content_kind string")
+    got = {(r["list_id"], r["pack_id"]): r["reason"] == "" for r in terms.admissible(lists, packs).collect()}
+    assert got == {("words", "w"): True, ("words", "x"): False, ("both", "w"): True, ("both", "p"): True, ("both", "x"): False, ("any", "w"): False, ("any", "p"): False, ("any", "x"): False}
