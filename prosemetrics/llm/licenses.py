@@ -111,20 +111,31 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(out, r"(?U)[^\p{L}\p{N}\n]+", " ")
 
 
-def spelled(padded: Column) -> Column:
-    """Equivalent spellings of a text whose words stand between single blanks; without the outer ones."""
+def _spelled(bare: Column) -> Column:
+    """Equivalent spellings of single words; each word and each line end stands between blanks."""
+    out = F.concat(F.lit(" "), F.replace(bare, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, usual in EQUAL:
-        padded = F.replace(padded, F.lit(f" {other} "), F.lit(f" {usual} "))
-    return F.trim(padded)
+        if " " not in other:
+            out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
+    return out
 
 
-def _joined(bare: Column) -> Column:
-    return spelled(F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[ \n]+", " ")), F.lit(" ")))
+def _phrases(spelled: Column) -> Column:
+    """Equivalent spellings of several words, within a line; without the outer blanks."""
+    for other, usual in EQUAL:
+        if " " in other:
+            spelled = F.replace(spelled, F.lit(f" {other} "), F.lit(f" {usual} "))
+    return F.trim(spelled)
+
+
+def _joined(spelled: Column) -> Column:
+    """All lines as one, with single blanks."""
+    return _phrases(F.concat(F.lit(" "), F.trim(F.regexp_replace(spelled, r"[ \n]+", " ")), F.lit(" ")))
 
 
 def canonical(text: Column) -> Column:
     """The form in which texts are compared: one line, its words between single blanks, spellings made equal."""
-    return _joined(_bare(text))
+    return _joined(_spelled(_bare(text)))
 
 
 def digest(text: Column) -> Column:
@@ -151,10 +162,8 @@ def license_scan(docs: DataFrame, known=KNOWN, digests=DIGESTS) -> DataFrame:
     table = known_digests(spark, known, digests)
     notices = known_digests(spark, [(a, t) for a, t in known if "\n" not in t], ())
     names = F.broadcast(notices.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("names")))  # one row, as many entries as ``known``
-    base = docs.select("doc_id", _bare(F.coalesce("text", F.lit(""))).alias("bare")).crossJoin(names)
-    # Spellings are made equal once for all lines: each word has a blank on either side, line ends stand between blanks.
-    lines = F.split(spelled(F.concat(F.lit(" "), F.replace("bare", F.lit("\n"), F.lit(" \n ")), F.lit(" "))), "\n", -1)
-    hits = F.transform(lines, lambda x: F.element_at(F.col("names"), F.sha2(F.trim(x), 256)))
-    base = base.select("doc_id", F.sha2(_joined(F.col("bare")), 256).alias("digest"), let(hits, lambda h: F.filter(h, lambda x: x.isNotNull())).alias("hits"))
+    base = docs.select("doc_id", _spelled(_bare(F.coalesce("text", F.lit("")))).alias("spelled")).crossJoin(names)
+    hits = F.transform(F.split("spelled", "\n", -1), lambda x: F.element_at(F.col("names"), F.sha2(_phrases(x), 256)))
+    base = base.select("doc_id", F.sha2(_joined(F.col("spelled")), 256).alias("digest"), let(hits, lambda h: F.filter(h, lambda x: x.isNotNull())).alias("hits"))
     base = base.select("doc_id", "digest", F.array_sort(F.array_distinct("hits")).alias("line_licenses"), F.size("hits").cast("long").alias("n_notice_lines"))
     return base.join(F.broadcast(table), "digest", "left").select("doc_id", F.col("license").alias("text_license"), "line_licenses", "n_notice_lines")  # as many rows as ``known`` and ``digests``
