@@ -42,4 +42,9 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
+    rows = catalogue.queries()[name](spark, SF).collect()
+    if name == "calibration_whole":  # one row a check on which all controls agree, and in documents read as procedure there may be none
+        agreed = catalogue.queries()["consensus_quality_whole"](spark, SF).filter("verdict = 'discriminates'").collect()
+        assert {r["check_id"] for r in rows} == {r["check_id"] for r in agreed}
+    else:
+        assert rows
