@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, line_crf, lpf, mixing, near_dup, packing, quality_rules, secrets
+from pyspark.sql import functions as F
+
+from . import ann, exact_top, langid, licenses, line_crf, lpf, mixing, near_dup, negatives, packing, periodic, quality_rules, secrets
 from .common import written
 
 
@@ -51,5 +53,19 @@ def op10_near_duplicates(spark, sf_dir):
     return near_dup.linked(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(_documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table.withColumn("label", moved))
+
+
+def op13_exact_top_k(spark, sf_dir):
+    return exact_top.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
