@@ -158,12 +158,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _likely(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Estimated similarity of rows against rows; -1 where the sizes or the estimate rule the pair out."""
+    """Estimated similarity of rows against rows, as :func:`estimate`; -1 where the sizes or the estimate rule the pair out."""
     equal = np.zeros((len(sig_a), len(sig_b)), np.int16)
     for k in range(BUCKETS):
         equal += sig_a[:, k, None] == sig_b[None, :, k]
     small, large = np.minimum(n_a[:, None], n_b[None]), np.maximum(n_a[:, None], n_b[None])
-    guess = equal / BUCKETS
+    (of_a, at_a), (of_b, at_b) = (np.unique(np.round(2 * np.log2(n)).astype(int), return_inverse=True) for n in (n_a, n_b))
+    chance = np.array([[_chance(x, y) for y in of_b.tolist()] for x in of_a.tolist()])[at_a[:, None], at_b[None]]
+    guess = np.clip((equal / BUCKETS - chance) / (1 - chance), 0, 1)
     possible = (100 * small >= percent * large) & ((small < SURE) | (guess >= percent / 100 - SLACK))
     return np.where(possible, guess, -1.0)
 
@@ -277,7 +279,9 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     remove(edges)
     remove(more)
     root = reps.join(labels, reps["rid"] == labels["node"], "left").select("digest", F.coalesce("component", "rid").alias("component_id"))
-    out = signed.alias("s").join(root.alias("r"), "digest", "left").select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("r.component_id", "s.doc_id").alias("component_id"))
+    none = F.col("digest").isNull()  # documents without words share that, and need no join
+    out = signed.filter(~none).alias("s").join(root.alias("r"), "digest", "left").select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("r.component_id", "s.doc_id").alias("component_id"))
+    out = out.unionByName(signed.filter(none).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
