@@ -4,6 +4,7 @@ import hashlib
 import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prosemetrics.llm import langid, licenses, line_crf, lpf, mixing, near_dup, packing, quality_rules, secrets
+from prosemetrics.llm import findings, langid, licenses, line_crf, lpf, mixing, near_dup, packing, quality_rules, secrets
 from prosemetrics.llm.hashing import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -672,6 +673,32 @@ def test_secrets_on_findings_labelled_by_hand():
     assert sum(right) >= 0.9 * len(FINDINGS), [t for (t, _), ok in zip(FINDINGS, right) if not ok]
 
 
+def test_secret_forest_on_the_half_held_out():
+    rows = findings.labelled(held_out=True)
+    guess = secrets.default_forest().score(np.array([secrets.features(c, b[-secrets.NEAR :], a[: secrets.NEAR]) for c, b, a, _ in rows])) >= 0.5
+    truth = np.array([y for *_, y in rows], bool)
+    assert len(rows) >= 50 and (guess & truth).sum() >= 0.9 * guess.sum() and (guess & truth).sum() >= 0.9 * truth.sum()
+    for c, b, a, y in findings.labelled():
+        assert not y or (len(b), len(b) + len(c)) in secrets.candidates(b + c + a)
+
+
+@pytest.mark.parametrize("shape", ["a:b;", "key=v;", "key=", "://a:b", "password:x&", '="', "k='", "key=v", "token=token ", "sk-", "a=b:c@"])
+def test_secrets_in_a_megabyte_without_blanks(shape):
+    text = shape * ((1 << 20) // len(shape))
+    secrets.default_forest()
+    start = time.time()
+    [(n, _)] = secrets.find([text], secrets.default_forest())
+    assert time.time() - start < 60
+    whole = secrets.find([text[: len(shape) * 50]], secrets.default_forest())[0][0]
+    assert n >= whole  # none is left out for the length
+
+
+def test_values_that_follow_each_other_are_all_candidates():
+    text = "user=joe&password=hunter22&key=abc;token:secret=x9x9x9,pwd=Tr0ub4dor&3x end"
+    got = {text[a:b] for a, b in secrets.candidates(text)}
+    assert {"hunter22", "abc", "x9x9x9", "Tr0ub4dor&3x"} <= got and "joe" not in got
+
+
 def test_quality_rules_of_repeated_rows_and_clashing_columns(spark, rows):
     docs = spark.createDataFrame([*rows, rows[0], rows[0]], SCHEMA).withColumns({"_kept": F.lit("mine"), "_n_words": F.lit(1), "least_x": F.lit(2)})
     kept = quality_rules.keep_good(docs)
