@@ -1,8 +1,9 @@
 """The controlled-language ruleset: 13 checks.
 
 Items of sentence checks are sentences; context["procedure"] says whether the sentence is
-in the procedure register. ``vocabulary`` needs a dictionary, which is a table given by the
-caller; it is found by a join (see ``operators.vocabulary``), not here.
+in the procedure register. ``vocabulary`` needs a dictionary, a table that the caller gives
+as context["dictionary"]; ``operators.vocabulary`` makes it context["vocabulary"], the
+verdict on a word. Without one the check has no hits.
 """
 
 from __future__ import annotations
@@ -102,9 +103,18 @@ def length(s: Column, context: dict) -> Column:
     return one_if(n > limit, hit(rule="5.1", note=F.concat(n.cast("string"), F.lit(" words, limit "), limit.cast("string"))))
 
 
-def vocabulary(s: Column, _: dict) -> Column:
-    """Found by a join with the dictionary; without one there are no hits."""
-    return no_hits()
+def vocabulary(s: Column, context: dict) -> Column:
+    """Words that the dictionary does not allow; none without a dictionary."""
+    verdict = context.get("vocabulary")
+    if verdict is None:
+        return no_hits()
+
+    def of(w: Column) -> Column:
+        rule = lambda v: F.when(v["type"] == "unknown_vocabulary", "1.5").otherwise("1.1")
+        flagged = lambda v: F.when(v.isNotNull(), hit(w, rule(v), v["type"], False, v["replacement"]))
+        return let(verdict(F.regexp_replace(F.lower(w), "^'+|'+$", "")), flagged)
+
+    return F.filter(F.transform(words(s), of), lambda h: h.isNotNull())
 
 
 def ing_form(s: Column, _: dict) -> Column:

@@ -10,6 +10,7 @@ from ..checks.base import UNITS, Check, Ruleset
 from ..functions.patterns import HIT, let
 from ..plans.registry import check_table, ruleset
 from .structure import code_lines, with_units
+from .vocabulary import ready, resolved
 
 ORDER = ("unit_rank", "item_ord", "check_ord", "hit_ord")
 _FLAG = f"struct<unit_rank:int,item_ord:int,check_ord:int,hit_ord:int,kind:string,mechanical:boolean,text:string,hit:{HIT}>"
@@ -34,15 +35,18 @@ def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict |
     """``keep`` columns, key and ``found``: the array of a document's flags, not merged, in order.
 
     A projection: no shuffle. Checks in ``disabled`` are never built. context: ``extra``
-    (terms by check), ``lexicon``, ``limits``. register: whether a sentence that is no
+    (terms by check), ``lexicon``, ``limits``, ``dictionary`` (with ``project`` and
+    ``suppressed``; a large one costs joins of words, see ``operators.vocabulary``). register: whether a sentence that is no
     numbered step counts as procedure (the default) or as description. Null text counts
     as empty.
     """
     rules, context = ruleset(rules), dict(context or {})
     live = [(i, c) for i, c in enumerate(rules.checks) if c.id not in set(disabled)]
+    if any(c.id == "vocabulary" for _, c in live):
+        docs, context = resolved(docs, context, key, text)
     of = lambda *units: [(i, c) for i, c in live if c.unit in units]
     kept = [c for c in dict.fromkeys((key, *keep))]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"), *context.get("columns", ()))
     parts = []
     if rules.lines == "code":
         base = base.withColumn("is_script", code.is_script(F.split("text", "\n", -1))).withColumn("lines", code_lines(F.col("text")))
@@ -70,13 +74,18 @@ def _rows(docs: DataFrame, f: str, keys: list[str], occurrences: Column) -> Data
     return docs.select(*keys, *[F.col(f"{f}.{c}").alias(c) for c in ORDER], F.col(f"{f}.kind").alias("kind"), F.col(f"{f}.text").alias("text"), bucket, *[F.col(f"{f}.hit.{c}").alias(c) for c in names], occurrences.alias("occurrences"))
 
 
+def _exploded(arrays: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
+    """A row an element. By an outer explode: the other one gets a filter on the array, which would be computed again for it."""
+    return arrays.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", **options) -> DataFrame:
     """One row a flag, not merged: key, the four ordinals, kind, label, text, bucket and the hit's details.
 
     ``flag_arrays`` and one explode: no shuffle.
     """
     keys = [*dict.fromkeys((key, *options.get("keep", ())))]
-    out = flag_arrays(docs, rules, context, key=key, **options).select(*keys, F.explode("found").alias("f"))
+    out = _exploded(flag_arrays(docs, rules, context, key=key, **options), keys, F.col("found"), "f")
     return _rows(out, "f", keys, F.col("f.hit.occurrences"))
 
 
@@ -115,7 +124,7 @@ def merged_flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict
     """``dedup(flags(docs))`` without a shuffle: flags are merged in their document's row."""
     keys = [*dict.fromkeys((key, *options.get("keep", ())))]
     arrays = flag_arrays(docs, rules, context, key=key, **options)
-    out = arrays.select(*keys, F.explode(merged_array(F.col("found"), rules)).alias("m"))
+    out = _exploded(arrays, keys, merged_array(F.col("found"), rules), "m")
     return _rows(out, "m.flag", keys, F.col("m.occurrences"))
 
 
@@ -167,7 +176,7 @@ def _limits(docs: DataFrame, rules, config: DataFrame | None) -> dict:
 def gate_documents(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, config: DataFrame | None = None, *, key: str = "doc_id", **options) -> DataFrame:
     """``gate(dedup(flags(docs)))`` without a shuffle: key, kind, weight, threshold, action, triggered, blocks."""
     out = judged(flag_arrays(docs, rules, context, key=key, **options), rules, _limits(docs, rules, config))
-    return out.select(key, F.explode("gates").alias("g")).select(key, "g.*")
+    return _exploded(out, [key], F.col("gates"), "g").select(key, "g.*")
 
 
 def dedup(found: DataFrame, rules: str | Ruleset = "prose", *, key: str = "doc_id") -> DataFrame:
@@ -226,7 +235,7 @@ def ratchet(pairs: DataFrame, rules: str | Ruleset = "prose", context: dict | No
     Denied if the text after has blocking flags and either there was nothing before or
     the weight of the blocking flags grew. Both texts are judged in the row of their pair.
     """
-    limits, out = _limits(pairs, rules, config), pairs.select(key, "before", "after")
+    limits, out, context = _limits(pairs, rules, config), pairs.select(key, "before", "after"), ready(context)
     weight = F.aggregate(F.filter("gates", lambda g: g["blocks"]), F.lit(0).cast("long"), lambda a, g: a + g["weight"])
     for side in ("before", "after"):
         left = [c for c in out.columns if c != key]

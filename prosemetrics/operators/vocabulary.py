@@ -1,16 +1,31 @@
-"""The vocabulary check: tokens joined with a dictionary."""
+"""The vocabulary check: words against a dictionary, inside the row or by joins.
+
+A dictionary of at most ``COMPILED`` rows becomes part of the plan: sets of words that each
+token is looked up in, so all drivers of lint judge vocabulary in the row, without an
+exchange. A larger one judges the distinct words of the corpus once, by a join, and each
+document gets the verdicts on its own words as an array, in which its tokens are looked up.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks.controlled import IRREGULAR_BASES, MODALS
-from ..functions.patterns import lookup
+from ..functions.patterns import let, lookup
 from .structure import with_units, words
 
 #: Dictionaries of this many rows or fewer are broadcast; larger ones are joined by a shuffle.
 SMALL = 50_000
+#: Dictionaries of this many rows or fewer become part of the plan.
+COMPILED = 5_000
+#: Into how many keys a word that many documents hold is dealt.
+SALTS = 16
+VERDICT = "struct<type:string,replacement:string>"
+NO_WORDS, WORDS_OF = "word string, status string", "array<struct<word:string,type:string,replacement:string>>"
 
 
 def base_candidates(word: Column) -> Column:
@@ -62,6 +77,122 @@ def vocabulary_flags(docs: DataFrame, dictionary: DataFrame, project: DataFrame
     return out.withColumns({"kind": F.lit("vocabulary"), "auto_fix": F.lit(False), "bucket": F.lit("semantic")})
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """A dictionary small enough for a plan. allowed: words that pass; approved and unapproved: as listed; replacement: by word."""
+
+    allowed: tuple[str, ...]
+    approved: tuple[str, ...]
+    unapproved: tuple[str, ...]
+    replacement: dict[str, str]
+
+    def verdict(self, word: Column) -> Column:
+        """Of a word in lower case: null if it is allowed, else its type and what to say instead."""
+        none = F.lit(None).cast(VERDICT)
+        of = lambda kind, w: F.struct(F.lit(kind).alias("type"), self._instead(w).alias("replacement"))
+        among = lambda w, some: w.isin(*some) if some else F.lit(False)
+        listed = F.when(self._instead(word).isNull(), of("unapproved_no_replacement", word)).otherwise(of("unapproved_synonym", word))
+
+        def by_base(base: Column) -> Column:
+            inflected = F.when(among(base, self.approved), none).otherwise(of("unapproved_synonym", base))
+            return F.when(base.isNull(), of("unknown_vocabulary", F.lit(""))).otherwise(inflected)
+
+        known = F.filter(base_candidates(word), lambda c: among(c, (*self.approved, *self.unapproved)))
+        unlisted = let(F.get(known, F.lit(0)), by_base)
+        out = F.when((word == "") | among(word, self.allowed), none).when(among(word, self.unapproved), listed)
+        return out.otherwise(unlisted).cast(VERDICT)
+
+    def _instead(self, word: Column) -> Column:
+        return lookup(self.replacement, word) if self.replacement else F.lit(None).cast("string")
+
+
+def _nothing(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], NO_WORDS)
+
+
+def compiled(dictionary: DataFrame, project: DataFrame | None = None, suppressed: DataFrame | None = None) -> Lexicon | None:
+    """The dictionary as a :class:`Lexicon`; None if it, the project's terms and the suppressed ones have too many rows."""
+    tables = (dictionary, project if project is not None else _nothing(dictionary), suppressed if suppressed is not None else _nothing(dictionary))
+    rows = [t.limit(COMPILED + 1).collect() for t in tables]
+    if sum(map(len, rows)) > COMPILED:
+        return None
+    words_, terms, off = rows
+    status = lambda some, s: {r["word"] for r in some if r["status"] == s}
+    approved, unapproved = status(words_, "approved"), status(words_, "unapproved")
+    allowed = {r["word"].lower() for r in terms} | set(MODALS) | (approved - status(off, "approved")) | status(off, "unapproved")
+    instead: dict[str, str] = {}
+    for r in words_:
+        if r["replacement"] is not None:
+            instead[r["word"]] = max(r["replacement"], instead.get(r["word"], ""))
+    return Lexicon(tuple(sorted(allowed)), tuple(sorted(approved)), tuple(sorted(unapproved)), instead)
+
+
+def bare(word: Column) -> Column:
+    """A token as it is looked up: lower case, without the marks at its ends."""
+    return F.regexp_replace(F.lower(word), "^'+|'+$", "")
+
+
+def word_verdicts(some: DataFrame, dictionary: DataFrame, project: DataFrame | None = None, suppressed: DataFrame | None = None) -> DataFrame:
+    """word, type, replacement of those of ``some`` (word, distinct) that the dictionary does not allow, by joins of words alone."""
+    off = suppressed if suppressed is not None else _nothing(dictionary)
+    at = lambda s: F.max(F.col("status") == s)
+    known = dictionary.groupBy("word").agg(at("approved").alias("approved"), at("unapproved").alias("unapproved"), F.max("replacement").alias("replacement"))
+    off = off.groupBy("word").agg(at("approved").alias("no_approval"), at("unapproved").alias("no_ban"))
+    marks = ("approved", "unapproved", "no_approval", "no_ban")
+    out = some.filter((F.col("word") != "") & ~F.col("word").isin(*MODALS))
+    if project is not None:
+        out = out.join(project.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
+    out = out.join(known, "word", "left").join(off, "word", "left").fillna(False, [*marks])
+    out = out.filter(~(F.col("approved") & ~F.col("no_approval")) & ~F.col("no_ban"))
+    tries = out.filter("not unapproved").select(F.col("word").alias("inflected"), F.posexplode(base_candidates(F.col("word"))).alias("nth", "word"))
+    base = F.min_by(F.struct("approved", "replacement"), "nth").alias("base")
+    tries = tries.join(known.select("word", "approved", "replacement"), "word").groupBy(F.col("inflected").alias("word")).agg(base)
+    out = out.join(tries, "word", "left").filter(~F.coalesce(F.col("base.approved"), F.lit(False)) | F.col("unapproved"))
+    listed = F.when(F.col("replacement").isNull(), "unapproved_no_replacement").otherwise("unapproved_synonym")
+    kind = F.when(F.col("unapproved"), listed).when(F.col("base").isNull(), "unknown_vocabulary").otherwise("unapproved_synonym")
+    instead = F.when(F.col("unapproved"), F.col("replacement")).otherwise(F.col("base.replacement"))
+    return out.select("word", kind.alias("type"), instead.alias("replacement"))
+
+
+def encoded(docs: DataFrame, dictionary: DataFrame, project: DataFrame | None, suppressed: DataFrame | None, key: str, text: str) -> DataFrame:
+    """``docs`` with ``_vocabulary``: the verdicts on a document's own words. Each distinct word of the corpus is judged once."""
+    tokens = F.array_distinct(F.transform(words(F.coalesce(F.col(text), F.lit(""))), bare))
+    held = docs.select(F.col(key).alias("_of"), F.explode(tokens).alias("word")).distinct()
+    judged = word_verdicts(held.select("word").distinct(), dictionary, project, suppressed)
+    # A word that stands in most documents is dealt to several keys.
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = held.withColumn("salt", F.pmod(F.xxhash64("_of"), F.lit(SALTS)).cast("int"))
+    per = held.join(judged, ["word", "salt"]).groupBy("_of").agg(F.collect_list(F.struct("word", "type", "replacement")).alias("_vocabulary"))
+    out = docs.join(per, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
+    return out.withColumn("_vocabulary", F.coalesce("_vocabulary", F.array().cast(WORDS_OF)))
+
+
+def ready(context: dict | None) -> dict:
+    """``context``, where a small ``dictionary`` (with ``project`` and ``suppressed``) is compiled once, as ``vocabulary``."""
+    context = dict(context or {})
+    if "dictionary" in context and "vocabulary" not in context:
+        lexicon = compiled(context["dictionary"], context.get("project"), context.get("suppressed"))
+        if lexicon is not None:
+            context["vocabulary"] = lexicon.verdict
+    return context
+
+
+def resolved(docs: DataFrame, context: dict | None, key: str, text: str) -> tuple[DataFrame, dict]:
+    """``docs`` and ``context`` with ``vocabulary``, the verdict on a word, if a ``dictionary`` is given; ``columns``: what it reads."""
+    context = ready(context)
+    if "dictionary" in context and "vocabulary" not in context:
+        docs = encoded(docs, context["dictionary"], context.get("project"), context.get("suppressed"), key, text)
+        context["columns"] = ("_vocabulary",)
+        context["vocabulary"] = _of_row
+    return docs, context
+
+
+def _of_row(word: Column) -> Column:
+    mine: Callable[[Column], Column] = lambda v: v["word"] == word
+    found = F.get(F.filter("_vocabulary", mine), F.lit(0))
+    return F.when(found.isNotNull(), F.struct(found["type"].alias("type"), found["replacement"].alias("replacement"))).cast(VERDICT)
+
+
 def check_word(word: str, dictionary: DataFrame, project: DataFrame | None = None) -> DataFrame:
     """The verdict on one word: word, verdict, replacement."""
     spark = dictionary.sparkSession
