@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from . import catalogue_flow
 from .checks import controlled, prose
 from .operators import arms, config, corpus, embedded, experiment, fix, history, lint, routing, structure, terms, vocabulary
 from .plans import oracles as O
@@ -139,11 +140,12 @@ def html_paragraphs_nested(spark, sf_dir):
 # --- corpus analytics ---------------------------------------------------------------------
 def _flagged(spark, docs, keep=FLAGSHIP):
     checks = check_table(spark, "controlled").filter(F.col("check_id").isin(*keep))
-    return lint.merged_flags(docs.select("doc_id", "text"), "controlled", disabled=_only("controlled", keep)), checks
+    context = {"dictionary": _dictionary(spark)}
+    return lint.merged_flags(docs.select("doc_id", "text"), "controlled", context, disabled=_only("controlled", keep)), checks
 
 
 def _activity(docs, keep, by=()):
-    return corpus.activity_of(docs, "controlled", by, disabled=_only("controlled", keep))
+    return corpus.activity_of(docs, "controlled", by, {"dictionary": _dictionary(docs.sparkSession)}, disabled=_only("controlled", keep))
 
 
 def _sentences_cte(where: str = "") -> str:
@@ -217,8 +219,7 @@ def kind_counts(spark, sf_dir):
 
 
 # The same over all documents, of any language or none, and all checks of the ruleset; RE2 can't express those, so without SQL.
-#: ``vocabulary`` needs a dictionary that the caller gives.
-_WHOLE = tuple(c.id for c in ruleset("controlled").checks if c.id != "vocabulary")
+_WHOLE = tuple(c.id for c in ruleset("controlled").checks)
 
 
 def activity_whole(spark, sf_dir):
@@ -714,14 +715,14 @@ _QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_qualit
 
 
 def queries():
-    out = dict(_QUERIES)
+    out = _QUERIES | catalogue_flow.queries()
     for r in rulesets():
         out.update({f"check_{c.id}": partial(check_query, rules=r, check=c.id) for c in ruleset(r).checks if c.id != "vocabulary"})
     return out | {f"check_{c}_documents": partial(check_documents, rules=r, check=c) for r, c in _HEARD}
 
 
 def oracle_sql():
-    out = {f"check_{k}": v for k, v in O.CHECKS.items()}
+    out = {f"check_{k}": v for k, v in O.CHECKS.items()} | catalogue_flow.oracle_sql()
     return out | {
         "activity_by_lang": _ACTIVITY_SQL, "flag_share": _SHARE_SQL, "compare_quality": f"{_COMPARED} SELECT * FROM cmp", "consensus_quality": f"{_COMPARED} {_CONSENSUS}", "calibration": f"{_COMPARED} {_CALIBRATION}",
         "kind_counts": f"WITH docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_sentences_cte()} SELECT k AS kind, count(*) AS flags FROM merged GROUP BY k", "manifest": _MANIFEST_SQL,

@@ -44,16 +44,27 @@ def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict |
     live = [(i, c) for i, c in enumerate(rules.checks) if c.id not in set(disabled)]
     if any(c.id == "vocabulary" for _, c in live):
         docs, context = resolved(docs, context, key, text)
-    of = lambda *units: [(i, c) for i, c in live if c.unit in units]
     kept = [c for c in dict.fromkeys((key, *keep))]
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"), *context.get("columns", ()))
-    parts = []
     if rules.lines == "code":
         base = base.withColumn("is_script", code.is_script(F.split("text", "\n", -1))).withColumn("lines", code_lines(F.col("text")))
         context["is_script"] = F.col("is_script")
-        parts.append((of("LINE"), F.col("lines"), {"shown": lambda x: x["line"]}))
     else:
         base = with_units(base)
+    # The same checks over the same units are one expression, however many texts of a row they judge.
+    built, name = context.get("built", {}), (rules.id, register, tuple(c.id for _, c in live))
+    if name not in built:
+        built[name] = _found(rules, live, register, context)
+    return base.select("kept.*", built[name].alias("found"))
+
+
+def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context: dict) -> Column:
+    """The flags of a row that has its units."""
+    of = lambda *units: [(i, c) for i, c in live if c.unit in units]
+    parts = []
+    if rules.lines == "code":
+        parts.append((of("LINE"), F.col("lines"), {"shown": lambda x: x["line"]}))
+    else:
         procedure = lambda x: {"procedure": F.lit(True) if register == "procedure" else x["numbered"]}
         bodies = F.transform(F.filter("blocks", lambda b: b["kind"] != "header"), lambda b: b["content"])
         parts.append((of("BLOCK"), bodies, {}))
@@ -64,8 +75,7 @@ def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict |
         seen = F.col("text") if rules.whole == "raw" else F.array_join(plain, " ")
         parts.append((of("DOCUMENT"), F.array(seen), {"shown": lambda x: F.lit(None).cast("string")}))
     arrays = [_over(items, checks, context, **how) for checks, items, how in parts if checks]
-    found = F.concat(*arrays) if arrays else F.array().cast(f"array<{_FLAG}>")
-    return base.select("kept.*", found.alias("found"))
+    return F.concat(*arrays) if arrays else F.array().cast(f"array<{_FLAG}>")
 
 
 def _rows(docs: DataFrame, f: str, keys: list[str], occurrences: Column) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checks.base import Ruleset
 from ..functions.patterns import glob_regex
-from ..plans.registry import ruleset
+from ..plans.registry import TERM_LISTS, check_table, ruleset
+from ..sources.literals import prose_literals
 from .lint import flag_arrays, judged
+from .vocabulary import ready
+
+#: Terms of packs that rules may bind in all.
+PACK_TERMS = 20_000
 
 RULE = "ord int, glob string, ruleset string, packs map<string,array<string>>, disable array<string>, embedded_prose string"
 # The rules of a project that has none of its own; the first is out of scope.
@@ -95,43 +103,125 @@ def unused(rules: DataFrame) -> DataFrame:
     return rules.withColumn("nth", F.row_number().over(Window.partitionBy("glob").orderBy("ord"))).filter("nth > 1").drop("nth")
 
 
-def lint_routed(files: DataFrame, rules: list[dict] = DEFAULT_RULES, overrides: DataFrame | None = None, disabled: dict[str, list[str]] | None = None, extra: dict[int, dict] | None = None, *, path: str = "path", text: str = "text", root: str = "/") -> DataFrame:
+@dataclass(frozen=True)
+class Judge:
+    """A ruleset as it is configured for some rules. limits: threshold and action by the rule's ordinal and check."""
+
+    rules: Ruleset
+    context: dict
+    limits: dict[str, tuple[int, str]]
+    disabled: tuple[str, ...]
+
+
+def pack_terms_by_rule(rules: list[dict], packs: DataFrame) -> dict[int, dict[tuple[str, str], tuple[str, ...]]]:
+    """By the rule's ordinal, then (ruleset, check): the terms of the packs that the rule binds to lists which feed that check.
+
+    packs: pack, term. Only packs that a rule names are read, each once: a table of the
+    plan, as large as what people bind to rules, and an error beyond ``PACK_TERMS``.
+    """
+    feeds = {(r, lst): check for r, lst, check, _, _, accepts, _ in TERM_LISTS if accepts}
+    bound = {(i, name, lst, p) for i, r in enumerate(rules) for name in (r.get("ruleset"), r.get("embedded_prose")) if name for lst, ids in (r.get("packs") or {}).items() for p in ids if (name, lst) in feeds}
+    wanted = sorted({p for *_, p in bound})
+    if not wanted:
+        return {}
+    rows = packs.filter(F.col("pack").isin(*wanted)).select("pack", F.lower("term").alias("term")).distinct().limit(PACK_TERMS + 1).collect()
+    if len(rows) > PACK_TERMS:
+        raise ValueError(f"the packs bound to rules have over {PACK_TERMS} terms; give them as a dictionary")
+    out: dict[int, dict[tuple[str, str], tuple[str, ...]]] = {}
+    for i, name, lst, p in sorted(bound):
+        mine, at = out.setdefault(i, {}), (name, feeds[name, lst])
+        mine[at] = tuple(sorted({*mine.get(at, ()), *(r["term"] for r in rows if r["pack"] == p)}))
+    return out
+
+
+def judges(spark: SparkSession, rules: list[dict], overrides: DataFrame | None = None, disabled: dict[str, list[str]] | None = None, packs: DataFrame | None = None, context: dict[str, dict] | None = None, extra: dict[int, dict] | None = None):
+    """(ordinals, judge, judge of embedded prose or None) of rules that are judged alike, for all rules with a ruleset."""
+    disabled, extra = disabled or {}, extra or {}
+    context = {name: ready(c) for name, c in (context or {}).items()}
+    bound = pack_terms_by_rule(rules, packs) if packs is not None else {}
+
+    def terms(i: int, name: str) -> dict[str, tuple[str, ...]]:
+        own = dict(extra.get(i, {})) if name == rules[i].get("ruleset") else {}
+        for (owner, check), some in bound.get(i, {}).items():
+            if owner == name:
+                own[check] = (*own.get(check, ()), *some)
+        return own
+
+    def off(i: int, name: str) -> tuple[str, ...]:
+        mine = {*disabled.get(name, ()), *(rules[i].get("disable") or ())}
+        return tuple(c.id for c in ruleset(name).checks if c.id in mine)
+
+    def limits(ordinals: list[int], name: str) -> dict[str, tuple[int, str]]:
+        out = {}
+        for i in ordinals:
+            table = {c.id: (c.threshold, c.action) for c in ruleset(name).checks}
+            if overrides is not None:
+                config = effective_config(check_table(spark, name), overrides, rules[i]["glob"])
+                table |= {x["check_id"]: (x["threshold"], x["action"]) for x in config.select("check_id", "threshold", "action").collect()}  # one row a check
+            out |= {f"{i}/{c}": v for c, v in table.items()}
+        return out
+
+    def judge(ordinals: list[int], name: str) -> Judge:
+        some = terms(ordinals[0], name)
+        given = dict(context.get(name, {})) | ({"extra": some} if some else {})
+        if some.get("vocabulary"):  # an allow list: project terms
+            given["project"] = spark.createDataFrame([(t,) for t in some["vocabulary"]], "word string")
+            given.pop("vocabulary", None)
+            given = ready(given)
+        given["built"] = {}  # a judge sees several texts of a row
+        return Judge(ruleset(name), given, limits(ordinals, name), off(ordinals[0], name))
+
+    groups: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rules):
+        if r.get("ruleset"):
+            both = [(n, repr(sorted(terms(i, n).items())), off(i, n)) for n in (r["ruleset"], r.get("embedded_prose")) if n]
+            groups.setdefault(tuple(both), []).append(i)
+    for both, ordinals in groups.items():
+        yield ordinals, judge(ordinals, both[0][0]), judge(ordinals, both[1][0]) if len(both) > 1 else None
+
+
+def lint_routed(
+    files: DataFrame, rules: list[dict] = DEFAULT_RULES, overrides: DataFrame | None = None, disabled: dict[str, list[str]] | None = None, extra: dict[int, dict] | None = None,
+    packs: DataFrame | None = None, context: dict[str, dict] | None = None, *, path: str = "path", text: str = "text", root: str = "/",
+) -> DataFrame:
     """One row a file: path, rule_ord, ruleset, status, semantic, mechanical, would_block.
 
     The first matching rule gives a file its ruleset; the checks disabled for the project
     (``disabled``: by ruleset) or on the rule don't count, and thresholds and actions are
-    the defaults, then ``overrides`` of the project, then those of the rule's glob.
-    ``extra``: terms by check, by the rule's ordinal. Files of no rule, or of one without a
-    ruleset, are ``out_of_scope``; texts of blanks alone are ``blank``. One pass over the
-    files of each ruleset; no shuffle.
+    the defaults, then ``overrides`` of the project, then those of the rule's glob. Terms
+    come from the packs (``packs``: pack, term) that the rule binds to lists; ``extra`` has
+    more of them by check, by the rule's ordinal. context: by ruleset, as for ``lint``, such
+    as the dictionary. Where a rule names a ruleset for embedded prose, the literals of a
+    .py file are judged by that one as well, as one document: its semantic flags count, and
+    either of the two can block. Files of no rule, or of one without a ruleset, are
+    ``out_of_scope``; texts of blanks alone are ``blank``. One pass over the files of each
+    group of rules that are judged alike; no shuffle.
     """
-    spark, disabled, extra = files.sparkSession, disabled or {}, extra or {}
     routed = route(files.select(path, text), rules, path=path, root=root)
     blank = F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s", "")), F.lit("")) == ""
     none = [F.lit(0).cast("long").alias("semantic"), F.lit(0).cast("long").alias("mechanical"), F.lit(False).alias("would_block")]
     idle = F.when(F.col("ruleset").isNull(), "out_of_scope").when(blank, "blank")
+    names = (path, "rule_ord", "ruleset", "status", "semantic", "mechanical", "would_block")
     out = routed.withColumn("status", idle).filter("status is not null").select(path, "rule_ord", "ruleset", "status", *none)
-    groups: dict[tuple, list[int]] = {}
-    for i, r in enumerate(rules):
-        if r.get("ruleset"):
-            groups.setdefault((r["ruleset"], repr(sorted(extra.get(i, {}).items()))), []).append(i)
-    for (name, _), ordinals in groups.items():
-        declared, limits, off = ruleset(name), {}, []
-        for i in ordinals:
-            table = {c.id: (c.threshold, c.action) for c in declared.checks}
-            if overrides is not None:
-                from ..plans.registry import check_table
-
-                table |= {x["check_id"]: (x["threshold"], x["action"]) for x in effective_config(check_table(spark, name), overrides, rules[i]["glob"]).select("check_id", "threshold", "action").collect()}
-            limits |= {f"{i}/{c}": v for c, v in table.items()}
-            off += [f"{i}/{c}" for c in (*disabled.get(name, ()), *(rules[i].get("disable") or ()))]
-        never = [c.id for c in declared.checks if all(f"{i}/{c.id}" in off for i in ordinals)]
+    for ordinals, host, inner in judges(files.sparkSession, rules, overrides, disabled, packs, context, extra):
         mine = routed.filter(F.col("rule_ord").isin(*ordinals) & ~blank)
-        context = {"extra": extra[ordinals[0]]} if ordinals[0] in extra else None
-        arrays = flag_arrays(mine, declared, context, key=path, text=text, keep=("rule_ord", "ruleset"), disabled=never)
-        if off:
-            arrays = arrays.withColumn("found", F.filter("found", lambda f: ~F.concat(F.col("rule_ord").cast("string"), F.lit("/"), f["kind"]).isin(*off)))
-        out = out.unionByName(judged(arrays, declared, limits, F.col("rule_ord")).select(path, "rule_ord", "ruleset", "status", "semantic", "mechanical", "would_block"))
+        kept = ("rule_ord", "ruleset")
+        if inner is not None:
+            literals_ = F.when(F.endswith(path, F.lit(".py")), prose_literals(text))
+            mine, kept = mine.withColumn("_prose", F.array_join(F.transform(literals_, lambda s: s["segment"]), "\n\n")), (*kept, "_prose")
+        arrays = flag_arrays(mine, host.rules, host.context, key=path, text=text, keep=kept, disabled=host.disabled)
+        done = judged(arrays, host.rules, host.limits, F.col("rule_ord"))
+        if inner is not None:
+            own = ("rule_ord", "ruleset", *[f"_{c}" for c in names[3:]])
+            done = done.select(path, "rule_ord", "ruleset", "_prose", *[F.col(c).alias(f"_{c}") for c in names[3:]])
+            arrays = flag_arrays(done, inner.rules, inner.context, key=path, text="_prose", keep=own, disabled=inner.disabled)
+            done = judged(arrays, inner.rules, inner.limits, F.col("rule_ord"))
+            worst = F.when(F.col("_semantic") + F.col("semantic") > 0, "semantic_flags").otherwise(F.col("_status"))
+            done = done.select(
+                path, "rule_ord", "ruleset", worst.alias("status"), (F.col("_semantic") + F.col("semantic")).alias("semantic"),
+                F.col("_mechanical").alias("mechanical"), (F.col("_would_block") | F.col("would_block")).alias("would_block"),
+            )
+        out = out.unionByName(done.select(*names))
     return out
 
 

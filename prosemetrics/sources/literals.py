@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_WORDS, STAND_IN, LEAST_DOCSTRING = 4, "X", 30
@@ -51,6 +52,21 @@ class Literals:
             yield line, i, text
 
 
+SEGMENTS = "array<struct<line:int,segment:string>>"
+
+
+def _all_literals(sources: pd.Series) -> pd.Series:
+    return sources.map(lambda s: [{"line": line, "segment": text} for line, text in literals(s)])
+
+
+_all_literals.__annotations__ = {"sources": pd.Series, "return": pd.Series}
+
+
+def prose_literals(text: str | Column) -> Column:
+    """The literals of a source text, in its row: array of line and segment."""
+    return F.pandas_udf(_all_literals, SEGMENTS)(text)
+
+
 def prose_segments(files: DataFrame, *, key: str = "path", text: str = "text") -> DataFrame:
     """key, line, ord, segment."""
     spark = files.sparkSession
