@@ -70,12 +70,14 @@ def _shown(flags: Column, where) -> Column:
 
 def _decided(rows: DataFrame, host: Judge, inner: Judge | None) -> DataFrame:
     none = F.array().cast("array<string>")
+    if inner is not None:  # of both texts, and before all else, so that no plan of checks hangs below a Python worker
+        of = lambda c: F.when(F.endswith("path", F.lit(".py")), prose_literals(c))
+        rows = rows.withColumns({"segments": of("judged"), "was_segments": of(F.coalesce("before", F.lit("")))})
     rows = _judged(rows, host, F.col("judged"), "now")
     rows = _judged(rows, host, F.when(F.col("judged") != F.col("chunk"), F.col("chunk")), "part")
     rows = rows.withColumn("blocking", _blocking("now"))
     lines, inner_count, weight = none, F.lit(0), _weight("now")
     if inner is not None:
-        rows = rows.withColumn("segments", F.when(F.endswith("path", F.lit(".py")), prose_literals("judged")))
         rows = _judged(rows, inner, F.array_join(F.transform("segments", lambda s: s["segment"]), "\n\n"), "inner").withColumn("inner_blocking", _blocking("inner"))
         at = lambda f: F.coalesce(F.concat(F.lit(" (embedded prose, line "), _line_of(F.col("segments"), f["text"]).cast("string"), F.lit(")")), F.lit(" (embedded prose)"))
         lines, inner_count, weight = _shown(F.col("inner_blocking"), at), F.size("inner_blocking"), weight + _weight("inner")
@@ -86,8 +88,8 @@ def _decided(rows: DataFrame, host: Judge, inner: Judge | None) -> DataFrame:
     was = F.when(F.col("had"), F.col("before"))
     rows = _judged(rows, host, was, "was").withColumn("before_weight", F.when(F.col("had"), _weight("was")))
     if inner is not None:
-        rows = rows.withColumn("was_segments", F.when(F.col("had") & F.endswith("path", F.lit(".py")), prose_literals("before")))
-        rows = _judged(rows, inner, F.array_join(F.transform("was_segments", lambda s: s["segment"]), "\n\n"), "was_inner")
+        joined = F.array_join(F.transform("was_segments", lambda s: s["segment"]), "\n\n")
+        rows = _judged(rows, inner, F.when(F.col("had"), joined), "was_inner")
         rows = rows.withColumn("before_weight", F.col("before_weight") + _weight("was_inner"))
     worse = (F.col("n") > 0) & (~F.col("had") | (F.col("weight") > F.col("before_weight")))
     changed = F.col("judged") != F.col("chunk")

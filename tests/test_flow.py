@@ -102,12 +102,13 @@ def test_decisions(spark):
 def test_decisions_need_no_exchange_and_run_on_a_stream(spark, tmp_path):
     rows = [(f"{i}.md", "write", None, "A robust thing." if i % 2 else "Fine.", None, None, None) for i in range(10)]
     overrides = spark.createDataFrame(BLOCK, "check_id string, glob string, field string, value string")
-    batch = decision.decide_writes(writes(spark, rows), WRITE_RULES, overrides)
+    rules = [{"glob": "*.md", "ruleset": "prose", "disable": catalogue_flow._but("prose", catalogue_flow.WORDED)}]
+    batch = decision.decide_writes(writes(spark, rows), rules, overrides)
     assert "Exchange" not in physical(batch)
     writes(spark, rows).write.json(f"file:{tmp_path}/in")
-    stream = decision.decide_writes(spark.readStream.schema(decision.WRITE).json(f"file:{tmp_path}/in"), WRITE_RULES, overrides)
+    stream = decision.decide_writes(spark.readStream.schema(decision.WRITE).json(f"file:{tmp_path}/in"), rules, overrides)
     q = stream.writeStream.format("memory").queryName("decided").option("checkpointLocation", f"file:{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     assert plain(spark.sql("select * from decided").collect()) == plain(batch.collect())
 
 
