@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import DIGESTS, EQUAL, KNOWN
+from .licenses import DIGESTS, EQUAL, GOES_ON, KNOWN
 from .mixing import EPOCHS, SHARE, WEIGHTS
 from .quality_rules import MEASURES, REACH, SIGMAS
 
@@ -75,7 +75,11 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m)^[^a-z0-9\\n]*(copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+    # A line that begins with "copyright" stays if the text of a licence goes on there: without look-ahead, by a mark for the time.
+    goes_on = f"(?m)^([^a-z0-9\\n]*)copyright\\b([^a-z0-9\\n]*\\n?[^a-z0-9\\n]*(?:{GOES_ON})\\b)"
+    kept = f"regexp_replace(lower({text}), {_quoted(goes_on)}, '\\1zzkeepcopyright\\2', 'g')"
+    out = f"regexp_replace({kept}, '(?m)^[^a-z0-9\\n]*(copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+    out = f"replace({out}, 'zzkeepcopyright', 'copyright')"
     out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for a, b in EQUAL:
         out = f"replace({out}, ' {a} ', ' {b} ')"
