@@ -603,6 +603,12 @@ def _arms_whole(spark, sf_dir):
     return c.select(F.lit("r").alias("run"), F.col("conv_id").alias("prompt_id"), F.col("role").alias("arm"), "score")
 
 
+_ARMS_WHOLE = """WITH arms AS (SELECT 'r' AS run, conv_id AS prompt_id, role AS arm,
+    sum(len(regexp_extract_all(coalesce(text, ''), '\\S+')))::BIGINT AS score FROM conversations GROUP BY ALL)"""
+#: The same SQL over all turns.
+_SIGN_WHOLE_SQL, _BOARD_WHOLE_SQL = (sql.replace(_ARMS, _ARMS_WHOLE) for sql in (_SIGN_SQL, _BOARD_SQL))
+
+
 def sign_test_whole(spark, sf_dir):
     return experiment.sign_test(experiment.paired(_arms_whole(spark, sf_dir), "user", "assistant", "score")).select("run", "wins", "losses", "ties", F.round("p", 9).alias("p"))
 
@@ -734,5 +740,5 @@ def oracle_sql():
         "remedies": "SELECT * FROM (VALUES " + _values([(r, f, l, p) for r, l, f, _, p, _, _ in TERM_LISTS]) + ") t(ruleset, check_id, list_id, polarity)",
         "double_fire": f"{_DEDUPED} SELECT seq, action, file FROM d", "deny_streak": _STREAK_SQL, "recent_deny": _RECENT_SQL, "hit_counts": _HITS_SQL, "never_fired": f"SELECT check_id FROM ({_HITS_SQL}) WHERE hits = 0 AND gate_events >= 25",
         "status_counts": f"{_EVENTS} SELECT action, count(*) AS events FROM e GROUP BY action", "top_kinds": f"{_EVENTS} SELECT kind, count(*) AS hits, min(seq) AS first_seq FROM e GROUP BY kind ORDER BY hits DESC, first_seq LIMIT 5", "feed": _FEED_SQL,
-        "sign_test": _SIGN_SQL, "leaderboard": _BOARD_SQL, "arm_changes": _CHANGES_SQL, "drift_by_turn": _DRIFT_SQL, "replay_join": _REPLAY_SQL, "fix_prose": _FIX_SQL, "shell_writes": _SHELL_SQL, "prose_segments": _SEGMENTS_SQL, "embedded_prose": _EMBEDDED_SQL, "admissible_packs": _ADMISSIBLE_SQL, "import_rules": _IMPORT_SQL,
+        "sign_test": _SIGN_SQL, "leaderboard": _BOARD_SQL, "sign_test_whole": _SIGN_WHOLE_SQL, "leaderboard_whole": _BOARD_WHOLE_SQL, "arm_changes": _CHANGES_SQL, "drift_by_turn": _DRIFT_SQL, "replay_join": _REPLAY_SQL, "fix_prose": _FIX_SQL, "shell_writes": _SHELL_SQL, "prose_segments": _SEGMENTS_SQL, "embedded_prose": _EMBEDDED_SQL, "admissible_packs": _ADMISSIBLE_SQL, "import_rules": _IMPORT_SQL,
     }
