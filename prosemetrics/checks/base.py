@@ -18,7 +18,9 @@ class Check:
 
     bucket: ``mechanical``, ``semantic``, or a function of a hit that is true if mechanical.
     context holds what a run has resolved: extra terms by check, the register, the
-    dictionary, whether the file is a script.
+    dictionary, whether the file is a script. likely(text, context): whether any item of a
+    document can have a hit, a cheap test of its folded sentences (``functions.patterns.folded``);
+    null if the context leaves no such test.
     """
 
     id: str
@@ -30,6 +32,7 @@ class Check:
     action: str = "warn"
     params: dict = field(default_factory=dict)
     terms_list: str | None = None
+    likely: Callable[[Column, dict], Column | None] | None = None
 
     def mechanical(self, hit: Column) -> Column:
         return self.bucket(hit) if callable(self.bucket) else F.lit(self.bucket == "mechanical")

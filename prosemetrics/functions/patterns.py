@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,26 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def folded(text: Column) -> Column:
+    """Lower case, in which a pattern's ASCII letters stand wherever it can match them whatever their case."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))  # what Unicode folds to i, s and k besides
+
+
+def says(*some: str, terms: str | None = None):
+    """A test that folded text has one of the literals, or of the terms that the context adds to check ``terms``.
+
+    Terms beyond ASCII fold in more ways than one, so with such there is no test.
+    """
+
+    def test(text: Column, context: dict) -> Column | None:
+        all_of = dict.fromkeys(x.lower() for x in (*some, *context.get("extra", {}).get(terms, ())))
+        if not all("".join(all_of).isascii() and x for x in all_of):
+            return None
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in all_of], F.lit(False))
+
+    return test
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), key)
 

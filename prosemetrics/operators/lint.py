@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checks import code
 from ..checks.base import UNITS, Check, Ruleset
-from ..functions.patterns import HIT, let
+from ..functions.patterns import HIT, folded, let
 from ..plans.registry import check_table, ruleset
 from .structure import code_lines, with_units
 from .vocabulary import ready, resolved
@@ -25,10 +25,31 @@ def _flags_of(check: Check, ord_: int, item: Column, at: Column, shown: Column,
     return F.transform(check.find(item, context), flag)
 
 
-def _over(items: Column, checks: list[tuple[int, Check]], context: dict, item=lambda x: x, shown=lambda x: x, more=lambda x: {}) -> Column:
-    """Flags of all checks over all items: one pass over the items."""
-    each = lambda x, i: F.concat(*[_flags_of(c, k, item(x), i, shown(x), context | more(x)) for k, c in checks])
-    return F.flatten(F.transform(items, each)).cast(f"array<{_FLAG}>")
+def _over(items: Column, checks: list[tuple[int, Check]], context: dict, item=lambda x: x, shown=lambda x: x, more=lambda x: {}, said: Column | None = None) -> Column:
+    """Flags of all checks over all items: one pass over the items.
+
+    said: the folded text of all items. A check whose cheap test fails there runs on none of
+    them, and where all fail there is no pass.
+    """
+    kind = f"array<{_FLAG}>"
+
+    def run(live: Column | None, tested: list[int]) -> Column:
+        at = {k: F.get(live, F.lit(n)) for n, k in enumerate(tested)}
+
+        def each(x: Column, i: Column) -> Column:
+            of = lambda k, c: _flags_of(c, k, item(x), i, shown(x), context | more(x))
+            return F.concat(*[F.when(at[k], of(k, c)).otherwise(F.array().cast(kind)) if k in at else of(k, c) for k, c in checks])
+
+        found = F.flatten(F.transform(items, each)).cast(kind)
+        return F.when(F.exists(live, lambda x: x), found).otherwise(F.array().cast(kind)) if len(at) == len(checks) else found
+
+    def tests(t: Column) -> Column:
+        conditions = {k: c.likely(t, context) for k, c in checks if c.likely is not None}
+        conditions = {k: v for k, v in conditions.items() if v is not None}
+        return let(F.array(*conditions.values()), lambda live: run(live, [*conditions])) if conditions else run(None, [])
+
+    # Text and tests are bound by ``let``: computed once a document, not once an item.
+    return let(said, tests) if said is not None and any(c.likely for _, c in checks) else run(None, [])
 
 
 def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = ()) -> DataFrame:
@@ -69,11 +90,12 @@ def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context
         bodies = F.transform(F.filter("blocks", lambda b: b["kind"] != "header"), lambda b: b["content"])
         parts.append((of("BLOCK"), bodies, {}))
         parts.append((of("LINE"), F.col("list_lines"), {}))
-        parts.append((of("SENTENCE"), F.col("sentences"), {"item": lambda x: x["sentence"], "shown": lambda x: x["sentence"], "more": procedure}))
         plain = F.transform("sentences", lambda x: x["sentence"])
-        parts.append((of("SENTENCES"), F.array(plain), {"shown": lambda x: F.lit(None).cast("string")}))
+        said = folded(F.concat(F.lit("\n"), F.array_join(plain, "\n")))  # each sentence begins a line
+        parts.append((of("SENTENCE"), F.col("sentences"), {"item": lambda x: x["sentence"], "shown": lambda x: x["sentence"], "more": procedure, "said": said}))
+        parts.append((of("SENTENCES"), F.array(plain), {"shown": lambda x: F.lit(None).cast("string"), "said": said}))
         seen = F.col("text") if rules.whole == "raw" else F.array_join(plain, " ")
-        parts.append((of("DOCUMENT"), F.array(seen), {"shown": lambda x: F.lit(None).cast("string")}))
+        parts.append((of("DOCUMENT"), F.array(seen), {"shown": lambda x: F.lit(None).cast("string"), "said": folded(seen)}))
     arrays = [_over(items, checks, context, **how) for checks, items, how in parts if checks]
     return F.concat(*arrays) if arrays else F.array().cast(f"array<{_FLAG}>")
 

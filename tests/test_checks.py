@@ -1,5 +1,7 @@
 """Golden cases of the checks, and the units that they see."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +239,29 @@ def test_flags_are_merged_and_judged_in_the_row_as_by_shuffles(spark):
         verdicts = lint.lint(docs, name)
         assert sorted(map(tuple, verdicts.collect())) == sorted(map(tuple, lint.verdicts(docs, merged, table).collect()))
         assert "Exchange" not in verdicts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cheap_tests_leave_no_flag_out(spark):
+    """With and without the test before a check, over all documents and texts of all the words that checks look for, in odd case."""
+    from dataclasses import replace
+
+    from prosemetrics.checks import prose
+    from prosemetrics.operators import lint
+
+    lists = (
+        prose.STOCK_ADVERBS, prose.COPULA_DODGES, prose.SECTION_TEMPLATES, prose.WEASEL_PHRASES, prose.MARKETING_CLICHES, prose.MARKETING_ADJECTIVES, prose.VAGUE_INTENSIFIERS,
+        prose.PROFUNDITIES, prose.FRAGMENTS, tuple(f"it, {p} it" for p in prose.TAIL_PARTICIPLES), tuple(v.replace("[sz]", "s").replace("?", "") for v in prose.FILLER_VERBS),
+        ("It's worth noting that", "it is important to note that", "needless to say", "at the end of the day", "when all is said and done", "in today's fast-paced", "in this ever-changing", "in this rapidly evolving"),
+        ("roast it", "tell me what's wrong", "happy to hear what is off", "happy to hear what's off", "let me know how it could be improved", "would love your feedback on this", "delve into", "delves deeper"),
+        ("not just a but b", "the reveal: here it is", "&mdash; &#8212; &sect; &bull;", "\U0001f600", "a_name", "going, coming, and staying", "it's not so. It's more.", "not this. Not that.", "Why so? Because."),
+        ("# A Title In Case", "---\n\n---\n\n***", "**a** **b**", "oaicite", "[cite: 3]", "[INSERT NAME]", "TODO: fill in", "as of my last update", "\u2014 \u2014", "\n\n".join(["word " * 20] * 5)),
+    )
+    odd = (lambda x: x, str.upper, str.capitalize, lambda x: x.replace("s", "\u017f").replace("k", "\u212a"), lambda x: x.replace("i", "\u0130"), lambda x: x.replace("i", "\u0131"))
+    texts = [how(x) for some in lists for x in some for how in odd]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("-1 - doc_id AS doc_id", "text"))
+    plain = replace(prose.RULESET, checks=tuple(replace(c, likely=None) for c in prose.RULESET.checks))
+    extra = {"extra": {"stock_adverb": ("Title",), "filler_verb": ("größer",)}, "lexicon": {"Reveal": "", "case": ""}}
+    for context in ({}, extra):
+        got, want = (lint.flag_arrays(docs, r, dict(context)).selectExpr("doc_id", "to_json(found) AS f").collect() for r in (prose.RULESET, plain))
+        assert sorted(got) == sorted(want)
+    assert len({k for r in want for k in re.findall(r'"kind":"(\w+)"', r["f"])}) >= 24
