@@ -3,7 +3,8 @@
     lint PATHS          flags of each file            scan PATHS     verdicts and counts by kind
     decay PATHS --against DIR [--against DIR] [--calibrate]           activity, or discrimination against controls
     fix PATHS           fixed texts, as JSON          checks / rules checks of a ruleset; those that only warn
-    precommit BEFORE AFTER   deny files that got worse terms         term lists and their built-in layers
+    precommit REPOSITORY     deny a commit whose staged files got worse under their rules (or BEFORE AFTER: two folders)
+    terms               term lists and their built-in layers
     packs FILE          terms of a pack               import DIR     style rules as checks, and those refused
     status LOG          events by action, top kinds   list-rulesets  rulesets and their numbers of checks
     rule-checks RULES PATH   the checks that run on one path
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .operators import corpus, fix, history, lint, routing, terms
 from .plans.registry import built_in_terms, check_table, ruleset, term_lists
-from .sources import event_log, files, rule_import
+from .sources import event_log, files, git_tree, rule_import
 
 
 def _files(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
@@ -60,6 +61,7 @@ def run(argv: list[str], spark: SparkSession) -> int:
     rules, show = ruleset(a.ruleset or "prose").id, lambda df: _show(df, a.json)
     given = json.loads(pathlib.Path(a.rules).read_text()) if a.rules else {}
     routes = given.get("rulesets", [*routing.DEFAULT_RULES])
+    overrides = routing.overrides_of(spark, given)
     if a.command == "lint" and not a.ruleset:
         routed = routing.route(_files(spark, a.paths, a.glob), routes, path="doc_id")
         for name in sorted({r["ruleset"] for r in routes if r.get("ruleset")}):
@@ -71,7 +73,7 @@ def run(argv: list[str], spark: SparkSession) -> int:
     elif a.command == "scan":
         docs = _files(spark, a.paths, a.glob)
         if not a.ruleset:
-            verdicts = routing.lint_routed(docs.withColumnRenamed("doc_id", "path"), routes, disabled=given.get("disabled_checks"))
+            verdicts = routing.lint_routed(docs.withColumnRenamed("doc_id", "path"), routes, overrides, given.get("disabled_checks"))
             show(routing.routed_summary(verdicts))
             failed = verdicts.filter("would_block")
             show(failed.orderBy("path"))
@@ -104,6 +106,14 @@ def run(argv: list[str], spark: SparkSession) -> int:
         show(check_table(spark, rules).orderBy("ord"))
     elif a.command == "rules":
         show(routing.complement(check_table(spark, rules)).select("check_id", "kind", "unit"))
+    elif a.command == "precommit" and len(a.paths) == 1:
+        forced = [{"glob": "*", "ruleset": rules}] if a.ruleset else routes
+        decided = git_tree.commit_decisions(spark, a.paths[0], forced, overrides=overrides, disabled=given.get("disabled_checks"))
+        # The decisions on the files of one commit, without texts. A filter in Spark would be pushed down, and the checks' expressions repeated for it.
+        rows = decided.select("path", "decision", "flags", "before_weight", "after_weight", "shown").collect()
+        denied = sorted((r["path"], r["flags"], r["before_weight"] or 0, r["after_weight"], r["shown"][:6]) for r in rows if r["decision"] == "deny")
+        show(spark.createDataFrame(denied, "path string, flags int, before_weight long, after_weight long, shown array<string>"))
+        return int(bool(denied))
     elif a.command == "precommit":
         before, after = (files.scan_tree(spark, p, a.glob).filter("state = 'ok'").select(F.substring_index("path", p.rstrip("/") + "/", -1).alias("path"), "text") for p in a.paths[:2])
         worse = lint.ratchet(files.before_after(before, after), rules).filter("deny")

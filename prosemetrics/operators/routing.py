@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..checks.base import Ruleset
 from ..functions.patterns import glob_regex
-from ..plans.registry import TERM_LISTS, check_table, ruleset
+from ..plans.registry import TERM_LISTS, check_table, ruleset, rulesets
 from ..sources.literals import prose_literals
 from .lint import flag_arrays, judged
 from .vocabulary import ready
@@ -63,6 +63,29 @@ def drop_disabled(found: DataFrame, rules: list[dict], project: tuple = (), *, r
     return found.filter(~F.array_contains(off, F.col("kind")))
 
 
+def overrides_of(spark: SparkSession, config: dict) -> DataFrame:
+    """check_id, glob, field, value of a configuration: ``check_config`` by ruleset and check, and a rule's own by check.
+
+    Only thresholds and actions of checks that the ruleset has; of rules with one glob, the first counts.
+    """
+    out, seen = [], set()
+
+    def add(glob: str | None, name: str, some: dict) -> None:
+        known = ruleset(name).table()
+        for check, fields in some.items():
+            if check in known and isinstance(fields, dict):
+                out.extend((check, glob, f, str(fields[f])) for f in ("threshold", "action") if f in fields and not isinstance(fields[f], bool))
+
+    for name, some in (config.get("check_config") or {}).items():
+        if name in rulesets():
+            add(None, name, some or {})
+    for rule in config.get("rulesets") or []:
+        if rule.get("ruleset") and rule["glob"] not in seen:
+            seen.add(rule["glob"])
+            add(rule["glob"], rule["ruleset"], rule.get("check_config") or {})
+    return spark.createDataFrame(out, "check_id string, glob string, field string, value string")
+
+
 def effective_config(checks: DataFrame, overrides: DataFrame, glob: str | None = None) -> DataFrame:
     """check_id, threshold, action, params: defaults, then the project's overrides, then those of the rule's glob, field by field.
 

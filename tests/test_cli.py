@@ -61,3 +61,18 @@ def test_import(spark, tree, capsys):
     (tree / "a" / "r.yml").write_text("extends: existence\nmessage: no\ntokens:\n  - foo\n")
     run(["import", str(tree / "a")], spark)
     assert json.loads(capsys.readouterr().out)["imported"] == ["vale_r"]
+
+
+def test_thresholds_and_actions_of_a_configuration(spark, tree, capsys):
+    conf = tree / "conf.json"
+
+    def scan(config):
+        conf.write_text(json.dumps(config))
+        done = run(["scan", f"file:{tree}/a", "--rules", str(conf), "--json"], spark)
+        return done, lines(capsys)[0]["failed"]
+
+    rule = {"glob": "*.md", "ruleset": "prose"}
+    assert scan({"rulesets": [rule], "check_config": {"prose": {"vague_intensifier": {"action": "block"}}}}) == (1, 1)
+    assert scan({"rulesets": [rule], "check_config": {"prose": {"vague_intensifier": {"action": "block", "threshold": 2}}}}) == (0, 0)
+    assert scan({"rulesets": [rule | {"check_config": {"vague_intensifier": {"threshold": 1}}}], "check_config": {"prose": {"vague_intensifier": {"action": "block", "threshold": 2}}}}) == (1, 1)
+    assert scan({"rulesets": [rule], "check_config": {"prose": {"vague_intensifier": {"action": "shout", "threshold": True}, "nothing": {"action": "block"}}, "unknown": {}}}) == (0, 0)

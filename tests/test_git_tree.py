@@ -1,11 +1,13 @@
 """The index and the commits of repositories that git makes here, read without it."""
 
+import json
 import os
 import shutil
 import subprocess
 
 import pytest
 
+from prosemetrics.cli import run
 from prosemetrics.sources import git_tree
 
 pytestmark = pytest.mark.skipif(shutil.which("git") is None, reason="git makes the repositories")
@@ -119,3 +121,12 @@ def test_commit_decisions(spark, repository):
     got = {r["path"]: (r["decision"], r["before_weight"], r["after_weight"]) for r in decided}
     assert got["worse.md"] == ("deny", 0, 2) and got["changed.md"][0] == "clean" and got["new/one.md"][0] == "clean"
     assert "deep/moved.md" not in got and "kept.md" not in got and got["mode.sh"][0] == "out_of_scope"
+
+
+def test_precommit_of_a_repository(spark, repository, tmp_path_factory, capsys):
+    change(repository)
+    conf = tmp_path_factory.mktemp("conf") / "c.json"
+    conf.write_text(json.dumps({"rulesets": [{"glob": "*.md", "ruleset": "prose"}], "check_config": {"prose": {"marketing_adjective": {"action": "block"}}}}))
+    assert run(["precommit", str(repository), "--rules", str(conf), "--json"], spark) == 1
+    shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(r["path"], r["before_weight"], r["after_weight"], r["flags"]) for r in shown] == [("worse.md", 0, 2, 2)] and "[marketing_adjective] robust" in shown[0]["shown"]
