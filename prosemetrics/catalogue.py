@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from . import catalogue_flow
+from . import catalogue_flow, catalogue_runs
 from .checks import controlled, prose
 from .operators import arms, config, corpus, embedded, experiment, fix, history, lint, routing, structure, terms, vocabulary
 from .plans import oracles as O
@@ -721,14 +721,14 @@ _QUERIES = {f.__name__: f for f in (activity_by_lang, flag_share, compare_qualit
 
 
 def queries():
-    out = _QUERIES | catalogue_flow.queries()
+    out = _QUERIES | catalogue_flow.queries() | catalogue_runs.queries()
     for r in rulesets():
         out.update({f"check_{c.id}": partial(check_query, rules=r, check=c.id) for c in ruleset(r).checks if c.id != "vocabulary"})
     return out | {f"check_{c}_documents": partial(check_documents, rules=r, check=c) for r, c in _HEARD}
 
 
 def oracle_sql():
-    out = {f"check_{k}": v for k, v in O.CHECKS.items()} | catalogue_flow.oracle_sql()
+    out = {f"check_{k}": v for k, v in O.CHECKS.items()} | catalogue_flow.oracle_sql() | catalogue_runs.oracle_sql()
     return out | {
         "activity_by_lang": _ACTIVITY_SQL, "flag_share": _SHARE_SQL, "compare_quality": f"{_COMPARED} SELECT * FROM cmp", "consensus_quality": f"{_COMPARED} {_CONSENSUS}", "calibration": f"{_COMPARED} {_CALIBRATION}",
         "kind_counts": f"WITH docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_sentences_cte()} SELECT k AS kind, count(*) AS flags FROM merged GROUP BY k", "manifest": _MANIFEST_SQL,

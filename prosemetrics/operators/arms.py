@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .experiment import message_digest
@@ -82,12 +82,15 @@ def turns(prompts: DataFrame, requests: list[str], generate: Generate, judge: Ca
 def resuming(generate: Generate, recordings: DataFrame, occurrence: int = 0, save: Callable[[DataFrame], None] | None = None) -> Generate:
     """A generator that replays what ``recordings`` (digest, occurrence, output) hold and asks only for the rest.
 
-    A recording belongs to one message list and to the nth time it is asked in a run. What
+    A recording belongs to one message list and to the nth time it is asked in a run: prompts
+    of one step that ask the same are numbered by their id, from ``occurrence`` on. What
     is asked anew goes to ``save`` (digest, occurrence, messages, output).
     """
 
     def ask(rows: DataFrame) -> DataFrame:
-        keyed = rows.select("prompt_id", "messages", message_digest(F.col("messages")).alias("digest"), F.lit(occurrence).alias("occurrence"))
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy("prompt_id")) - 1
+        keyed = rows.select("prompt_id", "messages", message_digest(F.col("messages")).alias("digest"))
+        keyed = keyed.withColumn("occurrence", (nth + occurrence).cast("int"))
         known = recordings.select("digest", "occurrence", F.col("output").alias("text"))
         have = keyed.join(known, ["digest", "occurrence"]).select("prompt_id", "text")
         missing = keyed.join(known, ["digest", "occurrence"], "left_anti")

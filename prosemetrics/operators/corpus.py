@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checks.base import Ruleset
 from ..plans.registry import ruleset
+from ..plans.shared import kept
 from .lint import flag_arrays, merged_array
 from .structure import blank_words
 
@@ -104,26 +105,39 @@ def kind_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("kind").agg(F.count("*").alias("flags")).orderBy(F.desc("flags"), "kind")
 
 
-#: Documents whose digests one task joins.
+#: Digests that are joined into one.
 MANIFEST_RANGE = 10_000
 
 
 def manifest(docs: DataFrame, label: str = "source", text: str = "text", order: str = "doc_id", per_range: int = MANIFEST_RANGE) -> DataFrame:
-    """One row a source: documents, words, sha256 of its labelled texts in order of the id.
+    """One row a source: documents, words, sha256 of its labelled texts in order of the id (ties by their digests).
 
-    Digests of the texts are ranked within their source and hashed in ranges of
-    ``per_range``; where a source has several ranges, sha256 is that of the ranges' digests.
-    So no task holds more than ``per_range`` digests, or one digest a range.
+    The digest of a list: that of its members joined, if these are ``per_range`` at most,
+    else that of the digests of its ranges of so many members. Ranges go by exact rank: rows
+    are range-sorted, parts counted, and the counts before a part added to places in it. So
+    the result depends on the rows alone, and no task joins more than ``per_range`` digests.
     """
     one = F.sha2(F.concat(F.coalesce(F.col(label), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 256)
     rows = docs.select(F.col(label).alias("source"), F.col(order).alias("o"), one.alias("d"), blank_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    totals = rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("w").cast("long").alias("words"))
-    # Ids in ranges of like size: the quantiles of a mergeable sketch cut them, equal ids stay together.
-    cuts = rows.groupBy("source").agg(F.count("*").alias("n"), F.percentile_approx("o", [i / 1000 for i in range(1, 1000)], 10_000).alias("at"))
-    step = F.greatest(F.lit(1), F.ceil(F.lit(1000.0) * per_range / F.col("n")))
-    cuts = cuts.select(F.col("source").alias("of"), F.when(F.col("n") > per_range, F.array_distinct(F.filter("at", lambda x, i: (i + 1) % step == 0))).otherwise(F.array().cast(cuts.schema["at"].dataType)).alias("cuts"))
-    placed = rows.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("o"))))  # one row a source
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["d"]), ""), 256)
-    ranges = placed.groupBy("source", "range").agg(joined(F.struct("o", "d")).alias("d"))
-    whole = ranges.groupBy(F.col("source").alias("of")).agg(F.when(F.count("*") == 1, F.first("d")).otherwise(joined(F.struct("range", "d"))).alias("sha256"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The ranges come from a sample, so the parted rows are written before anything counts them.
+    placed = kept(rows.repartitionByRange(parts, "source", "o", "d").withColumn("part", F.spark_partition_id()))
+    totals = placed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("w").cast("long").alias("words"))
+    counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("source").alias("of"), F.col("part").alias("in"), F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("source", "part").orderBy("o", "d")) - 1
+    ranked = placed.select("source", "part", "d", place.alias("place")).join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
+    level = ranked.select("source", (F.col("place") + F.col("start")).alias("rank"), "d")
+    most = totals.agg(F.max("documents")).first()[0] or 0
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda x: x["d"]), ""), 256)
+    again = False
+    while most > 1 or not again:
+        many = F.max("rank").over(Window.partitionBy("source")) > 0 if again else F.lit(True)
+        marked = level.withColumn("many", many)  # a source that is down to one digest keeps it
+        range_ = F.floor(F.col("rank") / per_range).cast("long")
+        ups = marked.filter("many").groupBy("source", range_.alias("range")).agg(joined.alias("d")).select("source", F.col("range").alias("rank"), "d")
+        level = ups.unionByName(marked.filter("not many").select("source", "rank", "d"))
+        most, again = -(-most // per_range), True
+    whole = level.select(F.col("source").alias("of"), F.col("d").alias("sha256"))
     return totals.join(whole, F.col("source").eqNullSafe(F.col("of"))).select("source", "documents", "words", "sha256")

@@ -114,6 +114,68 @@ def bootstrap(pairs: DataFrame, by: tuple[str, ...] = ("run",), draws: int = 10_
     return pairs.groupBy(*by).applyInPandas(run, f"{kinds}, mean double, low double, high double, favour double")
 
 
+#: Draw counts by which Poisson(1) weights are read off a uniform number: P(X <= k).
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+#: Weights that a task holds at a time.
+_WEIGHTS_AT_ONCE = 1 << 21
+
+
+def _poisson(keys: np.ndarray, draws: int) -> np.ndarray:
+    """Weights (rows by draws) that depend on a row's key and the draw's number alone, by a mixing of 64 bits."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(_POISSON, (z >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def bootstrap_merged(pairs: DataFrame, by: tuple[str, ...] = ("run",), draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """by, mean, low, high, favour as :func:`bootstrap`, for any number of pairs.
+
+    Each pair takes part in a resample with a Poisson(1) weight that hashing its prompt_id
+    deals, so tasks add up their own pairs and only sums travel: one a group, draw and task.
+    A resample without any weight is left out. Rows of one prompt_id and group share weights.
+    Against the exact form the bounds differ by resampling noise, some 3 % of the interval's
+    width at 10 000 draws, from a hundred pairs on.
+    """
+    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in (*by, "prompt_id")]).alias("key")
+    rows = pairs.select(*by, key, (F.col("b") - F.col("a")).cast("double").alias("x"))
+    step = max(1, _WEIGHTS_AT_ONCE // draws)
+
+    def partial(batches):
+        held: dict = {}
+        for batch in batches:
+            for name, group in batch.groupby([*by], dropna=False, sort=False):
+                name = tuple(None if pd.isna(v) else v for v in (name if isinstance(name, tuple) else (name,)))
+                sums, weights = held.setdefault(name, (np.zeros(draws), np.zeros(draws)))
+                for at in range(0, len(group), step):
+                    part = group.iloc[at : at + step]
+                    w = _poisson(part["key"].to_numpy(), draws)
+                    sums += part["x"].to_numpy() @ w
+                    weights += w.sum(axis=0)
+            if len(held) * draws > _WEIGHTS_AT_ONCE:  # many groups: what is summed so far goes on
+                yield from told(held)
+                held = {}
+        yield from told(held)
+
+    def told(held):
+        for name, (sums, weights) in held.items():
+            yield pd.DataFrame({**{c: [v] * draws for c, v in zip(by, name)}, "draw": np.arange(draws), "s": sums, "w": weights})
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    sums = rows.mapInPandas(partial, f"{kinds}, draw long, s double, w double")
+    means = sums.groupBy(*by, "draw").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m")).filter("m is not null")
+    drawn = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("ms"))  # one number a draw
+    n = F.size("ms")
+    low, high = F.get("ms", F.floor(n * 0.025).cast("int")), F.get("ms", F.greatest(F.lit(0), F.floor(n * 0.975).cast("int") - 1))
+    drawn = drawn.select(*[F.col(c).alias(f"_{c}") for c in by], low.alias("low"), high.alias("high"), (F.size(F.filter("ms", lambda m: m > 0)) / n).alias("favour"))
+    centre, same = rows.groupBy(*by).agg(F.avg("x").alias("mean")), F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return centre.join(drawn, same, "left").select(*by, "mean", "low", "high", "favour")
+
+
 def leaderboard(arms: DataFrame, value: str = "enforced_flags") -> DataFrame:
     """arm, prompts, total, mean, rank: the arms by their total, ties by name."""
     out = arms.groupBy("arm").agg(F.count("*").alias("prompts"), F.sum(value).cast("double").alias("total"), F.avg(value).alias("mean"))

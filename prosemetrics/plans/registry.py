@@ -53,12 +53,16 @@ def capabilities(name: str | Ruleset) -> tuple[str, ...]:
     return tuple(c for c in CAPABILITIES if has[c])
 
 
-def register(new: Ruleset) -> None:
-    """Add or replace a ruleset of one's own; one without checks, with repeated ids or a built-in's id is refused."""
+def built_in() -> frozenset[str]:
+    return _BUILT_IN
+
+
+def register(new: Ruleset, empty: bool = False) -> None:
+    """Add or replace a ruleset of one's own; one without checks (unless ``empty``), with repeated ids or a built-in's id is refused."""
     ids = [c.id for c in new.checks]
     if new.id in _BUILT_IN:
         raise ValueError(f"{new.id!r} is built in")
-    if not ids:
+    if not ids and not empty:
         raise ValueError(f"ruleset {new.id!r} has no checks")
     if len(ids) != len(set(ids)):
         raise ValueError(f"ruleset {new.id!r} declares a check twice")
