@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .checks import prose
-from .operators import corpus, experiment, lint, report, runs, structure, vocabulary
+from .checks import controlled, prose
+from .operators import corpus, experiment, glossary, lint, report, runs, structure
 from .plans import oracles as O
 from .plans import stored
 from .plans.derived import derived, derived_sql
@@ -185,13 +185,52 @@ _RANGES = f"""WITH l0 AS (SELECT source, row_number() OVER (PARTITION BY source
     SELECT n.source, documents, words, l5.d AS sha256 FROM n JOIN l5 ON n.source IS NOT DISTINCT FROM l5.source"""
 
 
+# --- glossaries ------------------------------------------------------------------------------
+_TOPICS = (("network", ("network", "thening", " der ")), ("storage", ("record", "onhe", " les ")), ("security", ("exploit", " und ", " the ")))
+
+
+def glossary_terms(spark, sf_dir):
+    """Headwords of all pages by the topic of their first paragraph; the dictionary is the words that begin one page's title in three."""
+    pages = _table(spark, sf_dir, "pages")
+    first = F.lower(F.regexp_extract("title", r"^([A-Za-z]+)", 1))
+    words = glossary.entries(pages).filter("page_id % 3 = 0").select(first.alias("word")).distinct().filter("word <> ''")
+    out = glossary.mined(pages, words.withColumns({"status": F.lit("approved"), "replacement": F.lit(None).cast("string")}), _TOPICS, "other")
+    return out.select("term", F.array_join("categories", "|").alias("categories"), "pages")
+
+
+_CASE = " ".join(f"WHEN {' OR '.join(f'contains(p, {O.q(w)})' for w in words)} THEN {O.q(label)}" for label, words in _TOPICS)
+_GLOSSARY = f"""WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<style\\b[^>]*>.*?</style\\s*>|<script\\b[^>]*>.*?</script\\s*>', '', 'g') AS h FROM pages),
+    plain AS (SELECT page_id, h, regexp_replace(h, '(?is)<table\\b[^>]*>.*?</table\\s*>|<sup\\b[^>]*>.*?</sup\\s*>|<figure\\b[^>]*>.*?</figure\\s*>|<figcaption\\b[^>]*>.*?</figcaption\\s*>', '', 'g') AS b FROM bare),
+    e AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(h, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+            list_filter(list_transform(list_filter(regexp_split_to_array(b, '(?i)</p\\s*>')[:-2], lambda x: regexp_matches(x, '(?i)<p\\b')),
+                lambda x: trim(regexp_replace(regexp_replace(regexp_extract(x, '(?is)^.*<p\\b[^>]*>(.*)$', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '')[1] AS paragraph FROM plain),
+    noted AS (SELECT page_id, title, lower(coalesce(paragraph, '')) AS p FROM e WHERE title <> ''),
+    topics AS (SELECT page_id, title, CASE {_CASE} ELSE 'other' END AS note FROM noted),
+    dict AS (SELECT DISTINCT lower(regexp_extract(title, '^([A-Za-z]+)', 1)) AS word FROM topics WHERE page_id % 3 = 0 AND regexp_matches(title, '^[A-Za-z]')),
+    terms AS (SELECT DISTINCT page_id, note, lower(trim(unnest(regexp_split_to_array(regexp_replace(title, '\\([^)]*\\)', '', 'g'), '\\s*,\\s*|\\s+(?:vs\\.?|versus)\\s+')))) AS w FROM topics),
+    words AS (SELECT DISTINCT w FROM terms WHERE w <> ''), irr(w, base) AS (VALUES {{IRREGULAR}}),
+    cands AS (SELECT w, w AS c FROM words UNION ALL SELECT w, base FROM words JOIN irr USING (w)
+        UNION ALL SELECT w, left(w, -3) || 'y' FROM words WHERE ends_with(w, 'ies') AND length(w) > 4
+        UNION ALL SELECT w, left(w, -2) FROM words WHERE ends_with(w, 'es') AND length(w) > 3
+        UNION ALL SELECT w, left(w, -1) FROM words WHERE ends_with(w, 's') AND length(w) > 2
+        UNION ALL SELECT w, left(w, -3) || 'y' FROM words WHERE ends_with(w, 'ied') AND length(w) > 4
+        UNION ALL SELECT w, left(w, -2) FROM words WHERE ends_with(w, 'ed') AND length(w) > 3
+        UNION ALL SELECT w, left(w, -2) || 'e' FROM words WHERE ends_with(w, 'ed') AND length(w) > 3
+        UNION ALL SELECT w, left(w, -3) FROM words WHERE ends_with(w, 'ed') AND length(w) > 4
+            AND substr(w, length(w) - 2, 1) = substr(w, length(w) - 3, 1) AND substr(w, length(w) - 2, 1) NOT IN ('a', 'e', 'i', 'o', 'u')),
+    barred AS (SELECT DISTINCT w FROM cands JOIN dict ON c = word)
+    SELECT w AS term, string_agg(DISTINCT note, '|' ORDER BY note) AS categories, count(*)::BIGINT AS pages FROM terms WHERE w <> '' AND w NOT IN (FROM barred) GROUP BY w""".replace(
+    "{IRREGULAR}", ", ".join(f"({O.q(w)}, {O.q(base)})" for w, base in controlled.IRREGULAR_BASES.items())
+)
+
+
 def queries():
-    made = (stored_verdicts, whole_run, report_totals, report_comparison, report_board, report_drift, bootstrap_merged, manifest_ranges)
+    made = (stored_verdicts, whole_run, report_totals, report_comparison, report_board, report_drift, bootstrap_merged, manifest_ranges, glossary_terms)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql():
     return {
         "stored_verdicts": _STORED, "whole_run": _RUN, "report_totals": _REPORT_TOTALS, "report_comparison": _REPORT_COMPARISON,
-        "report_board": _REPORT_BOARD, "report_drift": _REPORT_DRIFT, "manifest_ranges": _RANGES,
+        "report_board": _REPORT_BOARD, "report_drift": _REPORT_DRIFT, "manifest_ranges": _RANGES, "glossary_terms": _GLOSSARY,
     }
