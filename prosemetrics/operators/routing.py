@@ -86,6 +86,29 @@ def overrides_of(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame(out, "check_id string, glob string, field string, value string")
 
 
+def set_override(overrides: DataFrame, checks: DataFrame, check_id: str, field: str, value: str | int | None, glob: str | None = None) -> DataFrame:
+    """``overrides`` with one field of a check set for the project, or for the rule of a glob; null takes the setting away.
+
+    Fields are threshold, action and the check's own parameters; another one, an unknown
+    check or a value that :func:`effective_config` would pass over is an error.
+    """
+    declared = checks.filter(F.col("check_id") == check_id).select("params").head(1)
+    if not declared:
+        raise ValueError(f"no check {check_id!r}")
+    fields = ("threshold", "action", *(declared[0]["params"] or {}))
+    if field not in fields:
+        raise ValueError(f"{check_id!r} has no {field!r}; there are {', '.join(fields)}")
+    whole = isinstance(value, int) and not isinstance(value, bool) and 1 <= value < 10**9
+    if value is not None and not (value in ("warn", "block") if field == "action" else whole):
+        raise ValueError(f"{field} can't be {value!r}")
+    same = (F.col("check_id") == check_id) & (F.col("field") == field) & F.col("glob").eqNullSafe(F.lit(glob))
+    rest = overrides.filter(~same)
+    if value is None:
+        return rest
+    one = overrides.sparkSession.createDataFrame([(check_id, glob, field, str(value))], "check_id string, glob string, field string, value string")
+    return rest.unionByName(one)
+
+
 def effective_config(checks: DataFrame, overrides: DataFrame, glob: str | None = None) -> DataFrame:
     """check_id, threshold, action, params: defaults, then the project's overrides, then those of the rule's glob, field by field.
 
