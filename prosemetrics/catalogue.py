@@ -259,7 +259,7 @@ def manifest(spark, sf_dir):
     return corpus.manifest(_table(spark, sf_dir, "documents"))
 
 
-_MANIFEST_SQL = """SELECT source, count(*) AS documents, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words, sha256(string_agg(sha256(source || chr(10) || text), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source"""
+_MANIFEST_SQL = catalogue_runs.manifest_sql(3, corpus.MANIFEST_RANGE)
 
 
 # --- flags to verdicts ----------------------------------------------------------------------

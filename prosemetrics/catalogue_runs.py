@@ -173,16 +173,21 @@ def manifest_ranges(spark, sf_dir):
     return corpus.manifest(_table(spark, sf_dir, "documents"), per_range=100)
 
 
-def _tree(levels: int) -> str:
-    """SQL of digests of digests, in so many levels of 100; a list of 100 or fewer is joined once."""
-    up = lambda t, n: f"{t}{n} AS (SELECT source, r // 100 AS r, CASE WHEN {n} > 1 AND max(max(r)) OVER (PARTITION BY source) = 0 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY r)) END AS d FROM {t}{n - 1} GROUP BY source, r // 100)"
+def _tree(levels: int, per: int) -> str:
+    """SQL of digests of digests, in so many levels of ``per``; a list of ``per`` or fewer is joined once."""
+    up = lambda t, n: f"{t}{n} AS (SELECT source, r // {per} AS r, CASE WHEN {n} > 1 AND max(max(r)) OVER (PARTITION BY source) = 0 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY r)) END AS d FROM {t}{n - 1} GROUP BY source, r // {per})"
     return ", ".join(up("l", n) for n in range(1, levels + 1))
 
 
-_RANGES = f"""WITH l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, d) - 1 AS r, d FROM
-        (SELECT source, doc_id, sha256(coalesce(source, '') || chr(10) || coalesce(text, '')) AS d FROM documents)), {_tree(5)},
+def manifest_sql(levels: int, per: int) -> str:
+    """SQL of ``corpus.manifest`` by ranges of ``per``, for up to per ** levels documents a source."""
+    return f"""WITH l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, d) - 1 AS r, d FROM
+        (SELECT source, doc_id, sha256(coalesce(source, '') || chr(10) || coalesce(text, '')) AS d FROM documents)), {_tree(levels, per)},
     n AS (SELECT source, count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), '\\S+')))::BIGINT AS words FROM documents GROUP BY source)
-    SELECT n.source, documents, words, l5.d AS sha256 FROM n JOIN l5 ON n.source IS NOT DISTINCT FROM l5.source"""
+    SELECT n.source, documents, words, l{levels}.d AS sha256 FROM n JOIN l{levels} ON n.source IS NOT DISTINCT FROM l{levels}.source"""
+
+
+_RANGES = manifest_sql(5, 100)
 
 
 # --- glossaries ------------------------------------------------------------------------------

@@ -48,3 +48,14 @@ def test_query_without_sql_runs(spark, name):
         assert {r["check_id"] for r in rows} == {r["check_id"] for r in agreed}
     else:
         assert rows
+
+
+def test_manifest_gives_the_rows_of_its_sql_beyond_one_range(spark, tmp_path):
+    """A source of more documents than one range holds, with ids that repeat, and texts and sources that are null."""
+    sql = """SELECT least(i, 10010) AS doc_id, CASE WHEN i % 7 > 0 THEN 'text ' || i END AS text, CASE WHEN i < 10020 THEN 'a' WHEN i < 10030 THEN 'b' END AS source FROM range(10040) t(i)"""
+    con = duckdb.connect()
+    con.execute(f"create table documents as {sql}")
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet'")
+    want = con.execute(catalogue.oracle_sql()["manifest"]).fetchall()
+    got = catalogue.queries()["manifest"](spark, str(tmp_path)).select("source", "documents", "words", "sha256").collect()
+    assert len(want) == 3 and plain(got) == plain(want)
