@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 SENTENCES = (
     "Needless to say, {} is late.", "It is worth noting that {} is late.", "At the end of the day {} is fine.", "We say {} is needless to say late.", "Notably, {} arrived.", "The {} was, arguably, fine and ultimately sold.",
     "Big news: {} arrived.", "Note: {} arrived.", "Step 2: open {}.", "It is not {}.", "It is {}.", "This is not cheap.", "This is also not cheap.", "They were running, jumping and swimming for {}.",
@@ -48,7 +50,7 @@ KINDS = {"sentences": (SENTENCES, 3, " "), "lists": (LIST_LINES, 3, "\n"), "code
 
 def derived(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """doc_id, text."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"), "p_partkey")
     return part.select(F.col("p_partkey").alias("doc_id"), derived_column(*KINDS[kind]).alias("text"))
 
 

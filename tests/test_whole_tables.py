@@ -4,10 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from prosemetrics import catalogue
 from prosemetrics.checks import controlled
 from prosemetrics.operators import experiment
+from prosemetrics.plans.derived import derived
 
 TEXTS = [
     (0, "He was running. They were going home.", "en", "a"),
@@ -95,3 +97,13 @@ def test_shape_verdicts_and_checks_reach_all_documents(spark, sf):
     assert hits == {i: len(re.findall(r"\w+ing\b", t)) for i, t in BY.items() if t and re.search(r"\w+ing\b", t)}
     assert {r["doc_id"] for r in catalogue.queries()["check_bold_density_documents"](spark, sf).collect()} == {5}
     assert {f"check_{c}_documents" for c in catalogue.FLAGSHIP} <= set(catalogue.queries())
+
+
+@pytest.mark.parametrize("kind", ["sentences", "lists", "code", "parts"])
+def test_derived_texts_are_dealt_to_all_cores(spark, tmp_path, kind):
+    """The parts are short rows of one row group, which one task reads."""
+    one = spark.range(1000).selectExpr("id AS p_partkey", "'bolt ' || id AS p_name").coalesce(1)
+    one.write.parquet(f"{tmp_path}/part.parquet")
+    texts = derived(spark, str(tmp_path), kind)
+    held = texts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in held) < 500 and sum(r["count"] for r in held) == 1000
