@@ -369,7 +369,7 @@ def lint_status_documents(spark, sf_dir):
 def ratchet(spark, sf_dir):
     """The derived text of a part against that of the part before it."""
     docs = derived(spark, sf_dir, "sentences")
-    pairs = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("after")).join(docs.select((F.col("doc_id") + 1).alias("path"), F.col("text").alias("before")), "path", "left")
+    pairs = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("after")).join(docs.select((F.col("doc_id") + 1).alias("path"), F.col("text").alias("before")).hint("merge"), "path", "left")
     rules = ruleset("prose")
     only = type(rules)("prose", tuple(c for c in rules.checks if c.id in _INTENSE), rules.whole, rules.lines, rules.keep_apart)
     return lint.ratchet(pairs, only, config=_strict(spark))
