@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.patterns import all_matches, each, found, group, hit, let, lookup, no_hits, one_if, rx
+from ..functions.patterns import all_matches, each, found, group, hit, let, lookup, no_hits, one_if, rx, says
 from ..operators.structure import trim, words
 from .base import Check, Ruleset
 
@@ -112,7 +112,7 @@ def vocabulary(s: Column, context: dict) -> Column:
     def of(w: Column) -> Column:
         rule = lambda v: F.when(v["type"] == "unknown_vocabulary", "1.5").otherwise("1.1")
         flagged = lambda v: F.when(v.isNotNull(), hit(w, rule(v), v["type"], False, v["replacement"]))
-        return let(verdict(F.regexp_replace(F.lower(w), "^'+|'+$", "")), flagged)
+        return let(verdict(F.btrim(F.lower(w), F.lit("'"))), flagged)
 
     return F.filter(F.transform(words(s), of), lambda h: h.isNotNull())
 
@@ -188,8 +188,17 @@ def synonym_rotation(text: Column, _: dict) -> Column:
     return F.concat(*[of(n, p) for n, p in ROTATIONS])
 
 
+#: Literals, one of which stands in whatever each check can flag.
+_SAYS = {
+    "ing_form": ("ing",), "perfect_tense": ("has", "have", "had"), "progressive": ("ing",), "passive": ("ed",), "modal": MODALS, "punctuation": (";", "'"),
+    "trailing_condition": ("if", "when"), "latin_abbrev": tuple(LATIN),
+    "synonym_rotation": tuple(w for _, p in ROTATIONS for w in re.findall(r"[a-z]{2,}", p)),
+}
+
+
 def _c(find, unit="SENTENCE", action="block", **more) -> Check:
-    return Check(find.__name__, unit, find, action=action, **more)
+    name = find.__name__
+    return Check(name, unit, find, action=action, likely=says(*_SAYS[name]) if name in _SAYS else None, **more)
 
 
 def _fixable(h: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checks.base import Ruleset
 from ..plans.registry import ruleset
 from ..plans.shared import kept
-from .lint import flag_arrays, merged_array
+from .lint import flag_arrays, merged_kinds
 from .structure import blank_words
 
 DISCRIMINATES, BACKWARDS = 2.0, 0.5
@@ -47,7 +47,7 @@ def activity_of(docs: DataFrame, rules: str | Ruleset = "prose", by: tuple[str,
     off = set(options.get("disabled", ()))
     with_words = docs.withColumn("_words", blank_words(F.coalesce(F.col(text), F.lit(""))).cast("long"))
     found = flag_arrays(with_words, declared, context, key=key, text=text, keep=(*by, "_words"), **options)
-    kinds = F.transform(F.filter(merged_array(F.col("found"), declared), lambda m: F.lit(include_mechanical) | ~m["flag"]["mechanical"]), lambda m: m["flag"]["kind"])
+    kinds = merged_kinds(F.filter("found", lambda f: F.lit(include_mechanical) | ~f["mechanical"]), declared)
     per = F.transform(F.array_distinct("kinds"), lambda k: F.struct(k.alias("check_id"), F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias("hits"), F.lit(0).cast("long").alias("words")))
     own = F.struct(F.lit(None).cast("string").alias("check_id"), F.lit(0).cast("long").alias("hits"), F.col("_words").alias("words"))
     rows = found.select(*by, "_words", kinds.alias("kinds")).select(*by, F.explode(F.concat(F.array(own), per)).alias("r")).select(*by, "r.*")

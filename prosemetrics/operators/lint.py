@@ -121,19 +121,31 @@ def flags(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None
     return _rows(out, "f", keys, F.col("f.hit.occurrences"))
 
 
+def _group(f: Column, rules: Ruleset) -> Column:
+    """What flags that merge have in common."""
+    label = F.coalesce(f["hit"]["label"], F.lit(""))
+    single = (label == "") | f["kind"].isin(*rules.keep_apart) if rules.keep_apart else label == ""
+    group = F.when(single, F.concat(F.lit("#"), F.concat_ws("/", *[f[c] for c in ORDER]))).otherwise(F.concat(F.lit("="), F.lower(label)))
+    return F.concat_ws("\x1f", f["mechanical"].cast("string"), f["kind"], group)
+
+
+def merged_kinds(found: Column, rules: str | Ruleset = "prose") -> Column:
+    """The kind of each flag that :func:`merged_array` leaves, without the flags and the sort they need."""
+    rules = ruleset(rules)
+    if not rules.dedup:
+        return F.transform(found, lambda f: f["kind"])
+    return F.transform(F.array_distinct(F.transform(found, lambda f: _group(f, rules))), lambda g: F.element_at(F.split(g, "\x1f", 3), 2))
+
+
 def merged_array(found: Column, rules: str | Ruleset = "prose") -> Column:
     """array<struct<flag, occurrences>>: a document's flags as :func:`dedup` leaves them, merged inside the row."""
     rules = ruleset(rules)
     whole = lambda f, n: F.struct(f.alias("flag"), n.alias("occurrences"))
     if not rules.dedup:
         return F.transform(found, lambda f: whole(f, f["hit"]["occurrences"]))
-    ordinals = lambda f: [f[c] for c in ORDER]
 
     def keyed(f: Column) -> Column:
-        label = F.coalesce(f["hit"]["label"], F.lit(""))
-        single = (label == "") | f["kind"].isin(*rules.keep_apart) if rules.keep_apart else label == ""
-        group = F.when(single, F.concat(F.lit("#"), F.concat_ws("/", *ordinals(f)))).otherwise(F.concat(F.lit("="), F.lower(label)))
-        return F.struct(F.concat_ws("\x1f", f["mechanical"].cast("string"), f["kind"], group).alias("group"), *[f[c].alias(c) for c in ORDER], f.alias("flag"))
+        return F.struct(_group(f, rules).alias("group"), *[f[c].alias(c) for c in ORDER], f.alias("flag"))
 
     def grouped(rows: Column) -> Column:
         """rows are sorted by group; each run becomes its first row, with how many rows it has."""

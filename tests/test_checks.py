@@ -265,3 +265,25 @@ def test_cheap_tests_leave_no_flag_out(spark):
         got, want = (lint.flag_arrays(docs, r, dict(context)).selectExpr("doc_id", "to_json(found) AS f").collect() for r in (prose.RULESET, plain))
         assert sorted(got) == sorted(want)
     assert len({k for r in want for k in re.findall(r'"kind":"(\w+)"', r["f"])}) >= 24
+
+
+def test_cheap_tests_and_candidates_lose_no_controlled_flag(spark):
+    """The same flags without the tests of literals, vocabulary by joins, and kinds counted without their flags."""
+    from dataclasses import replace
+
+    from prosemetrics.catalogue import _dictionary
+    from prosemetrics.checks.controlled import RULESET
+    from prosemetrics.operators import lint, vocabulary
+    from prosemetrics.plans.derived import derived
+
+    docs = derived(spark, "/root/testdata/sf0.001", "sentences").limit(120).unionByName(
+        spark.createDataFrame([(-1, "Bes bed sells sellies sold FAILED failed usses uses 'Used' stopped stoped was isn't it. E.G. he HAS wrıtten; the runs execute"), (-2, None)], "doc_id long, text string")
+    )
+    plain = replace(RULESET, checks=tuple(replace(c, likely=None) for c in RULESET.checks))
+    arrays = lambda rules: {r[0]: r[1:] for r in lint.flag_arrays(docs, rules, {"dictionary": _dictionary(spark)}).select("doc_id", "found", lint.merged_kinds(F.col("found"), rules), F.transform(lint.merged_array(F.col("found"), rules), lambda m: m["flag"]["kind"])).collect()}
+    got = arrays(RULESET)
+    assert {c.id for c in RULESET.checks if c.likely} > {"passive", "modal", "synonym_rotation"}
+    assert got == arrays(plain) and all(sorted(kinds) == sorted(merged) for _, kinds, merged in got.values())
+    mine = sorted((k, f["hit"]["label"], f["hit"]["type"], f["hit"]["replacement"] or "") for k, (found, *_) in got.items() for f in found if f["kind"] == "vocabulary")
+    joined = vocabulary.vocabulary_flags(docs, _dictionary(spark)).select("doc_id", "label", "type", F.coalesce("replacement", F.lit(""))).collect()
+    assert mine == sorted(map(tuple, joined))
