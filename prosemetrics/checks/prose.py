@@ -292,16 +292,16 @@ def identifier_in_prose(s: Column, _: dict) -> Column:
 
 # What a document must say for a check to have a hit, as literals in lower case.
 LIKELY = {
-    "filler_opener": says("worth noting that", "important to note that", "needless to say", "at the end of the day", "when all is said and done", "fast-paced", "rapidly evolving", "ever-changing"),
-    "stock_adverb": says(*STOCK_ADVERBS, terms="stock_adverb"), "colon_reveal": says(":"), "binary_contrast": says("s not"), "rule_of_three": says("ing,"),
-    "copula_avoidance": says(*COPULA_DODGES, terms="copula_avoidance"), "participial_tail": says(*TAIL_PARTICIPLES),
-    "section_template": says(*SECTION_TEMPLATES, terms="section_template"), "weasel_attribution": says(*WEASEL_PHRASES, terms="weasel_attribution"),
-    "entity_encoded_punctuation": says("&"), "not_just_x_but_y": says("not just"), "vague_intensifier": says(*VAGUE_INTENSIFIERS),
-    "emoji_in_prose": lambda t, _: F.octet_length(t) > F.char_length(t), "marketing_adjective": says(*MARKETING_ADJECTIVES, terms="marketing_adjective"),
-    "filler_verb": says(*(re.split(r"e?s\?|\[", v)[0] if v.endswith("?") else v for v in FILLER_VERBS), "delve", terms="filler_verb"),
-    "marketing_cliche": says(*MARKETING_CLICHES, terms="marketing_cliche"),
-    "solicit_criticism": says("roast it", "tell me what", "happy to hear what", "let me know how", "would love your feedback"),
-    "unearned_profundity": says(*PROFUNDITIES), "dramatic_fragmentation": says(*FRAGMENTS), "canned_question_answer": says("?"),
+    "filler_opener": says("worth noting that", "important to note that", "needless to say", "at the end of the day", "when all is said and done", "fast-paced", "rapidly evolving", "ever-changing", begins=True),
+    "stock_adverb": says(*STOCK_ADVERBS, terms="stock_adverb", begins=True), "colon_reveal": says(":"), "binary_contrast": says("s not"), "rule_of_three": says("ing,"),
+    "copula_avoidance": says(*COPULA_DODGES, terms="copula_avoidance"), "participial_tail": says(*TAIL_PARTICIPLES, begins=True),
+    "section_template": says(*SECTION_TEMPLATES, terms="section_template", begins=True), "weasel_attribution": says(*WEASEL_PHRASES, terms="weasel_attribution", begins=True),
+    "entity_encoded_punctuation": says("&"), "not_just_x_but_y": says("not just", begins=True), "vague_intensifier": says(*VAGUE_INTENSIFIERS, begins=True),
+    "emoji_in_prose": lambda t, _: (F.octet_length(t) > F.char_length(t)) & found(t, EMOJI), "marketing_adjective": says(*MARKETING_ADJECTIVES, terms="marketing_adjective", begins=True),
+    "filler_verb": says(*(re.split(r"e?s\?|\[", v)[0] if v.endswith("?") else v for v in FILLER_VERBS), "delve", terms="filler_verb", begins=True),
+    "marketing_cliche": says(*MARKETING_CLICHES, terms="marketing_cliche", begins=True),
+    "solicit_criticism": says("roast it", "tell me what", "happy to hear what", "let me know how", "would love your feedback", begins=True),
+    "unearned_profundity": says(*PROFUNDITIES, begins=True), "dramatic_fragmentation": says(*FRAGMENTS, begins=True), "canned_question_answer": says("?"),
     "bold_density": says("**"), "thematic_break": says("---", "***", "___"), "title_case_heading": says("#"), "paragraph_uniformity": says("\n"),
     "ai_markup_remnant": says("oaicite", "[cite:", "grok_card", "contentreference", "as an ai language model", "i cannot browse", "my knowledge cutoff", "as of my last update", "[insert ", "todo: "),
     "em_dash_cluster": lambda t, _: F.contains(t, F.lit("—")) | F.contains(t, F.lit("&")), "negative_listing": says("\nnot"), "terminology": lambda t, context: says(*context.get("lexicon", {}))(t, {}), "identifier_in_prose": says("_"),

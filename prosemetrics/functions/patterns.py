@@ -75,23 +75,58 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+_ODD = "\u0130\u0131\u017f\u212a"  # what Unicode folds to i, s and k besides
+
+
+def has_any(text: Column, literals) -> Column:
+    """Whether ``text`` has one of a few literals."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals], F.lit(False))
+
+
 def folded(text: Column) -> Column:
     """Lower case, in which a pattern's ASCII letters stand wherever it can match them whatever their case."""
-    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))  # what Unicode folds to i, s and k besides
+    return let(text, lambda t: F.lower(F.when(has_any(t, _ODD), F.translate(t, _ODD, "iisk")).otherwise(t)))
+
+
+def longest(literals) -> str:
+    """A pattern of the longest of the literals that begins at a place: each character is looked at once, however many they are."""
+    heads: dict[str, list[str]] = {}
+    for x in literals:
+        if x:
+            heads.setdefault(x[0], []).append(x[1:])
+    ways = [re.escape(h) + longest(tails) for h, tails in sorted(heads.items())]
+    some = "" if not ways else ways[0] if len(ways) == 1 and "" not in literals else f"(?:{'|'.join(ways)})"
+    return some + "?" if ways and "" in literals else some
+
 
+def heard(text: Column, literals) -> Column:
+    """Those of the literals that begin in ``text`` behind what is no ASCII letter, by one pass; where several begin at one place, the longest stands for all."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"[^a-z](?=({longest(literals)}))"), F.lit(1)))
 
-def says(*some: str, terms: str | None = None):
+
+def is_heard(found_: Column, some, literals) -> Column:
+    """Whether ``found_``, heard of ``literals``, tells of any of ``some``."""
+    return F.arrays_overlap(found_, F.array(*[F.lit(x) for x in literals if x.startswith(tuple(some))]))
+
+
+def says(*some: str, terms: str | None = None, begins: bool = False):
     """A test that folded text has one of the literals, or of the terms that the context adds to check ``terms``.
 
     Terms beyond ASCII fold in more ways than one, so with such there is no test.
+    begins: hits have their literal at the beginning of a word (or of an item), so tests may
+    share one pass over the text (``heard``) if their ``literals(context)`` are letters first.
     """
 
-    def test(text: Column, context: dict) -> Column | None:
+    def literals(context: dict) -> tuple[str, ...] | None:
         all_of = dict.fromkeys(x.lower() for x in (*some, *context.get("extra", {}).get(terms, ())))
-        if not all("".join(all_of).isascii() and x for x in all_of):
-            return None
-        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in all_of], F.lit(False))
+        return tuple(all_of) if all(x and x.isascii() for x in all_of) else None
+
+    def test(text: Column, context: dict) -> Column | None:
+        all_of = literals(context)
+        return None if all_of is None else has_any(text, all_of)
 
+    if begins:
+        test.literals = literals
     return test
 
 

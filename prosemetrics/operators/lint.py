@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checks import code
 from ..checks.base import UNITS, Check, Ruleset
-from ..functions.patterns import HIT, folded, let
+from ..functions.patterns import HIT, folded, heard, is_heard, let
 from ..plans.registry import check_table, ruleset
 from .structure import code_lines, with_units
 from .vocabulary import ready, resolved
@@ -25,31 +25,38 @@ def _flags_of(check: Check, ord_: int, item: Column, at: Column, shown: Column,
     return F.transform(check.find(item, context), flag)
 
 
-def _over(items: Column, checks: list[tuple[int, Check]], context: dict, item=lambda x: x, shown=lambda x: x, more=lambda x: {}, said: Column | None = None) -> Column:
-    """Flags of all checks over all items: one pass over the items.
-
-    said: the folded text of all items. A check whose cheap test fails there runs on none of
-    them, and where all fail there is no pass.
-    """
+def _over(items: Column, checks: list[tuple[int, Check]], context: dict, at: dict[int, Column], item=lambda x: x, shown=lambda x: x, more=lambda x: {}) -> Column:
+    """Flags of all checks over all items, in order: a pass a check, and none for a check that ``at`` tells can't hit."""
     kind = f"array<{_FLAG}>"
 
-    def run(live: Column | None, tested: list[int]) -> Column:
-        at = {k: F.get(live, F.lit(n)) for n, k in enumerate(tested)}
+    def one(k: int, c: Check) -> Column:
+        found = F.flatten(F.transform(items, lambda x, i: _flags_of(c, k, item(x), i, shown(x), context | more(x)))).cast(kind)
+        return F.when(at[k], found).otherwise(F.array().cast(kind)) if k in at else found
 
-        def each(x: Column, i: Column) -> Column:
-            of = lambda k, c: _flags_of(c, k, item(x), i, shown(x), context | more(x))
-            return F.concat(*[F.when(at[k], of(k, c)).otherwise(F.array().cast(kind)) if k in at else of(k, c) for k, c in checks])
+    some = [one(k, c) for k, c in checks]
+    return some[0] if len(some) == 1 else F.sort_array(F.concat(*some))
 
-        found = F.flatten(F.transform(items, each)).cast(kind)
-        return F.when(F.exists(live, lambda x: x), found).otherwise(F.array().cast(kind)) if len(at) == len(checks) else found
+
+def _tested(said: Column, checks: list[tuple[int, Check]], context: dict, use) -> Column:
+    """``use(at)``; at: by check, whether its cheap test of ``said``, the folded text of all items, passes. Checks without one are not in it.
+
+    The literals of all checks that begin words are looked for in one pass. Text and tests
+    are bound by ``let``: computed once a document, not once an item. ``said`` does not begin with a letter.
+    """
+    checks = [(k, c) for k, c in checks if c.likely is not None]
+    literals = {k: c.likely.literals(context) for k, c in checks if hasattr(c.likely, "literals")}
+    together = {k: v for k, v in literals.items() if v and all(x[0].isalpha() for x in v)}
+    every = sorted({x for v in together.values() for x in v}) if len(together) > 1 else []
 
     def tests(t: Column) -> Column:
-        conditions = {k: c.likely(t, context) for k, c in checks if c.likely is not None}
-        conditions = {k: v for k, v in conditions.items() if v is not None}
-        return let(F.array(*conditions.values()), lambda live: run(live, [*conditions])) if conditions else run(None, [])
+        def bound(found: Column | None) -> Column:
+            conditions = {k: is_heard(found, together[k], every) if every and k in together else c.likely(t, context) for k, c in checks}
+            conditions = {k: v for k, v in conditions.items() if v is not None}
+            return let(F.array(*conditions.values()), lambda live: use({k: F.get(live, F.lit(n)) for n, k in enumerate(conditions)})) if conditions else use({})
+
+        return let(heard(t, every), bound) if every else bound(None)
 
-    # Text and tests are bound by ``let``: computed once a document, not once an item.
-    return let(said, tests) if said is not None and any(c.likely for _, c in checks) else run(None, [])
+    return let(said, tests) if checks else use({})
 
 
 def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = ()) -> DataFrame:
@@ -82,22 +89,27 @@ def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict |
 def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context: dict) -> Column:
     """The flags of a row that has its units."""
     of = lambda *units: [(i, c) for i, c in live if c.unit in units]
-    parts = []
     if rules.lines == "code":
-        parts.append((of("LINE"), F.col("lines"), {"shown": lambda x: x["line"]}))
+        parts = [_over(F.col("lines"), of("LINE"), context, {}, shown=lambda x: x["line"])] if of("LINE") else []
     else:
+        nothing = lambda x: F.lit(None).cast("string")
         procedure = lambda x: {"procedure": F.lit(True) if register == "procedure" else x["numbered"]}
         bodies = F.transform(F.filter("blocks", lambda b: b["kind"] != "header"), lambda b: b["content"])
-        parts.append((of("BLOCK"), bodies, {}))
-        parts.append((of("LINE"), F.col("list_lines"), {}))
         plain = F.transform("sentences", lambda x: x["sentence"])
-        said = folded(F.concat(F.lit("\n"), F.array_join(plain, "\n")))  # each sentence begins a line
-        parts.append((of("SENTENCE"), F.col("sentences"), {"item": lambda x: x["sentence"], "shown": lambda x: x["sentence"], "more": procedure, "said": said}))
-        parts.append((of("SENTENCES"), F.array(plain), {"shown": lambda x: F.lit(None).cast("string"), "said": said}))
         seen = F.col("text") if rules.whole == "raw" else F.array_join(plain, " ")
-        parts.append((of("DOCUMENT"), F.array(seen), {"shown": lambda x: F.lit(None).cast("string"), "said": folded(seen)}))
-    arrays = [_over(items, checks, context, **how) for checks, items, how in parts if checks]
-    return F.concat(*arrays) if arrays else F.array().cast(f"array<{_FLAG}>")
+
+        def spoken(at: dict) -> Column:
+            sentence = lambda x: x["sentence"]
+            some = [_over(F.col("sentences"), of("SENTENCE"), context, at, sentence, sentence, procedure)] if of("SENTENCE") else []
+            return F.concat(*some, *([_over(F.array(plain), of("SENTENCES"), context, at, shown=nothing)] if of("SENTENCES") else []))
+
+        parts = [_over(items, of(unit), context, {}) for unit, items in (("BLOCK", bodies), ("LINE", F.col("list_lines"))) if of(unit)]
+        if of("SENTENCE", "SENTENCES"):
+            said = folded(F.concat(F.lit("\n"), F.array_join(plain, "\n")))  # each sentence begins a line
+            parts.append(_tested(said, of("SENTENCE", "SENTENCES"), context, spoken))
+        if of("DOCUMENT"):
+            parts.append(_tested(folded(seen), of("DOCUMENT"), context, lambda at: _over(F.array(seen), of("DOCUMENT"), context, at, shown=nothing)))
+    return F.concat(*parts) if parts else F.array().cast(f"array<{_FLAG}>")
 
 
 def _rows(docs: DataFrame, f: str, keys: list[str], occurrences: Column) -> DataFrame:

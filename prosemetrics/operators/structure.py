@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import let, rx
+from ..functions.patterns import has_any, let, rx
 
 _S = r"[^\S\n]"  # white space within a line
 FENCE = rf"(?m)^{_S}*```[^\n]*(?:\n(?:(?s:.*?)\n)??{_S}*```[^\n]*$|(?s:.*)\z)"
@@ -22,14 +22,22 @@ SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
 _CUT, _ITEM, _NUMBER, _HEAD = "\x01", "\x02", "\x03", "\x04"
 
 
+#: What ``\\s`` matches: Unicode's white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rx(r"\A\s+|\s+\z"), "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def _split(trimmed: Column) -> Column:
+    """A part begins with the text or a capital and ends with a mark or the text, so it has no blanks to trim, and is empty only if the text is."""
+    return F.filter(F.split(trimmed, rx(SENTENCE_END)), lambda s: s != "")
 
 
 def sentences(text: Column) -> Column:
     """Sentences of one block, trimmed; none is empty."""
-    parts = F.transform(F.split(trim(text), rx(SENTENCE_END)), trim)
-    return F.filter(parts, lambda s: s != "")
+    return _split(trim(text))
 
 
 def words(text: Column) -> Column:
@@ -46,8 +54,18 @@ def blank_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rx(r"\S+")))
 
 
+def replaced_if(text: Column, literal: str, pattern: str, to: str) -> Column:
+    """``text`` with the matches of ``pattern``, each of which has ``literal``, replaced."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(literal)), F.regexp_replace(t, rx(pattern), to)).otherwise(t))
+
+
 def _without_fences(text: Column) -> Column:
-    return F.regexp_replace(text, rx(FENCE), _CUT)
+    return replaced_if(text, "```", FENCE, _CUT)
+
+
+def _joined_lines(text: Column) -> Column:
+    """Lines joined by a blank, trimmed; a blank line is a cut."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: let(F.btrim(x, F.lit(WHITE)), lambda y: F.when(y == "", _CUT).otherwise(y))), " ")
 
 
 def list_lines(text: Column) -> Column:
@@ -60,15 +78,14 @@ def prose_blocks(text: Column) -> Column:
     t = _without_fences(text)
     t = F.regexp_replace(t, rx(NUMBERED), f"{_CUT}{_NUMBER}$2{_CUT}")
     t = F.regexp_replace(t, rx(LIST_ITEM), f"{_CUT}{_ITEM}$2{_CUT}")
-    t = F.regexp_replace(t, rx(HEADING), f"{_CUT}{_HEAD}$1$2{_CUT}")
-    t = F.regexp_replace(t, rx(rf"(?m)^{_S}*$"), _CUT)
-    t = F.regexp_replace(t, rx(rf"{_S}*\n{_S}*"), " ")
-    t = F.regexp_replace(t, rx(INLINE_CODE), " ")
+    t = replaced_if(t, "#", HEADING, f"{_CUT}{_HEAD}$1$2{_CUT}")
+    t = replaced_if(_joined_lines(t), "`", INLINE_CODE, " ")
 
     def block(part: Column) -> Column:
         mark = F.substring(part, 1, 1)
         kind = F.when(mark == _NUMBER, "numbered").when(mark == _ITEM, "list_item").when(mark == _HEAD, "header").otherwise("paragraph")
-        return F.struct(kind.alias("kind"), trim(F.regexp_replace(part, f"[{_NUMBER}{_ITEM}{_HEAD}]", "")).alias("content"))
+        unmarked = F.when(has_any(part, (_NUMBER, _ITEM, _HEAD)), trim(F.regexp_replace(part, f"[{_NUMBER}{_ITEM}{_HEAD}]", ""))).otherwise(part)
+        return F.struct(kind.alias("kind"), unmarked.alias("content"))
 
     parts = F.filter(F.transform(F.split(t, _CUT), trim), lambda p: p != "")
     return F.transform(parts, block)
@@ -78,7 +95,7 @@ def with_units(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with list_lines, blocks (kind, content) and sentences (sentence, numbered), in order."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"list_lines": list_lines(whole), "blocks": prose_blocks(whole)})
-    each = F.transform("blocks", lambda b: F.transform(sentences(b["content"]), lambda s: F.struct(s.alias("sentence"), (b["kind"] == "numbered").alias("numbered"))))
+    each = F.transform("blocks", lambda b: F.transform(_split(b["content"]), lambda s: F.struct(s.alias("sentence"), (b["kind"] == "numbered").alias("numbered"))))
     return out.withColumn("sentences", F.flatten(each))
 
 
@@ -129,7 +146,6 @@ def metric_sentences(text: Column) -> Column:
     t = _without_fences(text)
     t = F.regexp_replace(t, rx(LIST_ITEM), f"{_CUT}$1$2{_CUT}")
     t = F.regexp_replace(t, rx(HEADING), f"{_CUT}$0{_CUT}")
-    t = F.regexp_replace(t, rx(rf"(?m)^{_S}*$"), _CUT)
-    t = F.regexp_replace(t, rx(rf"{_S}*\n{_S}*"), " ")
+    t = _joined_lines(t)
     parts = F.filter(F.transform(F.split(t, _CUT), trim), lambda p: p != "")
     return F.filter(F.flatten(F.transform(parts, sentences)), lambda s: s.rlike("[A-Za-z]"))
