@@ -213,9 +213,12 @@ _CALIBRATION = f"""SELECT check_id, round(max(control_per_1k), 3) AS control_per
     FROM cmp WHERE check_id IN (SELECT check_id FROM ({_CONSENSUS}) WHERE verdict = 'discriminates') GROUP BY check_id"""
 
 
+def _kind_counts(docs, keep):
+    return corpus.kind_counts_of(docs, "controlled", {"dictionary": _dictionary(docs.sparkSession)}, disabled=_only("controlled", keep))
+
+
 def kind_counts(spark, sf_dir):
-    found, _ = _flagged(spark, _table(spark, sf_dir, "documents").filter("lang = 'en'"))
-    return corpus.kind_counts(found)
+    return _kind_counts(_table(spark, sf_dir, "documents").filter("lang = 'en'"), FLAGSHIP)
 
 
 # The same over all documents, of any language or none, and all checks of the ruleset; RE2 can't express those, so without SQL.
@@ -252,7 +255,7 @@ def calibration_whole(spark, sf_dir):
 
 
 def kind_counts_whole(spark, sf_dir):
-    return corpus.kind_counts(_flagged(spark, _table(spark, sf_dir, "documents"), _WHOLE)[0])
+    return _kind_counts(_table(spark, sf_dir, "documents"), _WHOLE)
 
 
 def manifest(spark, sf_dir):

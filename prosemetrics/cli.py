@@ -92,7 +92,7 @@ def _scan(call: Call) -> int:
         return int(failed.limit(1).count() > 0)
     verdicts = lint.lint(docs, call.rules)
     call.show(corpus.scan_summary(verdicts))
-    call.show(corpus.kind_counts(lint.merged_flags(docs, call.rules)))
+    call.show(corpus.kind_counts_of(docs, call.rules))
     return int(verdicts.filter("would_block").limit(1).count() > 0)
 
 

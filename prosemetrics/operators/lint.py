@@ -59,14 +59,15 @@ def _tested(said: Column, checks: list[tuple[int, Check]], context: dict, use) -
     return let(said, tests) if checks else use({})
 
 
-def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = ()) -> DataFrame:
+def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = (), texts: bool = True) -> DataFrame:
     """``keep`` columns, key and ``found``: the array of a document's flags, not merged, in order.
 
     A projection: no shuffle. Checks in ``disabled`` are never built. context: ``extra``
     (terms by check), ``lexicon``, ``limits``, ``dictionary`` (with ``project`` and
     ``suppressed``; a large one costs joins of words, see ``operators.vocabulary``). register: whether a sentence that is no
     numbered step counts as procedure (the default) or as description. Null text counts
-    as empty.
+    as empty. texts: whether a flag bears the text of its item. Each bears a copy, so for
+    an item of many flags these grow with its square; who only counts flags leaves them out.
     """
     rules, context = ruleset(rules), dict(context or {})
     live = [(i, c) for i, c in enumerate(rules.checks) if c.id not in set(disabled)]
@@ -80,19 +81,20 @@ def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict |
     else:
         base = with_units(base)
     # The same checks over the same units are one expression, however many texts of a row they judge.
-    built, name = context.get("built", {}), (rules.id, register, tuple(c.id for _, c in live))
+    built, name = context.get("built", {}), (rules.id, register, texts, tuple(c.id for _, c in live))
     if name not in built:
-        built[name] = _found(rules, live, register, context)
+        built[name] = _found(rules, live, register, context, texts)
     return base.select("kept.*", built[name].alias("found"))
 
 
-def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context: dict) -> Column:
+def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context: dict, texts: bool) -> Column:
     """The flags of a row that has its units."""
     of = lambda *units: [(i, c) for i, c in live if c.unit in units]
+    nothing = lambda x: F.lit(None).cast("string")
+    shown = (lambda get: get) if texts else (lambda get: nothing)
     if rules.lines == "code":
-        parts = [_over(F.col("lines"), of("LINE"), context, {}, shown=lambda x: x["line"])] if of("LINE") else []
+        parts = [_over(F.col("lines"), of("LINE"), context, {}, shown=shown(lambda x: x["line"]))] if of("LINE") else []
     else:
-        nothing = lambda x: F.lit(None).cast("string")
         procedure = lambda x: {"procedure": F.lit(True) if register == "procedure" else x["numbered"]}
         bodies = F.transform(F.filter("blocks", lambda b: b["kind"] != "header"), lambda b: b["content"])
         plain = F.transform("sentences", lambda x: x["sentence"])
@@ -100,10 +102,10 @@ def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context
 
         def spoken(at: dict) -> Column:
             sentence = lambda x: x["sentence"]
-            some = [_over(F.col("sentences"), of("SENTENCE"), context, at, sentence, sentence, procedure)] if of("SENTENCE") else []
+            some = [_over(F.col("sentences"), of("SENTENCE"), context, at, sentence, shown(sentence), procedure)] if of("SENTENCE") else []
             return F.concat(*some, *([_over(F.array(plain), of("SENTENCES"), context, at, shown=nothing)] if of("SENTENCES") else []))
 
-        parts = [_over(items, of(unit), context, {}) for unit, items in (("BLOCK", bodies), ("LINE", F.col("list_lines"))) if of(unit)]
+        parts = [_over(items, of(unit), context, {}, shown=shown(lambda x: x)) for unit, items in (("BLOCK", bodies), ("LINE", F.col("list_lines"))) if of(unit)]
         if of("SENTENCE", "SENTENCES"):
             said = folded(F.concat(F.lit("\n"), F.array_join(plain, "\n")))  # each sentence begins a line
             parts.append(_tested(said, of("SENTENCE", "SENTENCES"), context, spoken))

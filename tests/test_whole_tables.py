@@ -2,13 +2,17 @@
 
 import random
 import re
+import subprocess
+import sys
+from itertools import islice, product
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from prosemetrics import catalogue
 from prosemetrics.checks import controlled
-from prosemetrics.operators import experiment
+from prosemetrics.operators import corpus, experiment, lint
 from prosemetrics.plans.derived import derived
 
 TEXTS = [
@@ -107,3 +111,31 @@ def test_derived_texts_are_dealt_to_all_cores(spark, tmp_path, kind):
     texts = derived(spark, str(tmp_path), kind)
     held = texts.groupBy(F.spark_partition_id()).count().collect()
     assert len(held) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in held) < 500 and sum(r["count"] for r in held) == 1000
+
+
+_SMALL_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+from prosemetrics import catalogue
+spark = SparkSession.builder.master("local[1]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+print(sorted(map(tuple, catalogue.queries()[sys.argv[1]](spark, sys.argv[2]).collect())))
+"""
+
+
+def test_kinds_of_one_long_sentence_fit_a_small_heap(spark, tmp_path):
+    """Each of 20 000 different words is a flag; were the sentence (120 kB) copied to each, they would take 2.4 GB."""
+    words = ["".join(w) for w in islice(product("bcfghjklmn", repeat=5), 20_000)]
+    spark.createDataFrame([(0, " ".join(words) + ".", "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = subprocess.run([sys.executable, "-c", _SMALL_HEAP, "kind_counts_whole", str(tmp_path)], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert run.stdout.strip() == "[('length', 1), ('vocabulary', 20000)]"
+
+
+@pytest.mark.parametrize("name", ["prose", "code", "controlled"])
+def test_kinds_are_counted_as_their_flags(spark, name):
+    """Flags merged, exploded and counted against counts made in the row; a text twice, in odd case, empty and null."""
+    docs = derived(spark, "/root/testdata/sf0.001", "code" if name == "code" else "sentences").limit(60).select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(9).selectExpr("-1 - doc_id AS doc_id", "upper(text) || ' ' || text AS text")).unionByName(spark.createDataFrame([(-100, ""), (-101, None), (-102, "'Tis TIS tis 'tis he's He's was failed.")], "doc_id long, text string"))
+    context = {"dictionary": catalogue._dictionary(spark)}
+    want = corpus.kind_counts(lint.merged_flags(docs, name, context)).collect()
+    assert want and corpus.kind_counts_of(docs, name, context).collect() == want
