@@ -20,7 +20,9 @@ class Check:
     context holds what a run has resolved: extra terms by check, the register, the
     dictionary, whether the file is a script. likely(text, context): whether any item of a
     document can have a hit, a cheap test of its folded sentences (``functions.patterns.folded``);
-    null if the context leaves no such test.
+    null if the context leaves no such test. labels(sentences, context): of a sentence check
+    all of whose hits are semantic and have a label, the distinct labels of a document's
+    sentences in lower case, for who only counts merged flags.
     """
 
     id: str
@@ -33,6 +35,7 @@ class Check:
     params: dict = field(default_factory=dict)
     terms_list: str | None = None
     likely: Callable[[Column, dict], Column | None] | None = None
+    labels: Callable[[Column, dict], Column] | None = None
 
     def mechanical(self, hit: Column) -> Column:
         return self.bucket(hit) if callable(self.bucket) else F.lit(self.bucket == "mechanical")

@@ -76,8 +76,9 @@ def _join(a: Column, b: Column) -> Column:
 
 
 def _zipped(s: Column, pattern: str, of, first: int = 1, second: int = 2) -> Column:
-    """Hits of of(group, group) over all matches; null ones are dropped."""
-    return F.filter(F.zip_with(all_matches(s, pattern, True, first), all_matches(s, pattern, True, second), of), lambda h: h.isNotNull())
+    """Hits of of(group, group) over all matches; null ones are dropped. Most sentences have none, which takes one search."""
+    some = F.filter(F.zip_with(all_matches(s, pattern, True, first), all_matches(s, pattern, True, second), of), lambda h: h.isNotNull())
+    return F.when(found(s, pattern, True), some).otherwise(no_hits())
 
 
 def safety_instruction(block: Column, _: dict) -> Column:
@@ -117,9 +118,18 @@ def vocabulary(s: Column, context: dict) -> Column:
     return F.filter(F.transform(words(s), of), lambda h: h.isNotNull())
 
 
+def vocabulary_labels(some: Column, context: dict) -> Column:
+    """The words of all sentences that :func:`vocabulary` flags, each once: most have no more to tell than that."""
+    verdict = context.get("vocabulary")
+    if verdict is None:
+        return F.array().cast("array<string>")
+    tokens = F.array_distinct(F.transform(words(F.array_join(some, " ")), F.lower))
+    return F.filter(tokens, lambda w: verdict(F.btrim(w, F.lit("'"))).isNotNull())
+
+
 def ing_form(s: Column, _: dict) -> Column:
     some = F.filter(all_matches(s, r"\b(\w+ing)\b", True, 1), lambda w: ~F.lower(w).isin(*ING_NOUNS, *ING_NEVER_VERBAL))
-    return each(some, rule="3.5", auto_fix=None, note="not among the words that may end so")
+    return F.when(found(s, r"ing\b", True), each(some, rule="3.5", auto_fix=None, note="not among the words that may end so")).otherwise(no_hits())
 
 
 def perfect_tense(s: Column, _: dict) -> Column:
@@ -129,7 +139,7 @@ def perfect_tense(s: Column, _: dict) -> Column:
         past = F.when(F.endswith(F.lower(b), F.lit("ed")), b).otherwise(lookup(PARTICIPLES, F.lower(b)))
         return F.when(past.isNotNull(), hit(_join(a, b), "3.4", auto_fix=True, replacement=past))
 
-    return F.concat(been, _zipped(s, PERFECT, of))
+    return F.when(found(s, r"\b(has|have|had)\s", True), F.concat(been, _zipped(s, PERFECT, of))).otherwise(no_hits())
 
 
 def progressive(s: Column, _: dict) -> Column:
@@ -208,7 +218,7 @@ def _fixable(h: Column) -> Column:
 RULESET = Ruleset(
     "controlled",
     (
-        _c(safety_instruction, "BLOCK"), _c(length, params=LIMITS), _c(vocabulary, action="warn", bucket=_fixable), _c(ing_form), _c(perfect_tense, bucket="mechanical"),
+        _c(safety_instruction, "BLOCK"), _c(length, params=LIMITS), _c(vocabulary, action="warn", bucket=_fixable, labels=vocabulary_labels), _c(ing_form), _c(perfect_tense, bucket="mechanical"),
         _c(progressive, bucket=_fixable), _c(passive), _c(modal, bucket=lambda h: _fixable(h) & (F.coalesce(h["replacement"], F.lit("")) != "")), _c(punctuation, bucket="mechanical"),
         _c(trailing_condition), _c(latin_abbrev, bucket="mechanical"), _c(inclusive_language), _c(synonym_rotation, "DOCUMENT"),
     ),

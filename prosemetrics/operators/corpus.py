@@ -36,9 +36,10 @@ def activity(docs: DataFrame, merged: DataFrame, checks: DataFrame, by: tuple[st
     return out.select(*by, "check_id", "kind", "hits", "files", "words", "documents", rate.alias("per_1k"), share.alias("share"))
 
 
-def _each_kind(kinds: Column, of) -> Column:
-    """``of(kind, how many there are)`` for each of an array of kinds."""
-    return F.transform(F.array_distinct(kinds), lambda k: of(k, F.size(F.filter(kinds, lambda x: x == k)).cast("long")))
+def _each_kind() -> Column:
+    """array<struct<kind, n>> of the kinds that are in ``kinds`` or ``labelled`` of a row."""
+    some = F.transform(F.array_distinct("kinds"), lambda k: F.struct(k.alias("kind"), F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias("n")))
+    return F.concat(some, F.filter("labelled", lambda x: x["n"] > 0))
 
 
 def activity_of(docs: DataFrame, rules: str | Ruleset = "prose", by: tuple[str, ...] = (), context: dict | None = None, *, key: str = "doc_id", text: str = "text", include_mechanical: bool = False, **options) -> DataFrame:
@@ -51,11 +52,11 @@ def activity_of(docs: DataFrame, rules: str | Ruleset = "prose", by: tuple[str,
     declared, by = ruleset(rules), [*by]
     off = set(options.get("disabled", ()))
     with_words = docs.withColumn("_words", blank_words(F.coalesce(F.col(text), F.lit(""))).cast("long"))
-    found = flag_arrays(with_words, declared, context, key=key, text=text, keep=(*by, "_words"), texts=False, **options)
+    found = flag_arrays(with_words, declared, context, key=key, text=text, keep=(*by, "_words"), counted=True, **options)
     kinds = merged_kinds(F.filter("found", lambda f: F.lit(include_mechanical) | ~f["mechanical"]), declared)
-    per = _each_kind(F.col("kinds"), lambda k, n: F.struct(k.alias("check_id"), n.alias("hits"), F.lit(0).cast("long").alias("words")))
+    per = F.transform(_each_kind(), lambda x: F.struct(x["kind"].alias("check_id"), x["n"].alias("hits"), F.lit(0).cast("long").alias("words")))
     own = F.struct(F.lit(None).cast("string").alias("check_id"), F.lit(0).cast("long").alias("hits"), F.col("_words").alias("words"))
-    rows = found.select(*by, "_words", kinds.alias("kinds")).select(*by, F.explode(F.concat(F.array(own), per)).alias("r")).select(*by, "r.*")
+    rows = found.select(*by, "_words", "labelled", kinds.alias("kinds")).select(*by, F.explode(F.concat(F.array(own), per)).alias("r")).select(*by, "r.*")
     sums = rows.groupBy(*by, "check_id").agg(F.sum("hits").alias("hits"), F.count("*").alias("files"), F.sum("words").alias("words"))
     # A corpus becomes one row: its totals, and a map of the checks that fired.
     some = F.col("check_id").isNotNull()
@@ -113,10 +114,9 @@ def kind_counts(merged: DataFrame) -> DataFrame:
 def kind_counts_of(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, **options) -> DataFrame:
     """``kind_counts(merged_flags(docs))``, where a document gives a row for each kind that it has, not one for each flag with its text."""
     declared = ruleset(rules)
-    kinds = flag_arrays(docs, declared, context, texts=False, **options).select(merged_kinds(F.col("found"), declared).alias("kinds"))
-    per = _each_kind(F.col("kinds"), lambda k, n: F.struct(k.alias("kind"), n.alias("n")))
+    kinds = flag_arrays(docs, declared, context, counted=True, **options).select("labelled", merged_kinds(F.col("found"), declared).alias("kinds"))
     # By an outer explode, as in lint: the other one gets a filter on the array, which would be computed again for it.
-    rows = kinds.select(F.explode_outer(per).alias("r")).filter("r is not null")
+    rows = kinds.select(F.explode_outer(_each_kind()).alias("r")).filter("r is not null")
     return rows.groupBy("r.kind").agg(F.sum("r.n").alias("flags")).orderBy(F.desc("flags"), "kind")
 
 

@@ -59,18 +59,20 @@ def _tested(said: Column, checks: list[tuple[int, Check]], context: dict, use) -
     return let(said, tests) if checks else use({})
 
 
-def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = (), texts: bool = True) -> DataFrame:
+def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict | None = None, *, key: str = "doc_id", text: str = "text", disabled=(), register: str = "procedure", keep: tuple = (), counted: bool = False) -> DataFrame:
     """``keep`` columns, key and ``found``: the array of a document's flags, not merged, in order.
 
     A projection: no shuffle. Checks in ``disabled`` are never built. context: ``extra``
     (terms by check), ``lexicon``, ``limits``, ``dictionary`` (with ``project`` and
     ``suppressed``; a large one costs joins of words, see ``operators.vocabulary``). register: whether a sentence that is no
     numbered step counts as procedure (the default) or as description. Null text counts
-    as empty. texts: whether a flag bears the text of its item. Each bears a copy, so for
-    an item of many flags these grow with its square; who only counts flags leaves them out.
+    as empty. counted: for who only counts merged flags. They bear no text: each would bear
+    a copy of its item's, so for an item of many flags these grow with its square. Of checks
+    that give their labels there are no flags but ``labelled``, array<struct<kind, n>>.
     """
     rules, context = ruleset(rules), dict(context or {})
     live = [(i, c) for i, c in enumerate(rules.checks) if c.id not in set(disabled)]
+    apart = [c for _, c in live if counted and c.labels and c.unit == "SENTENCE" and rules.dedup and rules.lines != "code" and c.id not in rules.keep_apart]
     if any(c.id == "vocabulary" for _, c in live):
         docs, context = resolved(docs, context, key, text)
     kept = [c for c in dict.fromkeys((key, *keep))]
@@ -81,10 +83,15 @@ def flag_arrays(docs: DataFrame, rules: str | Ruleset = "prose", context: dict |
     else:
         base = with_units(base)
     # The same checks over the same units are one expression, however many texts of a row they judge.
-    built, name = context.get("built", {}), (rules.id, register, texts, tuple(c.id for _, c in live))
+    live = [(i, c) for i, c in live if c not in apart]
+    built, name = context.get("built", {}), (rules.id, register, counted, tuple(c.id for _, c in live))
     if name not in built:
-        built[name] = _found(rules, live, register, context, texts)
-    return base.select("kept.*", built[name].alias("found"))
+        built[name] = _found(rules, live, register, context, not counted)
+    if not counted:
+        return base.select("kept.*", built[name].alias("found"))
+    plain = F.transform("sentences", lambda x: x["sentence"]) if apart else None
+    sizes = [F.struct(F.lit(c.id).alias("kind"), F.size(c.labels(plain, context)).cast("long").alias("n")) for c in apart]
+    return base.select("kept.*", built[name].alias("found"), F.array(*sizes).cast("array<struct<kind:string,n:bigint>>").alias("labelled"))
 
 
 def _found(rules: Ruleset, live: list[tuple[int, Check]], register: str, context: dict, texts: bool) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prosemetrics import catalogue
 from prosemetrics.checks import controlled
-from prosemetrics.operators import corpus, experiment, lint
+from prosemetrics.operators import corpus, experiment, lint, vocabulary
 from prosemetrics.plans.derived import derived
 
 TEXTS = [
@@ -131,11 +131,13 @@ def test_kinds_of_one_long_sentence_fit_a_small_heap(spark, tmp_path):
     assert run.stdout.strip() == "[('length', 1), ('vocabulary', 20000)]"
 
 
-@pytest.mark.parametrize("name", ["prose", "code", "controlled"])
-def test_kinds_are_counted_as_their_flags(spark, name):
-    """Flags merged, exploded and counted against counts made in the row; a text twice, in odd case, empty and null."""
+@pytest.mark.parametrize("name, compiled", [("prose", 5000), ("code", 5000), ("controlled", 5000), ("controlled", 0)])
+def test_kinds_are_counted_as_their_flags(spark, monkeypatch, name, compiled):
+    """Flags merged, exploded and counted against counts made in the row; a text twice, in odd case, empty and null; a dictionary in the plan and one joined."""
+    monkeypatch.setattr(vocabulary, "COMPILED", compiled)
     docs = derived(spark, "/root/testdata/sf0.001", "code" if name == "code" else "sentences").limit(60).select("doc_id", "text")
     docs = docs.unionByName(docs.limit(9).selectExpr("-1 - doc_id AS doc_id", "upper(text) || ' ' || text AS text")).unionByName(spark.createDataFrame([(-100, ""), (-101, None), (-102, "'Tis TIS tis 'tis he's He's was failed.")], "doc_id long, text string"))
     context = {"dictionary": catalogue._dictionary(spark)}
     want = corpus.kind_counts(lint.merged_flags(docs, name, context)).collect()
     assert want and corpus.kind_counts_of(docs, name, context).collect() == want
+    assert "vocabulary" not in {r["kind"] for r in lint.flag_arrays(docs, name, context, counted=True).selectExpr("inline(found)").select("kind").collect()}
